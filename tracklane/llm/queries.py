@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm import bpe, chat_format, decontaminate, line_dedup, quality_rules, simhash_dedup
+from tracklane.llm import anchor_dedup, bpe, chat_format, decontaminate, line_dedup, quality_rules, simhash_dedup, suffix_dedup
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -33,6 +33,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = anchor_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.sql(r"select cast(-7 as bigint) conv_id, cast(x as bigint) turn, r as role, '\\### Assistant: </turn> ok' as text from values (0, 'user'), (1, 'assistant') as t(x, r)")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
@@ -71,8 +81,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2,
         "op3_line_dedup": op3,
         "op5_simhash": op5,
+        "op6_substring_dedup": op6,
         "op7_chat_format": op7,
         "op8_bpe": op8,
+        "op9_suffix_dedup": op9,
         "op10_quality_rules": op10,
         "pipeline": pipeline,
     }
