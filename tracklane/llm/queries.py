@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm import anchor_dedup, bpe, chat_format, decontaminate, line_dedup, quality_rules, simhash_dedup, suffix_dedup
+from tracklane.llm import anchor_dedup, bpe, chat_format, decontaminate, line_dedup, pitman_yor, quality_rules, simhash_dedup, suffix_dedup
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pitman_yor": op1,
         "op2_decontamination": op2,
         "op3_line_dedup": op3,
         "op5_simhash": op5,
