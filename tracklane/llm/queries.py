@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm import anchor_dedup, bpe, chat_format, decontaminate, line_dedup, pitman_yor, quality_rules, simhash_dedup, suffix_dedup
+from tracklane.llm import anchor_dedup, bpe, chat_format, decontaminate, html_crf, line_dedup, pitman_yor, quality_rules, simhash_dedup, suffix_dedup
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -32,6 +32,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n.cast("bigint").alias("n_chars"), (F.coalesce("before", F.lit(0)) - n).cast("bigint").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_crf.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.simhash_components(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pitman_yor": op1,
         "op2_decontamination": op2,
         "op3_line_dedup": op3,
+        "op4_html_crf": op4,
         "op5_simhash": op5,
         "op6_substring_dedup": op6,
         "op7_chat_format": op7,
