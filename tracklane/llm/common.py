@@ -135,7 +135,7 @@ class Batch:
     def word_hashes(self) -> np.ndarray:
         buf = np.frombuffer(self.data, dtype=np.uint8)
         out = np.empty(len(self.start), dtype=np.uint64)
-        step = 1 << 21  # bounds the scratch arrays for very long blocks
+        step = 1 << 19  # bounds the scratch arrays for very long blocks
         i = 0
         while i < len(self.start):
             j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + step)))
