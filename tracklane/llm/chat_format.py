@@ -89,11 +89,11 @@ def turns_of_json(df: DataFrame, record: str, layouts=LAYOUTS) -> DataFrame:
     df = df.withColumn("_v", v).withColumn("_fp", fingerprint(json_paths(F.col("_v"))))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     get = lambda x, path: F.try_variant_get(x, f"$.{path}", "string")
+    message = lambda r, t: lambda x: F.struct(_role(get(x, r)).alias("role"), F.coalesce(get(x, t), F.lit("")).alias("text"))
     for y in layouts:
         hit = F.col("_fp") == fingerprint(y.paths)
         if y.items:
-            a, r, t = y.items
-            own = F.transform(F.try_variant_get(F.col("_v"), f"$.{a}", "array<variant>"), lambda x, r=r, t=t: F.struct(_role(get(x, r)).alias("role"), F.coalesce(get(x, t), F.lit("")).alias("text")))
+            own = F.transform(F.try_variant_get(F.col("_v"), f"$.{y.items[0]}", "array<variant>"), message(*y.items[1:]))
         else:
             own = F.filter(F.array(*[F.struct(F.lit(r).alias("role"), get(F.col("_v"), p).alias("text")) for r, p in y.single]), lambda x: x["text"].isNotNull())
         name, turns = F.when(hit, F.lit(y.name)).otherwise(name), F.when(hit, own).otherwise(turns)

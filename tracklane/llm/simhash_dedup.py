@@ -114,9 +114,10 @@ def links(reps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFr
     keyed = reps.select("id", "fp", F.explode(block_keys(F.col("fp"), blocks, radius)).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
             return
+        rows = pa.Table.from_batches(rows)
         ids, fp, key = (rows[c].to_numpy() for c in ("id", "fp", "key"))
         a, b = spanning_links(key, fp.view(np.uint64), radius)
         yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
