@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def session_performance(trials: DataFrame, keys) -> DataFrame:
     """Trial counts and shares correct: all, switch, valid switch, by cue. Unknown outcomes count in no average."""
-    ratio = lambda c: F.sum(F.col("correct") * F.col(c)) / F.sum(c)
+    ratio = lambda c: F.sum(F.col("correct") * F.col(c)) / F.when(F.sum(c) != 0, F.sum(c))
     return trials.groupBy(*keys).agg(
         F.count("*").alias("n_trials"), F.sum("sw").alias("n_sw"), F.sum("vsw").alias("n_vsw"), F.avg("correct").alias("pct_correct"),
         ratio("sw").alias("pct_sw_correct"), ratio("vsw").alias("pct_vsw_correct"),
