@@ -125,3 +125,23 @@ def first_after(a: DataFrame, b: DataFrame, keys, t: str, low: float, high: floa
 
 def fold_of(position, block: int, folds: int) -> Column:
     return (F.floor(F.col(position) / block) % folds).cast("long")
+
+
+def kernel_smooth(df: DataFrame, keys, sample, values: list[str], weights: list[float]) -> DataFrame:
+    """Convolves sparse samples with a symmetric kernel scaled to 1; samples outside the recorded range are dropped.
+
+    Each row is written once for each offset of the kernel and summed again: no join, work by non-empty samples.
+    """
+    half, total = len(weights) // 2, sum(weights)
+    w = Window.partitionBy(*keys)
+    d = df.withColumns({"_lo": F.min(sample).over(w), "_hi": F.max(sample).over(w)})
+    cells = [F.struct((F.col(sample) + (i - half)).alias("_at"), *[(F.col(v) * (k / total)).alias(f"_{v}") for v in values]) for i, k in enumerate(weights)]
+    d = d.select(*keys, "_lo", "_hi", F.inline(F.array(*cells))).filter("_at between _lo and _hi")
+    return d.groupBy(*keys, F.col("_at").alias(sample)).agg(*[F.sum(f"_{v}").alias(v) for v in values])
+
+
+def lag_features(df: DataFrame, keys, sample, zone, n, max_lag: int) -> DataFrame:
+    """(keys, sample, zone, w): zones of the samples before, weighted by 1 / lag for lags 1 .. max_lag - 1, scaled by the row's maximum."""
+    cells = [F.struct((F.col(sample) + i).alias("_at"), (F.col(n) / i).alias("_w")) for i in range(1, max_lag)]
+    g = df.select(*keys, zone, F.inline(F.array(*cells))).groupBy(*keys, F.col("_at").alias(sample), zone).agg(F.sum("_w").alias("w"))
+    return g.withColumn("w", F.col("w") / F.max("w").over(Window.partitionBy(*keys, sample)))
