@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklane.functions.scalar import hash_pick
+from tracklane.operators.storage import cut
 
 
 def balanced_draws(trials: DataFrame, keys, strata, item, reps: int, seed: int) -> DataFrame:
@@ -39,7 +40,7 @@ def shifted(df: DataFrame, keys, order: list[str], value, reps: int, seed: int,
     return many.join(other, [*keys, "rep", "_i"])
 
 
-def achieved_level(stats: DataFrame, keys, value, at_least: Column | None = None) -> DataFrame:
+def achieved_level(stats: DataFrame, keys, value) -> DataFrame:
     """(keys, real, p): share of the replicates 1 .. whose statistic is at least that of replicate 0."""
     real = F.max(F.when(F.col("rep") == 0, F.col(value))).over(Window.partitionBy(*keys))
     d = stats.withColumn("real", real).filter("rep > 0")
@@ -62,16 +63,11 @@ def greedy_matching(pairs: DataFrame, keys, a, b, dist) -> DataFrame:
     Each round takes the pairs that are the nearest of both members and drops all pairs of the members taken. The
     nearest pair left in a block is always taken, so rounds end; each is cut from its lineage on shared storage.
     """
-    spark = pairs.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     left, done = pairs.select(*keys, a, b, dist), None
     while True:
         rank = lambda side: F.row_number().over(Window.partitionBy(*keys, side).orderBy(dist, a, b))
-        best = left.withColumns({"_a": rank(a), "_b": rank(b)}).filter("_a = 1 and _b = 1").drop("_a", "_b").checkpoint()
+        best = cut(left.withColumns({"_a": rank(a), "_b": rank(b)}).filter("_a = 1 and _b = 1").drop("_a", "_b"))
         if best.isEmpty():
             return best if done is None else done
         done = best if done is None else done.unionByName(best)
-        left = left.join(best.select(*keys, a), [*keys, a], "left_anti").join(best.select(*keys, b), [*keys, b], "left_anti").checkpoint()
+        left = cut(left.join(best.select(*keys, a), [*keys, a], "left_anti").join(best.select(*keys, b), [*keys, b], "left_anti"))
