@@ -84,38 +84,49 @@ class PerfectHash:
         return self.ids[s] if self.keys[s] == key else -1
 
 
+class Found(dict):
+    """Answers of the perfect hash for byte strings asked before; forgotten all at once when there are too many."""
+
+    def __init__(self, table: PerfectHash):
+        super().__init__()
+        self.ask = table.find
+
+    def __missing__(self, key: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        rank = self[key] = self.ask(key)
+        return rank
+
+
 def merge(piece: bytes, find) -> list[int]:
     """Ids of a pre-token: again and again the leftmost pair of lowest rank is joined. Every byte must be a token."""
     n = len(piece)
-    start, end = list(range(n)), list(range(1, n + 1))
-    left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-    heap: list[tuple[int, int, int, int]] = []
-
-    def offer(i: int) -> None:
-        j = right[i]
-        if j >= 0 and (r := find(piece[start[i] : end[j]])) >= 0:
-            heapq.heappush(heap, (r, i, end[i], end[j]))
-
-    for i in range(n - 1):
-        offer(i)
-    gone = [False] * n
+    end, left, right = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := find(piece[i : i + 2])) >= 0]
+    heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, i, middle, stop = heapq.heappop(heap)
+        _, i, middle, stop = pop(heap)
+        if end[i] != middle:
+            continue  # joined with another meanwhile, as is a part that is gone: its end is 0
         j = right[i]
-        if gone[i] or j < 0 or end[i] != middle or end[j] != stop:
-            continue  # one of the two was merged meanwhile
-        gone[j], end[i], right[i] = True, end[j], right[j]
-        if right[i] >= 0:
-            left[right[i]] = i
-        if left[i] >= 0:
-            offer(left[i])
-        offer(i)
-    return [find(piece[start[i] : end[i]]) for i in range(n) if not gone[i]]
+        if j < 0 or end[j] != stop:
+            continue
+        end[i], end[j], k = stop, 0, right[j]
+        right[i] = k
+        if k >= 0:
+            left[k] = i
+            if (r := find(piece[i : end[k]])) >= 0:
+                push(heap, (r, i, stop, end[k]))
+        h = left[i]
+        if h >= 0 and (r := find(piece[h:stop])) >= 0:
+            push(heap, (r, h, i, stop))
+    return [find(piece[i : end[i]]) for i in range(n) if end[i]]
 
 
 class Encoder:
     def __init__(self, table: PerfectHash, pattern: str):
-        self.table, self.split, self.known = table, regex.compile(pattern).findall, {}
+        self.find, self.split, self.known = Found(table).__getitem__, regex.compile(pattern).findall, {}
 
     def encode(self, text: str | None) -> np.ndarray:
         known, out = self.known, []
@@ -123,8 +134,8 @@ class Encoder:
             ids = known.get(token)
             if ids is None:
                 raw = token.encode("utf-8", "replace")
-                one = self.table.find(raw)
-                ids = [one] if one >= 0 else merge(raw, self.table.find)
+                one = self.find(raw)
+                ids = [one] if one >= 0 else merge(raw, self.find)
                 if len(known) >= CACHE:
                     known.clear()
                 known[token] = ids
