@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ def neighbours(bins: DataFrame, reach: int, x: str = "xb", y: str = "yb") -> Dat
     return bins.select("*", F.inline(F.array(*cells)))
 
 
-def fields(bins: DataFrame, keys, least: int, x: str = "xb", y: str = "yb") -> DataFrame:
-    """(keys, field, n, cx, cy): groups of touching bins with at least `least` bins, named by their first bin.
+def labelled_bins(bins: DataFrame, keys, x: str = "xb", y: str = "yb") -> DataFrame:
+    """(keys, x, y, field): each bin with the first bin of its group of touching bins.
 
     The smallest bin number spreads to the neighbours until nothing changes: rounds are bounded by the bins of one map.
     """
@@ -32,11 +34,49 @@ def fields(bins: DataFrame, keys, least: int, x: str = "xb", y: str = "yb") -> D
         at = cut(at.join(low, [*keys, x, y]).select(*keys, x, y, F.col("_low").alias("field")))
         now = at.agg(F.sum("field")).first()[0]
         if now == before:
-            break
+            return at
         before = now
+
+
+def fields(bins: DataFrame, keys, least: int, x: str = "xb", y: str = "yb") -> DataFrame:
+    """(keys, field, n, cx, cy): groups of touching bins with at least `least` bins, named by their first bin."""
+    at = labelled_bins(bins, keys, x, y)
     return at.groupBy(*keys, "field").agg(F.count("*").alias("n"), F.avg(x).alias("cx"), F.avg(y).alias("cy")).filter(F.col("n") >= least)
 
 
+def border_score(bins: DataFrame, keys, value, across: tuple[int, int], along: tuple[int, int], x: str = "xb", y: str = "yb") -> DataFrame:
+    """(keys, coverage, distance, score) of bins above threshold: (coverage - distance) / (coverage + distance).
+
+    Coverage is the largest share of a wall that one field touches; distance the mean distance to the nearest wall,
+    weighted by the value and divided by half the shorter side.
+    """
+    (x0, x1), (y0, y1) = across, along
+    wide, high = x1 - x0 + 1, y1 - y0 + 1
+    at = labelled_bins(bins, keys, x, y)
+    walls = [F.countDistinct(F.when(F.col(c) == v, F.col(o))) / n for c, v, o, n in ((x, x0, y, high), (x, x1, y, high), (y, y0, x, wide), (y, y1, x, wide))]
+    touched = at.groupBy(*keys, "field").agg(F.greatest(*walls).alias("_c")).groupBy(*keys).agg(F.max("_c").alias("coverage"))
+    near = F.least(F.col(x) - x0, x1 - F.col(x), F.col(y) - y0, y1 - F.col(y)) / ((min(wide, high) - 1) / 2)
+    gap = bins.groupBy(*keys).agg((F.sum(near * F.col(value)) / F.sum(value)).alias("distance"))
+    total = F.col("coverage") + F.col("distance")
+    return touched.join(gap, keys).select(*keys, "coverage", "distance", F.when(total > 0, (F.col("coverage") - F.col("distance")) / total).alias("score"))
+
+
+def grid_sweep(bins: DataFrame, keys, value, scales: int, angles: int, x: str = "xb", y: str = "yb") -> DataFrame:
+    """(keys, sc, an, mse): maps scaled to 0..1 against hexagonal patterns around their peak.
+
+    Pattern sc has the scale 2 + sc / 2 bins, an the angle of 5 an degrees. The sweep multiplies bins by a constant number
+    of rows; they are summed before the shuffle.
+    """
+    tops = bins.groupBy(*keys).agg(F.max(F.struct(F.col(value), (-F.col(x)).alias("_x"), (-F.col(y)).alias("_y"))).alias("_p"), F.min(value).alias("_lo"))
+    rows = bins.join(tops, keys) if keys else bins.crossJoin(F.broadcast(tops))  # without keys one row
+    rows = rows.select(*keys, ((F.col(value) - F.col("_lo")) / (F.col(f"_p.{value}") - F.col("_lo"))).alias("_v"), (F.col(x) + F.col("_p._x")).alias("_dx"), (F.col(y) + F.col("_p._y")).alias("_dy"))
+    rows = rows.withColumn("sc", F.explode(F.sequence(F.lit(0), F.lit(scales - 1)).cast("array<bigint>"))).withColumn("an", F.explode(F.sequence(F.lit(0), F.lit(angles - 1)).cast("array<bigint>")))
+    wave = 4 * pi / 3**0.5 / (2 + 0.5 * F.col("sc"))
+    turn = lambda i: F.cos(wave * (F.col("_dx") * F.cos(F.col("an") * (pi / 36) + i * pi / 3) + F.col("_dy") * F.sin(F.col("an") * (pi / 36) + i * pi / 3)))
+    gap = F.col("_v") - (turn(0) + turn(1) + turn(2) + 1.5) / 4.5
+    return rows.groupBy(*keys, "sc", "an").agg(F.avg(gap * gap).alias("mse"))
+
+
 def moments(points: DataFrame, keys, x, y) -> DataFrame:
     """(keys, n, mx, my, vx, vy, c, det): mean and covariance of the points of a cluster in a plane."""
     g = points.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("c"))

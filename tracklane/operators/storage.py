@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -13,3 +15,41 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+def root(spark) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        where = getattr(sc, "_tracklane_tables", None) or tempfile.mkdtemp(prefix="spark-")
+        sc._tracklane_tables = where
+    return where
+
+
+def materialized(build, spark, where: str, name: str, params: dict, defaults: dict) -> DataFrame:
+    """The table that build(**params) gives, written once for each set of parameters that differs from the defaults.
+
+    A finished table (with its _SUCCESS file) is read back; an unfinished one is written again.
+    """
+    changed = {k: v for k, v in sorted((defaults | params).items()) if k not in defaults or defaults[k] != v}
+    digest = hashlib.sha256(json.dumps(changed, sort_keys=True).encode()).hexdigest()[:16]
+    path = f"{where}/{name}/params={digest}"
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done):
+        build(**(defaults | params)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def exported(tables: dict[str, DataFrame], where: str, session: str) -> dict[str, DataFrame]:
+    """Writes each table under where/<name>, one folder for each session; returns them as read back.
+
+    Rows are dealt by session first, so a session's folder gets few files; a hot session is split by adaptive rebalancing.
+    """
+    out = {}
+    for name, df in tables.items():
+        path = f"{where}/{name}"
+        df.hint("rebalance", session).write.mode("overwrite").partitionBy(session).parquet(path)
+        out[name] = df.sparkSession.read.parquet(path)
+    return out
