@@ -88,9 +88,10 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "q_") -> DataFrame
         "dup_line_ratio": F.when(F.col(f"{p}n_lines") > 0, F.col(f"{p}n_dup_lines") / F.col(f"{p}n_lines")),
     }
     scratch = [f"{p}{x}" for x in ("words", "n", "wh", "h", "s", "p", "l", "n_shouts", "n_stop", "n_lines")]
-    kept = [f"`{c}`" for c in df.columns if c not in scratch]
-    # a generated row: filters on the ratios stay above it, or the optimizer would copy the whole chain into them
-    one = F.inline(F.array(F.struct(*[c.alias(f"{p}{k}") for k, c in ratios.items()])))
+    base = [f"{p}{x}" for x in ("n_repeat_words", "n_words", "word_chars", "n_symbols", "n_dup_lines")]
+    kept = [f"`{c}`" for c in df.columns if c not in scratch and c not in base]
+    # a generated row: filters on any measure stay above it, or the optimizer would copy the chain below into them
+    one = F.inline(F.array(F.struct(*[F.col(c) for c in base], *[c.alias(f"{p}{k}") for k, c in ratios.items()])))
     return df.select(*kept, one)
 
 
