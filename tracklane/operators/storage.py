@@ -43,13 +43,14 @@ def materialized(build, spark, where: str, name: str, params: dict, defaults: di
 
 
 def exported(tables: dict[str, DataFrame], where: str, session: str) -> dict[str, DataFrame]:
-    """Writes each table under where/<name>, one folder for each session; returns them as read back.
+    """Writes each table under where/<name>, in files of neighbouring sessions; returns them as read back.
 
-    Rows are dealt by session first, so a session's folder gets few files; a hot session is split by adaptive rebalancing.
+    Files are ranges of sessions and sorted by session, so a filter on it skips files and row groups by their statistics;
+    a folder for each session would give small files without bound.
     """
     out = {}
     for name, df in tables.items():
         path = f"{where}/{name}"
-        df.hint("rebalance", session).write.mode("overwrite").partitionBy(session).parquet(path)
+        df.repartitionByRange(session).sortWithinPartitions(session).write.mode("overwrite").parquet(path)
         out[name] = df.sparkSession.read.parquet(path)
     return out
