@@ -1,5 +1,8 @@
 """Models without SQL against hand-written fits and separable cases."""
 
+import hashlib
+import statistics
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracklane.operators import maps as M
 from tracklane.operators import models as P
+from tracklane.operators import resample as B
 from tracklane.operators import storage
 
 
@@ -67,3 +71,14 @@ def test_materialized_builds_once_for_each_set_of_parameters(spark, tmp_path):
 
     ask = lambda **p: storage.materialized(build, spark, str(tmp_path), "t", p, {"n": 2, "k": 1}).count()
     assert [ask(), ask(n=2), ask(n=3), ask(n=3, k=1)] == [2, 2, 3, 3] and calls == [(2, 1), (3, 1)]
+
+
+def test_named_statistics_of_hashed_relabelling(spark):
+    a, b = [3.0, 1.0, 4.0, 1.5, 9.0], [2.0, 6.0, 5.0, 3.0, 5.5]
+    df = spark.createDataFrame([(7, i, x, y) for i, (x, y) in enumerate(zip(a, b))], "u long, z long, a double, b double")
+    mixed = B.permuted(df, ["u"], ["z"], "b", 6, 5, "other").withColumn("gap", F.abs(F.col("a") - F.col("other")))
+    for name, stat in (("max", max), ("median", statistics.median), ("mean", statistics.mean)):
+        got = {r["rep"]: r["v"] for r in mixed.groupBy("rep").agg(P.STATISTICS[name]("gap").alias("v")).collect()}
+        for rep in range(7):
+            order = sorted(range(1, 6), key=lambda i: (hashlib.md5(f"5|7|{rep}|{i}".encode()).hexdigest() if rep else f"{i:012}", i))
+            assert got[rep] == pytest.approx(stat([abs(x - b[i - 1]) for x, i in zip(a, order)]))
