@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracklane.llm import anchor_dedup, bpe, chat_format, common, decontaminate, html_crf, line_dedup, pitman_yor, quality_rules, simhash_dedup, suffix_dedup
+from tracklane.llm import anchor_dedup, bpe, chat_format, common, decontaminate, html_crf, line_dedup, near_dedup, pitman_yor, quality_rules, simhash_dedup, suffix_dedup
 
 R = random.Random(5)
 VOCAB = [f"w{i}" for i in range(400)]
@@ -112,6 +112,37 @@ def test_simhash(docs, spark):
     assert simhash_dedup.simhash_dedup(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_against_all_pairs(spark):
+    """Near copies of all sizes with 0 to 25 % of words changed around 0.8, passages in common, copies and blanks."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    texts, passage = [None, "", " ", "a b", "A b", "a b c"], [r.choice(VOCAB) for _ in range(60)]
+    for n in (12, 30, 80, 300, 900):
+        for i in range(10):
+            w = [f"{r.choice(VOCAB)}{r.randint(0, 30)}" for _ in range(n)] + passage * (i % 3 == 0)
+            texts.append(" ".join(w))
+            for share in (0.01, 0.02, 0.03):
+                texts.append(" ".join(f"new{r.random()}" if r.random() < share else x for x in w))
+
+    def bag(t):
+        w = (t or "").lower().split()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    bags, comp, close = [bag(t) for t in texts], list(range(len(texts))), 0
+    for a, b in combinations(range(len(texts)), 2):
+        s = sum((bags[a] & bags[b]).values()) / sum((bags[a] | bags[b]).values())
+        if s >= 0.8:
+            close += s < 0.9
+            x, y = sorted((comp[a], comp[b]))
+            comp = [x if c == y else c for c in comp]
+    assert close > 30
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, d, "")
+    assert got.columns == d.columns and sorted(x.doc_id for x in got.collect()) == sorted(set(comp))
+    assert near_dedup.near_dedup(d.limit(0)).count() == 0
+
+
 def test_spanning_links_hold_every_connection():
     rng = np.random.default_rng(1)
     fp = np.concatenate([np.array([1 << int(b) for b in rng.integers(0, 64, 60)], np.uint64) ^ np.uint64(base) for base in (0, 2**40 + 999)])
