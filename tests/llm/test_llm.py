@@ -173,6 +173,31 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(d.limit(0)).count() == 0 and line_dedup.line_dedup(d).filter("text is null").count() == 1
 
 
+def test_line_dedup_against_all_runs(spark):
+    """Planted passages of 2 to 8 lines, whole and in part, between lines of their own; every repeated run goes."""
+    r = random.Random(3)
+    passages = [[f"p{k} line {i} {r.random()}" for i in range(2 + k % 7)] for k in range(28)]
+    texts = []
+    for i in range(90):
+        own = lambda: [f"own {i} {r.random()}" for _ in range(r.randint(0, 3))]  # noqa: B023, E731
+        p, q = r.choice(passages), r.choice(passages)
+        cut = r.randint(0, len(q) - 1)
+        texts.append("\n".join([*own(), *p, *own(), *q[cut:], *own(), r.choice(["", "menu"]), *own()]))
+    texts += [texts[4], "", None, "\n", "\n\n\n"]
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    seen, planted = set(), 0
+    for i, t in enumerate(texts):
+        lines, gone = (t or "").split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 2, len(lines) + 1):
+                run = tuple(lines[a:b])
+                gone |= set(range(a, b)) if run in seen else set()
+                seen.add(run)
+        planted += len(gone)
+        assert got[i] == (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    assert planted > 300
+
+
 def test_decontamination_against_all_windows(spark):
     items = [(i, " ".join(words(R.randint(13, 40)))) for i in range(6)] + [(9, "too short"), (10, None)]
     def near(t):

@@ -1,12 +1,17 @@
-"""Line dedup: content-defined chunks of lines, globally repeated multi-line chunks removed.
+"""Line dedup: every run of two or more lines that occurs earlier in the corpus is removed.
 
-A rolling hash over the hashes of `window` lines ends a chunk where it is 0 modulo `mean_lines`, so an inserted or deleted
-line shifts no boundary beyond its own chunk. Only the hashes of chunks are counted over the corpus; chunks whose hash
-repeats are then grouped by their bytes. The first occurrence (smallest id, then line) stays.
+Content-defined chunks carry the bulk: a line whose own hash is 0 modulo `mean_lines` ends a chunk (the hash rolls over
+`window` lines), so copies of a passage are cut alike inside, whatever stands around it. Every two neighbouring lines are a
+seed besides. A run that occurs earlier is made of such seeds, so seeds find passages without a boundary and grow chunks
+line by line to the whole run; seeds inside a chunk that is itself a later copy are left out.
 
-Defined cases: null texts stay null, empty texts have one empty line and no chunk; chunks of one line are never removed;
-rows that share an id are judged alike and null ids are left alone; an empty table gives an empty result; all columns of
-the input stay, only the text changes. A hot chunk is pre-aggregated before each shuffle; joins may be split by AQE.
+Only hashes of chunks and seeds are counted over the corpus; those that repeat are then grouped by their bytes. The first
+occurrence (smallest id, then line) stays.
+
+Defined cases: null texts stay null, a text of one line stays as it is; a single repeated line is never removed by itself,
+blank lines are lines; rows that share an id are judged alike and null ids are left alone; an empty table gives an empty
+result; all columns of the input stay, only the text changes. A hot chunk is pre-aggregated before each shuffle; joins may
+be split by AQE.
 """
 
 from __future__ import annotations
@@ -18,35 +23,37 @@ from tracklane.llm.common import written
 
 
 def chunk_rows(rows: DataFrame, text: str, mean_lines: int, window: int) -> DataFrame:
-    """Replaces the text by `c`: (start, n, h) for each chunk of two or more lines, h the hash of its bytes."""
+    """Replaces the text by (start, n, h) for each chunk of three or more lines and each two neighbouring lines."""
     keep = [c for c in rows.columns if c != text]
-    rows = rows.select(*keep, F.split(F.col(text), "\n", -1).alias("_lines"))
-    rows = rows.withColumn("_hashes", F.transform("_lines", lambda x: F.xxhash64(x))).withColumn("_last", F.size("_lines") - 1)
+    rows = rows.select(*keep, F.transform(F.split(F.col(text), "\n", -1), lambda x: F.xxhash64(x)).alias("_hashes")).withColumn("_last", F.size("_hashes") - 1).filter("_last > 0")
     rolled = lambda i: F.xxhash64(*[F.get(F.col("_hashes"), i - j) for j in range(window)])
     ends = F.filter(F.sequence(F.lit(0), F.col("_last")), lambda i: (i == F.col("_last")) | ((i >= window - 1) & (F.pmod(rolled(i), F.lit(mean_lines)) == 0)))
     rows = rows.withColumn("_ends", ends).withColumn("_starts", F.concat(F.array(F.lit(0)), F.transform("_ends", lambda e: e + 1)))
-    cut = F.transform("_ends", lambda e, k: F.struct(F.get("_starts", k).alias("start"), (e - F.get("_starts", k) + 1).alias("n")))
-    rows = rows.select(*keep, "_lines", F.explode_outer(F.filter(cut, lambda c: c["n"] > 1)).alias("c")).filter("c is not null")
-    body = F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.n")), "\n")
-    return rows.select(*keep, "c.start", "c.n", F.xxhash64(body).alias("h"))
+    cut = F.filter(F.transform("_ends", lambda e, k: F.struct(F.get("_starts", k).alias("start"), (e - F.get("_starts", k) + 1).alias("n"))), lambda c: c["n"] > 2)
+    seeds = F.transform(F.sequence(F.lit(0), F.col("_last") - 1), lambda i: F.struct(i.alias("start"), F.lit(2).alias("n"), F.xxhash64(F.get("_hashes", i), F.get("_hashes", i + 1)).alias("h")))
+    chunks = F.transform(cut, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(F.slice("_hashes", c["start"] + 1, c["n"])).alias("h")))
+    return rows.select(*keep, F.explode_outer(F.concat(chunks, seeds)).alias("c")).select(*keep, "c.*")
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 2) -> DataFrame:
-    """(id, start, n): chunks to remove, those whose bytes occur earlier."""
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 1) -> DataFrame:
+    """(id, start, n): chunks and seeds to remove, those whose bytes occur earlier."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     cut = chunk_rows(rows.filter("_text is not null"), "_text", mean_lines, window)
-    often = cut.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h")
-    hits = cut.join(often, "h").groupBy("_id").agg(F.collect_set(F.struct("start", "n", "h")).alias("hits"))
-    body = F.array_join(F.slice(F.split("_text", "\n", -1), F.col("c.start") + 1, F.col("c.n")), "\n")
-    again = rows.join(hits, "_id").select("_id", "_text", F.explode("hits").alias("c")).select("_id", "c.*", body.alias("body"))
+    often = cut.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("_id", "start")).alias("first")).filter("times > 1").select("h", "first")
+    hits = cut.join(often, "h").select("_id", F.struct("start", "n", "h", (F.struct("_id", "start") > F.col("first")).alias("later")).alias("hit"))
+    hits = hits.groupBy("_id").agg(F.collect_set("hit").alias("hits")).withColumn("wide", F.filter("hits", lambda c: c["later"] & (c["n"] > 2)))
+    inside = lambda x: F.exists("wide", lambda c: (c["start"] <= x["start"]) & (x["start"] + 2 <= c["start"] + c["n"]))
+    hits = hits.select("_id", F.filter("hits", lambda x: (x["n"] > 2) | ~inside(x)).alias("hits"))
+    body = F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.n")), "\n")
+    again = rows.join(hits, "_id").select("_id", F.split("_text", "\n", -1).alias("_lines"), F.explode("hits").alias("c")).select("_id", "c.start", "c.n", "c.h", body.alias("body"))
     again = written(again, "repeated-chunks")
     first = again.groupBy("h", "body").agg(F.min(F.struct("_id", "start")).alias("first"))
     # compared byte for byte: the body is a key of the grouping and of this join
     return again.join(first, ["h", "body"]).filter(F.struct("_id", "start") > F.col("first")).select("_id", "start", "n")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 2) -> DataFrame:
-    """The rows of docs without repeated chunks in their text."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 1) -> DataFrame:
+    """The rows of docs without runs of lines that occur earlier."""
     names = docs.columns
     cuts = repeated_chunks(docs, id_col, text, mean_lines, window).distinct().groupBy("_id").agg(F.collect_list(F.struct("start", "n")).alias("_cuts"))
     out = docs.join(cuts, docs[id_col] == cuts["_id"], "left")
