@@ -290,6 +290,21 @@ def test_layouts_by_schema_hash(spark):
     assert got[5:] == [(None, None)] * 3
 
 
+def test_tables_select_layouts_by_hash(spark, monkeypatch):
+    d = spark.sql("select 1 as id, 'p' as prompt, 'r' as response, array(named_struct('from', 'gpt', 'value', 'v', 'id', 3)) as conversations")
+    told = lambda x: [tuple(t) for t in chat_format.turns_of_table(x).first().turns]
+    assert told(d) == [("assistant", "v")]
+    assert told(d.drop("conversations")) == [("user", "p"), ("assistant", "r")]
+    with pytest.raises(ValueError):
+        chat_format.turns_of_table(d.select("id", "prompt"))
+    own = chat_format.fingerprint
+    calls = []
+    monkeypatch.setattr(chat_format, "fingerprint", lambda p: own([*p, str(calls.append(p) or len(calls))]))
+    with pytest.raises(ValueError):  # hashes that never agree select nothing
+        told(d)
+    assert list(chat_format.LAYOUTS[7].paths) in [sorted(p) for p in calls]
+
+
 def test_pitman_yor(docs):
     got = by_id(pitman_yor.lm_scores(docs))
     tok = lambda t: [w.lower() for w in (t or "").encode().split()] + [None]

@@ -61,7 +61,7 @@ def fields(schema: T.DataType, at: str = "") -> list[str]:
 
 def fingerprint(paths) -> Column:
     """Hash of the sorted field paths; `paths` is a list of names or an array column."""
-    column = paths if isinstance(paths, Column) else F.array(*[F.lit(p) for p in paths])
+    column = paths if isinstance(paths, Column) else F.array(*[F.lit(p) for p in paths]).cast("array<string>")
     return F.xxhash64(F.array_join(F.array_sort(column), "\n"))
 
 
@@ -103,10 +103,15 @@ def turns_of_json(df: DataFrame, record: str, layouts=LAYOUTS) -> DataFrame:
 def turns_of_table(df: DataFrame, layouts=LAYOUTS) -> DataFrame:
     """Appends `turns` to a table whose columns follow one of the layouts, chosen by the hash of its nested field paths.
 
-    Columns outside every layout are ignored; the layout with most fields wins. ValueError if there is none.
+    Of the fields those of each layout are hashed; a hash that is a layout's own selects it, and of several the layout with
+    most fields. So columns outside every layout are ignored. ValueError if there is none.
     """
-    have = set(fields(df.schema))
-    fits = [y for y in layouts if set(y.paths) <= have]
+    have = fields(df.schema)
+    one = df.sparkSession.sql("select 1")  # a row without a job
+    known = one.select(*[fingerprint(y.paths).alias(y.name) for y in layouts]).first().asDict()
+    mine = one.select(*[fingerprint([p for p in have if p in y.paths]).alias(y.name) for y in layouts]).first()
+    named = {known[y.name]: y for y in layouts}
+    fits = [named[h] for h in mine if h in named]
     if not fits:
         raise ValueError(f"no layout for the fields {sorted(have)}")
     y = max(fits, key=lambda y: len(y.paths))
