@@ -290,6 +290,21 @@ def test_layouts_by_schema_hash(spark):
     assert got[5:] == [(None, None)] * 3
 
 
+def test_extra_fields_and_mixed_messages(spark):
+    js = [
+        '{"id":7,"prompt":"p","response":"r","meta":{"a":1}}',
+        '{"messages":[{"role":"user","content":"h","name":"n"},{"role":"gpt","content":"g"}],"source":"s"}',
+        '{"messages":[{"role":"user"},{"role":"gpt","content":"g","name":"n"}]}',
+        '{"messages":[{"role":"user","content":"h"},{"from":"gpt","value":"g"}]}',
+        '{"prompt":"p","response":"r","system":"s","tags":[1,2]}',
+    ]
+    got = [(r.layout, None if r.turns is None else [tuple(t) for t in r.turns]) for r in chat_format.turns_of_json(spark.createDataFrame(list(enumerate(js)), "i int, j string"), "j").orderBy("i").collect()]
+    assert got[0] == ("prompt", [("user", "p"), ("assistant", "r")])
+    assert got[1] == ("messages", [("user", "h"), ("assistant", "g")]) and got[2] == ("messages", [("user", ""), ("assistant", "g")])
+    assert got[3] == (None, None)
+    assert got[4] == ("prompt_system", [("system", "s"), ("user", "p"), ("assistant", "r")])
+
+
 def test_tables_select_layouts_by_hash(spark, monkeypatch):
     d = spark.sql("select 1 as id, 'p' as prompt, 'r' as response, array(named_struct('from', 'gpt', 'value', 'v', 'id', 3)) as conversations")
     told = lambda x: [tuple(t) for t in chat_format.turns_of_table(x).first().turns]

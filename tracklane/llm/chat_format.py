@@ -4,7 +4,8 @@ A template then marks turns and escapes control strings inside texts reversibly.
 
 Defined cases: a null text is an empty text, a null role an empty role, rows of equal turn number are ordered by role and
 text, repeated rows stay, unknown layouts give null turns (never an error), empty tables give empty results, and extra
-columns take part in the path hash only through `paths`, the fields that a layout is known by.
+fields take part in the path hash only through `paths`, the fields that a layout is known by. A message may lack one of its
+two fields (empty then); a list with a message that has neither is an unknown layout.
 """
 
 from __future__ import annotations
@@ -66,12 +67,11 @@ def fingerprint(paths) -> Column:
 
 
 def json_paths(variant: Column) -> Column:
-    """Field paths of JSON records, row by row: object keys at two levels, array items as `[]`."""
+    """Field paths of JSON records, row by row: object keys at two levels, those of all array items as `[]`."""
     record = F.try_variant_get(variant, "$", "map<string,variant>")
-    inner = lambda k, v: F.transform(
-        F.coalesce(F.map_keys(F.try_variant_get(F.get(F.try_variant_get(v, "$", "array<variant>"), F.lit(0)), "$", "map<string,variant>")), F.array().cast("array<string>")),
-        lambda x: F.concat(k, F.lit("[]."), x),
-    )
+    keys = lambda x: F.coalesce(F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")), F.array().cast("array<string>"))
+    items = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    inner = lambda k, v: F.transform(F.array_distinct(F.flatten(F.transform(items(v), keys))), lambda x: F.concat(k, F.lit("[]."), x))
     top = F.map_entries(record)
     return F.flatten(F.transform(top, lambda e: F.concat(F.array(e["key"]), inner(e["key"], e["value"]))))
 
@@ -86,18 +86,22 @@ def _role(c: Column) -> Column:
 def turns_of_json(df: DataFrame, record: str, layouts=LAYOUTS) -> DataFrame:
     """Appends `layout` and `turns` to rows with one JSON record each. Broken JSON and unknown layouts: null in both."""
     v = F.try_parse_json(F.col(record))
-    df = df.withColumn("_v", v).withColumn("_fp", fingerprint(json_paths(F.col("_v"))))
+    df = df.withColumn("_v", v).withColumn("_paths", json_paths(F.col("_v")))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     get = lambda x, path: F.try_variant_get(x, f"$.{path}", "string")
     message = lambda r, t: lambda x: F.struct(_role(get(x, r)).alias("role"), F.coalesce(get(x, t), F.lit("")).alias("text"))
-    for y in layouts:
-        hit = F.col("_fp") == fingerprint(y.paths)
+    # of several layouts the one with most fields, as it comes last; of equals the first
+    for y in sorted(reversed(layouts), key=lambda y: len(y.paths)):
+        hit = fingerprint(F.array_intersect("_paths", F.array(*[F.lit(p) for p in y.paths]))) == fingerprint(y.paths)
         if y.items:
-            own = F.transform(F.try_variant_get(F.col("_v"), f"$.{y.items[0]}", "array<variant>"), message(*y.items[1:]))
+            listed = F.try_variant_get(F.col("_v"), f"$.{y.items[0]}", "array<variant>")
+            own = F.transform(listed, message(*y.items[1:]))
+            has = lambda x, y=y: F.arrays_overlap(F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")), F.array(*[F.lit(p) for p in y.items[1:]]))
+            hit = hit & F.forall(listed, lambda x: F.coalesce(has(x), F.lit(False)))
         else:
             own = F.filter(F.array(*[F.struct(F.lit(r).alias("role"), get(F.col("_v"), p).alias("text")) for r, p in y.single]), lambda x: x["text"].isNotNull())
         name, turns = F.when(hit, F.lit(y.name)).otherwise(name), F.when(hit, own).otherwise(turns)
-    return df.withColumns({"layout": name, "turns": turns}).drop("_v", "_fp")
+    return df.withColumns({"layout": name, "turns": turns}).drop("_v", "_paths")
 
 
 def turns_of_table(df: DataFrame, layouts=LAYOUTS) -> DataFrame:
