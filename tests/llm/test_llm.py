@@ -112,6 +112,13 @@ def test_simhash(docs, spark):
     assert simhash_dedup.simhash_dedup(docs.limit(0)).count() == 0
 
 
+def test_dedup_of_null_ids_and_repeated_rows(spark):
+    a, b, c = (" ".join(words(50)) for _ in range(3))
+    d = spark.createDataFrame([(None, a), (3, b), (3, b), (2, c), (4, b), (3, c), (None, b)], "doc_id long, text string").repartition(2)
+    for dedup in (simhash_dedup.simhash_dedup, near_dedup.near_dedup):
+        assert sorted((str(x.doc_id), x.text) for x in dedup(d).collect()) == sorted([("None", a), ("3", b), ("2", c)])
+
+
 def test_near_dedup_against_all_pairs(spark):
     """Near copies of all sizes with 0 to 25 % of words changed around 0.8, passages in common, copies and blanks."""
     import corpus_pipeline

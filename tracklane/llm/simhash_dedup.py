@@ -140,6 +140,10 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
-    """Rows whose id is the smallest of its component; all columns stay."""
-    heads = simhash_components(docs, id_col, text, radius).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_head")).distinct()
-    return docs.join(heads, F.col(id_col) == F.col("_head"), "left_semi")
+    """One row of each component, that of the smallest id (null ids last); all columns stay."""
+    names = docs.columns
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    of_row = simhash_components(docs, "_row", text, radius).select("_row", "component_id")
+    order = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col("_row"))
+    heads = docs.select("_row", id_col).join(of_row, "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_head"))
+    return docs.join(heads, F.col("_row") == F.col("_head"), "left_semi").select(*[F.col(f"`{c}`") for c in names])
