@@ -253,12 +253,23 @@ def test_bpe_equals_tiktoken(docs):
     assert sorted(table.keys) == sorted(ranks) and all(table.find(k) == i for k, i in list(ranks.items())[:500]) and table.find(b"\xff no such") == -1
     real = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = by_id(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    assert got == by_id(bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True))
+    assert bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN, decoded=True).count() == 0
     for i, t in enumerate(TEXTS):
         ids = np.frombuffer(got[i * 37].token_ids, "<u4").tolist()
         assert ids == real.encode_ordinary(t or "") and bytes(got[i * 37].decoded).decode() == (t or "")
     coder = bpe.Encoder(table, public_tokenizers.PATTERN)
     for t in ("z" * 3000, "aéñ語😀" * 50, "  \n\n\t x", "abc" * 500 + "!?" * 300):
-        assert coder.encode(t).tolist() == real.encode_ordinary(t)
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == real.encode_ordinary(t)
+
+
+def test_bpe_memory_is_bounded_and_keeps_answers(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 8)
+    asked = []
+    memory = bpe.Remembered(lambda k: asked.append(k) or -k)
+    for k in [*range(30), 29, 25, 3]:
+        assert memory[k] == -k and len(memory) <= 8 and len(memory.old) <= 8
+    assert asked == [*range(30), 3]
 
 
 def test_quality_measures(docs):

@@ -66,9 +66,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    out = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    out = bpe.decode(out.select("doc_id", "n_tokens", "token_ids"), path)
+    out = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True)
     return out.select("doc_id", "n_tokens", *bpe.digests(out))
 
 
