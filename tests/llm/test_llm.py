@@ -66,6 +66,25 @@ def test_substring_dedup(docs):
         assert (r.n_words, r.n_removed, r.kept.encode()) == (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g))
 
 
+def test_windows_are_filed_once_in_pieces_of_any_size(monkeypatch):
+    texts = [*TEXTS, "ab" * 3000]
+    whole = suffix_dedup.Places(texts)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 150)
+    for p in (whole, suffix_dedup.Places(texts)):
+        start = np.concatenate([np.arange(a, b + 1) for a, b in zip(p.low, p.high)])
+        want = np.concatenate([np.arange(a, b - 399) for a, b in zip(p.base, p.base[1:]) if b - a >= 400])
+        assert (start == want).all() and (p.x >= p.high).all() and (p.x < p.low + 100).all()
+
+
+def test_shared_passages(spark):
+    own = lambda n: " ".join(f"{R.random():.9f}" for _ in range(n))
+    passage = own(26)  # 285 bytes or more
+    d = spark.createDataFrame([(1, f"{own(60)} {passage} {own(50)}"), (2, f"{own(45)} {passage} {own(80)}"), (3, own(90)), (None, None)], "doc_id long, text string")
+    got = by_id(suffix_dedup.suffix_dedup(d))
+    assert got[1].n_shared == got[2].n_shared >= 150 and got[1].n_removed == 0 and got[3].n_shared == got[None].n_shared == 0
+    assert suffix_dedup.suffix_dedup(d.limit(0)).count() == 0
+
+
 def test_suffix_dedup(docs):
     got = by_id(suffix_dedup.suffix_dedup(docs, per_block=200))
     raw = [(t or "").encode() for t in TEXTS]
