@@ -421,3 +421,48 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
             assert out.columns == docs.columns
         docs = out
     assert hashlib.sha256(b"").hexdigest() and "token_ids" in docs.columns
+
+
+CLASHING = "row r id text n h start cuts body q_words q_n own words _v _paths block key fp hits first c".split()
+
+
+def test_shared_and_null_ids_and_clashing_columns(spark):
+    """Rows of one id are judged apart, null ids too, and columns named like the operators' own come back unchanged."""
+    run = "\n".join(" ".join(words(12)) for _ in range(6))
+    lone = ["\n".join(" ".join(words(9)) for _ in range(8)) for _ in range(4)]
+    item = " ".join(words(40))
+    rows = [(1, run), (2, "mine\n" + run), (2, lone[0]), (None, lone[1]), (None, run + "\nmore"), (None, None), (3, f"{lone[2]} {item}"), (3, lone[3]), (5, "\\n"), (5, "")]
+    extra = [c for c in CLASHING if c != "text"]
+    d = spark.createDataFrame([(i, t, *[f"{c}{k}" for c in extra]) for k, (i, t) in enumerate(rows)], f"doc_id long, text string, {', '.join(f'{c} string' for c in extra)}").repartition(2)
+    told = lambda df: {r["n"]: (r["doc_id"], r["text"]) for r in df.collect() if [r[c] for c in extra] == [f"{c}{r['n'][1:]}" for c in extra]}
+    whole = {f"n{k}": x for k, x in enumerate(rows)}
+    got = line_dedup.line_dedup(d)
+    assert got.columns == d.columns and told(got) == whole | {"n1": (2, "mine"), "n4": (None, "more")}
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.decontaminate(d, bench)
+    assert got.columns == d.columns and told(got) == {k: v for k, v in whole.items() if k != "n6"}
+    for dedup in (simhash_dedup.simhash_dedup, near_dedup.near_dedup):
+        got = dedup(d)
+        assert got.columns == d.columns and set(whole) - set(told(got)) <= {"n1", "n4", "n5", "n8", "n9"} and {"n2", "n3", "n6", "n7"} <= set(told(got))
+    got = quality_rules.quality_filter(d, rules=(quality_rules.Rule("n_words", low=20),))
+    assert got.columns == d.columns and told(got) == {k: (i, t) for k, (i, t) in whole.items() if len((t or "").split()) >= 20}
+    assert set(quality_rules.measures(d).columns) >= set(d.columns) - {"q_n"}
+    js = chat_format.turns_of_json(d.withColumn("text", F.lit('{"prompt":"p","response":"r"}')), "text")
+    assert js.columns == [*d.columns, "layout", "turns"] and js.first().layout == "prompt"
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    assert bpe.encode(d, path, public_tokenizers.PATTERN).columns == [*d.columns, "n_tokens", "token_ids"]
+    for plain in (anchor_dedup.substring_dedup, suffix_dedup.suffix_dedup, simhash_dedup.simhash_components, pitman_yor.lm_scores):
+        assert sorted(str(r.doc_id) for r in plain(d).collect()) == sorted(str(i) for i, _ in rows)
+
+
+def test_empty_tables(docs, spark):
+    none = docs.limit(0)
+    bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = [
+        anchor_dedup.substring_dedup(none), suffix_dedup.suffix_dedup(none), simhash_dedup.simhash_components(none), simhash_dedup.simhash_dedup(none), near_dedup.near_dedup(none),
+        line_dedup.line_dedup(none), decontaminate.contaminated(none, bench), decontaminate.decontaminate(none, bench), quality_rules.quality_filter(none), pitman_yor.lm_scores(none),
+        bpe.decode(bpe.encode(none, path, public_tokenizers.PATTERN), path), html_crf.main_text(none.select("doc_id", F.col("text").alias("html"))),
+        chat_format.turns_of_json(none, "text"), chat_format.chat_format(chat_format.gather(none, "doc_id", "id", "id", "text")),
+    ]
+    assert [x.count() for x in out] == [0] * len(out)

@@ -85,8 +85,9 @@ def _role(c: Column) -> Column:
 
 def turns_of_json(df: DataFrame, record: str, layouts=LAYOUTS) -> DataFrame:
     """Appends `layout` and `turns` to rows with one JSON record each. Broken JSON and unknown layouts: null in both."""
-    v = F.try_parse_json(F.col(record))
-    df = df.withColumn("_v", v).withColumn("_paths", json_paths(F.col("_v")))
+    names = df.columns
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"), F.try_parse_json(F.col(record)).alias("_v"))
+    df = df.withColumn("_paths", json_paths(F.col("_v")))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     get = lambda x, path: F.try_variant_get(x, f"$.{path}", "string")
     message = lambda r, t: lambda x: F.struct(_role(get(x, r)).alias("role"), F.coalesce(get(x, t), F.lit("")).alias("text"))
@@ -101,7 +102,8 @@ def turns_of_json(df: DataFrame, record: str, layouts=LAYOUTS) -> DataFrame:
         else:
             own = F.filter(F.array(*[F.struct(F.lit(r).alias("role"), get(F.col("_v"), p).alias("text")) for r, p in y.single]), lambda x: x["text"].isNotNull())
         name, turns = F.when(hit, F.lit(y.name)).otherwise(name), F.when(hit, own).otherwise(turns)
-    return df.withColumns({"layout": name, "turns": turns}).drop("_v", "_paths")
+    own = [F.col("r")[c].alias(c) for c in names if c not in ("layout", "turns")]
+    return df.select(*own, name.alias("layout"), turns.alias("turns"))
 
 
 def turns_of_table(df: DataFrame, layouts=LAYOUTS) -> DataFrame:

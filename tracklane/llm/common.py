@@ -55,6 +55,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(row, r): r holds a row's own columns, whatever their names, and row is a private key, fixed by writing it."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")), name)
+
+
+def of_row(name: str):
+    """A column of the struct r of numbered()."""
+    return F.col("r")[name]
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of written() that a later one has replaced."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -23,7 +23,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import native_words
+from tracklane.llm.common import native_words, numbered, of_row
 
 WIDTH = 5
 
@@ -106,7 +106,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.early")).cast("bigint").alias("start"), F.col("b.n").cast("bigint").alias("n_words"), (-F.col("b.closeness")).cast("bigint").alias("hamming"), F.col("b.similarity").alias("similarity"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Documents without a match; rows with a null id stay. All columns stay."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows without a match, each judged by its own text, whatever its id. All columns stay, whatever their names."""
+    names = docs.columns
+    docs = numbered(docs, "decontamination-rows")
+    bad = contaminated(docs.select("row", of_row(text).alias("text")), benchmark, "row", "text", **options).select("row").distinct()
+    return docs.join(bad, "row", "left_anti").select(*[of_row(c).alias(c) for c in names])

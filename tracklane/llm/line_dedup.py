@@ -9,9 +9,10 @@ Only hashes of chunks and seeds are counted over the corpus; those that repeat a
 occurrence (smallest id, then line) stays.
 
 Defined cases: null texts stay null, a text of one line stays as it is; a single repeated line is never removed by itself,
-blank lines are lines; rows that share an id are judged alike and null ids are left alone; an empty table gives an empty
-result; all columns of the input stay, only the text changes. A hot chunk is pre-aggregated before each shuffle; joins may
-be split by AQE.
+blank lines are lines; each row is a document, whatever its id, and rows of one id follow each other; null ids come last
+and are told apart by a private row key; an empty table gives an empty
+result; all columns of the input stay, whatever their names, and only the text changes; a text of any length is one row. A
+hot chunk is pre-aggregated before each shuffle; joins may be split by AQE.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import written
+from tracklane.llm.common import numbered, of_row, written
 
 
 def chunk_rows(rows: DataFrame, text: str, mean_lines: int, window: int) -> DataFrame:
@@ -35,27 +36,29 @@ def chunk_rows(rows: DataFrame, text: str, mean_lines: int, window: int) -> Data
     return rows.select(*keep, F.explode_outer(F.concat(chunks, seeds)).alias("c")).select(*keep, "c.*")
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 1) -> DataFrame:
-    """(id, start, n): chunks and seeds to remove, those whose bytes occur earlier."""
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    cut = chunk_rows(rows.filter("_text is not null"), "_text", mean_lines, window)
-    often = cut.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("_id", "start")).alias("first")).filter("times > 1").select("h", "first")
-    hits = cut.join(often, "h").select("_id", F.struct("start", "n", "h", (F.struct("_id", "start") > F.col("first")).alias("later")).alias("hit"))
-    hits = hits.groupBy("_id").agg(F.collect_set("hit").alias("hits")).withColumn("wide", F.filter("hits", lambda c: c["later"] & (c["n"] > 2)))
+def repeated_chunks(rows: DataFrame, mean_lines: int = 3, window: int = 1) -> DataFrame:
+    """(row, start, n): chunks and seeds to remove of the documents (row, id, text), those whose bytes occur earlier."""
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
+    cut = chunk_rows(rows.filter("text is not null"), "text", mean_lines, window)
+    often = cut.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1").select("h", "first")
+    hits = cut.join(often, "h").select("row", F.struct("start", "n", "h", (place > F.col("first")).alias("later")).alias("hit"))
+    hits = hits.groupBy("row").agg(F.collect_set("hit").alias("hits")).withColumn("wide", F.filter("hits", lambda c: c["later"] & (c["n"] > 2)))
     inside = lambda x: F.exists("wide", lambda c: (c["start"] <= x["start"]) & (x["start"] + 2 <= c["start"] + c["n"]))
-    hits = hits.select("_id", F.filter("hits", lambda x: (x["n"] > 2) | ~inside(x)).alias("hits"))
-    body = F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.n")), "\n")
-    again = rows.join(hits, "_id").select("_id", F.split("_text", "\n", -1).alias("_lines"), F.explode("hits").alias("c")).select("_id", "c.start", "c.n", "c.h", body.alias("body"))
-    again = written(again, "repeated-chunks")
-    first = again.groupBy("h", "body").agg(F.min(F.struct("_id", "start")).alias("first"))
+    hits = hits.select("row", F.filter("hits", lambda x: (x["n"] > 2) | ~inside(x)).alias("hits"))
+    body = F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.n")), "\n")
+    again = rows.join(hits, "row").select("row", "id", F.split("text", "\n", -1).alias("lines"), F.explode("hits").alias("c"))
+    again = written(again.select("row", "id", "c.start", "c.n", "c.h", body.alias("body")), "repeated-chunks")
+    first = again.groupBy("h", "body").agg(F.min(place).alias("first"))
     # compared byte for byte: the body is a key of the grouping and of this join
-    return again.join(first, ["h", "body"]).filter(F.struct("_id", "start") > F.col("first")).select("_id", "start", "n")
+    return again.join(first, ["h", "body"]).filter(place > F.col("first")).select("row", "start", "n")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 1) -> DataFrame:
     """The rows of docs without runs of lines that occur earlier."""
     names = docs.columns
-    cuts = repeated_chunks(docs, id_col, text, mean_lines, window).distinct().groupBy("_id").agg(F.collect_list(F.struct("start", "n")).alias("_cuts"))
-    out = docs.join(cuts, docs[id_col] == cuts["_id"], "left")
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.exists("_cuts", lambda c: (i >= c["start"]) & (i < c["start"] + c["n"])))
-    return out.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*[F.col(f"`{c}`") for c in names])
+    docs = numbered(docs, "line-dedup-rows")
+    rows = docs.select("row", of_row(id_col).alias("id"), of_row(text).alias("text"))
+    cuts = repeated_chunks(rows, mean_lines, window).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    kept = F.filter(F.split(of_row(text), "\n", -1), lambda x, i: ~F.exists("cuts", lambda c: (i >= c["start"]) & (i < c["start"] + c["n"])))
+    left = F.when(F.col("cuts").isNull(), of_row(text)).otherwise(F.array_join(kept, "\n"))
+    return docs.join(cuts, "row", "left").select(*[(left if c == text else of_row(c)).alias(c) for c in names])

@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one Spark projection, without user functions.
 
 Null and empty texts have no words and fail the base rule. Ties and repeated rows: each row is judged alone. All columns
-of the input stay; measures are appended under the prefix given, so clashing input names are kept apart.
+of the input stay; measures are appended under the prefix given, and replace an input column of the same name. The filter
+returns the input's own columns, whatever their names. An empty table gives an empty result; a very long text is one row.
 """
 
 from __future__ import annotations
@@ -50,9 +51,10 @@ RULES = (
 
 def measures(df: DataFrame, text: str = "text", prefix: str = "q_") -> DataFrame:
     """Appends the base measures and ratios. One narrow projection chain; nothing shuffles and no Python runs."""
-    p = prefix
-    body = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn(f"{p}words", native_words(F.col(text))).withColumn(f"{p}n", F.size(f"{p}words"))
+    p, names = prefix, df.columns
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"), F.col(f"`{text}`").alias("body"))
+    body = F.coalesce(F.col("body"), F.lit(""))
+    df = df.withColumn(f"{p}words", native_words(F.col("body"))).withColumn(f"{p}n", F.size(f"{p}words"))
     df = df.withColumn(f"{p}wh", F.transform(f"{p}words", lambda w: F.xxhash64(w)))
     at = lambda i: F.xxhash64(*[F.get(F.col(f"{p}wh"), i + j) for j in range(WINDOW)])
     none = F.array().cast("array<bigint>")
@@ -87,12 +89,11 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "q_") -> DataFrame
         "stop_ratio": F.col(f"{p}n_stop") / n,
         "dup_line_ratio": F.when(F.col(f"{p}n_lines") > 0, F.col(f"{p}n_dup_lines") / F.col(f"{p}n_lines")),
     }
-    scratch = [f"{p}{x}" for x in ("words", "n", "wh", "h", "s", "p", "l", "n_shouts", "n_stop", "n_lines")]
     base = [f"{p}{x}" for x in ("n_repeat_words", "n_words", "word_chars", "n_symbols", "n_dup_lines")]
-    kept = [f"`{c}`" for c in df.columns if c not in scratch and c not in base]
+    measured = {*base, *[f"{p}{k}" for k in ratios]}
     # a generated row: filters on any measure stay above it, or the optimizer would copy the chain below into them
     one = F.inline(F.array(F.struct(*[F.col(c) for c in base], *[c.alias(f"{p}{k}") for k, c in ratios.items()])))
-    return df.select(*kept, one)
+    return df.select("r", one).select(*[F.col("r")[c].alias(c) for c in names if c not in measured], *sorted(measured))
 
 
 def verdict(rules=RULES, prefix: str = "q_") -> Column:
@@ -109,5 +110,5 @@ def verdict(rules=RULES, prefix: str = "q_") -> Column:
 def quality_filter(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """Rows that pass every rule, with their own columns only."""
     names = docs.columns
-    judged = measures(docs, text, "_q_")
-    return judged.filter(verdict(rules, "_q_")).select(*[F.col(f"`{c}`") for c in names])
+    judged = measures(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), F.col(f"`{text}`").alias("text")), "text")
+    return judged.filter(verdict(rules)).select(*[F.col("own")[c].alias(c) for c in names])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import connected_components, shuffle_partitions, written
+from tracklane.llm.common import connected_components, numbered, of_row, shuffle_partitions, written
 
 #: Shingles whose bits are summed at once; bounds the scratch memory of very long texts.
 STEP = 1 << 16
@@ -142,8 +142,8 @@ def hex_fingerprint(fp: Column) -> Column:
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
     """One row of each component, that of the smallest id (null ids last); all columns stay."""
     names = docs.columns
-    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
-    of_row = simhash_components(docs, "_row", text, radius).select("_row", "component_id")
-    order = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col("_row"))
-    heads = docs.select("_row", id_col).join(of_row, "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_head"))
-    return docs.join(heads, F.col("_row") == F.col("_head"), "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    docs = numbered(docs, "simhash-rows")
+    groups = simhash_components(docs.select("row", of_row(text).alias("text")), "row", "text", radius).select("row", "component_id")
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    heads = docs.select("row", of_row(id_col).alias("id")).join(groups, "row").groupBy("component_id").agg(F.min_by("row", order).alias("row"))
+    return docs.join(heads, "row", "left_semi").select(*[of_row(c).alias(c) for c in names])
