@@ -66,6 +66,22 @@ def test_substring_dedup(docs):
         assert (r.n_words, r.n_removed, r.kept.encode()) == (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g))
 
 
+def test_windows_come_from_repeated_anchors_only():
+    """Without a repeated anchor no window is looked at; with them all, every repeated window of a block is found."""
+    none = anchor_dedup.Candidates(TEXTS, np.zeros(0, np.uint64))
+    assert not len(none.start)
+    words = anchor_dedup.Batch(TEXTS)
+    h, n = np.unique(anchor_dedup._anchors(words, words.word_hashes())[1], return_counts=True)
+    some = anchor_dedup.Candidates(TEXTS, h[n > 1])
+    seen, later = set(), []
+    for i in range(len(words.n_words)):
+        for k in range(words.first[i], words.first[i + 1] - 19):
+            key = tuple(words.data[a:b] for a, b in zip(words.start[k : k + 20], words.end[k : k + 20]))
+            later += [k] if key in seen else []
+            seen.add(key)
+    assert some.start[~some.first].tolist() == later and len(some.start) < words.n_words.sum()
+
+
 def test_windows_are_filed_once_in_pieces_of_any_size(monkeypatch):
     texts = [*TEXTS, "ab" * 3000]
     whole = suffix_dedup.Places(texts)

@@ -2,12 +2,15 @@
 
 Positions of a document modulo the period 13 that lie in {0, 1, 3, 9} carry an anchor, the hash of 8 words. The set is a
 difference cover: for any two positions some shift below 13 brings both into it. So two equal runs of 20 words, wherever
-they start, share an aligned anchor (12 + 8 = 20). Anchors that repeat in the corpus are extended to the windows of 20
-words around them, and only these windows are compared: each is removed unless it is the first of its kind.
-
-Windows are compared by two independent 64-bit hashes of their words. Order: by id (null ids first, rows of one id by
-text), then by place; windows are judged on the input. Null, empty and short texts lose nothing. Other columns are
-ignored. Blocks of documents and buckets of hashes bound what a task holds; see exchange.py for hot passages.
+they start, share an aligned anchor (12 + 8 = 20). Only anchors that occur more than once in the corpus are extended to
+the windows of 20 words around them, inside a block as between blocks; no window without such an anchor is looked at.
+Each of these windows is removed unless it is the first of its kind.
+
+Inside a block the windows of one hash are compared word by word; between blocks by two independent 64-bit hashes of
+their words, both of which must agree. Order: by id (null ids first, rows of one id by text), then by place; windows are
+judged on the input. Null, empty and short texts lose nothing; an empty table gives an empty result; a text of any length
+is one row; other columns are ignored. Blocks of documents and buckets of hashes bound what a task holds; see exchange.py
+for hot passages.
 """
 
 from __future__ import annotations
@@ -40,10 +43,54 @@ def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
-def _windows(words: Batch) -> np.ndarray:
-    """Places where a window of WIDTH words of one text starts."""
-    left = words.first[words.doc + 1] - np.arange(len(words.doc))
-    return np.flatnonzero(left >= WIDTH)
+def _around(words: Batch, at: np.ndarray) -> np.ndarray:
+    """Places where a window of WIDTH words of one text starts that holds one of the anchors at these places."""
+    doc = words.doc[at]
+    low, high = np.maximum(words.first[doc], at - (WIDTH - ANCHOR)), np.minimum(at, words.first[doc + 1] - WIDTH)
+    fits = low <= high
+    return np.flatnonzero(covered(len(words.doc), low[fits], high[fits] + 1)) if len(words.doc) else np.zeros(0, np.int64)
+
+
+class Candidates:
+    """Of a block: the windows around repeated anchors, their two hashes, and which repeat an earlier one of the block."""
+
+    def __init__(self, texts: list, repeated: np.ndarray):
+        self.words = words = Batch(texts)
+        hashes = words.word_hashes()
+        at, h = _anchors(words, hashes)
+        self.start = start = _around(words, at[_member(h, repeated)])
+        self.one, self.two = window_hashes(hashes, WIDTH)[start], window_hashes(hashes, WIDTH, SALT)[start]
+        order = np.lexsort((start, self.two, self.one))
+        self.first = np.ones(len(start), dtype=bool)
+        i, j = order[1:], order[:-1]
+        same = (self.one[i] == self.one[j]) & (self.two[i] == self.two[j])
+        i, j = i[same], j[same]
+        self.first[i[self._equal(start[i], start[j])]] = False
+
+    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Extends pairs of windows word by word, by the bytes: words of these windows get a number for each spelling."""
+        w = self.words
+        number, at = np.zeros(len(w.doc), dtype=np.int64), np.concatenate([a, b])
+        at = np.flatnonzero(covered(len(w.doc), at, at + WIDTH)) if len(at) else at
+        spelling: dict[bytes, int] = {}
+        number[at] = [spelling.setdefault(w.data[x:y], len(spelling)) for x, y in zip(w.start[at].tolist(), w.end[at].tolist())]
+        same = np.ones(len(a), dtype=bool)
+        for k in range(WIDTH):
+            same &= number[a + k] == number[b + k]
+        return same
+
+    def among(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Which windows have both hashes in a row of the two arrays."""
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        hit, at = np.zeros(len(self.one), dtype=bool), np.searchsorted(one, self.one)
+        while True:  # once, but for different windows of one hash
+            open_ = np.flatnonzero(~hit & (at < len(one)))
+            open_ = open_[one[at[open_]] == self.one[open_]]
+            if not len(open_):
+                return hit
+            hit[open_] = two[at[open_]] == self.two[open_]
+            at[open_] += 1
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per_block: int = 512) -> DataFrame:
@@ -73,17 +120,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return pa.table({"block": table["block"], "hashes": pa.array([p[hit[a:b]].tobytes() for p, a, b in zip(parts, n, n[1:])], pa.binary())})
 
     def windows(key, left, right):
-        words = Batch(texts_in_order(left)[1])
-        hashes = words.word_hashes()
-        at, h = _anchors(words, hashes)
-        at = at[_member(h, joined(right["hashes"].to_pylist(), "<u8"))]
-        doc = words.doc[at]
-        low, high = np.maximum(words.first[doc], at - (WIDTH - ANCHOR)), np.minimum(at, words.first[doc + 1] - WIDTH)
-        fits = low <= high
-        start = np.flatnonzero(covered(len(hashes), low[fits], high[fits] + 1)) if len(hashes) else np.zeros(0, np.int64)
-        one, two = window_hashes(hashes, WIDTH)[start], window_hashes(hashes, WIDTH, SALT)[start]
-        one, first = np.unique(one, return_index=True)
-        two = two[first]
+        c = Candidates(texts_in_order(left)[1], joined(right["hashes"].to_pylist(), "<u8"))
+        one, two = c.one[c.first], c.two[c.first]
+        order = np.argsort(one, kind="stable")
+        one, two = one[order], two[order]
         cuts = list(bucket_cuts(one, buckets))
         return pa.table({
             "bucket": pa.array([c for c, _, _ in cuts], pa.int32()),
@@ -100,17 +140,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         again = np.zeros(len(one), dtype=bool)
         again[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
         n = np.cumsum([0, *map(len, parts)])
-        return pa.table({"block": table["block"], "hashes": pa.array([p[again[a:b]].tobytes() for p, a, b in zip(parts, n, n[1:])], pa.binary())})
+        cut = lambda x: pa.array([x[a:b][again[a:b]].tobytes() for a, b in zip(n, n[1:])], pa.binary())
+        return pa.table({"block": table["block"], "one": cut(one), "two": cut(two)})
 
     def removed(key, left, right):
         ids, texts = texts_in_order(left)
-        words = Batch(texts)
-        start = _windows(words)
-        h = window_hashes(words.word_hashes(), WIDTH)[start]
-        again = _member(h, joined(right["hashes"].to_pylist(), "<u8"))
-        own = np.ones(len(h), dtype=bool)
-        own[np.unique(h, return_index=True)[1]] = False
-        start = start[again | own]
+        of = {k: [x for x in right[k].to_pylist() if x is not None] for k in ("hashes", "one", "two")}
+        c = Candidates(texts, joined(of["hashes"], "<u8"))
+        words = c.words
+        start = c.start[~c.first | c.among(joined(of["one"], "<u8"), joined(of["two"], "<u8"))]
         gone = covered(len(words.start), start, start + WIDTH) if len(words.start) else np.zeros(0, bool)
         lost, kept = [], []
         for i in range(len(ids)):
@@ -123,6 +161,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sent = rows.groupBy("block").applyInArrow(anchors, "bucket int, block bigint, hashes binary, twice binary")
     told = by_bucket(sent).applyInArrow(repeated, "block bigint, hashes binary")
     sent = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(windows, "bucket int, block bigint, one binary, two binary")
-    told = by_bucket(sent).applyInArrow(later, "block bigint, hashes binary")
-    out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(removed, "id bigint, n_words bigint, n_removed bigint, kept string")
+    earlier = by_bucket(sent).applyInArrow(later, "block bigint, one binary, two binary")
+    answers = told.unionByName(earlier, allowMissingColumns=True).select("block", "hashes", "one", "two")
+    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(removed, "id bigint, n_words bigint, n_removed bigint, kept string")
     return out.withColumnRenamed("id", id_col)
