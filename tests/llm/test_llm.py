@@ -388,19 +388,51 @@ def test_pitman_yor(docs):
     assert total[0] < total[1] < 0
 
 
+def test_gibbs_against_the_exact_distribution_of_tables():
+    """With a fixed weight f of a new table, c customers sit at t tables with a probability in proportion to S(c, t) f^t."""
+    kinds, copies, d, f = [2, 3, 9, 40, 200], 600, 0.6, 0.8
+    c = np.repeat(kinds, copies)
+    seats = pitman_yor.Seats.dealt(pitman_yor.mix64(np.arange(len(c), dtype=np.uint64)), c, np.ones(len(c), np.int64))
+    got = np.zeros(len(kinds))
+    for sweep in range(30):
+        for r in range(pitman_yor.ROUNDS):
+            n = pitman_yor.blocks(c, r)
+            dish = np.flatnonzero(n)
+            if len(dish):
+                seats.change(dish, n[dish], n[dish], d, np.full(len(dish), f), sweep, r)
+        assert (seats.customers() == c).all() and seats.size.min() > 0
+        got += seats.tables().reshape(-1, copies).mean(axis=1) / 15 if sweep >= 15 else 0
+    for k, n in enumerate(kinds):
+        s = np.array([0.0, 1.0])  # generalised Stirling numbers, scaled
+        for i in range(1, n):
+            s = np.append(s * (i - d * np.arange(len(s))), 0) + np.append(0, s)
+            s /= s.max()
+        weight = s * f ** np.arange(len(s))
+        want = (weight * np.arange(len(s))).sum() / weight.sum()
+        assert abs(got[k] - want) < 0.05 * want, (n, got[k], want)
+
+
 def test_pitman_yor_sums_to_one():
     """Over the vocabulary and the unknown word the predictive probability of a context is 1."""
-    rng = np.random.default_rng(3)
     c = np.array([1, 4, 7, 1, 2])
-    seats = pitman_yor.Seats(c, np.array([1, 2, 3, 1, 1]))
-    for _ in range(20):
-        seats.move(rng, 0.6, np.full(5, 0.8))
-        assert (np.bincount(seats.owner, seats.size) == c[c > 1]).all() and (seats.size > 0).all() and (seats.t <= c).all()
-    above = pitman_yor.Seats(seats.t, np.minimum(seats.t, 1))
-    m = pitman_yor.Model({0: (c.sum(), seats.t.sum()), -1: (above.c.sum(), above.t.sum())}, 5, 0.6, 0.5)
-    parent = m.word(np.append(above.c, 0), np.append(above.t, 0))
-    assert abs(parent.sum() - 1) < 1e-9
-    assert abs(m.pair(np.zeros(6, int), np.append(c, 0), np.append(seats.t, 0), parent).sum() - 1) < 1e-9
+    key = pitman_yor.mix64(np.arange(5, dtype=np.uint64))
+    seats, above = pitman_yor.Seats.dealt(key, c, np.ones(5, int)), pitman_yor.Seats.dealt(key, np.ones(5, int), np.ones(5, int))
+    for i in range(20):
+        pitman_yor.gibbs(seats, np.arange(5), above, 0.6, 0.5, np.full(5, 3.0), 0.3, lambda a, b: a / a.sum(), i)
+    t, c0, t0 = seats.tables(), above.customers(), above.tables()
+    m = pitman_yor.Model({0: (c.sum(), t.sum()), -1: (c0.sum(), t0.sum())}, 5, 0.6, 0.5)
+    parent = m.word(np.append(c0, 0), np.append(t0, 0))
+    assert abs(parent.sum() - 1) < 1e-9 and (c0 == t).all()
+    assert abs(m.pair(np.zeros(6, int), np.append(c, 0), np.append(t, 0), parent).sum() - 1) < 1e-9
+
+
+def test_scores_do_not_depend_on_partitions(docs, spark):
+    told = []
+    for n in (3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        told.append({r.doc_id: r.score for r in pitman_yor.lm_scores(docs.repartition(n)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert told[0].keys() == told[1].keys() and all(abs(told[0][k] - told[1][k]) < 1e-6 for k in told[0])
 
 
 def test_html_blocks_and_accuracy():
