@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -47,14 +49,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Where written() notes its tables while a caller asks for that, see noted().
+_NOTES: list[list[str]] = []
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Appends to paths the tables that written() makes in this block, so that their owner can delete them later."""
+    _NOTES.append(paths)
+    try:
+        yield
+    finally:
+        _NOTES.pop()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a Parquet table on shared storage, read back."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _NOTES:
+        _NOTES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """(row, r): r holds a row's own columns, whatever their names, and row is a private key, fixed by writing it."""
     return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")), name)
@@ -67,10 +90,8 @@ def of_row(name: str):
 
 def discard(df: DataFrame) -> None:
     """Deletes a table of written() that a later one has replaced."""
-    jvm = df.sparkSession.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        delete(df.sparkSession, path)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

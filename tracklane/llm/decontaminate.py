@@ -23,7 +23,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import native_words, numbered, of_row
+from tracklane.llm.common import native_words
 
 WIDTH = 5
 
@@ -109,6 +109,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows without a match, each judged by its own text, whatever its id. All columns stay, whatever their names."""
     names = docs.columns
-    docs = numbered(docs, "decontamination-rows")
-    bad = contaminated(docs.select("row", of_row(text).alias("text")), benchmark, "row", "text", **options).select("row").distinct()
-    return docs.join(bad, "row", "left_anti").select(*[of_row(c).alias(c) for c in names])
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"), F.col(f"`{text}`").alias("body"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("digest"))
+    # the verdict depends on the text alone, so rows of one text share it
+    bad = contaminated(docs.select("digest", F.col("body").alias("text")), benchmark, "digest", "text", **options).select("digest").distinct()
+    return docs.join(bad, "digest", "left_anti").select(*[F.col("r")[c].alias(c) for c in names])
