@@ -19,7 +19,8 @@ from tracklane.plans.registry import query
 from tracklane.sources.tables import ACT, EV, TRK, activity, events, read, tracking
 
 R = lambda c: F.round(c, 6)
-REPS = 20
+#: Replicates of permutation and bootstrap tests, of bootstrapped rates and maps, and of maps that are compared all with all.
+REPS, BOOTS, PAIRED = 500, 100, 25
 PICK = "('0x'||SUBSTR(MD5(CONCAT_WS('|',{key})),1,8))::BIGINT % {n}"
 
 
@@ -98,9 +99,9 @@ def d33(spark, d):
     return _waves(spark, d).groupBy("label", F.col("i").cast("long").alias("i")).agg(R(F.avg("v")).alias("m"), R(F.stddev_samp("v")).alias("sd"), R(sem).alias("sem"), F.round(F.avg("v") / sem, 4).alias("t"))
 
 
-@query("d34_fold_averages", f"WITH {ACT}, f AS (SELECT u, cond, tr%5 AS fold, AVG(fr) AS v FROM act WHERE ln%2=0 GROUP BY 1,2,3) SELECT u, cond, COUNT(*) AS folds, ROUND(AVG(v),6) AS v FROM f GROUP BY 1,2")
+@query("d34_fold_averages", f"WITH {ACT}, f AS (SELECT u, cond, tr%5 AS fold, AVG(fr) AS v FROM act GROUP BY 1,2,3) SELECT u, cond, COUNT(*) AS folds, ROUND(AVG(v),6) AS v FROM f GROUP BY 1,2")
 def d34(spark, d):
-    f = activity(spark, d).filter("ln % 2 = 0").groupBy("u", "cond", (F.col("tr") % 5).alias("fold")).agg(F.avg("fr").alias("v"))
+    f = activity(spark, d).groupBy("u", "cond", (F.col("tr") % 5).alias("fold")).agg(F.avg("fr").alias("v"))
     return f.groupBy("u", "cond").agg(F.count("*").alias("folds"), R(F.avg("v")).alias("v"))
 
 
@@ -199,12 +200,12 @@ def i4(spark, d):
 
 # balanced bootstrap: strata are outcome x parity of trials inside a condition
 BAL = f"""{TZ}, t0 AS (SELECT DISTINCT cond, st, tr FROM act WHERE st<>'P'), t1 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cond, st ORDER BY tr)-1 AS i, COUNT(*) OVER (PARTITION BY cond, st) AS n FROM t0), t2 AS (SELECT *, MIN(n) OVER (PARTITION BY cond) AS size FROM t1),
-dr AS (SELECT cond, st, rep, {PICK.format(key="'5',cond,st,rep,i", n="n")} AS i FROM t2, UNNEST(range(0,5)) AS q(rep) WHERE i<size), boot AS (SELECT d.cond, d.st, d.rep, t.tr FROM dr d JOIN t1 t ON d.cond=t.cond AND d.st=t.st AND d.i=t.i)"""
+dr AS (SELECT cond, st, rep, {PICK.format(key="'5',cond,st,rep,i", n="n")} AS i FROM t2, UNNEST(range(0,{BOOTS})) AS q(rep) WHERE i<size), boot AS (SELECT d.cond, d.st, d.rep, t.tr FROM dr d JOIN t1 t ON d.cond=t.cond AND d.st=t.st AND d.i=t.i)"""
 
 
 def _boot(spark, d):
     t = activity(spark, d).filter("st <> 'P'").select("cond", "st", "tr").distinct()
-    return B.balanced_draws(t, ["cond"], ["st"], "tr", 5, 5)
+    return B.balanced_draws(t, ["cond"], ["st"], "tr", BOOTS, 5)
 
 
 @query("i5_balanced_bootstrap", f"WITH {BAL} SELECT cond, st, rep, COUNT(*) AS n, CAST(SUM(tr) AS BIGINT) AS ids FROM boot GROUP BY 1,2,3")
@@ -250,10 +251,10 @@ def i9(spark, d):
     return j.groupBy("name", "u").agg(F.count("*").alias("n"), F.round(F.corr("m", "m2"), 5).alias("r"), F.round(F.sum((F.col("m") - F.col("m2")) * k) / F.sum(k), 5).alias("diff"))
 
 
-@query("i10_subsampled_correlation", f"""WITH {TZ}, o AS (SELECT DISTINCT u, tr, st FROM act WHERE st IN ('F','O')), pk AS (SELECT u, rep, tr, st, ROW_NUMBER() OVER (PARTITION BY u, st, rep ORDER BY MD5(CONCAT_WS('|','19',u,rep,tr)), tr) AS i FROM o, UNNEST(range(0,3)) AS q(rep)), m AS (SELECT pk.u, rep, st, z, AVG(s/n) AS m FROM pk JOIN tz ON tz.u=pk.u AND tz.tr=pk.tr WHERE i<=40 GROUP BY 1,2,3,4), c AS (SELECT a.u, a.rep, CORR(a.m,b.m) AS r FROM m a JOIN m b ON a.u=b.u AND a.rep=b.rep AND a.z=b.z AND a.st='F' AND b.st='O' GROUP BY 1,2) SELECT u, COUNT(*) AS reps, ROUND(AVG(CASE WHEN NOT ISNAN(r) THEN r END),4) AS r FROM c GROUP BY u""")
+@query("i10_subsampled_correlation", f"""WITH {TZ}, o AS (SELECT DISTINCT u, tr, st FROM act WHERE st IN ('F','O')), pk AS (SELECT u, rep, tr, st, ROW_NUMBER() OVER (PARTITION BY u, st, rep ORDER BY MD5(CONCAT_WS('|','19',u,rep,tr)), tr) AS i FROM o, UNNEST(range(0,{BOOTS})) AS q(rep)), m AS (SELECT pk.u, rep, st, z, AVG(s/n) AS m FROM pk JOIN tz ON tz.u=pk.u AND tz.tr=pk.tr WHERE i<=40 GROUP BY 1,2,3,4), c AS (SELECT a.u, a.rep, CORR(a.m,b.m) AS r FROM m a JOIN m b ON a.u=b.u AND a.rep=b.rep AND a.z=b.z AND a.st='F' AND b.st='O' GROUP BY 1,2) SELECT u, COUNT(*) AS reps, ROUND(AVG(CASE WHEN NOT ISNAN(r) THEN r END),4) AS r FROM c GROUP BY u""")
 def i10(spark, d):
     tz = _trial_zones(spark, d)
-    o = activity(spark, d).filter("st in ('F', 'O')").select("u", "tr", "st").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    o = activity(spark, d).filter("st in ('F', 'O')").select("u", "tr", "st").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(BOOTS - 1))))
     order = Window.partitionBy("u", "st", "rep").orderBy(F.md5(F.concat_ws("|", F.lit("19"), "u", "rep", "tr")), "tr")
     pick = o.withColumn("i", F.row_number().over(order)).filter("i <= 40")  # trials of one replicate: the size of a subsample
     m = pick.join(tz, ["u", "tr"]).groupBy("u", "rep", "st", "z").agg(F.avg(F.col("s") / F.col("n")).alias("m"))
@@ -262,13 +263,14 @@ def i10(spark, d):
 
 
 UB = """ub0 AS (SELECT DISTINCT u, st, tr FROM act WHERE st IN ('F','O')), ub1 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY u, st ORDER BY tr)-1 AS i, COUNT(*) OVER (PARTITION BY u, st) AS n FROM ub0), ub2 AS (SELECT *, MIN(n) OVER (PARTITION BY u) AS size FROM ub1),
-ud AS (SELECT u, st, rep, ('0x'||SUBSTR(MD5(CONCAT_WS('|','23',u,st,rep,i)),1,8))::BIGINT % n AS i FROM ub2, UNNEST(range(0,5)) AS q(rep) WHERE i<size), ur AS (SELECT d.u, d.st, d.rep, tz.z, AVG(tz.s/tz.n) AS m FROM ud d JOIN ub1 t ON d.u=t.u AND d.st=t.st AND d.i=t.i JOIN tz ON tz.u=t.u AND tz.tr=t.tr GROUP BY 1,2,3,4),
+ud AS (SELECT u, st, rep, ('0x'||SUBSTR(MD5(CONCAT_WS('|','23',u,st,rep,i)),1,8))::BIGINT % n AS i FROM ub2, UNNEST(range(0,REPLICATES)) AS q(rep) WHERE i<size), ur AS (SELECT d.u, d.st, d.rep, tz.z, AVG(tz.s/tz.n) AS m FROM ud d JOIN ub1 t ON d.u=t.u AND d.st=t.st AND d.i=t.i JOIN tz ON tz.u=t.u AND tz.tr=t.tr GROUP BY 1,2,3,4),
 uc AS (SELECT a.u, a.rep, COUNT(*) AS k, CORR(a.m,b.m) AS r FROM ur a JOIN ur b ON a.u=b.u AND a.rep=b.rep AND a.z=b.z AND a.st='F' AND b.st='O' GROUP BY 1,2)"""
+UP, UB = UB.replace("REPLICATES", str(PAIRED)), UB.replace("REPLICATES", str(BOOTS))
 
 
-def _unit_boot_maps(spark, d):
+def _unit_boot_maps(spark, d, reps=BOOTS):
     t = activity(spark, d).filter("st in ('F', 'O')").select("u", "st", "tr").distinct()
-    draws = B.balanced_draws(t, ["u"], ["st"], "tr", 5, 23)
+    draws = B.balanced_draws(t, ["u"], ["st"], "tr", reps, 23)
     return draws.join(_trial_zones(spark, d), ["u", "tr"]).groupBy("u", "st", "rep", "z").agg(F.avg(F.col("s") / F.col("n")).alias("m"))
 
 
@@ -281,9 +283,9 @@ def i11(spark, d):
     return _unit_boot_corr(spark, d).filter("n >= 5").groupBy("u").agg(F.count("*").alias("reps"), F.round(F.avg("r"), 4).alias("r"))
 
 
-@query("i12_all_pairs_replicates", f"WITH {TZ}, {UB}, p AS (SELECT a.u, a.rep AS x, b.rep AS y, CORR(a.m,b.m) AS r, COUNT(*) AS k FROM ur a JOIN ur b ON a.u=b.u AND a.z=b.z AND a.st='F' AND b.st='O' GROUP BY 1,2,3) SELECT u, COUNT(*) AS pairs, ROUND(AVG(r),4) AS r FROM p WHERE k>=5 GROUP BY u")
+@query("i12_all_pairs_replicates", f"WITH {TZ}, {UP}, p AS (SELECT a.u, a.rep AS x, b.rep AS y, CORR(a.m,b.m) AS r, COUNT(*) AS k FROM ur a JOIN ur b ON a.u=b.u AND a.z=b.z AND a.st='F' AND b.st='O' GROUP BY 1,2,3) SELECT u, COUNT(*) AS pairs, ROUND(AVG(r),4) AS r FROM p WHERE k>=5 GROUP BY u")
 def i12(spark, d):
-    m = _unit_boot_maps(spark, d)
+    m = _unit_boot_maps(spark, d, PAIRED)
     b = m.filter("st = 'O'").select("u", "z", F.col("rep").alias("y"), F.col("m").alias("m2"))
     p = m.filter("st = 'F'").join(b, ["u", "z"]).groupBy("u", "rep", "y").agg(F.corr("m", "m2").alias("r"), F.count("*").alias("k")).filter("k >= 5")
     return p.groupBy("u").agg(F.count("*").alias("pairs"), F.round(F.avg("r"), 4).alias("r"))
@@ -298,7 +300,7 @@ def i13(spark, d):
 @query("i14_segment_rate_bootstrap", f"WITH {TZ}, {UB}, sg AS (SELECT u, tr, SUBSTR(z,1,7) AS seg, SUM(s)/SUM(n) AS fr FROM tz GROUP BY 1,2,3), x AS (SELECT t.u, t.st, d.rep, sg.seg, sg.fr FROM ud d JOIN ub1 t ON d.u=t.u AND d.st=t.st AND d.i=t.i JOIN sg ON sg.u=t.u AND sg.tr=t.tr), g AS (SELECT u, rep, seg, {TT} FROM x GROUP BY 1,2,3), q AS (SELECT u, seg, (m1-m2)/NULLIF(SQRT(((n1-1)*v1+(n2-1)*v2)/(n1+n2-2)*(1.0/n1+1.0/n2)),0) AS t FROM g WHERE n1>1 AND n2>1 AND v1+v2>1e-9) SELECT u, seg, COUNT(*) AS reps, ROUND(AVG(t),4) AS t FROM q GROUP BY 1,2")
 def i14(spark, d):
     a = activity(spark, d)
-    draws = B.balanced_draws(a.filter("st in ('F', 'O')").select("u", "st", "tr").distinct(), ["u"], ["st"], "tr", 5, 23)
+    draws = B.balanced_draws(a.filter("st in ('F', 'O')").select("u", "st", "tr").distinct(), ["u"], ["st"], "tr", BOOTS, 23)
     x = draws.join(a.groupBy("u", "tr", F.substring("z", 1, 7).alias("seg")).agg(F.avg("fr").alias("fr")), ["u", "tr"])
     v = F.var_samp(F.when(F.col("st") == "F", F.col("fr"))) + F.var_samp(F.when(F.col("st") != "F", F.col("fr")))
     spread = x.groupBy("u", "rep", "seg").agg(v.alias("v")).filter("v > 1e-9")

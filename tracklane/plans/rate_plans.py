@@ -112,14 +112,14 @@ def d24(spark, d):
     return activity(spark, d).groupBy("z").agg(R(F.stddev_pop("fr")).alias("sd"), F.min("fr").alias("lo"), F.max("fr").alias("hi"))
 
 
-PRED = f"{ACT}, m AS (SELECT u, AVG(fr) AS pred FROM act WHERE tr%2=0 GROUP BY u), yp AS (SELECT u, fr AS y, pred FROM act JOIN m USING (u) WHERE tr%2=1)"
+PRED = f"{ACT}, m AS (SELECT u, tr%2 AS f, AVG(fr) AS pred FROM act GROUP BY 1,2), yp AS (SELECT act.u, fr AS y, pred FROM act JOIN m ON act.u=m.u AND act.tr%2<>m.f)"
 
 
 @query("d25_regression_metrics", f"WITH {PRED} SELECT u, COUNT(*) AS n, ROUND(CASE WHEN VAR_POP(y)>0 THEN 1-SUM((y-pred)*(y-pred))/(COUNT(*)*VAR_POP(y)) END,6) AS r2, ROUND(SUM((y-pred)*(y-pred))/COUNT(*),6) AS mse, ROUND(2*SUM(CASE WHEN y>0 THEN y*LN(y/pred)-(y-pred) ELSE pred END),4) AS deviance FROM yp GROUP BY u")
 def d25(spark, d):
     a = activity(spark, d)
-    m = a.filter("tr % 2 = 0").groupBy("u").agg(F.avg("fr").alias("pred"))
-    g = A.regression_metrics(a.filter("tr % 2 = 1").join(m, "u"), ["u"], "fr", "pred")
+    m = a.groupBy("u", (1 - F.col("tr") % 2).alias("f")).agg(F.avg("fr").alias("pred"))  # each half is predicted by the other
+    g = A.regression_metrics(a.withColumn("f", F.col("tr") % 2).join(m, ["u", "f"]), ["u"], "fr", "pred")
     return g.select("u", "n", R("r2").alias("r2"), R("mse").alias("mse"), F.round("deviance", 4).alias("deviance"))
 
 
@@ -227,11 +227,17 @@ def e19(spark, d):
     return a.join(a.groupBy("u").agg(F.percentile("fr", F.lit(0.95)).alias("c")), "u").select("tr", "ln", R(F.least("fr", "c") / F.col("c")).alias("v"))
 
 
-@query("e20_fold_normalise", f"WITH {ACT}, m AS (SELECT u, AVG(fr) AS m, STDDEV_POP(fr) AS sd FROM act WHERE tr%5<>0 GROUP BY u) SELECT tr, ln, ROUND((fr-m)/NULLIF(sd,0),6) AS v FROM act JOIN m USING (u) WHERE tr%5=0")
+@query("e20_fold_normalise", f"WITH {ACT}, f AS (SELECT u, tr%5 AS f, COUNT(*) AS n, SUM(fr) AS s, SUM(fr*fr) AS q FROM act GROUP BY 1,2), m AS (SELECT a.u, a.f, SUM(b.s)/SUM(b.n) AS m, SQRT(GREATEST(SUM(b.q)/SUM(b.n)-SUM(b.s)/SUM(b.n)*SUM(b.s)/SUM(b.n),0)) AS sd FROM f a JOIN f b ON a.u=b.u AND a.f<>b.f GROUP BY 1,2) SELECT tr, ln, ROUND((fr-m)/NULLIF(sd,0),6) AS v FROM act JOIN m ON act.u=m.u AND act.tr%5=m.f")
 def e20(spark, d):
     a = activity(spark, d)
-    m = a.filter("tr % 5 <> 0").groupBy("u").agg(F.avg("fr").alias("m"), F.stddev_pop("fr").alias("sd"))
-    return a.filter("tr % 5 = 0").join(m, "u").select("tr", "ln", R((F.col("fr") - F.col("m")) / F.when(F.col("sd") != 0, F.col("sd"))).alias("v"))
+    # statistics of the other folds: totals of the unit less those of the fold
+    per = a.groupBy("u", (F.col("tr") % 5).alias("f")).agg(F.count("*").alias("n"), F.sum("fr").alias("s"), F.sum(F.col("fr") * F.col("fr")).alias("q"))
+    total = per.groupBy("u").agg(*[F.sum(c).alias(f"{c}_all") for c in "nsq"])
+    rest = per.join(total, "u").select("u", "f", *[(F.col(f"{c}_all") - F.col(c)).alias(c) for c in "nsq"]).filter("n > 0")
+    m = F.col("s") / F.col("n")
+    rest = rest.select("u", "f", m.alias("m"), F.sqrt(F.greatest(F.col("q") / F.col("n") - m * m, F.lit(0.0))).alias("sd"))
+    scored = a.withColumn("f", F.col("tr") % 5).join(rest, ["u", "f"])
+    return scored.select("tr", "ln", R((F.col("fr") - F.col("m")) / F.when(F.col("sd") != 0, F.col("sd"))).alias("v"))
 
 
 @query("e3_cumulative_evidence", "SELECT l_orderkey AS tr, CAST(l_linenumber AS BIGINT) AS ln, ROUND(SUM(LN((l_tax+0.01)/(1-l_tax-0.01))) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber),6) AS ev FROM lineitem")
@@ -322,11 +328,11 @@ def i18(spark, d):
 
 
 @query("i3_bootstrap_correlation", f"""WITH {ACT}, g AS (SELECT u, ROW_NUMBER() OVER (PARTITION BY u ORDER BY tr, ln, x, fr)-1 AS i, COUNT(*) OVER (PARTITION BY u) AS n, x, fr FROM act),
-r AS (SELECT u, n, rep, i AS draw, ('0x'||SUBSTR(MD5(CONCAT_WS('|','7',u,rep,i)),1,8))::BIGINT % n AS pick FROM g, UNNEST(range(0,5)) AS q(rep)), b AS (SELECT r.u, rep, CORR(g.x,g.fr) AS c FROM r JOIN g ON r.u=g.u AND r.pick=g.i GROUP BY 1,2) SELECT u, ROUND(AVG(c),6) AS m, COUNT(*) AS reps FROM b GROUP BY u""")
+r AS (SELECT u, n, rep, i AS draw, ('0x'||SUBSTR(MD5(CONCAT_WS('|','7',u,rep,i)),1,8))::BIGINT % n AS pick FROM g, UNNEST(range(0,100)) AS q(rep)), b AS (SELECT r.u, rep, CORR(g.x,g.fr) AS c FROM r JOIN g ON r.u=g.u AND r.pick=g.i GROUP BY 1,2) SELECT u, ROUND(AVG(c),6) AS m, COUNT(*) AS reps FROM b GROUP BY u""")
 def i3(spark, d):
     w = Window.partitionBy("u")
     g = activity(spark, d).withColumns({"i": F.row_number().over(w.orderBy("tr", "ln", "x", "fr")) - 1, "n": F.count("*").over(w)}).select("u", "i", "n", "x", "fr")
-    draws = g.select("u", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("rep"))
+    draws = g.select("u", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("rep"))
     draws = draws.select("u", "rep", S.hash_pick(F.concat_ws("|", F.lit("7"), "u", "rep", "i"), F.col("n")).alias("i"))
     return draws.join(g, ["u", "i"]).groupBy("u", "rep").agg(F.corr("x", "fr").alias("c")).groupBy("u").agg(R(F.avg("c")).alias("m"), F.count("*").alias("reps"))
 
