@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -78,6 +79,12 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a finished job once its driver has collected garbage; ask for that now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """(row, r): r holds a row's own columns, whatever their names, and row is a private key, fixed by writing it."""
     return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")), name)

@@ -9,8 +9,8 @@ Only hashes of chunks and seeds are counted over the corpus; those that repeat a
 occurrence (smallest id, then line) stays.
 
 Defined cases: null texts stay null, a text of one line stays as it is; a single repeated line is never removed by itself,
-blank lines are lines; each row is a document, whatever its id, and rows of one id follow each other; null ids come last
-and are told apart by a private row key; an empty table gives an empty
+blank lines are lines; rows are told apart by id and text together, so rows that share an id, null ids included, are judged
+by their own text, and a row repeated with the same id and text is one document; null ids come last; an empty table gives an empty
 result; all columns of the input stay, whatever their names, and only the text changes; a text of any length is one row. A
 hot chunk is pre-aggregated before each shuffle; joins may be split by AQE.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import numbered, of_row, written
+from tracklane.llm.common import of_row, release, written
 
 
 def chunk_rows(rows: DataFrame, text: str, mean_lines: int, window: int) -> DataFrame:
@@ -36,8 +36,8 @@ def chunk_rows(rows: DataFrame, text: str, mean_lines: int, window: int) -> Data
     return rows.select(*keep, F.explode_outer(F.concat(chunks, seeds)).alias("c")).select(*keep, "c.*")
 
 
-def repeated_chunks(rows: DataFrame, mean_lines: int = 3, window: int = 1) -> DataFrame:
-    """(row, start, n): chunks and seeds to remove of the documents (row, id, text), those whose bytes occur earlier."""
+def _candidates(rows: DataFrame, mean_lines: int, window: int) -> DataFrame:
+    """(row, id, start, n, h, body): chunks and seeds whose hash repeats, as a table."""
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
     cut = chunk_rows(rows.filter("text is not null"), "text", mean_lines, window)
     often = cut.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1").select("h", "first")
@@ -47,7 +47,14 @@ def repeated_chunks(rows: DataFrame, mean_lines: int = 3, window: int = 1) -> Da
     hits = hits.select("row", F.filter("hits", lambda x: (x["n"] > 2) | ~inside(x)).alias("hits"))
     body = F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.n")), "\n")
     again = rows.join(hits, "row").select("row", "id", F.split("text", "\n", -1).alias("lines"), F.explode("hits").alias("c"))
-    again = written(again.select("row", "id", "c.start", "c.n", "c.h", body.alias("body")), "repeated-chunks")
+    return written(again.select("row", "id", "c.start", "c.n", "c.h", body.alias("body")), "repeated-chunks")
+
+
+def repeated_chunks(rows: DataFrame, mean_lines: int = 3, window: int = 1) -> DataFrame:
+    """(row, start, n): chunks and seeds to remove of the documents (row, id, text), those whose bytes occur earlier."""
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
+    again = _candidates(rows, mean_lines, window)
+    release(rows.sparkSession)
     first = again.groupBy("h", "body").agg(F.min(place).alias("first"))
     # compared byte for byte: the body is a key of the grouping and of this join
     return again.join(first, ["h", "body"]).filter(place > F.col("first")).select("row", "start", "n")
@@ -56,7 +63,10 @@ def repeated_chunks(rows: DataFrame, mean_lines: int = 3, window: int = 1) -> Da
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 1) -> DataFrame:
     """The rows of docs without runs of lines that occur earlier."""
     names = docs.columns
-    docs = numbered(docs, "line-dedup-rows")
+    # two hashes of id and text: a key that any executor computes alike, without a copy of the table
+    own, body = F.col(f"`{id_col}`"), F.col(f"`{text}`")
+    row = F.struct(F.xxhash64(F.lit(1), own, body).alias("x"), F.xxhash64(F.lit(2), own, body).alias("y"))
+    docs = docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"))
     rows = docs.select("row", of_row(id_col).alias("id"), of_row(text).alias("text"))
     cuts = repeated_chunks(rows, mean_lines, window).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
     kept = F.filter(F.split(of_row(text), "\n", -1), lambda x, i: ~F.exists("cuts", lambda c: (i >= c["start"]) & (i < c["start"] + c["n"])))
