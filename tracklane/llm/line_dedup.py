@@ -60,8 +60,11 @@ def repeated_chunks(rows: DataFrame, mean_lines: int = 3, window: int = 1) -> Da
     return again.join(first, ["h", "body"]).filter(place > F.col("first")).select("row", "start", "n")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 1) -> DataFrame:
-    """The rows of docs without runs of lines that occur earlier."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 1, broadcast_cuts: int = 500_000) -> DataFrame:
+    """The rows of docs without runs of lines that occur earlier.
+
+    Cuts are counted, and broadcast up to `broadcast_cuts` of them (under 16 MB); beyond, texts are shuffled to their cuts.
+    """
     names = docs.columns
     # two hashes of id and text: a key that any executor computes alike, without a copy of the table
     own, body = F.col(f"`{id_col}`"), F.col(f"`{text}`")
@@ -69,6 +72,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean
     docs = docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"))
     rows = docs.select("row", of_row(id_col).alias("id"), of_row(text).alias("text"))
     cuts = repeated_chunks(rows, mean_lines, window).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    cuts = written(cuts, "line-cuts")
+    n = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()
+    if n[0] + n[1] <= broadcast_cuts:
+        cuts = F.broadcast(cuts)
     kept = F.filter(F.split(of_row(text), "\n", -1), lambda x, i: ~F.exists("cuts", lambda c: (i >= c["start"]) & (i < c["start"] + c["n"])))
     left = F.when(F.col("cuts").isNull(), of_row(text)).otherwise(F.array_join(kept, "\n"))
     return docs.join(cuts, "row", "left").select(*[(left if c == text else of_row(c)).alias(c) for c in names])
