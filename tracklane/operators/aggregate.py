@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import pi
+from math import pi, sin
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,14 +69,31 @@ def circular(df: DataFrame, keys, angle, weight) -> DataFrame:
     """Weighted circular mean, resultant length, variance, standard deviation; Rayleigh z and p."""
     g = df.groupBy(*keys).agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.cos(angle)).alias("c"), F.sum(F.col(weight) * F.sin(angle)).alias("s"))
     length = F.hypot("c", "s") / F.col("w")
+    std = F.sqrt(-2 * F.ln(F.when(F.col("r") > 0, F.least("r", F.lit(1.0)))))
     big = F.col("w") * F.col("r")
     return (
-        g.withColumn("r", length).withColumn("mean", F.pmod(F.atan2("s", "c"), F.lit(2 * pi))).withColumn("var", 1 - F.col("r"))
+        g.withColumn("r", length).withColumn("mean", F.pmod(F.atan2("s", "c"), F.lit(2 * pi))).withColumn("var", 1 - F.col("r")).withColumn("std", std)
         .withColumn("z", big * big / F.col("w")).withColumn("p", F.exp(F.sqrt(1 + 4 * F.col("w") + 4 * (F.col("w") * F.col("w") - big * big)) - (1 + 2 * F.col("w"))))
         .drop("c", "s")
     )
 
 
+def binned_circular(df: DataFrame, keys, angle, weight, width: float | None = None, axial: int = 1) -> DataFrame:
+    """(keys, r, mean, var, std) with the bias of bins of `width` radians taken out of r; axial data have their angles multiplied first.
+
+    The mean stays in the multiplied angle, like the length.
+    """
+    g = circular(df.withColumn("_angle", F.col(angle) * axial), keys, "_angle", weight)
+    r = F.col("r") * (width / 2 / sin(width / 2) if width else 1.0)
+    return g.withColumn("r", r).select(*keys, "r", "mean", (1 - F.col("r")).alias("var"), F.sqrt(-2 * F.ln(F.when((F.col("r") > 0) & (F.col("r") <= 1), F.col("r")))).alias("std"))
+
+
+def one_sample_t(df: DataFrame, keys, value, mean: float) -> DataFrame:
+    """(keys, n, t) of the group's mean against a given one; t is null without spread."""
+    sd = F.stddev_samp(value)
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), ((F.avg(value) - mean) / F.when(sd > 0, sd / F.sqrt(F.count(value)))).alias("t"))
+
+
 def mad(df: DataFrame, keys, value) -> DataFrame:
     """Median and median absolute deviation: two grouped medians."""
     med = df.groupBy(*keys).agg(F.median(value).alias("med"))
@@ -103,6 +120,60 @@ def regression_metrics(df: DataFrame, keys, y, pred) -> DataFrame:
     )
 
 
+def adjusted_metrics(df: DataFrame, keys, y, pred, features: int) -> DataFrame:
+    """(keys, n, adj_r2, adj_d2, chi2): R2 and D2 adjusted for the number of features, Pearson's chi squared of the predictions above 0."""
+    err = F.col(y) - F.col(pred)
+    chi2 = df.groupBy(*keys).agg(F.sum(F.when(F.col(pred) > 0, err * err / F.col(pred))).alias("chi2"))
+    left = F.col("n") - features - 1
+    adjust = lambda c: F.when(left > 0, 1 - (1 - F.col(c)) * (F.col("n") - 1) / left)
+    return regression_metrics(df, keys, y, pred).select(*keys, "n", adjust("r2").alias("adj_r2"), adjust("d2").alias("adj_d2")).join(chi2, keys)
+
+
+def log_loss(df: DataFrame, keys, y, probabilities: dict) -> DataFrame:
+    """(keys, n, loss, chance, score): mean -ln of the true class's probability, entropy of the class shares, 1 - loss / chance.
+
+    `probabilities` names the column of each class; probabilities are clipped to 1e-10 .. 1 - 1e-10.
+    """
+    p = F.coalesce(*[F.when(F.col(y) == c, F.col(name)) for c, name in probabilities.items()])
+    by = df.withColumn("_l", -F.ln(F.least(F.greatest(p, F.lit(1e-10)), F.lit(1 - 1e-10)))).groupBy(*keys, y).agg(F.sum("_l").alias("_l"), F.count("*").alias("_n"))
+    g = by.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_l").alias("_l"), F.sum(F.col("_n") * F.ln("_n")).alias("_h"))
+    loss, chance = F.col("_l") / F.col("n"), F.ln("n") - F.col("_h") / F.col("n")
+    return g.select(*keys, "n", loss.alias("loss"), chance.alias("chance"), F.when(chance > 0, 1 - loss / chance).alias("score"))
+
+
+def auc_one_vs_one(df: DataFrame, keys, y, probabilities: dict) -> DataFrame:
+    """(keys, auc): mean over ordered pairs of classes (a, b) of the area under the curve of a's probability among rows of a and b.
+
+    Rows are counted by probability first; the window runs over distinct values of a pair. Pairs without rows of both
+    classes are left out.
+    """
+    classes = list(probabilities)
+    pairs = [F.when(F.col(y).isin(a, b), F.struct(F.lit(a).alias("_a"), F.lit(b).alias("_b"), F.col(probabilities[a]).alias("_p"))) for a in classes for b in classes if a != b]
+    rows = df.select(*keys, F.col(y).alias("_y"), F.inline(F.array_compact(F.array(*pairs))))
+    own = (F.col("_y") == F.col("_a")).cast("long")
+    by = rows.groupBy(*keys, "_a", "_b", "_p").agg(F.sum(own).alias("_pos"), F.sum(1 - own).alias("_neg"))
+    below = F.sum("_neg").over(Window.partitionBy(*keys, "_a", "_b").orderBy("_p")) - F.col("_neg") / 2
+    area = by.withColumn("_won", F.col("_pos") * below).groupBy(*keys, "_a", "_b").agg((F.sum("_won") / F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))).alias("_auc"))
+    return area.groupBy(*keys).agg(F.avg("_auc").alias("auc"))
+
+
+def bin_encoding(df: DataFrame, keys, fold, bin_, value) -> DataFrame:
+    """(keys, fold, n, mse, deviance, coef) of one-hot models fitted on the other folds and scored on their own.
+
+    The least-squares coefficient of a bin is its mean there and the Poisson coefficient the mean's logarithm (coef is
+    their average over the rows); deviance is Poisson's. Rows whose bin the other folds lack are not scored. Totals less
+    those of the fold: no row is copied for each fold.
+    """
+    per = df.groupBy(*keys, bin_, fold).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    tot = per.groupBy(*keys, bin_).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
+    rest = F.col("_tn") - F.col("_n")
+    model = per.join(tot, [*keys, bin_]).filter(rest > 0).select(*keys, bin_, fold, ((F.col("_ts") - F.col("_s")) / rest).alias("_m"))
+    y, m = F.col(value), F.col("_m")
+    dev = F.when((m > 0) & (y > 0), y * F.ln(y / m) - (y - m)).when(m > 0, m).otherwise(y)
+    scored = df.join(model, [*keys, bin_, fold]).groupBy(*keys, fold)
+    return scored.agg(F.count("*").alias("n"), F.avg((y - m) * (y - m)).alias("mse"), (2 * F.sum(dev)).alias("deviance"), F.avg(F.ln(F.when(m > 0, m))).alias("coef"))
+
+
 def weighted_levels(df: DataFrame, keys, level, total, count, least: int) -> DataFrame:
     """Rolls sums and counts up to a coarser zone; null where there are fewer than `least` samples."""
     g = df.groupBy(*keys, level).agg(F.sum(total).alias("s"), F.sum(count).alias("n"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import cos, pi, sin
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklane.operators.storage import cut
@@ -44,6 +44,63 @@ def fields(bins: DataFrame, keys, least: int, x: str = "xb", y: str = "yb") -> D
     return at.groupBy(*keys, "field").agg(F.count("*").alias("n"), F.avg(x).alias("cx"), F.avg(y).alias("cy")).filter(F.col("n") >= least)
 
 
+def median_smooth(bins: DataFrame, keys, value, x: str = "xb", y: str = "yb") -> DataFrame:
+    """(keys, x, y, v): median of the nine cells around every cell near a bin; cells without a bin are 0, values are not negative."""
+    g = neighbours(bins.select(*keys, x, y, value), 1, x, y).groupBy(*keys, F.col("cx").alias(x), F.col("cy").alias(y)).agg(F.sort_array(F.collect_list(value)).alias("_v"))
+    return g.select(*keys, x, y, F.when(F.size("_v") >= 5, F.element_at("_v", F.greatest(F.size("_v") - 4, F.lit(1)))).otherwise(0.0).alias("v"))
+
+
+def dilated(bins: DataFrame, keys, x: str = "xb", y: str = "yb") -> DataFrame:
+    return neighbours(bins.select(*keys, x, y), 1, x, y).select(*keys, F.col("cx").alias(x), F.col("cy").alias(y)).distinct()
+
+
+def eroded(bins: DataFrame, keys, x: str = "xb", y: str = "yb") -> DataFrame:
+    """Cells whose nine cells are all bins."""
+    g = neighbours(bins.select(*keys, x, y), 1, x, y).groupBy(*keys, F.col("cx").alias(x), F.col("cy").alias(y)).count()
+    return g.filter("count = 9").drop("count")
+
+
+def field_mask(bins: DataFrame, keys, value, share: float, x: str = "xb", y: str = "yb") -> DataFrame:
+    """(keys, x, y): bins of at least `share` of their map's maximum, closed (dilated, then eroded) inside the map's bins."""
+    top = bins.groupBy(*keys).agg(F.max(value).alias("_top"))
+    over = bins.join(top, keys).filter(F.col(value) >= share * F.col("_top"))
+    return eroded(dilated(over, keys, x, y), keys, x, y).join(bins.select(*keys, x, y), [*keys, x, y], "left_semi")
+
+
+def autocorrelation(bins: DataFrame, keys, value, x: str = "xb", y: str = "yb") -> DataFrame:
+    """(keys, dx, dy, s): sums of products of bins apart by (dx, dy); pairs of bins of one map, a number fixed by the arena."""
+    a, b = (bins.select(*keys, F.col(x).alias(f"{n}x"), F.col(y).alias(f"{n}y"), F.col(value).alias(f"{n}v")) for n in "ab")
+    return a.join(b, keys).groupBy(*keys, (F.col("bx") - F.col("ax")).alias("dx"), (F.col("by") - F.col("ay")).alias("dy")).agg(F.sum(F.col("av") * F.col("bv")).alias("s"))
+
+
+def grid_score(bins: DataFrame, keys, value, floor: float = 0.01, inner: float = 0.5, outer: float = 2.0, x: str = "xb", y: str = "yb") -> DataFrame:
+    """(keys, score, scale, phase) from the map's autocorrelation.
+
+    Peaks are cells above `floor` of the centre and not below any of their eight neighbours. The six nearest to the centre
+    (ties by dx, dy) give the scale, their mean distance, and the phase, the smallest angle from the x axis. The ring of
+    inner .. outer scales is turned by 30 .. 150 degrees onto the nearest cell (0 outside the map) and correlated with
+    itself: the score is the mean at 60 and 120 less that at 30, 90 and 150 degrees. Maps with under two peaks have none.
+    """
+    ac = cut(autocorrelation(bins, keys, value, x, y))
+    near = neighbours(ac, 1, "dx", "dy").groupBy(*keys, F.col("cx").alias("dx"), F.col("cy").alias("dy")).agg(F.max("s").alias("_top"))
+    centre = ac.filter("dx = 0 and dy = 0").select(*keys, F.col("s").alias("_s0"))
+    peaks = ac.filter("dx <> 0 or dy <> 0").join(near, [*keys, "dx", "dy"]).join(centre, keys).filter((F.col("s") >= F.col("_top")) & (F.col("s") > floor * F.col("_s0")))
+    order = Window.partitionBy(*keys).orderBy(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), "dx", "dy")
+    angle = F.abs(F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")))
+    scale = peaks.withColumn("_k", F.row_number().over(order)).filter("_k <= 6").groupBy(*keys).agg(F.avg(F.hypot("dx", "dy")).alias("scale"), F.min(angle).alias("phase"), F.count("*").alias("_n")).filter("_n >= 2").drop("_n")
+    ring = ac.join(scale, keys).filter(F.hypot("dx", "dy").between(inner * F.col("scale"), outer * F.col("scale"))).select(*keys, "dx", "dy", "s")
+    turns = [F.struct(F.lit(i).alias("_i"), _nearest(F.col("dx") * cos(i * pi / 6) - F.col("dy") * sin(i * pi / 6)).alias("_tx"), _nearest(F.col("dx") * sin(i * pi / 6) + F.col("dy") * cos(i * pi / 6)).alias("_ty")) for i in range(1, 6)]
+    other = ac.select(*keys, F.col("dx").alias("_tx"), F.col("dy").alias("_ty"), F.col("s").alias("_u"))
+    corr = ring.select(*keys, "s", F.inline(F.array(*turns))).join(other, [*keys, "_tx", "_ty"], "left").groupBy(*keys, "_i").agg(F.corr("s", F.coalesce("_u", F.lit(0.0))).alias("_r"))
+    even = F.col("_i") % 2 == 0
+    score = corr.groupBy(*keys).agg((F.avg(F.when(even, F.col("_r"))) - F.avg(F.when(~even, F.col("_r")))).alias("score"))
+    return score.join(scale, keys).select(*keys, "score", "scale", "phase")
+
+
+def _nearest(c: Column) -> Column:
+    return F.floor(c + 0.5 + 1e-9).cast("long")
+
+
 def border_score(bins: DataFrame, keys, value, across: tuple[int, int], along: tuple[int, int], x: str = "xb", y: str = "yb") -> DataFrame:
     """(keys, coverage, distance, score) of bins above threshold: (coverage - distance) / (coverage + distance).
 

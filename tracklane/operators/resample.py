@@ -47,6 +47,11 @@ def achieved_level(stats: DataFrame, keys, value) -> DataFrame:
     return d.groupBy(*keys).agg(F.first("real").alias("real"), F.avg((F.col(value) >= F.col("real")).cast("double")).alias("p"))
 
 
+def two_sided(levels: DataFrame, p, alpha: float, out: str) -> DataFrame:
+    """Appends whether the real value lies outside the replicates: p within alpha / 2 of 0 or of 1."""
+    return levels.withColumn(out, (F.col(p) <= alpha / 2) | (F.col(p) >= 1 - alpha / 2))
+
+
 def median_slope(points: DataFrame, keys, item, x, y) -> DataFrame:
     """Repeated-median line of each group: pairs inside a group, for groups of zones or sessions."""
     a = points.select(*keys, F.col(item).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y"))

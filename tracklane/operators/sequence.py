@@ -145,3 +145,27 @@ def lag_features(df: DataFrame, keys, sample, zone, n, max_lag: int) -> DataFram
     cells = [F.struct((F.col(sample) + i).alias("_at"), (F.col(n) / i).alias("_w")) for i in range(1, max_lag)]
     g = df.select(*keys, zone, F.inline(F.array(*cells))).groupBy(*keys, F.col("_at").alias(sample), zone).agg(F.sum("_w").alias("w"))
     return g.withColumn("w", F.col("w") / F.max("w").over(Window.partitionBy(*keys, sample)))
+
+
+def neighbour_features(df: DataFrame, keys, sample, zone, n, max_lag: int, decay: str, ahead: bool = False) -> DataFrame:
+    """Like lag_features with the decay `inverse` (1 / lag), `linear` (1 - lag / max_lag) or `constant`, of the samples before or ahead."""
+    weight = {"inverse": lambda i: 1 / i, "linear": lambda i: 1 - i / max_lag, "constant": lambda i: 1.0}[decay]
+    cells = [F.struct((F.col(sample) + (-i if ahead else i)).alias("_at"), (F.col(n) * weight(i)).alias("_w")) for i in range(1, max_lag)]
+    g = df.select(*keys, zone, F.inline(F.array(*cells))).groupBy(*keys, F.col("_at").alias(sample), zone).agg(F.sum("_w").alias("w"))
+    return g.withColumn("w", F.col("w") / F.max("w").over(Window.partitionBy(*keys, sample)))
+
+
+def outside_events(df: DataFrame, keys, t, event, pad: float) -> DataFrame:
+    """Rows further than `pad` from every row of their group where `event` holds."""
+    w = Window.partitionBy(*keys).orderBy(t)
+    at = F.when(event, F.col(t))
+    d = df.withColumns({"_before": F.max(at).over(w), "_after": F.min(at).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
+    near = F.coalesce(F.col(t) - F.col("_before") <= pad, F.lit(False)) | F.coalesce(F.col("_after") - F.col(t) <= pad, F.lit(False))
+    return d.filter(~near).drop("_before", "_after")
+
+
+def interval_summary(df: DataFrame, keys, t, order) -> DataFrame:
+    """(keys, n, rate, cv): rows, rate over the time spanned, coefficient of variation of the intervals between rows."""
+    g = df.withColumn("_d", F.col(t) - F.lag(t).over(over(keys, order)))
+    span = F.max(t) - F.min(t)
+    return g.groupBy(*keys).agg(F.count("*").alias("n"), (F.count("*") / F.when(span > 0, span)).alias("rate"), (F.stddev_pop("_d") / F.when(F.avg("_d") > 0, F.avg("_d"))).alias("cv"))
