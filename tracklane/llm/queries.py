@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.llm import anchor_dedup, bpe, chat_format, decontaminate, html_crf, line_dedup, pitman_yor, quality_rules, simhash_dedup, suffix_dedup
+from tracklane.llm.oracle import ORACLE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -100,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
