@@ -45,10 +45,14 @@ def kendall(df: DataFrame, keys, item, x, y) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, keys, value, first: Column) -> DataFrame:
-    """U of the rows where `first` holds against the others, and z without tie correction."""
-    ranked = average_ranks(df.withColumn("_first", first), keys, value, "_r")
-    n1, n2 = F.sum(F.when(F.col("_first"), 1).otherwise(0)), F.sum(F.when(F.col("_first"), 0).otherwise(1))
-    g = ranked.groupBy(*keys).agg(n1.alias("n1"), n2.alias("n2"), F.sum(F.when(F.col("_first"), F.col("_r")).otherwise(0)).alias("_r1"))
+    """U of the rows where `first` holds against the others, and z without tie correction.
+
+    Rows are counted by value first, so that the window ranks distinct values only.
+    """
+    by = df.groupBy(*keys, value).agg(F.sum(F.when(first, 1).otherwise(0)).alias("_n1"), F.sum(F.when(first, 0).otherwise(1)).alias("_n2"))
+    n = F.col("_n1") + F.col("_n2")
+    rank = F.sum(n).over(Window.partitionBy(*keys).orderBy(value)) - (n - 1) / 2
+    g = by.withColumn("_r", F.col("_n1") * rank).groupBy(*keys).agg(F.sum("_n1").alias("n1"), F.sum("_n2").alias("n2"), F.sum("_r").alias("_r1"))
     g = g.withColumn("u", F.col("_r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     sd = F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)
     return g.withColumn("z", F.when(sd > 0, (F.col("u") - F.col("n1") * F.col("n2") / 2) / sd)).drop("_r1")
