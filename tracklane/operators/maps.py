@@ -79,7 +79,7 @@ def grid_score(bins: DataFrame, keys, value, floor: float = 0.01, inner: float =
     Peaks are cells above `floor` of the centre and not below any of their eight neighbours. The six nearest to the centre
     (ties by dx, dy) give the scale, their mean distance, and the phase, the smallest angle from the x axis. The ring of
     inner .. outer scales is turned by 30 .. 150 degrees onto the nearest cell (0 outside the map) and correlated with
-    itself: the score is the mean at 60 and 120 less that at 30, 90 and 150 degrees. Maps with under two peaks have none.
+    itself, where both vary: the score is the mean at 60 and 120 less that at 30, 90 and 150 degrees. Maps with under two peaks have none.
     """
     ac = cut(autocorrelation(bins, keys, value, x, y))
     near = neighbours(ac, 1, "dx", "dy").groupBy(*keys, F.col("cx").alias("dx"), F.col("cy").alias("dy")).agg(F.max("s").alias("_top"))
@@ -91,12 +91,17 @@ def grid_score(bins: DataFrame, keys, value, floor: float = 0.01, inner: float =
     ring = ac.join(scale, keys).filter(F.hypot("dx", "dy").between(inner * F.col("scale"), outer * F.col("scale"))).select(*keys, "dx", "dy", "s")
     turns = [F.struct(F.lit(i).alias("_i"), _nearest(F.col("dx") * cos(i * pi / 6) - F.col("dy") * sin(i * pi / 6)).alias("_tx"), _nearest(F.col("dx") * sin(i * pi / 6) + F.col("dy") * cos(i * pi / 6)).alias("_ty")) for i in range(1, 6)]
     other = ac.select(*keys, F.col("dx").alias("_tx"), F.col("dy").alias("_ty"), F.col("s").alias("_u"))
-    corr = ring.select(*keys, "s", F.inline(F.array(*turns))).join(other, [*keys, "_tx", "_ty"], "left").groupBy(*keys, "_i").agg(F.corr("s", F.coalesce("_u", F.lit(0.0))).alias("_r"))
+    corr = ring.select(*keys, "s", F.inline(F.array(*turns))).join(other, [*keys, "_tx", "_ty"], "left").groupBy(*keys, "_i").agg(_corr(F.col("s"), F.coalesce("_u", F.lit(0.0))).alias("_r"))
     even = F.col("_i") % 2 == 0
     score = corr.groupBy(*keys).agg((F.avg(F.when(even, F.col("_r"))) - F.avg(F.when(~even, F.col("_r")))).alias("score"))
     return score.join(scale, keys).select(*keys, "score", "scale", "phase")
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Correlation, null where one side does not vary."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def _nearest(c: Column) -> Column:
     return F.floor(c + 0.5 + 1e-9).cast("long")
 

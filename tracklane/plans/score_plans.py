@@ -173,18 +173,28 @@ def m6(spark, d):
     return g.select("cond", "xb", "yb", F.round(F.col("w") / sum(KERNEL.values()), 4).alias("v"))
 
 
-@query("m1_field_mask", f"WITH {ACT}, {SUMS}, o AS (SELECT UNNEST([-1,0,1]) AS i), f AS (SELECT cond, xb, yb FROM g QUALIFY v>=0.5*MAX(v) OVER (PARTITION BY cond)), w AS (SELECT DISTINCT cond, xb+a.i AS xb, yb+b.i AS yb FROM f, o a, o b), e AS (SELECT cond, xb+a.i AS xb, yb+b.i AS yb FROM w, o a, o b GROUP BY 1,2,3 HAVING COUNT(*)=9) SELECT e.* FROM e JOIN g ON e.cond=g.cond AND e.xb=g.xb AND e.yb=g.yb")
+UNIT_SUMS = SUMS.replace("cond", "u")
+
+
+def _unit_sums(spark, d):
+    return activity(spark, d).groupBy("u", S.uniform_bin("x", 0, 10000).alias("xb"), F.col("ln").alias("yb")).agg(F.sum("fr").alias("v"))
+
+
+@query("m1_field_mask", f"WITH {ACT}, {UNIT_SUMS}, o AS (SELECT UNNEST([-1,0,1]) AS i), f AS (SELECT u, xb, yb FROM g QUALIFY v>=0.5*MAX(v) OVER (PARTITION BY u)), w AS (SELECT DISTINCT u, xb+a.i AS xb, yb+b.i AS yb FROM f, o a, o b), e AS (SELECT u, xb+a.i AS xb, yb+b.i AS yb FROM w, o a, o b GROUP BY 1,2,3 HAVING COUNT(*)=9) SELECT e.* FROM e JOIN g ON e.u=g.u AND e.xb=g.xb AND e.yb=g.yb")
 def m1(spark, d):
-    return M.field_mask(_sums(spark, d), ["cond"], "v", 0.5)
+    return M.field_mask(_unit_sums(spark, d), ["u"], "v", 0.5)
 
 
-@query("m4_grid_score", f"""WITH {ACT}, {SUMS}, p AS (SELECT a.cond, b.xb-a.xb AS dx, b.yb-a.yb AS dy, SUM(a.v*b.v) AS s FROM g a JOIN g b ON a.cond=b.cond GROUP BY 1,2,3),
-k AS (SELECT p.cond, p.dx, p.dy, p.s FROM p JOIN p q ON p.cond=q.cond AND ABS(p.dx-q.dx)<=1 AND ABS(p.dy-q.dy)<=1 GROUP BY 1,2,3,4 HAVING p.s>=MAX(q.s)),
-c AS (SELECT k.* FROM k JOIN p z ON z.cond=k.cond AND z.dx=0 AND z.dy=0 WHERE (k.dx<>0 OR k.dy<>0) AND k.s>0.01*z.s QUALIFY ROW_NUMBER() OVER (PARTITION BY k.cond ORDER BY k.dx*k.dx+k.dy*k.dy, k.dx, k.dy)<=6),
-h AS (SELECT cond, AVG(SQRT(dx*dx+dy*dy)) AS scale, MIN(ABS(ATAN2(dy,dx))) AS phase FROM c GROUP BY cond HAVING COUNT(*)>=2),
-t AS (SELECT p.cond, p.s, i, CAST(FLOOR(p.dx*COS(i*PI()/6)-p.dy*SIN(i*PI()/6)+0.5+1e-9) AS BIGINT) AS tx, CAST(FLOOR(p.dx*SIN(i*PI()/6)+p.dy*COS(i*PI()/6)+0.5+1e-9) AS BIGINT) AS ty FROM p JOIN h ON p.cond=h.cond, UNNEST(range(1,6)) AS q(i) WHERE SQRT(p.dx*p.dx+p.dy*p.dy) BETWEEN 0.5*scale AND 2*scale),
-r AS (SELECT t.cond, t.i, CORR(t.s, COALESCE(p.s,0)) AS r FROM t LEFT JOIN p ON p.cond=t.cond AND p.dx=t.tx AND p.dy=t.ty GROUP BY 1,2)
-SELECT h.cond, ROUND(AVG(CASE WHEN i%2=0 THEN r END)-AVG(CASE WHEN i%2=1 THEN r END),5) AS score, ROUND(MIN(scale),5) AS scale, ROUND(MIN(phase),5) AS phase FROM r JOIN h ON r.cond=h.cond GROUP BY h.cond""")
+@query("m4_grid_score", f"""WITH {ACT}, {UNIT_SUMS}, f AS (SELECT * FROM g QUALIFY v>=0.6*MAX(v) OVER (PARTITION BY u)), p AS (SELECT a.u, b.xb-a.xb AS dx, b.yb-a.yb AS dy, SUM(a.v*b.v) AS s FROM f a JOIN f b ON a.u=b.u GROUP BY 1,2,3),
+k AS (SELECT p.u, p.dx, p.dy, p.s FROM p JOIN p q ON p.u=q.u AND ABS(p.dx-q.dx)<=1 AND ABS(p.dy-q.dy)<=1 GROUP BY 1,2,3,4 HAVING p.s>=MAX(q.s)),
+c AS (SELECT k.* FROM k JOIN p z ON z.u=k.u AND z.dx=0 AND z.dy=0 WHERE (k.dx<>0 OR k.dy<>0) AND k.s>0.01*z.s QUALIFY ROW_NUMBER() OVER (PARTITION BY k.u ORDER BY k.dx*k.dx+k.dy*k.dy, k.dx, k.dy)<=6),
+h AS (SELECT u, AVG(SQRT(dx*dx+dy*dy)) AS scale, MIN(ABS(ATAN2(dy,dx))) AS phase FROM c GROUP BY u HAVING COUNT(*)>=2),
+t AS (SELECT p.u, p.s, i, CAST(FLOOR(p.dx*COS(i*PI()/6)-p.dy*SIN(i*PI()/6)+0.5+1e-9) AS BIGINT) AS tx, CAST(FLOOR(p.dx*SIN(i*PI()/6)+p.dy*COS(i*PI()/6)+0.5+1e-9) AS BIGINT) AS ty FROM p JOIN h ON p.u=h.u, UNNEST(range(1,6)) AS q(i) WHERE SQRT(p.dx*p.dx+p.dy*p.dy) BETWEEN 0.5*scale AND 2*scale),
+r AS (SELECT t.u, t.i, COVAR_POP(t.s, COALESCE(p.s,0))/NULLIF(STDDEV_POP(t.s)*STDDEV_POP(COALESCE(p.s,0)),0) AS r FROM t LEFT JOIN p ON p.u=t.u AND p.dx=t.tx AND p.dy=t.ty GROUP BY 1,2)
+SELECT h.u, ROUND(AVG(CASE WHEN i%2=0 THEN r END)-AVG(CASE WHEN i%2=1 THEN r END),5) AS score, ROUND(MIN(scale),5) AS scale, ROUND(MIN(phase),5) AS phase FROM r JOIN h ON r.u=h.u GROUP BY h.u""")
 def m4(spark, d):
-    g = M.grid_score(_sums(spark, d), ["cond"], "v")
-    return g.select("cond", *[F.round(c, 5).alias(c) for c in ("score", "scale", "phase")])
+    """Of each unit's map the bins of at least 0.6 of its maximum count, or the mean would hide every peak but the centre."""
+    m = _unit_sums(spark, d)
+    high = m.join(m.groupBy("u").agg(F.max("v").alias("top")), "u").filter("v >= 0.6D * top")
+    g = M.grid_score(high, ["u"], "v")
+    return g.select("u", *[F.round(c, 5).alias(c) for c in ("score", "scale", "phase")])
