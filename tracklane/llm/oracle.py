@@ -36,4 +36,37 @@ f AS (SELECT *, LEN(ls)-LEN(LIST_DISTINCT(ls)) AS n_dup_lines, n_words<20 OR 100
 t AS (SELECT *, n_repeat_words/n AS repeat_ratio, word_chars/n AS mean_word_chars, n_symbols/n AS symbol_ratio, shouts/n AS shout_ratio, stops/n AS stop_ratio, n_dup_lines/NULLIF(LEN(ls),0)::DOUBLE AS dup_line_ratio FROM f)
 SELECT doc_id, n_words, COALESCE(word_chars,0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_KEPT} AS kept FROM t"""
 
-ORACLE = {"op3_line_dedup": LINE_DEDUP, "op6_substring_dedup": SUBSTRING_DEDUP, "op7_chat_format": CHAT_FORMAT, "op10_quality_rules": QUALITY}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LEXICAL_SEARCH = f"""WITH {DOCS}, t AS (SELECT rid, doc_id, REGEXP_EXTRACT_ALL(TRANSLATE(text,'{UPPER}','{LOWER}'),'{TERM}') AS ts FROM d),
+c AS (SELECT COUNT(*) AS n_docs, CAST(SUM(LEN(ts)) AS BIGINT) AS n_terms FROM t WHERE LEN(ts)>0),
+q AS (SELECT item_id, term, COUNT(*) AS qtf FROM (SELECT item_id, UNNEST(REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text,''),'{UPPER}','{LOWER}'),'{TERM}')) AS term FROM benchmark) GROUP BY item_id, term),
+p AS (SELECT rid, doc_id, n, term, COUNT(*) AS tf FROM (SELECT rid, doc_id, LEN(ts) AS n, UNNEST(ts) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY rid, doc_id, n, term),
+w AS (SELECT term, CAST(FLOOR(1000*LN((2*n_docs+2)/(2*COUNT(*)+1)::DOUBLE)) AS BIGINT) AS w FROM p, c GROUP BY term, n_docs),
+s AS (SELECT item_id, rid, doc_id, CAST(SUM(qtf*w*((1000000000*tf)//(1000*tf+8*(100-75+((75*n*n_docs)//n_terms))))) AS BIGINT) AS score FROM p JOIN q USING (term) JOIN w USING (term), c GROUP BY item_id, rid, doc_id),
+r AS (SELECT item_id, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score>0)
+SELECT * FROM r WHERE rank<=10"""
+
+#: crc32 byte by byte: 0xEDB88320 is the reflected polynomial; runs have code points below 256, so at most two bytes of UTF-8.
+SPELLING = f"""WITH RECURSIVE tab AS (SELECT LIST(v ORDER BY i) AS tab FROM (SELECT i, LIST_REDUCE([i,0,0,0,0,0,0,0,0], lambda a, b: CASE WHEN a&1=1 THEN XOR(a>>1,3988292384) ELSE a>>1 END) AS v FROM RANGE(256) q(i))),
+o AS (SELECT doc_id, run, COUNT(*) AS k FROM (SELECT doc_id, UNNEST(REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text,''),'{UPPER}','{LOWER}'),'[a-zÀ-ÿ]+')) AS run FROM documents) WHERE LENGTH(run)>=6 GROUP BY doc_id, run),
+b AS (SELECT run, k, FLATTEN(LIST_TRANSFORM(STRING_SPLIT(COALESCE(doc_id::VARCHAR,'')||':'||run,''), lambda x: CASE WHEN UNICODE(x)<128 THEN [UNICODE(x)::BIGINT] ELSE [195::BIGINT, UNICODE(x)-64] END)) AS bytes FROM o),
+h AS (SELECT run, k, XOR(LIST_REDUCE(LIST_PREPEND(4294967295,bytes), lambda a, x: XOR(a>>8,tab[CAST(XOR(a&255,x) AS INTEGER)+1])),4294967295) AS h FROM b, tab),
+v AS (SELECT word, CAST(SUM(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h%199=0 THEN run[1:h%LENGTH(run)]||run[h%LENGTH(run)+2:] ELSE run END AS word FROM h) WHERE LENGTH(word)>=6 GROUP BY word HAVING SUM(k)>=5),
+x AS (SELECT word, n, i, word[1:i-1]||'*'||word[i+1:] AS swap, word[1:i-1]||word[i+1:] AS less FROM v, UNNEST(RANGE(1,LENGTH(word)+1)) AS q(i)),
+e AS (SELECT DISTINCT a.word AS a, b.word AS b FROM x a JOIN x b ON a.swap=b.swap AND a.i=b.i WHERE a.word<>b.word UNION SELECT a.word, b.word FROM x a JOIN v b ON a.less=b.word UNION SELECT b.word, a.word FROM x a JOIN v b ON a.less=b.word),
+m AS (SELECT a AS word, COUNT(*) AS n_near, MAX(v.n) AS top FROM e JOIN v ON e.b=v.word GROUP BY a),
+g AS (SELECT m.word, n_near, top, MIN(b) AS best FROM m JOIN e ON m.word=e.a JOIN v ON v.word=e.b AND v.n=m.top GROUP BY m.word, n_near, top),
+f AS (SELECT v.word, CASE WHEN top>=5*v.n THEN best END AS form, v.n, COALESCE(n_near,0) AS n_near, CASE WHEN top>=5*v.n THEN top END AS form_n FROM v LEFT JOIN g ON v.word=g.word),
+t(word, root) AS (SELECT word, word FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON t.root=f.word WHERE f.form IS NOT NULL),
+z AS (SELECT t.word, t.root FROM t JOIN f ON t.root=f.word WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z ON f.word=z.word"""
+
+ORACLE = {
+    "op3_line_dedup": LINE_DEDUP,
+    "op6_substring_dedup": SUBSTRING_DEDUP,
+    "op7_chat_format": CHAT_FORMAT,
+    "op10_quality_rules": QUALITY,
+    "op11_lexical_search": LEXICAL_SEARCH,
+    "op12_spelling_variants": SPELLING,
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm import anchor_dedup, bpe, chat_format, decontaminate, html_crf, line_dedup, pitman_yor, quality_rules, simhash_dedup, suffix_dedup
+from tracklane.llm import anchor_dedup, bpe, chat_format, decontaminate, html_crf, lexical_search, line_dedup, ngram_join, pitman_yor, quality_rules, simhash_dedup, spelling_variants, suffix_dedup
 from tracklane.llm.oracle import ORACLE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -78,6 +78,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"q_{x}").alias(x) for x in names], bad.alias("base_failed"), (~bad & quality_rules.verdict()).alias("kept"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"), drop_every=199)
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +108,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8,
         "op9_suffix_dedup": op9,
         "op10_quality_rules": op10,
+        "op11_lexical_search": op11,
+        "op12_spelling_variants": op12,
+        "op13_ngram_join": op13,
         "pipeline": pipeline,
     }
 
