@@ -13,9 +13,10 @@ of the first n - ceil(t % of n) + k. Three orders are used:
    so that every pair that sizes allow meets in a band. A key of many members is cut into blocks, and pairs of blocks are
    cells: a cell holds a bounded number of members and tokens, and a hot key becomes many tasks.
 3. In a cell pairs pass if they share enough prefix tokens in all three orders; what leaves it are the members with such a
-   partner, not the pairs.
-4. Only for these nodes the texts are read again for their whole sets. Cells are formed anew, overlaps are counted exactly
-   for the pairs that pass, and a cell sends the links of a spanning forest. Connected components follow.
+   partner, each with the one that has most (its hub), not the pairs.
+4. Only for these nodes the texts are read again for their whole sets. Overlaps of members with their hubs are counted
+   exactly, a number of pairs that grows with the members. Keys whose members are still in several components form cells
+   anew, there all overlaps are counted, and a cell sends the links of a spanning forest.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing, not even each other; texts of
 fewer words than an n-gram have one token, the whole sequence; repeated rows and rows of one set are in one component; null
@@ -186,12 +187,13 @@ def passing(n: np.ndarray, parts: list[list[np.ndarray]], percent: int) -> np.nd
 def cells(keys: DataFrame, percent: int) -> DataFrame:
     """(cell, node) of keys (key, node, n): every two members of a key whose sizes allow a link are in one cell, at least.
 
-    A member is in the band of its size and in the next one, as a partner's size is at most 100 / percent times its own.
+    A member is at home in the band of its size and visits the next one, as a partner's size is at most 100 / percent times
+    its own. A band that nobody is at home in has only pairs that meet elsewhere.
     """
     band = F.floor(F.ln(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9)))
-    rows = keys.select("key", "node", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    rows = keys.select("key", "node", "n", F.inline(F.array(F.struct(band.alias("band"), F.lit(1).alias("home")), F.struct((band + 1).alias("band"), F.lit(0).alias("home")))))
     who = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"m{i}") for i in range(2)]
-    groups = rows.groupBy("key", "band").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), *who).filter("members > 1")
+    groups = rows.groupBy("key", "band").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.max("home").alias("home"), *who).filter("members > 1 and home = 1")
     groups = groups.groupBy("members", "tokens", "m0", "m1").agg(F.min(F.struct("key", "band")).alias("k")).select(F.col("k.key").alias("key"), F.col("k.band").alias("band"), F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     dealt = rows.join(groups, ["key", "band"]).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     # the cells of block b: pairs (b, other), smaller first
@@ -238,18 +240,27 @@ def _distinct_members(table: pa.Table) -> pa.Table:
 
 
 def candidates(nodes: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n): keys under which a node has a partner that passes the filters of all orders."""
+    """(key, node, n, hub): keys under which a node has partners that pass the filters of all orders, and the partner that has most itself."""
 
     def each(t: pa.Table):
         t = _distinct_members(t)
-        n = t["n"].to_numpy()
+        n, node = t["n"].to_numpy(), t["node"].to_numpy()
         ok = passing(n, [_lists(t, c) for c in ("rare", "low", "high")], percent)
         np.fill_diagonal(ok, False)
         some = ok.any(axis=1)
-        return t["key"].to_numpy()[some], t["node"].to_numpy()[some], n[some]
+        hub = np.argmax(ok * (1 + ok.sum(axis=1))[None, :], axis=1)
+        return t["key"].to_numpy()[some], node[some], n[some], node[hub[some]]
 
     rows = cells(keys, percent).join(nodes, "node").select("cell", "key", "node", "n", "rare", "low", "high")
-    return _by_cell(rows, each, "key bigint, node bigint, n bigint").distinct()
+    return _by_cell(rows, each, "key bigint, node bigint, n bigint, hub bigint")
+
+
+def hub_links(sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members and hubs whose sets are similar enough."""
+    pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}"))
+    both = F.size(F.array_intersect("ta", "tb"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
 def forest(a: np.ndarray, b: np.ndarray, size: int) -> list[int]:
@@ -302,8 +313,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     near = written(candidates(keyed, keys, percent), "ngram-candidates")
     wanted = rows.join(near.select("node").distinct(), "node", "left_semi").select("node", F.coalesce("id", F.lit(LOWEST)).alias("key"), "th")
     texts = docs.select(F.coalesce("id", F.lit(LOWEST)).alias("key"), "th", "text").join(wanted, ["key", "th"])
-    sets = whole_sets(texts.dropDuplicates(["key", "th", "node"]), width)  # repeated rows
-    groups = written(connected_components(links(sets, near, percent)), "ngram-components")
+    sets = written(whole_sets(texts.dropDuplicates(["key", "th", "node"]), width), "ngram-sets")  # repeated rows
+    sure = written(hub_links(sets, near, percent), "ngram-links")
+    part = connected_components(sure).select("node", "component")
+    members = near.select("key", "node", "n").distinct().join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parted = members.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("c > 2 and lo < hi").select("key")
+    rest = links(sets, written(members.join(parted, "key").select("key", "node", "n"), "ngram-parted"), percent)
+    groups = written(connected_components(sure.unionByName(rest)), "ngram-components")
     lowest = groups.join(heads, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     of_set = heads.join(groups, "node", "left").join(lowest, "component", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     linked = rows.filter("n > 0").join(of_set, "digest").select("id", "n", "component_id")
