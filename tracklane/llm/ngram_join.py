@@ -1,22 +1,20 @@
 """N-gram Jaccard join: prefix filters under several global token orders, intersected before verification.
 
 Texts are sets of word n-grams, told apart by 64-bit hashes. Two sets of a Jaccard similarity of t percent share at least
-ceil(t % of the larger) tokens, so under any order of all tokens they share one of their first n - ceil(t % of n) + 1, and k
-of the first n - ceil(t % of n) + k. Three orders are used:
-
-- rarest first, by an upper bound of how many sets hold a token: the least of the counts of its words and of its own hash in
-  tables of SLOTS counters (a fixed size, whatever the corpus). One shared token is asked for.
-- by hash, and by hash backwards, with k of 2 % of the tokens.
+ceil(t % of the larger) tokens, so under any order of all tokens they share k of their first n - ceil(t % of n) + k. Three
+orders are used: by hash, by hash backwards, and rarest first by an upper bound of how many sets hold a token: the least of
+the counts of its words and of its own hash in tables of SLOTS counters (a fixed size, whatever the corpus).
 
 1. Sets: texts with the same set are one node (128-bit digest of the sorted hashes); prefixes are written, whole sets not.
-2. Rarest-first prefix tokens are keys. Keys of the same members are one, and members of a key are parted by bands of size,
-   so that every pair that sizes allow meets in a band. A key of many members is cut into blocks, and pairs of blocks are
-   cells: a cell holds a bounded number of members and tokens, and a hot key becomes many tasks.
-3. In a cell pairs pass if they share enough prefix tokens in all three orders; what leaves it are the members with such a
-   partner, each with the one that has most (its hub), not the pairs.
-4. Only for these nodes the texts are read again for their whole sets. Overlaps of members with their hubs are counted
-   exactly, a number of pairs that grows with the members. Keys whose members are still in several components form cells
-   anew, there all overlaps are counted, and a cell sends the links of a spanning forest.
+2. Rarest-first prefix tokens that two nodes hold are keys. A node of fewer than k keys has no partner; of the others the
+   rarest, all but k - 1, are enough, as the keys that a pair shares can't all be among the k - 1 others.
+3. Members of a key are parted by bands of size, so that every pair that sizes allow meets in a band. Nodes are compared by
+   connected component of what shares a key, where a node is sent once for each block, or by keys where that sends fewer
+   tokens. Groups of many members are cut into blocks, and pairs of blocks are cells: a cell holds a bounded number of
+   members and tokens, and a hot key becomes many tasks. In a cell pairs pass if they share enough prefix tokens in all
+   three orders; what leaves it is a spanning forest of these pairs, not the pairs.
+4. Only for the nodes in it the texts are read again for their whole sets, and these are compared likewise, by component or
+   by group of the pairs that passed. A cell counts all overlaps exactly and sends the links of a spanning forest.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing, not even each other; texts of
 fewer words than an n-gram have one token, the whole sequence; repeated rows and rows of one set are in one component; null
@@ -34,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import Batch, connected_components, shuffle_partitions, window_hashes, written
+from tracklane.llm.common import Batch, connected_components, release, shuffle_partitions, window_hashes, written
 
 #: Counters of the words' and of the tokens' table. Two tables of 64-bit counters are 4 MB.
 SLOTS = 1 << 18
@@ -46,8 +44,8 @@ BLOCK_ROWS, BLOCK_TOKENS = 512, 1 << 21
 CHUNK = 1 << 21
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 2048
-#: Share of the tokens, in percent, that the second and third order ask for.
-DEEPER = 2
+#: Shares of the tokens, in percent, that prefixes of the three orders must share.
+DEEPER = (5, 2, 2)
 LOWEST = -(1 << 63)
 
 
@@ -109,12 +107,13 @@ def prefixes(h: np.ndarray, w: np.ndarray, counts: np.ndarray, percent: int) ->
     n = len(h)
     spare = n - least_overlap(n, percent)
     bound = np.minimum(counts[0][_slots(w)].min(axis=1), counts[1][_slots(h)])
-    deep = spare + deeper(n)
-    return [h[np.lexsort((h, bound))[: spare + 1]], h[:deep], h[max(0, n - deep) :]]
+    rare, low, high = (spare + asked(n, i) for i in range(3))
+    return [h[np.lexsort((h, bound))[:rare]], h[:low], h[max(0, n - high) :]]
 
 
-def deeper(n):
-    return n * DEEPER // 100 + 1
+def asked(n, order: int):
+    """Tokens that prefixes of an order must share."""
+    return n * DEEPER[order] // 100 + 1
 
 
 def described(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -176,29 +175,61 @@ def passing(n: np.ndarray, parts: list[list[np.ndarray]], percent: int) -> np.nd
     """Matrix of the pairs that sizes and the prefixes of all orders allow."""
     need = least_overlap(n, percent)
     ok = np.minimum.outer(n, n) >= np.maximum.outer(need, need)
-    k = deeper(n)
-    for asked, sets in zip((1, np.minimum.outer(k, k), np.minimum.outer(k, k)), parts):
+    for order, sets in enumerate(parts):
         if not np.triu(ok, 1).any():
             break
-        ok &= overlaps(sets) >= asked
+        ok &= overlaps(sets) >= np.minimum.outer(asked(n, order), asked(n, order))
+    np.fill_diagonal(ok, False)
     return ok
 
 
-def cells(keys: DataFrame, percent: int) -> DataFrame:
-    """(cell, node) of keys (key, node, n): every two members of a key whose sizes allow a link are in one cell, at least.
-
-    A member is at home in the band of its size and visits the next one, as a partner's size is at most 100 / percent times
-    its own. A band that nobody is at home in has only pairs that meet elsewhere.
+def spanning(ok: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix a neighbour on the way to its component's first row; itself for that one, -1 without neighbours."""
+    up = np.full(len(ok), -1)
+    for i in np.flatnonzero(ok.any(axis=1)).tolist():
+        if up[i] < 0:
+            up[i], todo = i, [i]
+            while todo:
+                j = todo.pop()
+                new = np.flatnonzero(ok[j] & (up < 0))
+                up[new] = j
+                todo += new.tolist()
+    return up
+
+
+def live_keys(prefix: DataFrame) -> DataFrame:
+    """(key, node, n) of prefixes (node, n, rare): the keys under which every pair that shares enough of them meets."""
+    rows = prefix.select("node", "n", F.explode("rare").alias("key"))
+    held = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    of_node = rows.join(held, "key").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "key"))).alias("ks"))  # a part of the node's own tokens
+    spare = F.size("ks") - F.floor(F.col("n") * DEEPER[0] / 100).cast("int")
+    return of_node.filter(spare > 0).select("node", "n", F.explode(F.slice("ks", F.lit(1), spare)).alias("k")).select("k.key", "node", "n")
+
+
+def banded(keys: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, other) of keys (key, node, n) parted by size, each with the band's first member: one is at home in the band of its size and visits the next one, as a
+    partner's size is at most 100 / percent times its own. A band that nobody is at home in has only pairs that meet elsewhere.
     """
     band = F.floor(F.ln(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9)))
-    rows = keys.select("key", "node", "n", F.inline(F.array(F.struct(band.alias("band"), F.lit(1).alias("home")), F.struct((band + 1).alias("band"), F.lit(0).alias("home")))))
+    both = F.inline(F.array(F.struct(band.alias("band"), F.lit(1).alias("home")), F.struct((band + 1).alias("band"), F.lit(0).alias("home"))))
+    rows = keys.select("key", "node", "n", both).select(F.xxhash64("key", "band").alias("key"), "node", "n", "home")
+    groups = rows.groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("h"), F.min("node").alias("other")).filter("c > 1 and h = 1")
+    return rows.join(groups.select("key", "other"), "key").select("key", "node", "n", "other")
+
+
+def n_blocks(members, tokens):
+    return F.greatest(F.ceil(members / BLOCK_ROWS), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
+
+
+def cells(keys: DataFrame) -> DataFrame:
+    """(cell, key, node) of keys (key, node, n): every two members of a key are in one cell, at least."""
     who = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"m{i}") for i in range(2)]
-    groups = rows.groupBy("key", "band").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.max("home").alias("home"), *who).filter("members > 1 and home = 1")
-    groups = groups.groupBy("members", "tokens", "m0", "m1").agg(F.min(F.struct("key", "band")).alias("k")).select(F.col("k.key").alias("key"), F.col("k.band").alias("band"), F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    dealt = rows.join(groups, ["key", "band"]).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    groups = keys.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), *who).filter("members > 1")
+    groups = groups.groupBy("members", "tokens", "m0", "m1").agg(F.min("key").alias("key")).select("key", n_blocks(F.col("members"), F.col("tokens")).alias("blocks"))
+    dealt = keys.join(groups, "key").withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     # the cells of block b: pairs (b, other), smaller first
-    dealt = dealt.select("key", "node", "band", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return dealt.select(F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", "node")
+    dealt = dealt.select("key", "node", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", "node")
 
 
 def _by_cell(rows: DataFrame, each, schema: str) -> DataFrame:
@@ -239,60 +270,48 @@ def _distinct_members(table: pa.Table) -> pa.Table:
     return table if len(first) == len(node) else table.take(pa.array(np.sort(first)))
 
 
-def candidates(nodes: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n, hub): keys under which a node has partners that pass the filters of all orders, and the partner that has most itself."""
+def candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, other): members of groups that have partners which pass the filters of all orders, with one on the way
+    to the first of them (itself for that one), so that these links hold all connections between candidates.
+    """
 
     def each(t: pa.Table):
         t = _distinct_members(t)
         n, node = t["n"].to_numpy(), t["node"].to_numpy()
-        ok = passing(n, [_lists(t, c) for c in ("rare", "low", "high")], percent)
-        np.fill_diagonal(ok, False)
-        some = ok.any(axis=1)
-        hub = np.argmax(ok * (1 + ok.sum(axis=1))[None, :], axis=1)
-        return t["key"].to_numpy()[some], node[some], n[some], node[hub[some]]
-
-    rows = cells(keys, percent).join(nodes, "node").select("cell", "key", "node", "n", "rare", "low", "high")
-    return _by_cell(rows, each, "key bigint, node bigint, n bigint, hub bigint")
-
+        up = spanning(passing(n, [_lists(t, c) for c in ("rare", "low", "high")], percent))
+        some = up >= 0
+        return t["key"].to_numpy()[some], node[some], n[some], node[up[some]]
 
-def hub_links(sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members and hubs whose sets are similar enough."""
-    pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    rows = cells(groups).join(nodes, "node").select("cell", "key", "node", "n", "rare", "low", "high")
+    return _by_cell(rows, each, "key bigint, node bigint, n bigint, other bigint")
 
 
-def forest(a: np.ndarray, b: np.ndarray, size: int) -> list[int]:
-    """Positions of links that join two groups so far."""
-    up, out = list(range(size)), []
+def groups_to_compare(near: DataFrame) -> DataFrame:
+    """(key, node, n): the components of links (key, node, n, other), or their keys where these send fewer tokens to cells."""
+    part = written(connected_components(near, "node", "other").select("node", "component"), "ngram-parts")
+    by_key = near.select("key", "node", "n").distinct().join(part, "node").select(F.xxhash64("key", "component").alias("key"), "node", "n", "component")
+    by_part = near.select("node", "n").distinct().join(part, "node").select("component", "node", "n")
+    sent = F.sum("n") * n_blocks(F.count("*"), F.sum("n"))
+    cost = by_key.groupBy("component", "key").agg(sent.alias("s")).groupBy("component").agg(F.sum("s").alias("keys"))
+    cost = cost.join(by_part.groupBy("component").agg(sent.alias("part")), "component").select("component", (F.col("keys") < F.col("part")).alias("split"))
+    whole = by_part.join(cost.filter("not split"), "component").select(F.col("component").alias("key"), "node", "n")
+    return whole.unionByName(by_key.join(cost.filter("split"), "component").select("key", "node", "n"))
 
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
 
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = top(x), top(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append(i)
-    return out
-
-
-def links(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """(a, b): verified links that hold all connections between nodes."""
+def links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): verified links that hold all connections between the nodes of each group."""
 
     def each(t: pa.Table):
         t = _distinct_members(t)
         n, node = t["n"].to_numpy(), t["node"].to_numpy()
         both = overlaps(_lists(t, "tokens"))
-        a, b = np.nonzero(np.triu(100 * both >= percent * (np.add.outer(n, n) - both), 1))
-        kept = forest(a, b, len(n))
-        return node[a[kept]], node[b[kept]]
+        ok = 100 * both >= percent * (np.add.outer(n, n) - both)
+        np.fill_diagonal(ok, False)
+        up = spanning(ok)
+        some = up >= 0
+        return node[some], node[up[some]]
 
-    rows = cells(keys, percent).join(sets, "node").join(keys.select("node", "n").distinct(), "node").select("cell", "node", "n", "tokens")
+    rows = cells(groups).join(sets.withColumn("n", F.size("tokens").cast("bigint")), "node").select("cell", "node", "n", "tokens")
     return _by_cell(rows, each, "a bigint, b bigint")
 
 
@@ -306,20 +325,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     # one row of each set, that of the smallest id, is its node
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
     heads = written(rows.filter("n > 0").groupBy("digest").agg(first.alias("f")).select("digest", "f.id", "f.node"), "ngram-nodes")
-    keys = rows.select("node", "n", "rare").join(heads.select("node"), "node", "left_semi").select("node", "n", F.explode("rare").alias("key"))
-    live = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    keys = written(keys.join(live, "key").select("key", "node", "n"), "ngram-keys")
-    keyed = rows.select("node", "n", "rare", "low", "high").join(keys.select("node").distinct(), "node", "left_semi")
-    near = written(candidates(keyed, keys, percent), "ngram-candidates")
+    keys = written(live_keys(rows.select("node", "n", "rare").join(heads.select("node"), "node", "left_semi")), "ngram-keys")
+    groups = written(groups_to_compare(written(banded(keys, percent), "ngram-bands")), "ngram-groups")
+    release(docs.sparkSession)
+    keyed = rows.select("node", "n", "rare", "low", "high").join(groups.select("node").distinct(), "node", "left_semi")
+    near = written(candidates(keyed, groups, percent), "ngram-candidates")
+    release(docs.sparkSession)
+    compared = written(groups_to_compare(near), "ngram-compared")
     wanted = rows.join(near.select("node").distinct(), "node", "left_semi").select("node", F.coalesce("id", F.lit(LOWEST)).alias("key"), "th")
     texts = docs.select(F.coalesce("id", F.lit(LOWEST)).alias("key"), "th", "text").join(wanted, ["key", "th"])
     sets = written(whole_sets(texts.dropDuplicates(["key", "th", "node"]), width), "ngram-sets")  # repeated rows
-    sure = written(hub_links(sets, near, percent), "ngram-links")
-    part = connected_components(sure).select("node", "component")
-    members = near.select("key", "node", "n").distinct().join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parted = members.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("c > 2 and lo < hi").select("key")
-    rest = links(sets, written(members.join(parted, "key").select("key", "node", "n"), "ngram-parted"), percent)
-    groups = written(connected_components(sure.unionByName(rest)), "ngram-components")
+    release(docs.sparkSession)
+    groups = written(connected_components(links(sets, compared, percent)), "ngram-components")
     lowest = groups.join(heads, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     of_set = heads.join(groups, "node", "left").join(lowest, "component", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     linked = rows.filter("n > 0").join(of_set, "digest").select("id", "n", "component_id")
