@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from math import factorial, pi
+from functools import reduce
+from math import factorial, log, pi
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,18 +53,33 @@ def chi2_tail_even(x, half_df: int) -> Column:
     return F.exp(-h) * total
 
 
+#: Nodes and weights on 0 .. 1 of the quadrature that student_tail uses.
+_NODES = [((x + 1) / 2, w / 2) for x, w in zip(*(a.tolist() for a in np.polynomial.legendre.leggauss(64)))]
+
+
+def gamma_step(n) -> Column:
+    """Gamma(n + 1/2) / Gamma(n) for n > 0: Stirling's series at n + 16, stepped down."""
+    n, m = col(n), col(n) + 16
+    down = reduce(lambda a, i: a * ((n + i) / (n + i + 0.5)), range(16), F.lit(1.0))
+    return down * F.sqrt(m) * (1 - 1 / (8 * m) + 1 / (128 * m * m) + 5 / (1024 * F.pow(m, 3)) - 21 / (32768 * F.pow(m, 4)) - 399 / (262144 * F.pow(m, 5)))
+
+
 def student_tail(t, df) -> Column:
-    """Two-sided p of Student's t with whole degrees of freedom: the finite cosine series, beyond 1,000 the normal tail of a corrected t."""
-    o, c2, tt = F.pmod(col(df), F.lit(2)), col(df) / (col(df) + col(t) * col(t)), F.abs(col(t))
-    last = ((col(df) - 2 - o) / 2).cast("int")
-    first = F.when(o == 1, F.sqrt(c2)).otherwise(F.lit(1.0))
-    steps = F.when((last >= 1) & (col(df) <= 1000), F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    term = lambda a, k: a["term"] * c2 * (2 * k - 1 + o) / (2 * k + o)
-    total = F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), lambda a, k: F.struct(term(a, k).alias("term"), (a["sum"] + term(a, k)).alias("sum")), lambda a: a["sum"])
-    theta, sine = F.atan(tt / F.sqrt(col(df))), tt / F.sqrt(col(df) + tt * tt)
-    inner = F.when(col(df) == 1, 2 * theta / pi).when(o == 1, 2 / pi * (theta + sine * total)).otherwise(sine * total)
-    wide = normal_tail(tt * (1 - 1 / (4 * col(df))) / F.sqrt(1 + tt * tt / (2 * col(df))))
-    return F.when(col(df) > 1000, wide).when(col(df) >= 1, F.greatest(F.lit(0.0), 1 - inner))
+    """Two-sided p of Student's t with any df > 0 degrees of freedom, whole or not; null otherwise.
+
+    With s = sqrt(df) sinh(y) the density is a multiple of cosh(y)^-df, which is integrated over 0 .. asinh(|t| / sqrt(df)) by a
+    fixed number of nodes; the range ends where the density is below 1e-18 of its peak. Absolute error below 1e-10 for |t| up to 1e4.
+    """
+    d = col(df).cast("double")
+    a = F.abs(col(t).cast("double")) / F.sqrt(d)
+    end = F.least(F.ln(a + F.sqrt(a * a + 1)), 41.5 / d + F.ln(1 + F.sqrt(1 - F.exp(-83 / d))))  # acosh(exp(41.5 / d))
+    nodes = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in _NODES])
+    # lambdas see nothing but their own variables: a column captured there could be taken for a new one of the same name
+    density = lambda v, y: F.exp(-v["d"] * (y + F.log1p(F.exp(-2 * y)) - log(2)))
+    area = lambda v: v["end"] * F.aggregate(nodes, F.lit(0.0), lambda sum_, n: sum_ + n["w"] * density(v, v["end"] * n["x"]))
+    tail = lambda v: F.greatest(F.lit(0.0), 1 - v["c"] * area(v))
+    given = F.struct(d.alias("d"), end.alias("end"), (2 / pi**0.5 * gamma_step(d / 2)).alias("c"))
+    return F.when(d > 0, F.transform(F.array(given), tail)[0])
 
 
 def rotate(x, y, angle) -> tuple[Column, Column]:

@@ -73,18 +73,20 @@ def autocorrelation(bins: DataFrame, keys, value, x: str = "xb", y: str = "yb")
     return a.join(b, keys).groupBy(*keys, (F.col("bx") - F.col("ax")).alias("dx"), (F.col("by") - F.col("ay")).alias("dy")).agg(F.sum(F.col("av") * F.col("bv")).alias("s"))
 
 
-def grid_score(bins: DataFrame, keys, value, floor: float = 0.01, inner: float = 0.5, outer: float = 2.0, x: str = "xb", y: str = "yb") -> DataFrame:
+def grid_score(bins: DataFrame, keys, value, floor: float = 0.01, inner: float = 0.5, outer: float = 2.0, x: str = "xb", y: str = "yb", tie: float = 0.0, digits: int | None = None) -> DataFrame:
     """(keys, score, scale, phase) from the map's autocorrelation.
 
     Peaks are cells above `floor` of the centre and not below any of their eight neighbours. The six nearest to the centre
     (ties by dx, dy) give the scale, their mean distance, and the phase, the smallest angle from the x axis. The ring of
     inner .. outer scales is turned by 30 .. 150 degrees onto the nearest cell (0 outside the map) and correlated with
     itself, where both vary: the score is the mean at 60 and 120 less that at 30, 90 and 150 degrees. Maps with under two peaks have none.
+    For values that are not whole, sums are rounded to `digits` and cells within `tie` of their neighbours count as peaks.
     """
-    ac = cut(autocorrelation(bins, keys, value, x, y))
+    ac = autocorrelation(bins, keys, value, x, y)
+    ac = cut(ac if digits is None else ac.withColumn("s", F.round("s", digits)))
     near = neighbours(ac, 1, "dx", "dy").groupBy(*keys, F.col("cx").alias("dx"), F.col("cy").alias("dy")).agg(F.max("s").alias("_top"))
     centre = ac.filter("dx = 0 and dy = 0").select(*keys, F.col("s").alias("_s0"))
-    peaks = ac.filter("dx <> 0 or dy <> 0").join(near, [*keys, "dx", "dy"]).join(centre, keys).filter((F.col("s") >= F.col("_top")) & (F.col("s") > floor * F.col("_s0")))
+    peaks = ac.filter("dx <> 0 or dy <> 0").join(near, [*keys, "dx", "dy"]).join(centre, keys).filter((F.col("s") >= F.col("_top") - tie) & (F.col("s") > floor * F.col("_s0")))
     order = Window.partitionBy(*keys).orderBy(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), "dx", "dy")
     angle = F.abs(F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")))
     scale = peaks.withColumn("_k", F.row_number().over(order)).filter("_k <= 6").groupBy(*keys).agg(F.avg(F.hypot("dx", "dy")).alias("scale"), F.min(angle).alias("phase"), F.count("*").alias("_n")).filter("_n >= 2").drop("_n")
