@@ -92,15 +92,6 @@ def test_windows_are_filed_once_in_pieces_of_any_size(monkeypatch):
         assert (start == want).all() and (p.x >= p.high).all() and (p.x < p.low + 100).all()
 
 
-def test_shared_passages(spark):
-    own = lambda n: " ".join(f"{R.random():.9f}" for _ in range(n))
-    passage = own(26)  # 285 bytes or more
-    d = spark.createDataFrame([(1, f"{own(60)} {passage} {own(50)}"), (2, f"{own(45)} {passage} {own(80)}"), (3, own(90)), (None, None)], "doc_id long, text string")
-    got = by_id(suffix_dedup.suffix_dedup(d))
-    assert got[1].n_shared == got[2].n_shared >= 150 and got[1].n_removed == 0 and got[3].n_shared == got[None].n_shared == 0
-    assert suffix_dedup.suffix_dedup(d.limit(0)).count() == 0
-
-
 def test_suffix_dedup(docs):
     got = by_id(suffix_dedup.suffix_dedup(docs, per_block=200))
     raw = [(t or "").encode() for t in TEXTS]
@@ -373,6 +364,33 @@ def test_tables_select_layouts_by_hash(spark, monkeypatch):
     assert list(chat_format.LAYOUTS[7].paths) in [sorted(p) for p in calls]
 
 
+def test_rows_select_layouts_by_hash(spark, monkeypatch):
+    rows = [(c, i, r, f"{r} {c}") for c in (0, 1, 2, None) for i, r in enumerate(("human", "bot", "model", "assistant"))] + [(4, 0, None, None), (5, 0, "user", None)]
+    d = spark.createDataFrame(rows, "c long, t int, role string, text string")
+    records = chat_format.in_layouts(d, "c", "t", "role", "text")
+    told = lambda x: {r.c: (r.layout, None if r.turns is None else [tuple(t) for t in r.turns]) for r in x.collect()}
+    plain = told(chat_format.turns_of_rows(records, chat_format.PLAIN))
+    assert {c: v[0] for c, v in plain.items()} == {0: "turns", 1: "messages", 2: "conversations", None: "turns", 4: "messages", 5: "conversations"}
+    for c in (0, 1, 2, None):  # roles as given
+        assert plain[c][1] == [(r, f"{r} {c}") for r in ("human", "bot", "model", "assistant")]
+    assert plain[4][1] == [("", "")] and plain[5][1] == [("user", "")]
+    named = told(chat_format.turns_of_rows(records))
+    assert [r for r, _ in named[1][1]] == ["user", "assistant", "assistant", "assistant"] and named[0] == plain[0]
+    other = records.withColumn("messages", F.lit(None).cast("string"))  # another type of field isn't the layout's
+    assert told(chat_format.turns_of_rows(other))[1] == (None, None)
+    own = chat_format.fingerprint
+    monkeypatch.setattr(chat_format, "fingerprint", lambda p: own(p) if isinstance(p, list | tuple) else own(["x"]))
+    assert set(told(chat_format.turns_of_rows(records, chat_format.PLAIN)).values()) == {(None, None)}  # without the hash nothing is mapped
+
+
+def test_fingerprints_of_null_ids_link_others(spark, monkeypatch):
+    fps = {"a": 0x00, "b": 0x0F, "c": 0xFF, "d": 0xFF << 32}
+    d = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c"), (None, "d"), (None, "d")], "doc_id long, text string")
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, *_: docs.select("doc_id", F.create_map(*[x for k, v in fps.items() for x in (F.lit(k), F.lit(v))])[F.col("text")].cast("long").alias("fp")))
+    got = [(r.doc_id, r.fp, r.component_id) for r in simhash_dedup.simhash_components(d).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 0, 1), (None, 0x0F, 1), (3, 0xFF, 1)] + [(None, 0xFF << 32, None)] * 2, key=repr)
+
+
 def test_pitman_yor(docs):
     got = by_id(pitman_yor.lm_scores(docs))
     tok = lambda t: [w.lower() for w in (t or "").encode().split()] + [None]

@@ -1,5 +1,8 @@
 """Chat formatting: the hash of a record's nested field paths selects a declarative mapping to canonical turns.
 
+Records are rows of JSON (turns_of_json), rows of one table whose layouts differ from row to row (turns_of_rows), or a table
+of one layout (turns_of_table). A layout may rename roles; PLAIN are the same layouts without new names.
+
 A template then marks turns and escapes control strings inside texts reversibly. DataFrame expressions only.
 
 Defined cases: a null text is an empty text, a null role an empty role, rows of equal turn number are ordered by role and
@@ -10,7 +13,7 @@ two fields (empty then); a list with a message that has neither is an unknown la
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,11 @@ class Layout:
     paths: tuple[str, ...]
     single: tuple[tuple[str, str], ...] = ()
     items: tuple[str, str, str] | None = None
+    roles: tuple[tuple[str, str], ...] = ()
 
 
+#: Role names of other layouts and their canonical names.
+ROLES = (("human", "user"), ("prompter", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 LAYOUTS = (
     Layout("prompt", ("prompt", "response"), single=(("user", "prompt"), ("assistant", "response"))),
     Layout("prompt_completion", ("completion", "prompt"), single=(("user", "prompt"), ("assistant", "completion"))),
@@ -40,12 +46,11 @@ LAYOUTS = (
     Layout("instruction", ("instruction", "output"), single=(("user", "instruction"), ("assistant", "output"))),
     Layout("instruction_input", ("input", "instruction", "output"), single=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("question", ("answer", "question"), single=(("user", "question"), ("assistant", "answer"))),
-    Layout("messages", ("messages", "messages[].content", "messages[].role"), items=("messages", "role", "content")),
-    Layout("conversations", ("conversations", "conversations[].from", "conversations[].value"), items=("conversations", "from", "value")),
+    Layout("messages", ("messages", "messages[].content", "messages[].role"), items=("messages", "role", "content"), roles=ROLES),
+    Layout("conversations", ("conversations", "conversations[].from", "conversations[].value"), items=("conversations", "from", "value"), roles=ROLES),
     Layout("turns", ("turns", "turns[].role", "turns[].text"), items=("turns", "role", "text")),
 )
-#: Role names of other layouts and their canonical names.
-ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+PLAIN = tuple(replace(y, roles=()) for y in LAYOUTS)
 
 TURN_END = "</turn>"
 HEAD = "### "
@@ -76,9 +81,9 @@ def json_paths(variant: Column) -> Column:
     return F.flatten(F.transform(top, lambda e: F.concat(F.array(e["key"]), inner(e["key"], e["value"]))))
 
 
-def _role(c: Column) -> Column:
+def _role(c: Column, roles) -> Column:
     out = F.coalesce(c, F.lit(""))
-    for other, own in ROLES.items():
+    for other, own in roles:
         out = F.when(c == other, F.lit(own)).otherwise(out)
     return out
 
@@ -90,13 +95,13 @@ def turns_of_json(df: DataFrame, record: str, layouts=LAYOUTS) -> DataFrame:
     df = df.withColumn("_paths", json_paths(F.col("_v")))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     get = lambda x, path: F.try_variant_get(x, f"$.{path}", "string")
-    message = lambda r, t: lambda x: F.struct(_role(get(x, r)).alias("role"), F.coalesce(get(x, t), F.lit("")).alias("text"))
+    message = lambda y: lambda x: F.struct(_role(get(x, y.items[1]), y.roles).alias("role"), F.coalesce(get(x, y.items[2]), F.lit("")).alias("text"))
     # of several layouts the one with most fields, as it comes last; of equals the first
     for y in sorted(reversed(layouts), key=lambda y: len(y.paths)):
         hit = fingerprint(F.array_intersect("_paths", F.array(*[F.lit(p) for p in y.paths]))) == fingerprint(y.paths)
         if y.items:
             listed = F.try_variant_get(F.col("_v"), f"$.{y.items[0]}", "array<variant>")
-            own = F.transform(listed, message(*y.items[1:]))
+            own = F.transform(listed, message(y))
             has = lambda x, y=y: F.arrays_overlap(F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")), F.array(*[F.lit(p) for p in y.items[1:]]))
             hit = hit & F.forall(listed, lambda x: F.coalesce(has(x), F.lit(False)))
         else:
@@ -120,12 +125,42 @@ def turns_of_table(df: DataFrame, layouts=LAYOUTS) -> DataFrame:
     fits = [named[h] for h in mine if h in named]
     if not fits:
         raise ValueError(f"no layout for the fields {sorted(have)}")
-    y = max(fits, key=lambda y: len(y.paths))
+    return df.withColumn("turns", _mapped(max(fits, key=lambda y: len(y.paths))))
+
+
+def _mapped(y: Layout) -> Column:
+    """Turns of a row whose columns have the layout."""
     if y.items:
         a, r, t = y.items
-        return df.withColumn("turns", F.transform(F.col(a), lambda x: F.struct(_role(x[r]).alias("role"), F.coalesce(x[t], F.lit("")).alias("text"))))
+        return F.transform(F.col(a), lambda x: F.struct(_role(x[r], y.roles).alias("role"), F.coalesce(x[t], F.lit("")).alias("text")))
     own = F.array(*[F.struct(F.lit(r).alias("role"), F.col(p).cast("string").alias("text")) for r, p in y.single])
-    return df.withColumn("turns", F.filter(own, lambda x: x["text"].isNotNull()))
+    return F.filter(own, lambda x: x["text"].isNotNull())
+
+
+def turns_of_rows(df: DataFrame, layouts=LAYOUTS) -> DataFrame:
+    """Appends `layout` and `turns` to a table whose rows have different layouts: of a row those columns count that aren't null.
+
+    The paths of these columns, as far as a layout knows them, are hashed row by row; the hash that is a layout's own selects
+    its mapping, of several that with most fields. Rows of no layout have null in both.
+    """
+    names = [c for c in df.columns if c not in ("layout", "turns")]
+    have = fields(df.schema)
+    of = lambda c: [p for p in have if p == c or p.startswith((f"{c}[]", f"{c}."))]
+    none = F.array().cast("array<string>")
+    present = F.flatten(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.array(*[F.lit(p) for p in of(c)])).otherwise(none) for c in df.columns]))
+    df = df.withColumn("_paths", present)
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for y in sorted(reversed([y for y in layouts if set(y.paths) <= set(have)]), key=lambda y: len(y.paths)):
+        hit = fingerprint(F.array_intersect("_paths", F.array(*[F.lit(p) for p in y.paths]))) == fingerprint(y.paths)
+        name, turns = F.when(hit, F.lit(y.name)).otherwise(name), F.when(hit, _mapped(y)).otherwise(turns)
+    return df.select(*[F.col(f"`{c}`") for c in names], name.alias("layout"), turns.alias("turns"))
+
+
+def in_layouts(df: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
+    """(key, turns, messages, conversations): gather()ed conversations, each in one of three layouts by its key, the other columns null."""
+    kind = F.pmod(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.lit(3))
+    as_ = lambda r, t: F.transform("turns", lambda x: F.struct(x["role"].alias(r), x["text"].alias(t)))
+    return gather(df, key, turn, role, text).select(key, F.when(kind == 0, F.col("turns")).alias("turns"), F.when(kind == 1, as_("role", "content")).alias("messages"), F.when(kind == 2, as_("from", "value")).alias("conversations"))
 
 
 def gather(df: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:

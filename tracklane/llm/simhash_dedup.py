@@ -6,8 +6,9 @@ works on distinct fingerprints. Inside a join key only links that join two group
 dense groups of near copies never become all pairs, while no connection between different fingerprints is lost.
 
 Defined cases: null, empty and blank texts have fingerprint zero, which links like any other; texts under the shingle
-width have one shingle, the whole sequence; repeated rows are copies; null ids are copies without an id of their own (the
-component is the smallest id that isn't null); an empty table gives an empty result; other columns are ignored.
+width have one shingle, the whole sequence; repeated rows are copies; null ids have no id of their own
+(the component is the smallest id that isn't null, null if there is none) but link what they stand between;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,10 +129,11 @@ def links(reps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFr
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
     """(id, fp, component_id) for each row."""
     fp = written(fingerprints(docs, id_col, text, width, seed), "fingerprints")
-    reps = fp.groupBy("fp").agg(F.min(id_col).alias("id"))
-    reps = written(reps.filter("id is not null"), "representatives")
-    groups = connected_components(links(reps, radius))
-    of_fp = reps.join(groups, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    reps = written(fp.groupBy("fp").agg(F.min(id_col).alias("low")), "representatives")
+    groups = written(connected_components(links(reps.select(F.col("fp").alias("id"), "fp"), radius)), "fingerprint-components")  # nodes are fingerprints
+    groups = groups.withColumnRenamed("node", "fp")
+    low = groups.join(reps, "fp").groupBy("component").agg(F.min("low").alias("lowest"))
+    of_fp = reps.join(groups, "fp", "left").join(low, "component", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
     return fp.join(of_fp, "fp", "left").select(id_col, "fp", "component_id")
 
 

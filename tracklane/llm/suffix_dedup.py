@@ -5,12 +5,9 @@ position of the smallest hash of 16 bytes among its first 100 positions; equal w
 bytes from such a position (part of each window filed there) are counted over the corpus. Where they repeat, and the whole
 surrounding does not, the surroundings (under 500 bytes) of all occurrences meet, and the suffixes of all their windows
 are sorted: multikey quicksort on words of 8 bytes to a shallow depth, then blind tries order the groups that still share
-a prefix. Windows that agree over 400 bytes are repeats. Surroundings that repeat as a whole are recognised by three 64-bit
-hashes over nested ranges, which must all agree, and enter the sort once, however many documents have them.
-
-`n_shared` says how much of a text is in passages that also occur elsewhere, shorter ones included: the bytes covered by
-strings of 150 bytes, from a filing position on, that occur more than once. A repeated passage of 265 bytes or more holds
-such a string. It doesn't change what is removed.
+a prefix. Windows that agree over 400 bytes are repeats. Surroundings that repeat as a whole are recognised by two 64-bit
+hashes, of the core and of the whole, and enter the sort once, however many documents have them; a document finds its answer
+by the hash of the whole.
 
 All occurrences go, the first included; matches never cross documents; strings are judged on the input. Null, empty and
 short texts lose nothing; rows of one id are separate texts; null ids come back as null; an empty table gives an empty
@@ -27,7 +24,7 @@ from tracklane.llm.common import _BASE, _BYTE, _INVERSE, _powers, mix64
 from tracklane.llm.exchange import blocked, bucket_cuts, by_bucket, covered, joined, n_buckets, texts_in_order
 
 LENGTH, SPREAD, GRAM, SHALLOW = 400, 100, 16, 32
-CORE, SHORT = LENGTH - SPREAD, 150
+CORE = LENGTH - SPREAD
 #: Windows of one text that are filed at once.
 PIECE = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
@@ -63,7 +60,6 @@ class Places:
             self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
             np.cumsum(_BYTE[buf] * _powers(_BASE, len(buf)), out=self.sums[1:])
         self.inverse = _powers(_INVERSE, len(buf) + 1)
-        self.short = self._hash(self.x, self.x + SHORT)
         self.core = self._hash(self.x, self.x + CORE)
         shape = mix64(((self.x - self.low) * 1000 + (self.high - self.x + 500)).astype(np.uint64))
         self.whole = mix64(self._hash(self.low, self.high + LENGTH) ^ shape)
@@ -178,8 +174,8 @@ def deep_shallow(data: bytes, start: np.ndarray, limit: int = LENGTH, shallow: i
     return out
 
 
-def _order(short: np.ndarray, core: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    return np.lexsort((whole, core, short))
+def _order(core: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.lexsort((whole, core))
 
 
 def _new(*keys: np.ndarray) -> np.ndarray:
@@ -188,18 +184,18 @@ def _new(*keys: np.ndarray) -> np.ndarray:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per_block: int = 512) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept, n_shared): kept is the bytes that stay."""
+    """(id, n_bytes, n_removed, n_spans, kept): kept is the bytes that stay."""
     rows = blocked(docs, id_col, text, per_block)
     buckets = n_buckets(docs)
-    hashes = ("short", "core", "whole")
+    hashes = ("core", "whole")
 
     def filed(key, table):
         p = Places(texts_in_order(table)[1])
-        order = _order(p.short, p.core, p.whole)
-        first = np.flatnonzero(_new(p.short[order], p.core[order], p.whole[order]))
+        order = _order(p.core, p.whole)
+        first = np.flatnonzero(_new(p.core[order], p.whole[order]))
         times = np.diff([*first, len(order)])
         order = order[first]
-        cuts = list(bucket_cuts(p.short[order], buckets))
+        cuts = list(bucket_cuts(p.core[order], buckets))
         return pa.table({
             "bucket": pa.array([c for c, _, _ in cuts], pa.int32()),
             "block": pa.array([key[0].as_py()] * len(cuts), pa.int64()),
@@ -208,20 +204,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pe
         })
 
     def verdicts(key, table):
-        """1: the whole surrounding repeats; 2: it has to be sorted with the others of its core; 4: its short string repeats."""
+        """1: the whole surrounding repeats; 2: it has to be sorted with the others of its core."""
         table = table.sort_by("block")
         parts = [np.frombuffer(x, "<u8") for x in table["whole"].to_pylist()]
-        short, core, whole = (joined(table[k].to_pylist(), "<u8") for k in hashes)
+        core, whole = (joined(table[k].to_pylist(), "<u8") for k in hashes)
         twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table["twice"].to_pylist(), parts)])
-        by = _order(short, core, whole)
-        short, core, whole = short[by], core[by], whole[by]
-        head, of_core, of_short = _new(short, core, whole), np.cumsum(_new(short, core)) - 1, np.cumsum(_new(short)) - 1
+        by = _order(core, whole)
+        core, whole = core[by], whole[by]
+        head, of_core = _new(core, whole), np.cumsum(_new(core)) - 1
         of = np.cumsum(head) - 1
         again = (np.bincount(of) > 1) | (np.bincount(of, twice[by]) > 0)
         kinds = np.bincount(of_core, head)  # different surroundings of a core
-        shared = (np.bincount(of_short, head) > 1) | (np.bincount(of_short, again[of]) > 0)
         code = np.zeros(len(by), np.uint8)
-        code[by] = again[of] + 2 * (head & (kinds[of_core] > 1)) + 4 * shared[of_short]
+        code[by] = again[of] + 2 * (head & (kinds[of_core] > 1))
         n = np.cumsum([0, *map(len, parts)])
         some = [np.flatnonzero(code[a:b]) for a, b in zip(n, n[1:])]
         return pa.table({"block": table["block"], "whole": pa.array([p[i].tobytes() for p, i in zip(parts, some)], pa.binary()), "code": pa.array([code[a:][i].tobytes() for a, i in zip(n, some)], pa.binary())})
@@ -283,20 +278,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pe
             s = p.low[some[which]] + off
             start.append(s), end.append(s + LENGTH)
         gone = covered(len(p.data), np.concatenate(start), np.concatenate(end)) if p.data else np.zeros(0, bool)
-        again = p.x[(code & 4) > 0]
-        shared = np.concatenate([[0], np.cumsum(covered(len(p.data), again, again + SHORT))]) if p.data else np.zeros(1, int)
         lost, spans, kept = [], [], []
         for a, b in zip(p.base.tolist(), p.base[1:].tolist()):
             g = gone[a:b]
             lost.append(int(g.sum()))
             spans.append(int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum()))
             kept.append(np.frombuffer(p.data, np.uint8)[a:b][~g].tobytes() if lost[-1] else p.data[a:b])
-        return pa.table({"id": pa.array(ids, pa.int64()), "n_bytes": pa.array(p.size), "n_removed": pa.array(lost, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary()), "n_shared": pa.array(shared[p.base[1:]] - shared[p.base[:-1]], pa.int64())})
+        return pa.table({"id": pa.array(ids, pa.int64()), "n_bytes": pa.array(p.size), "n_removed": pa.array(lost, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    sent = rows.groupBy("block").applyInArrow(filed, "bucket int, block bigint, short binary, core binary, whole binary, twice binary")
+    sent = rows.groupBy("block").applyInArrow(filed, "bucket int, block bigint, core binary, whole binary, twice binary")
     told = by_bucket(sent).applyInArrow(verdicts, "block bigint, whole binary, code binary")
     sent = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(surroundings, "bucket int, block bigint, whole binary, size binary, bytes binary")
     masks = by_bucket(sent).applyInArrow(sorted_windows, "block bigint, whole binary, mask binary")
     answers = told.unionByName(masks, allowMissingColumns=True).select("block", "whole", "code", "mask")
-    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(removed, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, n_shared bigint")
+    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(removed, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return out.withColumnRenamed("id", id_col)
