@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklane.plans import contrast_plans, encoder_plans, event_plans, map_plans, model_plans, rate_plans, score_plans, session_plans  # noqa: F401  they register their queries
+from tracklane.plans import contrast_plans, encoder_plans, event_plans, map_plans, model_plans, rate_plans, remap_plans, score_plans, session_plans  # noqa: F401  they register their queries
 from tracklane.plans.registry import ORACLE, QUERIES
 
 

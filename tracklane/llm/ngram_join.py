@@ -321,19 +321,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     docs = docs.select("id", F.xxhash64("text").alias("th"), "text")
     rows = described(docs, counters(docs.select("text"), width), width, percent)
+    # whole tables are joined by merging at every size: the sides to broadcast would grow with the documents
     rows = written(rows.withColumn("node", F.monotonically_increasing_id()), "ngram-rows")
     # one row of each set, that of the smallest id, is its node
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
     heads = written(rows.filter("n > 0").groupBy("digest").agg(first.alias("f")).select("digest", "f.id", "f.node"), "ngram-nodes")
-    keys = written(live_keys(rows.select("node", "n", "rare").join(heads.select("node"), "node", "left_semi")), "ngram-keys")
+    keys = written(live_keys(rows.select("node", "n", "rare").join(heads.select("node").hint("merge"), "node", "left_semi")), "ngram-keys")
     groups = written(groups_to_compare(written(banded(keys, percent), "ngram-bands")), "ngram-groups")
     release(docs.sparkSession)
-    keyed = rows.select("node", "n", "rare", "low", "high").join(groups.select("node").distinct(), "node", "left_semi")
+    keyed = rows.select("node", "n", "rare", "low", "high").join(groups.select("node").distinct().hint("merge"), "node", "left_semi")
     near = written(candidates(keyed, groups, percent), "ngram-candidates")
     release(docs.sparkSession)
     compared = written(groups_to_compare(near), "ngram-compared")
-    wanted = rows.join(near.select("node").distinct(), "node", "left_semi").select("node", F.coalesce("id", F.lit(LOWEST)).alias("key"), "th")
-    texts = docs.select(F.coalesce("id", F.lit(LOWEST)).alias("key"), "th", "text").join(wanted, ["key", "th"])
+    wanted = rows.select("node", "id", "th").join(near.select("node").distinct().hint("merge"), "node", "left_semi").select("node", F.coalesce("id", F.lit(LOWEST)).alias("key"), "th")
+    texts = docs.select(F.coalesce("id", F.lit(LOWEST)).alias("key"), "th", "text").join(wanted.hint("merge"), ["key", "th"])
     sets = written(whole_sets(texts.dropDuplicates(["key", "th", "node"]), width), "ngram-sets")  # repeated rows
     release(docs.sparkSession)
     groups = written(connected_components(links(sets, compared, percent)), "ngram-components")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import pi, sin
+from math import log, pi, sin
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +44,33 @@ def kendall(df: DataFrame, keys, item, x, y) -> DataFrame:
     return g.select(*keys, F.when((F.col("_nx") > 0) & (F.col("_ny") > 0), F.col("_s") / F.sqrt(F.col("_nx") * F.col("_ny"))).alias("tau"))
 
 
+def kendall_of_pairs(df: DataFrame, keys, x, y) -> DataFrame:
+    """(keys, n, tau): tau-b of the pairs of each group, for very many small groups (the zones of one replicate's maps).
+
+    A group's pairs are one array, compared inside the expression: no row is made for two pairs.
+    """
+    g = df.dropna(subset=[x, y]).groupBy(*keys).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("_v"))
+    step = "aggregate(slice(_v, i + 2, size(_v)), a, (t, w) -> named_struct('s', t.s + sign(_v[i].x - w.x) * sign(_v[i].y - w.y), 'p', t.p + abs(sign(_v[i].x - w.x)), 'q', t.q + abs(sign(_v[i].y - w.y))))"
+    sums = F.expr(f"aggregate(sequence(0, size(_v) - 1), named_struct('s', 0D, 'p', 0D, 'q', 0D), (a, i) -> {step})")
+    g = g.select(*keys, F.size("_v").cast("bigint").alias("n"), sums.alias("_t"))
+    return g.select(*keys, "n", F.when((F.col("_t.p") > 0) & (F.col("_t.q") > 0), F.col("_t.s") / F.sqrt(F.col("_t.p") * F.col("_t.q"))).alias("tau"))
+
+
+def combined_p(df: DataFrame, keys, p, most: int) -> DataFrame:
+    """(keys, n, chi2, p): Fisher's combination of the p-values of a group, of which there are at most `most`.
+
+    The tail of chi squared with 2 n degrees of freedom is exp(-h) sum(h^k / k!) over k < n, h half of chi2; terms are formed
+    in logarithms. p-values of 0 count as 1e-300.
+    """
+    g = df.filter(F.col(p).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(-F.ln(F.greatest(F.col(p), F.lit(1e-300)))).alias("_h"))
+    logs, total = [], 0.0
+    for k in range(most):
+        logs.append(total)
+        total += log(k + 1)
+    terms = F.transform(F.array(F.struct("_h", "n")), lambda v: F.aggregate(F.sequence(F.lit(0), v["n"].cast("int") - 1), F.lit(0.0), lambda a, k: a + F.exp(k * F.ln(F.greatest(v["_h"], F.lit(1e-300))) - v["_h"] - F.get(F.array(*[F.lit(x) for x in logs]), k))))
+    return g.select(*keys, "n", (2 * F.col("_h")).alias("chi2"), F.least(F.lit(1.0), terms[0]).alias("p"))
+
+
 def mann_whitney(df: DataFrame, keys, value, first: Column) -> DataFrame:
     """U of the rows where `first` holds against the others, and z without tie correction.
 

@@ -9,12 +9,18 @@ from tracklane.functions.scalar import hash_pick
 from tracklane.operators.storage import cut
 
 
-def balanced_draws(trials: DataFrame, keys, strata, item, reps: int, seed: int) -> DataFrame:
-    """(keys, strata, rep, item): for each replicate as many draws with replacement from every stratum as the smallest of its group has."""
-    w, s = Window.partitionBy(*keys), Window.partitionBy(*keys, *strata)
-    t = trials.withColumns({"_i": F.row_number().over(s.orderBy(item)) - 1, "_n": F.count("*").over(s)})
-    t = t.withColumn("_size", F.min("_n").over(w))
-    draws = t.filter("_i < _size").select(*keys, *strata, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+def balanced_draws(trials: DataFrame, keys, strata, item, reps: int, seed: int, size: str | int = "min") -> DataFrame:
+    """(keys, strata, rep, item): for each replicate as many draws with replacement from every stratum.
+
+    size: that of the smallest ("min") or largest ("max") stratum of the group, "mean" of the two rounded down, or a number.
+    """
+    t = trials.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, *strata).orderBy(item)) - 1)
+    counts = trials.groupBy(*keys, *strata).agg(F.count("*").alias("_n"))
+    of_group = counts.groupBy(*keys).agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
+    wanted = {"min": F.col("_lo"), "max": F.col("_hi"), "mean": F.floor((F.col("_lo") + F.col("_hi")) / 2)}.get(size, F.lit(size))
+    draws = counts.join(of_group, keys).withColumn("_size", wanted.cast("int")).filter("_size > 0")
+    draws = draws.select(*keys, *strata, "_n", "_size", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    draws = draws.select(*keys, *strata, "_n", "rep", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias("_i"))
     pick = hash_pick(F.concat_ws("|", F.lit(str(seed)), *keys, *strata, "rep", "_i"), F.col("_n"))
     draws = draws.select(*keys, *strata, "rep", pick.cast("int").alias("_i"))
     return draws.join(t.select(*keys, *strata, "_i", item), [*keys, *strata, "_i"]).drop("_i")
