@@ -157,3 +157,18 @@ def gaussian_divergence(m: DataFrame, keys, cluster) -> DataFrame:
     trace = (F.col("qvy") * F.col("vx") + F.col("qvx") * F.col("vy") - 2 * F.col("qc") * F.col("c")) / F.col("qdet")
     square = (F.col("qvy") * dx * dx - 2 * F.col("qc") * dx * dy + F.col("qvx") * dy * dy) / F.col("qdet")
     return p.select(*keys, "a", "b", (0.5 * (trace + square - 2 + F.ln(F.col("qdet") / F.col("det")))).alias("kld"))
+
+
+def sub_segments(samples: DataFrame, keys, along: Column, length: float, least: int) -> DataFrame:
+    """(keys, sub, lo, hi, n): the sub-segments of each zone: pieces of `length` along its axis, of which those at the far end
+    that hold under `least` samples together are part of the last one before them.
+
+    Samples are counted by piece first; the window runs over pieces. A zone with too few samples is one sub-segment.
+    """
+    piece = F.floor(along / length).cast("long")
+    by = samples.groupBy(*keys, piece.alias("_b")).agg(F.count("*").alias("_n"))
+    behind = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.desc("_b")))
+    last = by.withColumn("_behind", behind).groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("_behind") >= least, F.col("_b"))), F.min("_b")).alias("_last"), F.max("_b").alias("_end"))
+    kept = F.least("_b", "_last")
+    g = by.join(last, keys).groupBy(*keys, kept.alias("sub")).agg(F.sum("_n").alias("n"), F.first("_last").alias("_last"), F.first("_end").alias("_end"))
+    return g.select(*keys, "sub", (F.col("sub") * length).alias("lo"), ((F.when(F.col("sub") == F.col("_last"), F.col("_end")).otherwise(F.col("sub")) + 1) * length).alias("hi"), "n")

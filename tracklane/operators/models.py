@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklane.operators.storage import cut
@@ -115,3 +115,52 @@ def cluster_errors(df: DataFrame, point: str, fold: str, folds: int, counts: ran
             got = model.transform(rows.filter(F.col(fold) == f)).agg(F.count("*").alias("n"), F.avg(gap).alias("error")).select(F.lit(k).cast("long").alias("k"), F.lit(f).cast("long").alias("fold"), "n", "error")
             out = got if out is None else out.unionByName(got)
     return out
+
+
+def repeated_clusterings(df: DataFrame, item: str, point: str, dims: int, repeats: int, folds: int, counts: list[int], rounds: int = 8) -> DataFrame:
+    """(method, repeat, k, fold, split, n, mse, cosine): how well k clusters fitted on the other folds describe training and held-out points.
+
+    Folds are dealt anew for each repeat by a hash of item. "kmeans": all repeats, folds and counts advance together; a round
+    is one grouped aggregate over points and experiments, from k training points of the smallest hash. "bisecting" is
+    Spark's estimator, a fit for each. mse: mean squared distance to the nearest centre; cosine: mean cosine distance to it.
+    """
+    at = lambda v: [F.get(v, F.lit(i)) for i in range(dims)]
+    gap = lambda a, b: sum(((x - y) * (x - y) for x, y in zip(at(a), at(b))), F.lit(0.0))
+    size = lambda a: F.sqrt(sum((x * x for x in at(a)), F.lit(0.0)))
+    repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
+    points = df.select(F.col(item).alias("_id"), F.col(point).alias("_v"), repeat).withColumn("_own", F.pmod(F.xxhash64("_id", "repeat"), F.lit(folds)).cast("int"))
+    points = cut(points)
+    rows = points.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("k", F.explode(F.array(*[F.lit(k) for k in counts])))
+    keys = ["repeat", "fold", "k"]
+    train = rows.filter("_own <> fold")
+    # the k smallest of a bounded heap a group: max(counts) rows each
+    start = points.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("_own <> fold").withColumn("_h", F.xxhash64("_id", "repeat", "fold"))
+    start = start.withColumn("_r", F.row_number().over(Window.partitionBy("repeat", "fold").orderBy("_h", "_id"))).filter(F.col("_r") <= max(counts))
+    start = start.withColumn("k", F.explode(F.array(*[F.lit(k) for k in counts]))).filter("_r <= k")
+    centres = cut(start.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda x: x["_v"]).alias("_c")))
+    nearest = lambda: F.array_min(F.transform("_c", lambda c, i: F.struct(F.round(gap(F.col("_v"), c), 12).alias("d"), i.alias("i"))))
+    for _ in range(rounds):
+        own = train.join(F.broadcast(centres), keys).withColumn("_i", nearest()["i"])  # repeats x folds x counts rows of k centres
+        means = own.groupBy(*keys, "_i").agg(F.array(*[F.avg(F.get("_v", F.lit(i))) for i in range(dims)]).alias("_m"))
+        moved = means.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_m"))).alias("_new"))
+        centres = cut(centres.join(moved, keys).select(*keys, F.transform("_c", lambda c, i: F.coalesce(F.col("_new")[i], c)).alias("_c")))
+
+    def described(scored: DataFrame, by: list[str]) -> DataFrame:
+        near = scored.withColumn("_b", nearest()).withColumn("_a", F.get("_c", F.col("_b.i")))
+        cosine = 1 - sum((x * y for x, y in zip(at("_v"), at("_a"))), F.lit(0.0)) / F.nullif(size("_v") * size("_a"), F.lit(0.0))
+        split = F.when(F.col("_own") == F.col("fold"), F.lit("test")).otherwise(F.lit("train"))
+        return near.groupBy(*by, split.alias("split")).agg(F.count("*").alias("n"), F.avg("_b.d").alias("mse"), F.avg(cosine).alias("cosine"))
+
+    out = described(rows.join(F.broadcast(centres), keys), keys).withColumn("method", F.lit("kmeans"))
+    fits = []
+    vectors = points.withColumn("_x", array_to_vector("_v"))
+    for r in range(repeats):
+        for f in range(folds):
+            part = vectors.filter((F.col("repeat") == r) & (F.col("_own") != f)).cache()
+            for k in counts:
+                model = BisectingKMeans(k=k, seed=7, featuresCol="_x", predictionCol="_p").fit(part)
+                fits.append((r, f, k, [[float(x) for x in c] for c in model.clusterCenters()]))
+            part.unpersist()
+    halves = df.sparkSession.createDataFrame(fits, "repeat int, fold int, k int, _c array<array<double>>")
+    out = out.unionByName(described(rows.join(F.broadcast(halves), keys), keys).withColumn("method", F.lit("bisecting")))
+    return out.select("method", *keys, "split", "n", "mse", "cosine")

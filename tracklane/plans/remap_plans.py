@@ -1,18 +1,23 @@
-"""Remapping by Kendall's correlation on replicates; test against null; combined p-values; sizes of balanced draws."""
+"""Remapping by Kendall's correlation on replicates, test against null, sizes of draws; sub-segments; cluster counts; any estimator."""
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklane.functions import scalar as S
 from tracklane.operators import aggregate as A
+from tracklane.operators import maps as M
+from tracklane.operators import models as P
 from tracklane.operators import resample as B
+from tracklane.operators import storage
 from tracklane.plans.contrast_plans import BOOTS, PAIRED, PICK, UB, UP, _unit_boot_maps
 from tracklane.plans.rate_plans import TT, TZ, _trial_zones
 from tracklane.plans.registry import query
 from tracklane.plans.score_plans import STUDENT
-from tracklane.sources.tables import ACT, activity
+from tracklane.sources.tables import ACT, activity, read
 
 R5 = lambda c: F.round(c, 5)
 
@@ -115,3 +120,33 @@ def i5(spark, d):
         g = B.balanced_draws(t, ["cond"], ["st"], "tr", PAIRED, 41, int(s) if s.isdigit() else s).groupBy("cond", "st").agg(F.count("*").alias("draws"), F.countDistinct("tr").alias("trials"), F.sum("tr").alias("ids")).withColumn("size", F.lit(s))
         out = g if out is None else out.unionByName(g)
     return out
+
+
+LENGTH, TAIL = 8000, 60
+
+
+@query("c13_merged_segments", f"WITH {ACT}, p AS (SELECT z, CAST(FLOOR((x*0.8+fr*600)/{LENGTH}) AS BIGINT) AS b, fr FROM act), g AS (SELECT z, b, COUNT(*) AS n, SUM(fr) AS s FROM p GROUP BY 1,2), w AS (SELECT *, SUM(n) OVER (PARTITION BY z ORDER BY b DESC) AS behind FROM g), l AS (SELECT z, COALESCE(MAX(b) FILTER (behind>={TAIL}), MIN(b)) AS last, MAX(b) AS fin FROM w GROUP BY z) SELECT g.z, LEAST(b,last) AS sub, MIN(LEAST(b,last))*{LENGTH}.0::DOUBLE AS lo, (CASE WHEN LEAST(b,last)=ANY_VALUE(last) THEN ANY_VALUE(fin) ELSE LEAST(b,last) END+1)*{LENGTH}.0::DOUBLE AS hi, CAST(SUM(n) AS BIGINT) AS n, ROUND(SUM(s)/SUM(n),6) AS m FROM g JOIN l ON g.z=l.z GROUP BY g.z, LEAST(b,last)")
+def c13(spark, d):
+    """Mean activity in the sub-segments of each zone, whose sparse far ends are merged; the sub-segments are a table of their own."""
+    a = activity(spark, d).withColumn("along", F.col("x") * 0.8 + F.col("fr") * 600)
+    subs = M.sub_segments(a, ["z"], F.col("along"), float(LENGTH), TAIL)
+    g = a.join(subs, "z").filter((F.col("along") >= F.col("lo")) & (F.col("along") < F.col("hi")))  # some sub-segments a zone
+    return g.groupBy("z", "sub", "lo", "hi", "n").agg(F.round(F.avg("fr"), 6).alias("m"))
+
+
+@query("j13_cluster_table")
+def j13(spark, d):
+    """2 to 4 clusters of the reduced points by k-means and bisection, three repeats of three folds: errors of both splits."""
+    pc = storage.cut(P.reduced(read(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 2, "pc").select("vec_id", "pc"))
+    g = P.repeated_clusterings(pc, "vec_id", "pc", 2, 3, 3, [2, 3, 4])
+    return g.select("method", "repeat", "k", "fold", "split", "n", R5("mse").alias("mse"), R5("cosine").alias("cosine"))
+
+
+@query("u3_cross_validated", f"WITH {ACT}, k AS (SELECT UNNEST(range(0,3)) AS f), m AS (SELECT k.f, REGR_SLOPE(fr, x/50000) AS b, REGR_INTERCEPT(fr, x/50000) AS a FROM act JOIN k ON act.tr%3<>k.f GROUP BY k.f) SELECT tr%3 AS fold, COUNT(*) AS n, ROUND(AVG((fr-a-b*x/50000)*(fr-a-b*x/50000)),4) AS mse FROM act JOIN m ON tr%3=f GROUP BY 1")
+def u3(spark, d):
+    """Any estimator of pyspark.ml, here a linear regression, fitted on the other folds and scored on its own."""
+    a = activity(spark, d).select((F.col("tr") % 3).alias("fold"), "fr", (F.col("x") / 50000).alias("xs"))
+    rows = storage.cut(VectorAssembler(inputCols=["xs"], outputCol="features").transform(a))
+    out = P.cross_validated(rows, "fold", 3, LinearRegression(labelCol="fr", predictionCol="pred", solver="normal"))
+    gap = F.col("fr") - F.col("pred")
+    return out.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(gap * gap), 4).alias("mse"))
