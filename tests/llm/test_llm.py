@@ -206,6 +206,26 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(d.limit(0)).count() == 0 and line_dedup.line_dedup(d).filter("text is null").count() == 1
 
 
+def test_repeated_rows_and_tiny_runs(spark):
+    long = "\n".join(f"a line of its own number {i}" for i in range(8))
+    rows = [(1, long), (1, long), (1, "short"), (1, "short"), (None, long), (2, "c\n\n\nd"), (3, "e\n\n\nf"), (4, "x\n}\n}\ny"), (5, "z\n}\n}\nw"), (6, "p\none line of some size\n\nq"), (7, "r\none line of some size\n\ns")]
+    got = sorted((str(r.doc_id), r.text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", long), ("1", ""), ("1", "short"), ("1", "short"), ("None", "")] + [(str(i), t) for i, t in rows[5:10]] + [("7", "r\ns")])
+    all_ = sorted((str(r.doc_id), r.text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_chars=0).collect())
+    assert ("3", "e\nf") in all_ and ("5", "z\nw") in all_
+
+
+def test_window_moves_chunk_ends_and_copies_are_cut_alike(spark):
+    passage = [f"passage {i}" for i in range(60)]
+    texts = ["\n".join([f"own {k} {i}" for i in range(3 + 4 * k)] + passage) for k in range(2)]
+    d = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    cut = lambda w: {(r.row, r.start, r.n, r.h) for r in line_dedup.chunk_rows(d, "text", 4, w).filter("n > 2").collect()}
+    ends = {w: {(r, s + n) for r, s, n, _ in cut(w)} for w in (1, 2, 5)}
+    assert ends[1] != ends[2] != ends[5] != ends[1]
+    hashes = [{h for r, _, _, h in cut(2) if r == k} for k in range(2)]
+    assert len(hashes[0] & hashes[1]) >= 5  # in spite of another number of lines before
+
+
 def test_line_dedup_against_all_runs(spark):
     """Planted passages of 2 to 8 lines, whole and in part, between lines of their own; every repeated run goes."""
     r = random.Random(3)
@@ -217,7 +237,7 @@ def test_line_dedup_against_all_runs(spark):
         cut = r.randint(0, len(q) - 1)
         texts.append("\n".join([*own(), *p, *own(), *q[cut:], *own(), r.choice(["", "menu"]), *own()]))
     texts += [texts[4], "", None, "\n", "\n\n\n"]
-    got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), least_chars=0).collect()}
     seen, planted = set(), 0
     for i, t in enumerate(texts):
         lines, gone = (t or "").split("\n"), set()

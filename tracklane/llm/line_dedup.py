@@ -1,18 +1,21 @@
-"""Line dedup: every run of two or more lines that occurs earlier in the corpus is removed.
+"""Line dedup: every run of two or more lines that occurs earlier in the corpus is removed, if it isn't tiny.
 
-Content-defined chunks carry the bulk: a line whose own hash is 0 modulo `mean_lines` ends a chunk (the hash rolls over
-`window` lines), so copies of a passage are cut alike inside, whatever stands around it. Every two neighbouring lines are a
-seed besides. A run that occurs earlier is made of such seeds, so seeds find passages without a boundary and grow chunks
-line by line to the whole run; seeds inside a chunk that is itself a later copy are left out.
+Content-defined chunks carry the bulk: a rolling hash over `window` line hashes that is 0 modulo `mean_lines` ends a chunk, so
+copies of a passage are cut alike inside, whatever stands around it. Every two neighbouring lines are a seed besides. A run
+that occurs earlier is made of such seeds, so seeds find passages without a boundary and grow chunks line by line to the
+whole run; seeds inside a chunk that is itself a later copy are left out. So the boundaries decide how much is compared, not
+what is removed.
 
 Only hashes of chunks and seeds are counted over the corpus; those that repeat are then grouped by their bytes. The first
-occurrence (smallest id, then line) stays.
+occurrence (smallest id, then line) stays. Touching lines to remove are one run; a run of under `least_chars` characters
+(blank lines, brackets) stays.
 
 Defined cases: null texts stay null, a text of one line stays as it is; a single repeated line is never removed by itself,
 blank lines are lines; rows are told apart by id and text together, so rows that share an id, null ids included, are judged
-by their own text, and a row repeated with the same id and text is one document; null ids come last; an empty table gives an empty
-result; all columns of the input stay, whatever their names, and only the text changes; a text of any length is one row. A
-hot chunk is pre-aggregated before each shuffle; joins may be split by AQE.
+by their own text; of rows repeated with the same id and text all but one lose what they repeat (all of their lines, if
+these are two or more); null ids come last; an empty table gives an empty result; all columns of the input stay, whatever
+their names, and only the text changes; a text of any length is one row. A hot chunk is pre-aggregated before each shuffle;
+joins may be split by AQE.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import of_row, release, written
+from tracklane.llm.common import numbered, of_row, release, written
 
 
 def chunk_rows(rows: DataFrame, text: str, mean_lines: int, window: int) -> DataFrame:
@@ -50,7 +53,7 @@ def _candidates(rows: DataFrame, mean_lines: int, window: int) -> DataFrame:
     return written(again.select("row", "id", "c.start", "c.n", "c.h", body.alias("body")), "repeated-chunks")
 
 
-def repeated_chunks(rows: DataFrame, mean_lines: int = 3, window: int = 1) -> DataFrame:
+def repeated_chunks(rows: DataFrame, mean_lines: int = 3, window: int = 2) -> DataFrame:
     """(row, start, n): chunks and seeds to remove of the documents (row, id, text), those whose bytes occur earlier."""
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
     again = _candidates(rows, mean_lines, window)
@@ -60,8 +63,8 @@ def repeated_chunks(rows: DataFrame, mean_lines: int = 3, window: int = 1) -> Da
     return again.join(first, ["h", "body"]).filter(place > F.col("first")).select("row", "start", "n")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 1, broadcast_cuts: int = 500_000) -> DataFrame:
-    """The rows of docs without runs of lines that occur earlier.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 2, least_chars: int = 20, broadcast_cuts: int = 500_000) -> DataFrame:
+    """The rows of docs without runs of lines of `least_chars` characters or more that occur earlier.
 
     Cuts are counted, and broadcast up to `broadcast_cuts` of them (under 16 MB); beyond, texts are shuffled to their cuts.
     """
@@ -69,13 +72,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean
     # two hashes of id and text: a key that any executor computes alike, without a copy of the table
     own, body = F.col(f"`{id_col}`"), F.col(f"`{text}`")
     row = F.struct(F.xxhash64(F.lit(1), own, body).alias("x"), F.xxhash64(F.lit(2), own, body).alias("y"))
-    docs = docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"))
+    if docs.select(row.alias("row")).groupBy("row").count().filter("count > 1").isEmpty():
+        docs = docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"))
+    else:  # rows repeated as a whole need numbers of their own
+        docs = numbered(docs, "line-rows").select(F.struct(F.col("row").alias("x"), F.lit(0).cast("long").alias("y")).alias("row"), "r")
     rows = docs.select("row", of_row(id_col).alias("id"), of_row(text).alias("text"))
     cuts = repeated_chunks(rows, mean_lines, window).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
     cuts = written(cuts, "line-cuts")
     n = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()
     if n[0] + n[1] <= broadcast_cuts:
         cuts = F.broadcast(cuts)
-    kept = F.filter(F.split(of_row(text), "\n", -1), lambda x, i: ~F.exists("cuts", lambda c: (i >= c["start"]) & (i < c["start"] + c["n"])))
-    left = F.when(F.col("cuts").isNull(), of_row(text)).otherwise(F.array_join(kept, "\n"))
-    return docs.join(cuts, "row", "left").select(*[(left if c == text else of_row(c)).alias(c) for c in names])
+    lines = F.split(of_row(text), "\n", -1)
+    left = F.when(F.col("spans").isNull(), of_row(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.exists("spans", lambda c: (i >= c["start"]) & (i <= c["end"]))), "\n"))
+    docs = docs.join(cuts, "row", "left").withColumn("spans", F.when(F.col("cuts").isNotNull(), large_runs(F.col("cuts"), lines, least_chars)))
+    return docs.select(*[(left if c == text else of_row(c)).alias(c) for c in names])
+
+
+def large_runs(cuts, lines, least_chars: int):
+    """Array of (start, end): runs of touching lines in cuts (start, n), those of enough characters."""
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform(cuts, lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))))
+    edge = lambda step: lambda g: F.filter(g, lambda i, k: F.coalesce(F.get(g, k + step) != i + step, F.lit(True)))
+    runs = lambda g: F.zip_with(edge(-1)(g), edge(1)(g), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    spans = F.transform(F.array(gone), runs)[0]
+    return F.filter(spans, lambda c: F.length(F.array_join(F.slice(lines, c["start"] + 1, c["end"] - c["start"] + 1), "")) >= least_chars)

@@ -12,7 +12,9 @@ WORDS = f"{DOCS}, w AS (SELECT rid, doc_id, text, REGEXP_EXTRACT_ALL(text,'{WORD
 LINE_DEDUP = f"""WITH {DOCS}, s AS (SELECT rid, doc_id, text, STRING_SPLIT(text,CHR(10)) AS ls FROM d),
 p AS (SELECT rid, doc_id, i, ls[i]||CHR(10)||ls[i+1] AS pair FROM s, UNNEST(RANGE(1,LEN(ls))) AS q(i)),
 gone AS (SELECT rid, i FROM p QUALIFY ROW_NUMBER() OVER (PARTITION BY pair ORDER BY doc_id NULLS LAST, i)>1),
-cut AS (SELECT rid, LIST(i) AS pos FROM (SELECT rid, i FROM gone UNION SELECT rid, i+1 FROM gone) GROUP BY rid),
+li AS (SELECT rid, i, i-ROW_NUMBER() OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT rid, i FROM gone UNION SELECT rid, i+1 FROM gone)),
+sz AS (SELECT li.rid, li.run, SUM(LENGTH(ls[i])) AS chars FROM li JOIN s ON li.rid=s.rid GROUP BY 1,2),
+cut AS (SELECT li.rid, LIST(i) AS pos FROM li JOIN sz ON li.rid=sz.rid AND li.run=sz.run WHERE chars>=20 GROUP BY li.rid),
 k AS (SELECT s.doc_id, s.text, CASE WHEN pos IS NULL THEN s.text ELSE ARRAY_TO_STRING(LIST_TRANSFORM(LIST_FILTER(RANGE(1,LEN(ls)+1), lambda i: NOT LIST_CONTAINS(pos,i)), lambda i: ls[i]),CHR(10)) END AS kept FROM s LEFT JOIN cut ON s.rid=cut.rid)
 SELECT doc_id, LENGTH(kept) AS n_chars, LENGTH(text)-LENGTH(kept) AS n_removed, SHA256(kept) AS kept_sha256 FROM k"""
 
