@@ -20,9 +20,12 @@ def session_performance(trials: DataFrame, keys) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, keys, value, out: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    ties = F.count("*").over(w.partitionBy(*keys, value))
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (ties - 1) / 2)
+    """Appends the average rank of a value within its group; rows are counted by value, so that the window runs over distinct values."""
+    by = df.groupBy(*keys, value).agg(F.count("*").alias("_k"))
+    rank = F.sum("_k").over(Window.partitionBy(*keys).orderBy(value)) - (F.col("_k") - 1) / 2
+    ranks = by.select(*keys, F.col(value).alias("_value"), rank.alias(out))
+    on = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys] + [F.col(f"_l.{value}").eqNullSafe(F.col("_r._value"))]
+    return df.alias("_l").join(ranks.alias("_r"), on).select("_l.*", f"_r.{out}")
 
 
 def pearson(df: DataFrame, keys, x, y) -> DataFrame:

@@ -30,20 +30,20 @@ def permuted(df: DataFrame, keys, order: list[str], value, reps: int, seed: int,
     """The rows once for each replicate, with the values of the group in hashed order: replicate 0 is the real one."""
     w = Window.partitionBy(*keys)
     d = df.withColumn("_i", F.row_number().over(w.orderBy(*order)))
-    many = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    many = d.select(*keys, "_i", value, F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("rep"))
     mixed = F.when(F.col("rep") == 0, F.lpad(F.col("_i").cast("string"), 12, "0")).otherwise(F.md5(F.concat_ws("|", F.lit(str(seed)), *keys, "rep", "_i")))
     other = many.select(*keys, "rep", F.row_number().over(Window.partitionBy(*keys, "rep").orderBy(mixed, "_i")).alias("_i"), F.col(value).alias(out))
-    return many.join(other, [*keys, "rep", "_i"])
+    return other.join(d.hint("shuffle_hash"), [*keys, "_i"])  # the rows themselves are not copied for each replicate
 
 
 def shifted(df: DataFrame, keys, order: list[str], value, reps: int, seed: int, out: str) -> DataFrame:
     """Like permuted, but the values are shifted around the group by a hashed number of rows."""
     w = Window.partitionBy(*keys)
     d = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
-    many = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    many = d.select(*keys, "_i", "_n", value, F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("rep"))
     by = F.when(F.col("rep") == 0, F.lit(0)).otherwise(hash_pick(F.concat_ws("|", F.lit(str(seed)), *keys, "rep"), F.col("_n")))
     other = many.select(*keys, "rep", F.pmod(F.col("_i") + by, F.col("_n")).cast("int").alias("_i"), F.col(value).alias(out))
-    return many.join(other, [*keys, "rep", "_i"])
+    return other.join(d.hint("shuffle_hash"), [*keys, "_i"])
 
 
 def achieved_level(stats: DataFrame, keys, value) -> DataFrame:

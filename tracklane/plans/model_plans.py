@@ -115,8 +115,9 @@ SUBS = "s AS (SELECT u, fr, AVG(fr) OVER (PARTITION BY u, FLOOR(x/10000)) AS a,
 @query("j9_aggregate_model", f"WITH {ACT}, {SUBS} SELECT u, n, ROUND((ay*vb-b_y*ab)/(va*vb-ab*ab),5) AS coef_place, ROUND((b_y*va-ay*ab)/(va*vb-ab*ab),5) AS coef_line, ROUND((ay*(ay*vb-b_y*ab)+b_y*(b_y*va-ay*ab))/(va*vb-ab*ab)/vy,5) AS r2, ROUND(ay*ay/va/vy,5) AS r2_place, ROUND(b_y*b_y/vb/vy,5) AS r2_line FROM g WHERE n>10 AND va*vb-ab*ab>1e-3*va*vb AND vy>0")
 def j9(spark, d):
     """Predictions of a place and a line model as features of a second regression; its coefficients beside their scores."""
-    mean = lambda *c: F.avg("fr").over(Window.partitionBy("u", *c))
-    s = activity(spark, d).select("u", "fr", mean(S.uniform_bin("x", 0, 10000)).alias("a"), mean("ln").alias("b"))
+    rows = activity(spark, d).select("u", "fr", "ln", S.uniform_bin("x", 0, 10000).alias("xb"))
+    mean = lambda c, out: rows.groupBy("u", c).agg(F.avg("fr").alias(out))
+    s = rows.join(mean("xb", "a"), ["u", "xb"]).join(mean("ln", "b"), ["u", "ln"])
     g = s.groupBy("u").agg(F.count("*").alias("n"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"), F.covar_pop("a", "b").alias("ab"), F.covar_pop("a", "fr").alias("ay"), F.covar_pop("b", "fr").alias("b_y"), F.var_pop("fr").alias("vy"))
     va, vb, ab, ay, by, vy = (F.col(c) for c in ("va", "vb", "ab", "ay", "b_y", "vy"))
     det, ca, cb = va * vb - ab * ab, ay * vb - by * ab, by * va - ay * ab
@@ -176,5 +177,6 @@ def u1(spark, d):
 
 @query("u2_named_metrics", f"WITH {ACT}, p AS (SELECT u, fr AS y, AVG(fr) OVER (PARTITION BY u, ln) AS q FROM act) SELECT u, ROUND(AVG((y-q)*(y-q)),6) AS mse, ROUND(AVG(ABS(y-q)),6) AS mae FROM p GROUP BY u")
 def u2(spark, d):
-    p = activity(spark, d).select("u", F.col("fr").alias("y"), F.avg("fr").over(Window.partitionBy("u", "ln")).alias("q"))
+    a = activity(spark, d)
+    p = a.join(a.groupBy("u", "ln").agg(F.avg("fr").alias("q")), ["u", "ln"]).select("u", F.col("fr").alias("y"), "q")
     return P.metrics(p, ["u"], "y", "q", ["mse", "mae"]).select("u", R("mse").alias("mse"), R("mae").alias("mae"))

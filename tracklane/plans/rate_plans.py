@@ -102,9 +102,9 @@ def d22(spark, d):
 
 @query("d23_zscore", f"WITH {ACT} SELECT tr, ln, ROUND(CASE WHEN STDDEV_POP(fr) OVER w>0 THEN (fr-AVG(fr) OVER w)/STDDEV_POP(fr) OVER w ELSE 0 END,6) AS zs FROM act WINDOW w AS (PARTITION BY u)")
 def d23(spark, d):
-    w = Window.partitionBy("u")
-    sd = F.stddev_pop("fr").over(w)
-    return activity(spark, d).select("tr", "ln", R(F.when(sd > 0, (F.col("fr") - F.avg("fr").over(w)) / sd).otherwise(0.0)).alias("zs"))
+    a = activity(spark, d)
+    of_unit = a.groupBy("u").agg(F.avg("fr").alias("mean"), F.stddev_pop("fr").alias("sd"))
+    return a.join(of_unit, "u").select("tr", "ln", R(F.when(F.col("sd") > 0, (F.col("fr") - F.col("mean")) / F.col("sd")).otherwise(0.0)).alias("zs"))
 
 
 @query("d24_signal_stats", f"WITH {ACT} SELECT z, ROUND(STDDEV_POP(fr),6) AS sd, MIN(fr) AS lo, MAX(fr) AS hi FROM act GROUP BY z")
@@ -334,7 +334,8 @@ def i3(spark, d):
     g = activity(spark, d).withColumns({"i": F.row_number().over(w.orderBy("tr", "ln", "x", "fr")) - 1, "n": F.count("*").over(w)}).select("u", "i", "n", "x", "fr")
     draws = g.select("u", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("rep"))
     draws = draws.select("u", "rep", S.hash_pick(F.concat_ws("|", F.lit("7"), "u", "rep", "i"), F.col("n")).alias("i"))
-    return draws.join(g, ["u", "i"]).groupBy("u", "rep").agg(F.corr("x", "fr").alias("c")).groupBy("u").agg(R(F.avg("c")).alias("m"), F.count("*").alias("reps"))
+    # the draws stay unsorted: each task looks them up among its share of the rows
+    return draws.join(g.hint("shuffle_hash"), ["u", "i"]).groupBy("u", "rep").agg(F.corr("x", "fr").alias("c")).groupBy("u").agg(R(F.avg("c")).alias("m"), F.count("*").alias("reps"))
 
 
 @query("i20_stratified_folds", f"WITH {ACT}, t AS (SELECT DISTINCT tr, st FROM act), f AS (SELECT tr, st, NTILE(5) OVER (PARTITION BY st ORDER BY MD5(CONCAT_WS('|','3',tr)), tr)-1 AS fold FROM t) SELECT st, CAST(fold AS BIGINT) AS fold, COUNT(*) AS n, CAST(SUM(tr) AS BIGINT) AS ids FROM f GROUP BY 1,2")
