@@ -7,6 +7,7 @@ from math import pi
 from pyspark.sql import functions as F
 
 from tracklane.functions import scalar as S
+from tracklane.operators import encoding as E
 from tracklane.operators import map_scores as MS
 from tracklane.operators import maps as M
 from tracklane.plans.contrast_plans import PICK
@@ -112,3 +113,13 @@ def m5(spark, d):
     """The hexagonal pattern nearest to each unit's map: a coarse sweep, then one four times as fine around its best."""
     g = MS.grid_fit(_unit_maps(spark, d), ["u"], "v", (2.0, 0.5, 8), 6, rounds=1)
     return g.select("u", R("scale").alias("scale"), R("angle").alias("angle"), R("mse").alias("mse"), F.round("r", 5).alias("r"))
+
+
+@query("m5_field_encoder", f"WITH RECURSIVE {ACT}, {FIELDS}, ee AS (SELECT act.u, act.tr%5 AS fold, COALESCE(field,-1) AS f, fr FROM act LEFT JOIN fl ON fl.u=act.u AND fl.xb=CAST(FLOOR(x/10000) AS BIGINT) AND fl.yb=act.ln), kk AS (SELECT UNNEST(range(0,5)) AS fold), cc AS (SELECT e.u, f, k.fold, AVG(fr) AS coef FROM ee e JOIN kk k ON e.fold<>k.fold GROUP BY 1,2,3) SELECT e.u, c.fold, CASE WHEN e.fold=c.fold THEN 'test' ELSE 'train' END AS split, COUNT(*) AS n, ROUND(CASE WHEN VAR_POP(fr)>1e-9*AVG(fr*fr) THEN 1-SUM((fr-coef)*(fr-coef))/(COUNT(*)*VAR_POP(fr)) END,5) AS r2 FROM ee e JOIN cc c ON e.u=c.u AND e.f=c.f GROUP BY 1,2,3")
+def m5_fields(spark, d):
+    """Activity encoded by the field a sample is in (one more feature for those in none), scored by fold."""
+    m = _unit_maps(spark, d)
+    fields = MS.labelled_fields(m, ["u"], "v", SHARE, FIELD)
+    e = _samples(spark, d).join(fields, ["u", "xb", "yb"], "left").select("u", (F.col("tr") % 5).alias("fold"), F.coalesce("field", F.lit(-1)).alias("f"), "fr")
+    g = E.fold_scores(E.fold_coefficients(e, ["u"], "fold", "f", "fr", 5), ["u"], "fold")
+    return g.select("u", "fold", "split", "n", F.round("r2", 5).alias("r2"))

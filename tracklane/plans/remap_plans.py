@@ -1,7 +1,9 @@
-"""Remapping by Kendall's correlation on replicates, test against null, sizes of draws; sub-segments; cluster counts; any estimator."""
+"""Remapping by Kendall's correlation on replicates, test against null, sizes of draws; sub-segments; cluster counts; any estimator; exported rows."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Window
@@ -14,10 +16,11 @@ from tracklane.operators import models as P
 from tracklane.operators import resample as B
 from tracklane.operators import storage
 from tracklane.plans.contrast_plans import BOOTS, PAIRED, PICK, UB, UP, _unit_boot_maps
+from tracklane.plans.event_plans import TRIALS, _trials
 from tracklane.plans.rate_plans import TT, TZ, _trial_zones
 from tracklane.plans.registry import query
 from tracklane.plans.score_plans import STUDENT
-from tracklane.sources.tables import ACT, activity, read
+from tracklane.sources.tables import ACT, TRK, activity, events, read, tracking
 
 R5 = lambda c: F.round(c, 5)
 
@@ -150,3 +153,19 @@ def u3(spark, d):
     out = P.cross_validated(rows, "fold", 3, LinearRegression(labelCol="fr", predictionCol="pred", solver="normal"))
     gap = F.col("fr") - F.col("pred")
     return out.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(gap * gap), 4).alias("mse"))
+
+
+@query("a10_exported_rows", f"WITH {TRIALS}, trk{TRK.split(', trk', 1)[1]}, {ACT}, x AS (SELECT s, 'trials' AS name, trial AS k, ROUND(tE-t0,6) AS v FROM trials UNION ALL SELECT s, 'events', id, ROUND(value,6) FROM ev UNION ALL SELECT s, 'track', id, ROUND(x+y,6) FROM trk UNION ALL SELECT u, 'rates', tr, ROUND(AVG(fr),6) FROM act GROUP BY u, tr UNION ALL SELECT u, 'units', COUNT(*), ROUND(AVG(fr),6) FROM act GROUP BY u) SELECT name, s, k, v FROM x")
+def a10(spark, d):
+    """The rows of five exported tables (trials, events, track, rates, units), read back from their files."""
+    a = activity(spark, d).withColumnRenamed("u", "s")
+    r = lambda c: F.round(c, 6).alias("v")
+    tables = {
+        "trials": _trials(spark, d).select("s", F.col("trial").alias("k"), r(F.col("tE") - F.col("t0"))), "events": events(spark, d).select("s", F.col("id").alias("k"), r("value")), "track": tracking(spark, d).select("s", F.col("id").alias("k"), r(F.col("x") + F.col("y"))),
+        "rates": a.groupBy("s", F.col("tr").alias("k")).agg(r(F.avg("fr"))), "units": a.groupBy("s").agg(F.count("*").alias("k"), r(F.avg("fr"))),
+    }
+    out = None
+    for name, t in storage.exported(tables, f"{storage.root(spark)}/export-{uuid.uuid4().hex}", "s").items():
+        rows = t.select(F.lit(name).alias("name"), F.col("s").cast("long").alias("s"), F.col("k").cast("long").alias("k"), "v")
+        out = rows if out is None else out.unionByName(rows)
+    return out
