@@ -38,9 +38,6 @@ def _sides(maps, keys, zone, first, second):
     return maps.groupBy(*keys, zone).agg(F.max(F.when(first, m)).alias("x"), F.max(F.when(second, m)).alias("y")).dropna(subset=["x", "y"])
 
 
-FIRST, SECOND = F.lit("F"), F.lit("O")
-
-
 @query("i10_kendall", f"""WITH {TZ}, o AS (SELECT DISTINCT u, tr, st FROM act WHERE st IN ('F','O')), pk AS (SELECT u, rep, tr, st, ROW_NUMBER() OVER (PARTITION BY u, st, rep ORDER BY MD5(CONCAT_WS('|','19',u,rep,tr)), tr) AS i FROM o, UNNEST(range(0,{BOOTS})) AS q(rep)), m AS (SELECT pk.u, rep, st, z, ROUND(AVG(s/n),9) AS m FROM pk JOIN tz ON tz.u=pk.u AND tz.tr=pk.tr WHERE i<=40 GROUP BY 1,2,3,4), b AS (SELECT a.u, a.rep, a.z, a.m AS x, b.m AS y FROM m a JOIN m b ON a.u=b.u AND a.rep=b.rep AND a.z=b.z AND a.st='F' AND b.st='O'), {_tau("c", "b", "u", "rep")} SELECT u, COUNT(*) AS reps, ROUND(AVG(r),5) AS tau FROM c GROUP BY u""")
 def i10(spark, d):
     """Tau of the maps of two outcomes over subsamples of 40 trials, averaged over 100 replicates."""
@@ -48,7 +45,7 @@ def i10(spark, d):
     order = Window.partitionBy("u", "st", "rep").orderBy(F.md5(F.concat_ws("|", F.lit("19"), "u", "rep", "tr")), "tr")
     pick = o.withColumn("i", F.row_number().over(order)).filter("i <= 40")  # trials of one replicate: the size of a subsample
     m = pick.join(_trial_zones(spark, d), ["u", "tr"]).groupBy("u", "rep", "st", "z").agg(F.avg(F.col("s") / F.col("n")).alias("m"))
-    c = A.kendall_of_pairs(_sides(m, ["u", "rep"], "z", F.col("st") == FIRST, F.col("st") == SECOND), ["u", "rep"], "x", "y")
+    c = A.kendall_of_pairs(_sides(m, ["u", "rep"], "z", F.col("st") == "F", F.col("st") == "O"), ["u", "rep"], "x", "y")
     return c.groupBy("u").agg(F.count("*").alias("reps"), R5(F.avg("tau")).alias("tau"))
 
 
@@ -58,7 +55,7 @@ _PAIRS = "ub AS (SELECT a.u, a.rep, a.z, ROUND(a.m,9) AS x, ROUND(b.m,9) AS y FR
 @query("i11_kendall", f"WITH {TZ}, {UB}, {_PAIRS}, {_tau('kt', 'ub', 'u', 'rep')} SELECT u, COUNT(*) AS reps, ROUND(AVG(r),5) AS tau FROM kt WHERE k>=5 GROUP BY u")
 def i11(spark, d):
     """Tau of balanced bootstrap maps."""
-    both = _sides(_unit_boot_maps(spark, d), ["u", "rep"], "z", F.col("st") == FIRST, F.col("st") == SECOND)
+    both = _sides(_unit_boot_maps(spark, d), ["u", "rep"], "z", F.col("st") == "F", F.col("st") == "O")
     return A.kendall_of_pairs(both, ["u", "rep"], "x", "y").filter("n >= 5").groupBy("u").agg(F.count("*").alias("reps"), R5(F.avg("tau")).alias("tau"))
 
 
@@ -72,7 +69,7 @@ def i12(spark, d):
 
 
 #: Two comparisons of a unit's trials: outcomes (test), even and odd trials (null).
-SIDES = {"test": (F.col("st") == "F", F.col("st") == "O"), "null": (F.col("tr") % 2 == 0, F.col("tr") % 2 == 1)}
+SIDES = {"test": "st = 'F'", "null": "tr % 2 = 0"}
 NULLS = f"""{TZ}, b0 AS (SELECT DISTINCT u, tr, st FROM act WHERE st IN ('F','O')), b1 AS (SELECT u, tr, 'test' AS cmp, CASE WHEN st='F' THEN 'a' ELSE 'b' END AS side FROM b0 UNION ALL SELECT u, tr, 'null', CASE WHEN tr%2=0 THEN 'a' ELSE 'b' END FROM b0), b2 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY u, cmp, side ORDER BY tr)-1 AS i, COUNT(*) OVER (PARTITION BY u, cmp, side) AS n FROM b1), b3 AS (SELECT *, (MIN(n) OVER (PARTITION BY u, cmp)+MAX(n) OVER (PARTITION BY u, cmp))//2 AS size FROM b2),
 b4 AS (SELECT DISTINCT u, cmp, side, n, size FROM b3), b5 AS (SELECT u, cmp, side, rep, {PICK.format(key="'31',u,cmp,side,rep,i", n="n")} AS i FROM b4, UNNEST(range(0,{BOOTS})) AS q(rep), LATERAL (SELECT UNNEST(range(0,size)) AS i)), mp AS (SELECT d.u, d.cmp, d.side, d.rep, tz.z, ROUND(AVG(tz.s/tz.n),9) AS m FROM b5 d JOIN b2 t ON d.u=t.u AND d.cmp=t.cmp AND d.side=t.side AND d.i=t.i JOIN tz ON tz.u=t.u AND tz.tr=t.tr GROUP BY 1,2,3,4,5),
 pr AS (SELECT a.u, a.cmp, a.rep, a.z, a.m AS x, b.m AS y FROM mp a JOIN mp b ON a.u=b.u AND a.cmp=b.cmp AND a.rep=b.rep AND a.z=b.z AND a.side='a' AND b.side='b'), {_tau("kt", "pr", "u", "cmp", "rep")}, rs AS (SELECT u, cmp, rep, k, SIN(r*PI()/2) AS r FROM kt WHERE k>=5)"""
@@ -85,7 +82,7 @@ def i13(spark, d):
     """z of the outcomes' correlation against that of even and odd trials on 100 balanced bootstraps: its mean, the
     replicates' p-values combined, and a t test of the replicates' z; strata draw the mean of their sizes."""
     o = activity(spark, d).filter("st in ('F', 'O')").select("u", "tr", "st").distinct()
-    each = F.inline(F.array(*[F.struct(F.lit(c).alias("cmp"), F.when(a, F.lit("a")).otherwise(F.lit("b")).alias("side")) for c, (a, _) in SIDES.items()]))
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("cmp"), F.when(F.expr(first), F.lit("a")).otherwise(F.lit("b")).alias("side")) for c, first in SIDES.items()]))
     draws = B.balanced_draws(o.select("u", "tr", each), ["u", "cmp"], ["side"], "tr", BOOTS, 31, "mean")
     m = draws.join(_trial_zones(spark, d), ["u", "tr"]).groupBy("u", "cmp", "side", "rep", "z").agg(F.avg(F.col("s") / F.col("n")).alias("m"))
     both = _sides(m, ["u", "cmp", "rep"], "z", F.col("side") == "a", F.col("side") == "b")
