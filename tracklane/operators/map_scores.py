@@ -80,7 +80,7 @@ def shifted_maps(samples: DataFrame, keys: list[str], order: list[str], value, r
     rep = F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("rep")
     by = F.when(F.col("rep") == 0, F.lit(0)).otherwise(hash_pick(F.concat_ws("|", F.lit(str(seed)), *keys, "rep"), F.col("_n")))
     moved = d.filter("_v <> 0").select(*keys, "_v", "_i", "_n", rep).select(*keys, "rep", "_v", F.pmod(F.col("_i") + by, F.col("_n")).cast("int").alias("_i"))
-    sums = moved.join(d.select(*keys, *parts, x, y, "_i"), [*keys, "_i"]).groupBy(*keys, "rep", *parts, x, y).agg(F.sum("_v").alias("_s"))
+    sums = moved.join(d.select(*keys, *parts, x, y, "_i").hint("shuffle_hash"), [*keys, "_i"]).groupBy(*keys, "rep", *parts, x, y).agg(F.sum("_v").alias("_s"))
     at = [*keys, "rep", *parts, x, y]
     return occupied.select("*", rep).join(sums, at, "left").select(*at, (F.coalesce("_s", F.lit(0.0)) / F.col("_o")).alias("m"))
 
