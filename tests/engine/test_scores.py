@@ -61,3 +61,34 @@ def test_grid_score_tells_hexagons_from_squares(spark):
     got = {r.u: r for r in M.grid_score(spark.createDataFrame(rows, "u string, xb long, yb long, v double"), ["u"], "v").collect()}
     assert got["hexagons"].score > 0.5 and abs(got["hexagons"].scale - gap) < 1 and got["hexagons"].phase < 0.15
     assert got["squares"].score < 0
+
+
+def test_medians_from_counts_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v)) for g in range(4) for v in rng.integers(0, 9, 5 + g) / 2] + [(9, 1.5), (8, None)]
+    got = {r.g: (r.med, r.mad) for r in A.mad(spark.createDataFrame(rows, "g long, v double"), ["g"], "v").collect()}
+    for g in {g for g, v in rows if v is not None}:
+        v = np.array([x for h, x in rows if h == g and x is not None])
+        assert got[g] == (np.median(v), np.median(np.abs(v - np.median(v))))
+    assert 8 not in got
+
+
+@pytest.mark.parametrize("ranges", [2, 7, 200])
+def test_exact_quantiles_equal_numpy(spark, ranges):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(size=300), np.full(200, 0.25)])  # a value that holds two fifths of the rows
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    for parts in (2, 3, 10):
+        assert A.exact_quantiles(df, "v", parts, ranges) == pytest.approx(np.quantile(v, [i / parts for i in range(1, parts)]).tolist())
+
+
+def test_quantile_groups_of_few_rows(spark):
+    one = spark.createDataFrame([(2.0,), (None,)], "v double")
+    assert sorted(r.part for r in A.quantile_groups(one, "v", 3, "part").collect()) == [0, 0]
+    assert A.quantile_groups(one.filter("v > 5"), "v", 3, "part").count() == 0
+    many = spark.createDataFrame([(float(i),) for i in range(9)], "v double")
+    assert [r.part for r in A.quantile_groups(many, "v", 3, "part").orderBy("v").collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 2]

@@ -128,10 +128,49 @@ def one_sample_t(df: DataFrame, keys, value, mean: float) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(value).alias("n"), ((F.avg(value) - mean) / F.when(sd > 0, sd / F.sqrt(F.count(value)))).alias("t"))
 
 
+def median_of_counts(by: DataFrame, keys, value, count, out: str) -> DataFrame:
+    """(keys, out): median of each group of (keys, value, count), the values of a group distinct and not null.
+
+    A running count over the sorted values finds the middle: the sort spills, no group's values are held in memory.
+    """
+    w = Window.partitionBy(*keys)
+    upto, n = F.sum(count).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), F.sum(count).over(w)
+    at = by.select(*keys, F.col(value).cast("double").alias("_v"), upto.alias("_upto"), n.alias("_n"))
+    first = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    return at.groupBy(*keys).agg(((first(F.floor((F.col("_n") - 1) / 2)) + first(F.floor(F.col("_n") / 2))) / 2).alias(out))
+
+
 def mad(df: DataFrame, keys, value) -> DataFrame:
-    """Median and median absolute deviation: two grouped medians."""
-    med = df.groupBy(*keys).agg(F.median(value).alias("med"))
-    return df.join(med, keys).groupBy(*keys).agg(F.first("med").alias("med"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    """Median and median absolute deviation of the values that aren't null; rows are counted by value once, both medians read the counts."""
+    by = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_k"))
+    med = median_of_counts(by, keys, "_value", "_k", "med")
+    off = by.join(med, keys).groupBy(*keys, F.abs(F.col("_value") - F.col("med")).alias("_off")).agg(F.sum("_k").alias("_k"))
+    return med.join(median_of_counts(off, keys, "_off", "_k", "mad"), keys).select(*keys, "med", "mad")
+
+
+def exact_quantiles(df: DataFrame, value, parts: int, ranges: int = 200) -> list[float]:
+    """The parts - 1 inner quantiles of a numeric column, interpolated between neighbours; empty without values.
+
+    Values are counted, cut into ranges by approximate quantiles (the cuts decide only where the work is done), and a
+    running count inside each range goes on from the total of the ranges below: no task sees all values. The driver reads
+    the cuts and two values for each quantile.
+    """
+    by = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
+    cuts = sorted(set(by.approxQuantile("_v", [i / ranges for i in range(1, ranges)], 1 / (2 * ranges))))
+    if not cuts:
+        return []
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_v")))
+    by = by.withColumn("_b", place)
+    totals = by.groupBy("_b").agg(F.sum("_k").alias("_t"))
+    below = totals.withColumn("_below", F.sum("_t").over(Window.orderBy("_b")) - F.col("_t"))  # a row for each range
+    upto = F.sum("_k").over(Window.partitionBy("_b").orderBy("_v")) + F.col("_below")
+    ranked = by.join(below.select("_b", "_below"), "_b").select("_v", upto.alias("_upto"))
+    n = totals.agg(F.sum("_t")).first()[0]
+    at = [(n - 1) * i / parts for i in range(1, parts)]
+    wanted = sorted({int(x) for x in at} | {min(int(x) + 1, n - 1) for x in at})
+    found = ranked.agg(*[F.min(F.when(F.col("_upto") > k, F.col("_v"))).alias(f"_{k}") for k in wanted]).first()
+    low_high = [(found[f"_{int(x)}"], found[f"_{min(int(x) + 1, n - 1)}"], x - int(x)) for x in at]
+    return [a + (b - a) * share for a, b, share in low_high]
 
 
 def spatial_information(df: DataFrame, keys, zone, rate, occupancy) -> DataFrame:
@@ -215,9 +254,9 @@ def weighted_levels(df: DataFrame, keys, level, total, count, least: int) -> Dat
 
 
 def quantile_groups(df: DataFrame, value, parts: int, out: str) -> DataFrame:
-    """Appends the quantile group (0 ..) of a value; edges from one global aggregate of a fixed number of percentiles."""
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("_e"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.aggregate("_e", F.lit(0).cast("long"), lambda a, e: a + F.when(F.col(value) > e, 1).otherwise(0))).drop("_e")
+    """Appends the quantile group (0 ..) of a value: how many of the exact quantiles it exceeds; nulls exceed none."""
+    above = [F.when(F.col(value) > e, 1).otherwise(0) for e in exact_quantiles(df, value, parts)]
+    return df.withColumn(out, sum(above, F.lit(0)).cast("long"))
 
 
 def kolmogorov_smirnov(df: DataFrame, keys, value, first: Column) -> DataFrame:

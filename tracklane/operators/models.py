@@ -83,7 +83,7 @@ def decoders(df: DataFrame, label: str, fold: str, folds: int, experiments: dict
 
     The label is a class number from 0. The driver loops over experiments and folds only; every fit is distributed.
     """
-    base = balanced(df, [fold], label, "_w").withColumn(label, F.col(label).cast("double"))
+    base = cut(balanced(df, [fold], label, "_w").withColumn(label, F.col(label).cast("double")))  # read by every fit
     out = None
     for name, features in experiments.items():
         rows = VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="skip").transform(base)

@@ -9,24 +9,29 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df from a checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def root(spark) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset: the warehouse, which executors share, or in local mode (tests) a temporary folder of our own.
+    """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not where and not sc.master.startswith("local"):
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tracklane"
     if not where:
         where = getattr(sc, "_tracklane_tables", None) or tempfile.mkdtemp(prefix="spark-")
         sc._tracklane_tables = where
     return where
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df from a checkpoint under root()."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(root(spark))
+    return df.checkpoint()
+
+
 def materialized(build, spark, where: str, name: str, params: dict, defaults: dict) -> DataFrame:
     """The table that build(**params) gives, written once for each set of parameters that differs from the defaults.
 
