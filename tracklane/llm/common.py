@@ -33,9 +33,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset: the warehouse, which executors share, or in local mode (tests) a temporary folder of our own.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not root and not sc.master.startswith("local"):
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tracklane"
     if not root:
         root = getattr(sc, "_tracklane_root", None) or tempfile.mkdtemp(prefix="spark-")
         sc._tracklane_root = root

@@ -63,10 +63,10 @@ def repeated_chunks(rows: DataFrame, mean_lines: int = 3, window: int = 2) -> Da
     return again.join(first, ["h", "body"]).filter(place > F.col("first")).select("row", "start", "n")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 2, least_chars: int = 20, broadcast_cuts: int = 500_000) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 2, least_chars: int = 20) -> DataFrame:
     """The rows of docs without runs of lines of `least_chars` characters or more that occur earlier.
 
-    Cuts are counted, and broadcast up to `broadcast_cuts` of them (under 16 MB); beyond, texts are shuffled to their cuts.
+    Texts are shuffled to their cuts at every size; a side is broadcast only below Spark's own limit of bytes.
     """
     names = docs.columns
     # two hashes of id and text: a key that any executor computes alike, without a copy of the table
@@ -79,9 +79,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean
     rows = docs.select("row", of_row(id_col).alias("id"), of_row(text).alias("text"))
     cuts = repeated_chunks(rows, mean_lines, window).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
     cuts = written(cuts, "line-cuts")
-    n = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()
-    if n[0] + n[1] <= broadcast_cuts:
-        cuts = F.broadcast(cuts)
+    release(docs.sparkSession)
     lines = F.split(of_row(text), "\n", -1)
     left = F.when(F.col("spans").isNull(), of_row(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.exists("spans", lambda c: (i >= c["start"]) & (i <= c["end"]))), "\n"))
     docs = docs.join(cuts, "row", "left").withColumn("spans", F.when(F.col("cuts").isNotNull(), large_runs(F.col("cuts"), lines, least_chars)))
