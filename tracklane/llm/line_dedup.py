@@ -44,12 +44,12 @@ def _candidates(rows: DataFrame, mean_lines: int, window: int) -> DataFrame:
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
     cut = chunk_rows(rows.filter("text is not null"), "text", mean_lines, window)
     often = cut.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1").select("h", "first")
-    hits = cut.join(often, "h").select("row", F.struct("start", "n", "h", (place > F.col("first")).alias("later")).alias("hit"))
+    hits = cut.join(often.hint("merge"), "h").select("row", F.struct("start", "n", "h", (place > F.col("first")).alias("later")).alias("hit"))
     hits = hits.groupBy("row").agg(F.collect_set("hit").alias("hits")).withColumn("wide", F.filter("hits", lambda c: c["later"] & (c["n"] > 2)))
     inside = lambda x: F.exists("wide", lambda c: (c["start"] <= x["start"]) & (x["start"] + 2 <= c["start"] + c["n"]))
     hits = hits.select("row", F.filter("hits", lambda x: (x["n"] > 2) | ~inside(x)).alias("hits"))
     body = F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.n")), "\n")
-    again = rows.join(hits, "row").select("row", "id", F.split("text", "\n", -1).alias("lines"), F.explode("hits").alias("c"))
+    again = rows.join(hits.hint("merge"), "row").select("row", "id", F.split("text", "\n", -1).alias("lines"), F.explode("hits").alias("c"))
     return written(again.select("row", "id", "c.start", "c.n", "c.h", body.alias("body")), "repeated-chunks")
 
 
@@ -60,13 +60,13 @@ def repeated_chunks(rows: DataFrame, mean_lines: int = 3, window: int = 2) -> Da
     release(rows.sparkSession)
     first = again.groupBy("h", "body").agg(F.min(place).alias("first"))
     # compared byte for byte: the body is a key of the grouping and of this join
-    return again.join(first, ["h", "body"]).filter(place > F.col("first")).select("row", "start", "n")
+    return again.join(first.hint("merge"), ["h", "body"]).filter(place > F.col("first")).select("row", "start", "n")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_lines: int = 3, window: int = 2, least_chars: int = 20) -> DataFrame:
     """The rows of docs without runs of lines of `least_chars` characters or more that occur earlier.
 
-    Texts are shuffled to their cuts at every size; a side is broadcast only below Spark's own limit of bytes.
+    Texts are shuffled to their cuts and all joins merge, at every size: the sides to broadcast would grow with the documents.
     """
     names = docs.columns
     # two hashes of id and text: a key that any executor computes alike, without a copy of the table
@@ -82,7 +82,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean
     release(docs.sparkSession)
     lines = F.split(of_row(text), "\n", -1)
     left = F.when(F.col("spans").isNull(), of_row(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.exists("spans", lambda c: (i >= c["start"]) & (i <= c["end"]))), "\n"))
-    docs = docs.join(cuts, "row", "left").withColumn("spans", F.when(F.col("cuts").isNotNull(), large_runs(F.col("cuts"), lines, least_chars)))
+    docs = docs.join(cuts.hint("merge"), "row", "left").withColumn("spans", F.when(F.col("cuts").isNotNull(), large_runs(F.col("cuts"), lines, least_chars)))
     return docs.select(*[(left if c == text else of_row(c)).alias(c) for c in names])
 
 
