@@ -141,7 +141,10 @@ def median_of_counts(by: DataFrame, keys, value, count, out: str) -> DataFrame:
 
 
 def mad(df: DataFrame, keys, value) -> DataFrame:
-    """Median and median absolute deviation of the values that aren't null; rows are counted by value once, both medians read the counts."""
+    """Median and median absolute deviation of the values that aren't null; a group without any has no row.
+
+    Rows are counted by value once, both medians read the counts.
+    """
     by = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_k"))
     med = median_of_counts(by, keys, "_value", "_k", "med")
     off = by.join(med, keys).groupBy(*keys, F.abs(F.col("_value") - F.col("med")).alias("_off")).agg(F.sum("_k").alias("_k"))
