@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -464,6 +465,44 @@ def test_pitman_yor_sums_to_one():
     assert abs(m.pair(np.zeros(6, int), np.append(c, 0), np.append(t, 0), parent).sum() - 1) < 1e-9
 
 
+def test_every_previous_word_has_its_own_restaurant(spark):
+    """9,000 previous words, each followed by a word of its own: all are told apart, and their totals are those counted."""
+    r, n = random.Random(4), 9000
+    texts = []
+    for _ in range(300):
+        texts.append(" ".join(f"a{i} b{i}" for i in r.sample(range(n), 120)))
+    seen = Counter((u, w) for t in texts for u, w in zip(["", *t.split()], [*t.split(), ""]))
+    word, context, doc = pitman_yor.tokens(texts)
+    assert len(word) == len(doc) == sum(seen.values()) and len(set(context.tolist())) == len({u for u, _ in seen})
+    assert sorted(Counter(zip(word.tolist(), context.tolist())).values()) == sorted(seen.values())
+    rows = spark.createDataFrame([(i % 5 == 0, t) for i, t in enumerate(texts)], "held_out boolean, text string").repartition(3)
+    counts = pitman_yor.count_words(rows, 8)
+    asked = pitman_yor._to_contexts(counts, "contexts", ["customers", "kinds"], 0, 0, True, 3)
+    want = Counter((u, w) for i, t in enumerate(texts) if i % 5 for u, w in zip(["", *t.split()], [*t.split(), ""]))
+    of = Counter()
+    for (u, _), k in want.items():
+        of[u] += k
+    told = {}
+    contexts = {x.bucket: np.frombuffer(x.contexts, "<u8") for x in counts.collect()}
+    replies = pitman_yor.context_totals(asked).toArrow()
+    for b, c in contexts.items():
+        customers, kinds = pitman_yor._replies(replies.filter(pc.equal(replies["bucket"], b)), 2)
+        for x in zip(c.tolist(), customers.tolist(), kinds.tolist()):
+            assert told.setdefault(x[0], x[1:]) == x[1:]
+    kinds = Counter(u for u, _ in want)
+    assert sorted(told.values()) == sorted((of[u], kinds[u]) for u in {u for u, _ in seen})
+
+
+def test_what_always_follows_is_nearly_certain(spark):
+    """b after a of its own, 12 times each, among 6,000 such pairs: hashing contexts into few restaurants would blur this."""
+    n = 6000
+    texts = [" ".join(f"a{i} b{i}" for i in range(k, n, 60)) for k in range(60) for _ in range(14)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = pitman_yor.lm_scores(d).agg(F.avg(F.col("score") / F.col("n_tokens")), F.avg(F.col("base_score") / F.col("n_tokens"))).first()
+    # an a is one of 60 lists' next words as well, which is as certain
+    assert got[0] > -0.12 > got[1]
+
+
 def test_scores_do_not_depend_on_partitions(docs, spark):
     told = []
     for n in (3, 7):

@@ -1,20 +1,22 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Levels: a uniform base over the vocabulary and one unknown word; a restaurant of single words above it; and above that
-CONTEXTS context restaurants, which all share the word restaurant as parent. The context of a token is a hash of the word
-before it modulo CONTEXTS, so frequent words have (nearly) a restaurant of their own and per-context totals have a fixed
-bound; that the bound doesn't grow with the vocabulary is a limit of this model, see the README.
+Levels: a uniform base over the vocabulary and one unknown word; a restaurant of single words above it; and above that a
+restaurant for each previous word, which all share the word restaurant as parent. Words are told apart by 64 bits of hash,
+previous words by 56; no two share a restaurant otherwise.
 
 Customers of a dish sit at tables; each table is a customer of the parent. Seatings are sampled by Gibbs: in a sweep as
 many customers as a dish has leave and sit down again, one after the other for dishes of up to ROUNDS customers, in ROUNDS
 blocks for larger ones (members of a block don't see each other). A table that opens or closes is passed to the word
-restaurant at once. Table sizes are kept between sweeps. Totals of whole restaurants are exchanged between buckets of words
-after each sweep (at most CONTEXTS rows); random numbers are hashes of seed, sweep, round, word and context, so seatings
-don't depend on the number of partitions. The predictive probability is averaged over the sweeps after burn-in. Discounts
-come from counts of counts over the whole corpus.
+restaurant at once. Table sizes are kept between sweeps. Random numbers are hashes of seed, sweep, round, word and context,
+so seatings don't depend on the number of partitions. The predictive probability is averaged over the sweeps after burn-in.
+Discounts come from counts of counts over the whole corpus.
 
-Counts are pre-aggregated by chunk of documents, then merged by bucket of words; a word has at most CONTEXTS entries
-there, however frequent. Texts meet the model by bucket as well, and only packed sums by chunk travel back.
+Pairs of word and context are bucketed by word. A context's totals are sums over buckets of words: after each sweep buckets
+send the tables of their contexts to buckets of contexts, which add them up and answer by position, so that no task and no
+driver sees the totals of all contexts. Only pairs of two customers or more ever move, and only they are kept and
+exchanged between sweeps; pairs seen once are counted again from the texts when these are scored.
+
+Texts meet the model by bucket, in chunks, and only packed sums by chunk travel back.
 
 Defined cases: null and empty texts are one end token; rows of one id are scored apart; a null id trains; with no training
 token every word is unknown and scores base log10(1 / (N + V + 1)); an empty table gives an empty result; a very long text
@@ -24,6 +26,7 @@ is one chunk; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +34,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import Batch, discard, mix64, shuffle_partitions, written
+from tracklane.llm.common import Batch, discard, mix64, release, shuffle_partitions, written
 from tracklane.llm.exchange import bucket_cuts, joined
 
-CONTEXTS = 4096
 #: Blocks in which the customers of a large dish are seated again in a sweep.
 ROUNDS = 32
 END, BEGIN = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 STRENGTH = 1.0
 #: Bytes of text that one chunk holds in memory at most, unless a single text is longer.
-CHUNK = 2 << 20
+CHUNK = 6 << 20
+#: Rows of a chunk at most: a text of a chunk and whether it is held out are one number of 16 bits.
+ROWS = 30_000
+#: Contexts that buckets of words send to one bucket of contexts, about.
+PART = 1 << 19
 
 
 def held_out(id_col: Column) -> Column:
@@ -52,22 +58,30 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // CHUNK if len(sizes) else np.zeros(0)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(sizes) else []
     for a, b in zip(first, [*first[1:], len(sizes)]):
-        for lo in range(int(a), int(b), 60_000):
-            yield batch.slice(lo, min(60_000, int(b) - lo))
+        for lo in range(int(a), int(b), ROWS):
+            yield batch.slice(lo, min(ROWS, int(b) - lo))
 
 
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hash, context and text of each token, sorted by word and context."""
+    """Word hash, context (hash of the word before, its last byte zero) and text of each token, sorted by word and context."""
     words = Batch(texts, lower=True)
     n = len(words.start) + len(texts)
     word = np.full(n, END, dtype=np.uint64)
     word[np.arange(len(words.start)) + words.doc] = words.word_hashes()
     doc = np.repeat(np.arange(len(texts)), words.n_words + 1)
-    before = np.concatenate([[BEGIN], word[:-1]])[:n]
-    before[np.concatenate([[0], np.cumsum(words.n_words + 1)[:-1]]).astype(np.int64)] = BEGIN
-    context = (mix64(before) % np.uint64(CONTEXTS)).astype(np.int64)
-    order = np.lexsort((context, word))
-    return word[order], context[order], doc[order]
+    known, rank = np.unique(np.append(word, BEGIN), return_inverse=True)
+    before = np.concatenate([rank[-1:], rank[:-2]])[:n]
+    before[np.concatenate([[0], np.cumsum(words.n_words + 1)[:-1]]).astype(np.int64)] = rank[-1]
+    order = np.argsort(rank[:-1] * len(known) + before)
+    return word[order], known[before[order]] & ~np.uint64(255), doc[order]
+
+
+def _pairs(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different words and contexts, of each different pair the places of both, and of each row the place of its pair."""
+    words, w = np.unique(word, return_inverse=True)
+    contexts, x = np.unique(context, return_inverse=True)
+    keys, pair = np.unique(w * len(contexts) + x, return_inverse=True)
+    return words, contexts, *np.divmod(keys, len(contexts)), pair
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -79,9 +93,11 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 def uniform(key: np.ndarray, *more: int) -> np.ndarray:
     """Numbers in [0, 1) that are a hash of the key and further numbers."""
+    salt = np.zeros(1, np.uint64)
     with np.errstate(over="ignore"):
         for x in more:
-            key = mix64(key ^ (np.uint64(x) * np.uint64(0x9E3779B97F4A7C15)))
+            salt = mix64(salt ^ (np.uint64(x) * np.uint64(0x9E3779B97F4A7C15)))
+    key = mix64(key ^ salt)
     return (key >> np.uint64(11)).astype(np.float64) / (1 << 53)
 
 
@@ -102,6 +118,25 @@ class Seats:
         each, rest = np.divmod(customers.astype(np.int64), np.maximum(tables, 1))
         return cls(key, tables, np.repeat(each, tables) + (_nth(tables) < np.repeat(rest, tables)))
 
+    def part(self, dish: np.ndarray) -> Seats:
+        """Some dishes (ascending) by themselves."""
+        at = np.full(len(self.key), -1)
+        at[dish] = np.arange(len(dish))
+        mine = at[self.owner] >= 0
+        return Seats.of(self.key[dish], at[self.owner[mine]], self.size[mine])
+
+    @classmethod
+    def of(cls, key: np.ndarray, owner: np.ndarray, size: np.ndarray) -> Seats:
+        seats = cls(key, np.zeros(len(key), np.int64), size)
+        seats.owner = owner
+        return seats
+
+    def put(self, parts: list[tuple[np.ndarray, Seats]]) -> None:
+        """Takes the tables of all dishes from parts, each with its dishes."""
+        owner = np.concatenate([dish[x.owner] for dish, x in parts])
+        order = np.argsort(owner, kind="stable")
+        self.owner, self.size = owner[order], np.concatenate([x.size for _, x in parts])[order]
+
     def tables(self) -> np.ndarray:
         return np.bincount(self.owner, minlength=len(self.key))
 
@@ -113,11 +148,15 @@ class Seats:
 
         Returns the tables closed and opened for each of these dishes.
         """
-        active = np.zeros(len(self.key), dtype=bool)
-        active[dish] = True
-        mine = active[self.owner]
-        owner, size, k = np.searchsorted(dish, self.owner[mine]), self.size[mine], len(dish)
-        edge = np.searchsorted(owner, np.arange(k + 1))
+        k, rest = len(dish), None
+        owner, size = self.owner, self.size
+        if k < len(self.key):
+            active = np.zeros(len(self.key), dtype=bool)
+            active[dish] = True
+            mine = active[owner]
+            rest = owner[~mine], size[~mine]
+            owner, size = (np.cumsum(active) - 1)[owner[mine]], size[mine]
+        edge = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=k))])
         key = self.key[dish]
         with np.errstate(over="ignore"):
             each = lambda of, n: key[of] + n.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
@@ -129,7 +168,8 @@ class Seats:
         size = size - np.bincount(gone, minlength=len(size))
         weight = np.where(size > 0, size - discount, 0.0)
         cum = np.concatenate([[0.0], np.cumsum(weight)])
-        old = np.where(np.bincount(owner, size > 0, k) > 0, cum[edge[1:]] - cum[edge[:-1]], 0.0)
+        taken = np.concatenate([[0], np.cumsum(size > 0)])
+        old = np.where(taken[edge[1:]] > taken[edge[:-1]], cum[edge[1:]] - cum[edge[:-1]], 0.0)
         of, j = np.repeat(np.arange(k), join), _nth(join)
         pick = uniform(each(of, j), *stamp, 2) * (old + fresh)[of]
         new = pick >= old[of]
@@ -141,10 +181,11 @@ class Seats:
         opened = np.bincount(of[new], minlength=k)
         closed = np.bincount(owner[size == 0], minlength=k)
         keep = size > 0
-        self.size = np.concatenate([self.size[~mine], size[keep], first[of[new]]])
-        self.owner = np.concatenate([self.owner[~mine], dish[owner[keep]], dish[of[new]]])
-        order = np.argsort(self.owner, kind="stable")
-        self.owner, self.size = self.owner[order], self.size[order]
+        owner, size = np.concatenate([owner[keep], of[new]]), np.concatenate([size[keep], first[of[new]]])
+        if rest:
+            owner, size = np.concatenate([rest[0], dish[owner]]), np.concatenate([rest[1], size])
+        order = np.argsort(owner, kind="stable")
+        self.owner, self.size = owner[order], size[order]
         return closed, opened
 
 
@@ -156,27 +197,47 @@ def blocks(customers: np.ndarray, r: int) -> np.ndarray:
 def gibbs(pairs: Seats, of: np.ndarray, words: Seats, d1: float, d0: float, weight: np.ndarray, fresh0: float, parent, number: int) -> None:
     """A sweep: pairs are dishes of context restaurants (word `of`, weight of a new table before its dish `weight`).
 
-    words are the dishes of the parent; parent(customers, tables) is the parent's probability of its dishes. Customers of the
-    parent that don't come from `pairs` are the tables of dishes with one customer, which never move.
+    words are the dishes of the parent; parent(customers, tables) is the parent's probability of each dish, by itself.
+    Customers of the parent that don't come from `pairs` are the tables of dishes with one customer, which never move.
+    Dishes that have no customer left to move are put aside, so a round costs what it moves.
     """
-    customers = pairs.customers()
+    mine, of = np.unique(of, return_inverse=True)
+    above, parts, live = words.part(mine), [], np.arange(len(of))
+    customers, seats = pairs.customers(), pairs
     for r in range(ROUNDS if len(of) else 0):
-        n = blocks(customers, r)
+        n = blocks(customers[live], r)
         dish = np.flatnonzero(n)
         if not len(dish):
             break
-        p = parent(words.customers(), words.tables())
-        closed, opened = pairs.change(dish, n[dish], n[dish], d1, weight[dish] * p[of[dish]], number, r, 3)
-        less, more = np.bincount(of[dish], closed, len(words.key)).astype(np.int64), np.bincount(of[dish], opened, len(words.key)).astype(np.int64)
+        if len(dish) < 0.8 * len(live):
+            rest = np.flatnonzero(n == 0)
+            parts.append((live[rest], seats.part(rest)))
+            seats, live, n = seats.part(dish), live[dish], n[dish]
+            dish = np.arange(len(live))
+        at = of[live[dish]]
+        p = parent(above.customers(), above.tables())
+        closed, opened = seats.change(dish, n[dish], n[dish], d1, weight[live[dish]] * p[at], number, r, 3)
+        less, more = np.bincount(at, closed, len(mine)).astype(np.int64), np.bincount(at, opened, len(mine)).astype(np.int64)
         some = np.flatnonzero(less + more)
-        words.change(some, less[some], more[some], d0, np.full(len(some), fresh0), number, r, 4)
-    customers = words.customers()
+        above.change(some, less[some], more[some], d0, np.full(len(some), fresh0), number, r, 4)
+    if parts:
+        pairs.put([*parts, (live, seats)])
+    others = np.setdiff1d(np.arange(len(words.key)), mine)
+    words.put([(mine, above), (others, words.part(others))])
+    customers, seats, live, parts = words.customers(), words, np.arange(len(words.key)), []
     for r in range(ROUNDS):
-        n = blocks(customers, r)
+        n = blocks(customers[live], r)
         dish = np.flatnonzero(n)
         if not len(dish):
             break
-        words.change(dish, n[dish], n[dish], d0, np.full(len(dish), fresh0), number, r, 5)
+        if len(dish) < 0.8 * len(live):
+            rest = np.flatnonzero(n == 0)
+            parts.append((live[rest], seats.part(rest)))
+            seats, live, n = seats.part(dish), live[dish], n[dish]
+            dish = np.arange(len(live))
+        seats.change(dish, n[dish], n[dish], d0, np.full(len(dish), fresh0), number, r, 5)
+    if parts:
+        words.put([*parts, (live, seats)])
 
 
 def expected_tables(customers: np.ndarray, fresh: np.ndarray) -> np.ndarray:
@@ -189,68 +250,44 @@ def _discount(n1: float, n2: float) -> float:
     return float(np.clip(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.05, 0.95))
 
 
-#: Of a bucket: words, pairs of each, their contexts and counts. Tables are stored for pairs with two customers or more.
-STATE = "bucket int, words binary, pairs binary, context binary, c binary, large binary, t binary, sizes binary, t0 binary, sizes0 binary, samples binary, samples0 binary"
-#: Sums travel as slices of one vector: a and b of each context, then those of the kinds -1, -2, -3.
-SLICE = 64
-TOTALS = "slice int, a array<double>, b array<double>"
-
-
-class _Totals:
-    """Sums of one task, whatever the number of buckets it reads."""
-
-    def __init__(self):
-        self.a, self.b = np.zeros(CONTEXTS + SLICE), np.zeros(CONTEXTS + SLICE)
+def _planes(x: np.ndarray) -> bytes:
+    """Integers in as few bytes as the largest needs, byte by byte: zeros of small ones lie together and compress well."""
+    top = int(x.max()) if x.size else 0
+    k = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([k]) + np.ascontiguousarray(x.astype(f"<u{k}")).view("u1").reshape(-1, k).T.tobytes()
 
-    def add(self, kinds: dict[int, tuple[float, float]], context: np.ndarray, c: np.ndarray, t: np.ndarray) -> None:
-        for k, (x, y) in kinds.items():
-            self.a[CONTEXTS - 1 - k] += x
-            self.b[CONTEXTS - 1 - k] += y
-        self.a[:CONTEXTS] += np.bincount(context, c, CONTEXTS)
-        self.b[:CONTEXTS] += np.bincount(context, t, CONTEXTS)
 
-    def frame(self) -> pa.RecordBatch:
-        cut = lambda x: pa.array(x.reshape(-1, SLICE).tolist(), pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([pa.array(range(len(self.a) // SLICE), pa.int32()), cut(self.a), cut(self.b)], names=["slice", "a", "b"])
-
-
-def _gather(df: DataFrame) -> dict[int, tuple[float, float]]:
-    """Sums by context and kind: the driver reads CONTEXTS / SLICE + 1 rows at most."""
-    sums = [F.sum(F.get(x, F.lit(i))).alias(f"{x}{i}") for x in "ab" for i in range(SLICE)]
-    out = {}
-    for r in df.groupBy("slice").agg(*sums).collect():
-        for i in range(SLICE):
-            k = r["slice"] * SLICE + i
-            if r[f"a{i}"] or r[f"b{i}"]:
-                out[k if k < CONTEXTS else CONTEXTS - 1 - k] = (r[f"a{i}"], r[f"b{i}"])
-    return out
+def _ints(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
+    k = data[0]
+    return np.ascontiguousarray(np.frombuffer(data, "u1", offset=1).reshape(k, -1).T).view(f"<u{k}").ravel().astype(np.int64)
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, ...]:
-    words, pairs, context = (np.frombuffer(row[k], d) for k, d in (("words", "<u8"), ("pairs", "<u4"), ("context", "<u2")))
-    c = np.frombuffer(row["c"], "u1").astype(np.int64)
-    c[c == 255] = np.frombuffer(row["large"], "<i8")
-    return words, np.repeat(np.arange(len(words)), pairs), context.astype(np.int64), c
+def _contexts(x: np.ndarray) -> bytes:
+    """Contexts without their last byte, which is zero."""
+    return x.astype("<u8").view("u1").reshape(-1, 8)[:, 1:].tobytes()
 
 
-def _all_tables(c: np.ndarray, stored: np.ndarray) -> np.ndarray:
-    """Tables of every pair from those of the pairs with two customers or more."""
-    t = np.ones(len(c), dtype=np.int64)
-    t[c > 1] = stored
-    return t
+def _of_contexts(data: list[bytes]) -> np.ndarray:
+    x = joined(data, "u1").reshape(-1, 7)
+    return np.concatenate([np.zeros((len(x), 1), np.uint8), x], axis=1).view("<u8").ravel()
 
 
 class Model:
-    """Global totals of a seating: customers and tables of each context, of the word restaurant, and discounts."""
+    """Totals of a seating: customers and tables of some contexts, of the word restaurant (-1), and discounts."""
 
     def __init__(self, totals: dict[int, tuple[float, float]], vocabulary: int, d1: float, d0: float):
-        self.c, self.t = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-        for k, (a, b) in totals.items():
-            if k >= 0:
-                self.c[k], self.t[k] = a, b
+        contexts = [totals[k] for k in sorted(totals) if k >= 0]
+        self.c, self.t = np.array([c for c, _ in contexts]), np.array([t for _, t in contexts])
         self.c0, self.t0 = totals.get(-1, (0.0, 0.0))
         self.d1, self.d0, self.base = d1, d0, 1.0 / (vocabulary + 1)
 
+    def of_contexts(self, c: np.ndarray, t: np.ndarray) -> Model:
+        out = copy(self)
+        out.c, out.t = c, t
+        return out
+
     def word(self, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
         return (c0 - self.d0 * t0 + (STRENGTH + self.d0 * self.t0) * self.base) / (STRENGTH + self.c0)
 
@@ -261,105 +298,154 @@ class Model:
         return (c - self.d1 * t + self.fresh(context, parent)) / (STRENGTH + self.c[context])
 
 
+#: Of a bucket: its contexts with customers and words; of its words with a customer, those of single customers (alone) and
+#: the pairs of two or more: their contexts as places in `moving`, and customers.
+COUNTS = "bucket int, contexts binary, customers binary, kinds binary, words binary, alone binary, pairs binary, moving binary, context binary, c binary, n bigint, v bigint, pair1 bigint, pair2 bigint, word1 bigint, word2 bigint, n_contexts bigint"
+#: Seats of the pairs that move and of words; kinds: words of each moving context; more: tables beyond one for each pair.
+SEATS = "bucket int, words binary, alone binary, pairs binary, moving binary, context binary, c binary, kinds binary, t binary, sizes binary, t0 binary, sizes0 binary, more binary, samples binary, samples0 binary, extra binary, n_tables bigint, n_tables0 bigint"
+
+
 def count_words(rows: DataFrame, buckets: int) -> DataFrame:
-    """Counts of (word, context) over rows of (text), packed by bucket of words."""
+    """Counts of (word, context) over the rows of (held_out, text) that aren't held out, packed by bucket of words.
+
+    The contexts of held-out texts are in `contexts` too, as these texts will ask for their totals.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks(batch):
-                word, context, _ = tokens(part.column("text").to_pylist())
+                word, context, doc = tokens(part.column("text").to_pylist())
+                trains = ~np.array(part.column("held_out").to_pylist(), dtype=bool)
                 at = _runs(word, context)
-                n = np.diff(np.concatenate([at, [len(word)]]))
+                n = np.add.reduceat(trains[doc].astype(np.int64), at)
                 word, context = word[at], context[at]
                 out = []
                 for k, a, b in bucket_cuts(word, buckets):
                     first = _runs(word[a:b])
-                    out.append((k, word[a:b][first].tobytes(), np.diff([*first, b - a]).astype("<u4").tobytes(), context[a:b].astype("<u2").tobytes(), n[a:b].astype("<u4").tobytes()))
+                    out.append((k, word[a:b][first].tobytes(), np.diff([*first, b - a]).astype("<u4").tobytes(), _contexts(context[a:b]), _planes(n[a:b])))
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "words", "pairs", "context", "n"])
 
     def merge(key, table):
         if not table.num_rows:
             return pa.table({})
         words, pairs = joined(table["words"].to_pylist(), "<u8"), joined(table["pairs"].to_pylist(), "<u4")
-        word, context, n = np.repeat(words, pairs), joined(table["context"].to_pylist(), "<u2"), joined(table["n"].to_pylist(), "<u4").astype(np.int64)
-        order = np.lexsort((context, word))
-        word, context, n = word[order], context[order], n[order]
-        at = _runs(word, context)
-        word, context, c = word[at], context[at], np.add.reduceat(n, at)
-        first = _runs(word)
-        one = lambda x: pa.array([x.tobytes()], pa.binary())
-        none = pa.array([b""], pa.binary())
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "words": one(word[first]), "pairs": one(np.diff([*first, len(word)]).astype("<u4")), "context": one(context.astype("<u2")), "c": one(np.minimum(c, 255).astype("u1")), "large": one(c[c >= 255].astype("<i8")), "t": none, "sizes": none, "t0": none, "sizes0": none, "samples": none, "samples0": none})
+        word, context, n = np.repeat(words, pairs), _of_contexts(table["context"].to_pylist()), np.concatenate([_ints(x) for x in table["n"].to_pylist()])
+        words, contexts, of, place, pair = _pairs(word, context)
+        c = np.bincount(pair, n, len(of)).astype(np.int64)
+        customers, kinds = np.bincount(place, c, len(contexts)), np.bincount(place, c > 0, len(contexts))
+        cw = np.bincount(of, c, len(words))
+        of, place, c = (np.cumsum(cw > 0) - 1)[of[c > 0]], place[c > 0], c[c > 0]  # what only held-out texts have goes
+        words, cw, many = words[cw > 0], cw[cw > 0], c > 1
+        moving, place = np.unique(contexts[place[many]], return_inverse=True)
+        held = {
+            "contexts": contexts.tobytes(), "customers": _planes(customers), "kinds": _planes(kinds), "words": words.tobytes(), "alone": _planes(np.bincount(of[~many], minlength=len(words))),
+            "pairs": _planes(np.bincount(of[many], minlength=len(words))), "moving": moving.tobytes(), "context": _planes(place), "c": _planes(c[many]),
+        }
+        sums = {"n": c.sum(), "v": len(words), "pair1": (c == 1).sum(), "pair2": (c == 2).sum(), "word1": (cw == 1).sum(), "word2": (cw == 2).sum(), "n_contexts": len(contexts)}
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), **{k: pa.array([x], pa.binary()) for k, x in held.items()}, **{k: pa.array([int(x)], pa.int64()) for k, x in sums.items()}})
 
     sent = rows.mapInArrow(run, "bucket int, words binary, pairs binary, context binary, n binary")
-    return sent.repartition(shuffle_partitions(rows.sparkSession), "bucket").groupBy("bucket").applyInArrow(merge, STATE)
+    return sent.repartition(shuffle_partitions(rows.sparkSession), "bucket").groupBy("bucket").applyInArrow(merge, COUNTS)
 
 
-def _count_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """-1: tokens and words; -2, -3: pairs and words seen once and twice; contexts: customers and different words."""
-    sums = _Totals()
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            words, of, context, c = _unpack(row)
-            cw = np.bincount(of, c, len(words))
-            sums.add({-1: (c.sum(), len(words)), -2: ((c == 1).sum(), (c == 2).sum()), -3: ((cw == 1).sum(), (cw == 2).sum())}, context, c, np.ones(len(c)))
-    yield sums.frame()
+def _to_contexts(rows: DataFrame, context: str, values: list[str], before: int, after: int, reply: bool, parts: int) -> DataFrame:
+    """Messages of each bucket of words to each bucket of contexts: contexts with their values, zeros before and after them.
 
-
-def _seat_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = _Totals()
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            words, of, context, c = _unpack(row)
-            t, t0 = _all_tables(c, np.frombuffer(row["t"], "<u4")), np.frombuffer(row["t0"], "<u4").astype(np.int64)
-            sums.add({-1: (t.sum(), t0.sum())}, context, c, t)
-    yield sums.frame()
-
-
-def sweep(state: DataFrame, model: Model, tokens_total: float, number: int, keep: bool, seed: int) -> DataFrame:
-    """A Gibbs sweep over every bucket; keep adds the seating to the samples."""
+    A column of values holds one or more values of every context, all of the first, then all of the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ints = lambda row, *names: [np.frombuffer(row[k], "<u4").astype(np.int64) for k in names]
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                words, of, context, c = _unpack(row)
-                fresh0 = (STRENGTH + model.d0 * model.t0) * model.base
-                many = np.flatnonzero(c > 1)
-                key = mix64(words[of[many]] ^ mix64(context[many].astype(np.uint64) + np.uint64(seed)))
-                alone = np.bincount(of[c == 1], minlength=len(words))
-                above = mix64(words + np.uint64(seed))
-                if row["t0"]:
-                    pairs, root = Seats(key, *ints(row, "t", "sizes")), Seats(above, *ints(row, "t0", "sizes0"))
-                else:
-                    share = np.bincount(of, c, len(words)) / max(tokens_total, 1)
-                    pairs = Seats.dealt(key, c[many], expected_tables(c[many], model.fresh(context[many], share[of[many]])))
-                    c0 = alone + np.bincount(of[many], pairs.tables(), len(words)).astype(np.int64)
-                    root = Seats.dealt(above, c0, expected_tables(c0, np.full(len(c0), fresh0)))
-                gibbs(pairs, of[many], root, model.d1, model.d0, STRENGTH + model.d1 * model.t[context[many]], fresh0, model.word, number)
-                bytes_of = lambda x: x.astype("<u4").tobytes()
-                row |= {"t": bytes_of(pairs.tables()), "sizes": bytes_of(pairs.size), "t0": bytes_of(root.tables()), "sizes0": bytes_of(root.size)}
-                if keep:
-                    row |= {"samples": row["samples"] + row["t"], "samples0": row["samples0"] + row["t0"]}
-                yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
-
-    return state.mapInArrow(run, STATE)
+                told = np.frombuffer(row[context], "<u8")
+                own = [_ints(row[v]).reshape(-1, len(told)) for v in values] if len(told) else []
+                zeros = lambda k: np.zeros((k, len(told)), np.int64)
+                sums = np.concatenate([zeros(before), *own, zeros(after)])
+                out = [(k, row["bucket"], reply, told[a:b].tobytes(), _planes(sums[:, a:b])) for k, a, b in bucket_cuts(told, parts)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["part", "bucket", "reply", "told", "sums"])
+
+    return rows.select("bucket", context, *values).mapInArrow(run, "part int, bucket int, reply boolean, told binary, sums binary")
+
+
+def context_totals(messages: DataFrame) -> DataFrame:
+    """(bucket, part, sums): for each message that wants a reply the totals of its contexts, in its order."""
+
+    def add(key, table):
+        told = [np.frombuffer(x, "<u8") for x in table["told"].to_pylist()]
+        sums = np.concatenate([_ints(x).reshape(-1, len(c)) for x, c in zip(table["sums"].to_pylist(), told)], axis=1)
+        known, place = np.unique(np.concatenate(told), return_inverse=True)
+        total = np.stack([np.bincount(place, x, len(known)) for x in sums])
+        cut = np.cumsum([0, *map(len, told)])
+        wanted = [i for i, x in enumerate(table["reply"].to_pylist()) if x]
+        return pa.table({
+            "bucket": pa.array([table["bucket"][i].as_py() for i in wanted], pa.int32()),
+            "part": pa.array([key[0].as_py()] * len(wanted), pa.int32()),
+            "sums": pa.array([_planes(total[:, place[cut[i] : cut[i + 1]]]) for i in wanted], pa.binary()),
+        })
+
+    return messages.repartition(shuffle_partitions(messages.sparkSession), "part").groupBy("part").applyInArrow(add, "bucket int, part int, sums binary")
+
 
+def _replies(table: pa.Table, values: int) -> np.ndarray:
+    """Totals of all contexts of a bucket, a row for each value."""
+    rows = sorted(zip(table["part"].to_pylist(), table["sums"].to_pylist()))
+    return np.concatenate([np.zeros((values, 0), np.int64), *[_ints(x).reshape(values, -1) for _, x in rows]], axis=1)
 
+
+def sweep(state: DataFrame, replies: DataFrame, model: Model, tokens_total: float, number: int, keep: bool, seed: int) -> DataFrame:
+    """A Gibbs sweep over every bucket; keep adds the seating to the samples.
+
+    state is of COUNTS before the first sweep, and replies are then the words of each moving context; later state is of
+    SEATS and replies are the tables beyond one for each pair.
+    """
+
+    def run(key, left, right):
+        if not left.num_rows:
+            return pa.table({})
+        row = left.to_pylist()[0]
+        words, alone, of, place, c = np.frombuffer(row["words"], "<u8"), *(_ints(row[k]) for k in ("alone", "pairs", "context", "c"))
+        of, moving, told = np.repeat(np.arange(len(words)), of), np.frombuffer(row["moving"], "<u8"), _replies(right, 1)[0]
+        kinds = told if "t" not in row else _ints(row["kinds"])
+        m = model.of_contexts(None, kinds if "t" not in row else kinds + told)
+        fresh0 = (STRENGTH + m.d0 * m.t0) * m.base
+        with np.errstate(over="ignore"):
+            key_of = mix64(words[of] ^ mix64(moving[place] + np.uint64(seed)))
+            above = mix64(words + np.uint64(seed))
+        if "t" in row:
+            pairs, root = Seats(key_of, _ints(row["t"]), _ints(row["sizes"])), Seats(above, _ints(row["t0"]), _ints(row["sizes0"]))
+        else:
+            share = (alone + np.bincount(of, c, len(words))) / max(tokens_total, 1)
+            pairs = Seats.dealt(key_of, c, expected_tables(c, m.fresh(place, share[of])))
+            c0 = alone + np.bincount(of, pairs.tables(), len(words)).astype(np.int64)
+            root = Seats.dealt(above, c0, expected_tables(c0, np.full(len(c0), fresh0)))
+        gibbs(pairs, of, root, m.d1, m.d0, STRENGTH + m.d1 * m.t[place], fresh0, m.word, number)
+        t, t0 = pairs.tables(), root.tables()
+        more = _planes(np.bincount(place, t - 1, len(moving)))
+        row |= {"kinds": _planes(kinds), "t": _planes(t), "sizes": _planes(pairs.size), "t0": _planes(t0), "sizes0": _planes(root.size), "more": more}
+        row |= {"n_tables": int(t.sum() + alone.sum()), "n_tables0": int(t0.sum())}
+        for name, one in (("samples", t), ("samples0", t0), ("extra", _ints(more))):
+            row[name] = _planes(np.concatenate([_ints(row.get(name) or b""), one])) if keep else b""
+        return pa.Table.from_pylist([row], schema=SCHEMA)
+
+    return state.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(run, SEATS)
+
+
+SCHEMA = pa.schema([(x.split()[0], {"int": pa.int32(), "binary": pa.binary(), "bigint": pa.int64()}[x.split()[1]]) for x in SEATS.split(", ")])
 SUMS = "row bigint, id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 #: What a bucket returns for a chunk of texts: sums for each text of the chunk that has a word there.
-PACKED = "chunk bigint, doc binary, n_tokens binary, n_known binary, base binary, score binary, row binary, ids binary, held binary"
-_KINDS = {"doc": "<u2", "n_tokens": "<u4", "n_known": "<u4", "base": "<f8", "score": "<f8"}
+PACKED = "chunk bigint, doc binary, unknown binary, base binary, score binary, row binary, ids binary, held binary, n binary"
+_OWN = ("row", "ids", "held", "n")
 
 
-def score_rows(rows: DataFrame, state: DataFrame, samples: list[Model], n: float, vocabulary: int, buckets: int) -> DataFrame:
+def score_rows(rows: DataFrame, known: DataFrame, samples: list[Model], n: float, vocabulary: int, buckets: int) -> DataFrame:
     """Sums for each row of (row, id, held_out, text).
 
     Texts go to the buckets in chunks, and the sums of a chunk come back packed, so what travels is counted in chunks, not
-    in pairs of text and bucket. Ids of a chunk wait in a bucket of their own (negative) that has no model.
+    in pairs of text and bucket. A bucket counts the pairs of its texts again; known (bucket, part, sums, samples, samples0)
+    has the tables of those with two customers or more, of its words, and the totals of its contexts, all in the order of
+    the hashes. Ids of a chunk wait in a bucket of their own (negative) that has no model.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,78 +454,99 @@ def score_rows(rows: DataFrame, state: DataFrame, samples: list[Model], n: float
                 word, context, doc = tokens(part.column("text").to_pylist())
                 row, ids = part.column("row").to_numpy(), part.column("id")
                 null = np.array(ids.is_null())
-                ids, held = np.where(null, 0, ids.fill_null(0).to_numpy()), np.array(part.column("held_out").to_pylist(), dtype=np.uint8) + 2 * null.astype(np.uint8)
-                chunk = int(row[0])
-                out = [(-1 - int(mix64(row[:1].astype(np.uint64))[0] % np.uint64(buckets)), chunk, None, None, None, None, row.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), held.astype("u1").tobytes())]
+                ids, held = np.where(null, 0, ids.fill_null(0).to_numpy()), np.array(part.column("held_out").to_pylist(), dtype=np.uint8)
+                chunk, size = int(row[0]), np.bincount(doc, minlength=len(row))
+                out = [(-1 - int(mix64(row[:1].astype(np.uint64))[0] % np.uint64(buckets)), chunk, None, None, None, None, None, row.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), (held + 2 * null).astype("u1").tobytes(), _planes(size))]
+                marked = (2 * doc + held[doc]).astype("<u2")
                 for k, a, b in bucket_cuts(word, buckets):
-                    first = _runs(word[a:b])
-                    out.append((k, chunk, word[a:b][first].tobytes(), np.diff([*first, b - a]).astype("<u4").tobytes(), context[a:b].astype("<u2").tobytes(), doc[a:b].astype("<u2").tobytes(), None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 7))], names=["bucket", "chunk", "words", "pairs", "context", "doc", "row", "ids", "held"])
+                    at = _runs(word[a:b], context[a:b])
+                    first = _runs(word[a:b][at])
+                    out.append((k, chunk, word[a:b][at][first].tobytes(), np.diff([*first, len(at)]).astype("<u4").tobytes(), _contexts(context[a:b][at]), _planes(np.diff([*at, b - a])), marked[a:b].tobytes(), None, None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 9))], names=["bucket", "chunk", "words", "pairs", "context", "times", "doc", *_OWN])
 
     def score(key, left, right):
+        sums = ("doc", "unknown", "base", "score")
         if not left.num_rows or key[0].as_py() < 0:
             none = pa.nulls(left.num_rows, pa.binary())
-            return pa.table({"chunk": left["chunk"], **dict.fromkeys(_KINDS, none), **{k: left[k] for k in ("row", "ids", "held")}}) if left.num_rows else pa.table({})
-        if right.num_rows:
-            words, of, context, c = _unpack(right.to_pylist()[0])
-            stored = np.frombuffer(right["samples"][0].as_py(), "<u4").reshape(len(samples), -1)
-            ts = [_all_tables(c, t) for t in stored]
-            t0s = np.frombuffer(right["samples0"][0].as_py(), "<u4").reshape(len(samples), -1)
-        else:
-            words, of, context, c = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            ts, t0s = [np.zeros(0)] * len(samples), np.zeros((len(samples), 0))
-        cw = np.concatenate([np.bincount(of, c, len(words)), [0]])
-        keys = of * CONTEXTS + context
-        cs, tabs = np.concatenate([c, [0]]), [np.concatenate([t, [0]]) for t in ts]
-        parents = [m.word(np.concatenate([np.bincount(of, t, len(words)), [0]]), np.concatenate([t0, [0]])) for m, t, t0 in zip(samples, ts, t0s)]
-        sums = []
-        for x in left.to_pylist():
-            w = np.frombuffer(x["words"], "<u8")
-            at = np.searchsorted(words, w)
-            at[at < len(words)] = np.where(words[at[at < len(words)]] == w[at < len(words)], at[at < len(words)], len(words))
-            of_word = np.repeat(at, np.frombuffer(x["pairs"], "<u4"))
-            ctx, doc = np.frombuffer(x["context"], "<u2").astype(np.int64), np.frombuffer(x["doc"], "<u2")
-            want = of_word * CONTEXTS + ctx
-            pos = np.searchsorted(keys, want)
-            inside = pos < len(keys)
-            pos[inside] = np.where(keys[pos[inside]] == want[inside], pos[inside], len(keys))
-            p = sum(m.pair(ctx, cs[pos], t[pos], parent[of_word]) for m, t, parent in zip(samples, tabs, parents)) / len(samples)
-            docs, doc = np.unique(doc, return_inverse=True)
-            k = len(docs)
-            found = {"doc": docs, "n_tokens": np.bincount(doc, minlength=k), "n_known": np.bincount(doc, cw[of_word] > 0, k), "base": np.bincount(doc, np.log10((cw[of_word] + 1) / (n + vocabulary + 1)), k), "score": np.bincount(doc, np.log10(p), k)}
-            sums.append({"chunk": x["chunk"]} | {name: found[name].astype(kind).tobytes() for name, kind in _KINDS.items()})
-        none = pa.nulls(len(sums), pa.binary())
-        return pa.table({"chunk": pa.array([x["chunk"] for x in sums], pa.int64()), **{k: pa.array([x[k] for x in sums], pa.binary()) for k in _KINDS}, **dict.fromkeys(("row", "ids", "held"), none)})
+            return pa.table({"chunk": left["chunk"], **dict.fromkeys(sums, none), **{k: left[k] for k in _OWN}}) if left.num_rows else pa.table({})
+        joint = lambda name, kind: joined(left[name].to_pylist(), kind)
+        word, context = np.repeat(joint("words", "<u8"), joint("pairs", "<u4")), _of_contexts(left["context"].to_pylist())
+        times = np.concatenate([_ints(x) for x in left["times"].to_pylist()])
+        marked = joint("doc", "<u2")
+        trains = np.add.reduceat((marked & 1 == 0).astype(np.int64), np.cumsum(times) - times)
+        words, contexts, of, place, pair = _pairs(word, context)
+        c = np.bincount(pair, trains, len(of)).astype(np.int64)
+        cw = np.bincount(of, c, len(words))
+        seats = right.filter(pc.is_valid(right["samples"])).to_pylist()[0]
+        customers, kinds, *extra = _replies(right.filter(pc.is_valid(right["sums"])), 2 + len(samples))
+        if len(customers) != len(contexts):
+            raise ValueError(f"{len(customers)} totals for {len(contexts)} contexts")
+        p = np.zeros(len(c))
+        for m, seated, seated0, x in zip(samples, _ints(seats["samples"]).reshape(len(samples), -1), _ints(seats["samples0"]).reshape(len(samples), -1), extra):
+            t, t0 = np.minimum(c, 1), np.zeros(len(cw), np.int64)
+            t[c > 1], t0[cw > 0] = seated, seated0
+            parent = m.word(np.bincount(of, t, len(cw)), t0)
+            p += m.of_contexts(customers, kinds + x).pair(place, c, t, parent[of]) / len(samples)
+        of_entry = np.repeat(pair, times)
+        logs, base, unknown = np.log10(p)[of_entry], np.log10((cw + 1) / (n + vocabulary + 1))[of][of_entry], (cw == 0)[of][of_entry]
+        out, a = [], 0
+        for chunk, doc in zip(left["chunk"].to_pylist(), left["doc"].to_pylist()):
+            doc = (np.frombuffer(doc, "<u2") >> 1).astype(np.int64)
+            b = a + len(doc)
+            docs = np.flatnonzero(np.bincount(doc))
+            told = [np.bincount(doc, x[a:b])[docs] for x in (unknown, base, logs)]
+            out.append((chunk, docs.astype("<u2").tobytes(), _planes(told[0]), told[1].tobytes(), told[2].tobytes()))
+            a = b
+        none = pa.nulls(len(out), pa.binary())
+        return pa.table({k: pa.array(x, t) for k, x, t in zip(("chunk", *sums), zip(*out), (pa.int64(), *[pa.binary()] * 4))} | dict.fromkeys(_OWN, none))
 
     def total(key, table):
         rows = table.to_pylist()
         head = next(x for x in rows if x["row"] is not None)
         row, ids, held = np.frombuffer(head["row"], "<i8"), np.frombuffer(head["ids"], "<i8"), np.frombuffer(head["held"], "u1")
-        doc, *parts = (joined([x[k] for x in rows if x["doc"] is not None], kind) for k, kind in _KINDS.items())
-        n_tokens, n_known, base, score = (np.bincount(doc, x, len(row)) for x in parts)
-        return pa.table({"row": row, "id": pa.array(ids, mask=held > 1), "held_out": pa.array((held & 1) > 0), "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "base_score": base, "score": score})
+        parts = [x for x in rows if x["doc"] is not None]
+        doc, unknown = joined([x["doc"] for x in parts], "<u2"), np.concatenate([_ints(x["unknown"]) for x in parts])
+        unknown, base, score = (np.bincount(doc, x, len(row)) for x in (unknown, *(joined([x[k] for x in parts], "<f8") for k in ("base", "score"))))
+        n_tokens = _ints(head["n"])
+        return pa.table({"row": row, "id": pa.array(ids, mask=held > 1), "held_out": pa.array((held & 1) > 0), "n_tokens": n_tokens, "n_known": n_tokens - unknown.astype(np.int64), "base_score": base, "score": score})
 
     partitions = shuffle_partitions(rows.sparkSession)
-    sent = rows.mapInArrow(run, "bucket int, chunk bigint, words binary, pairs binary, context binary, doc binary, row binary, ids binary, held binary")
-    back = sent.repartition(partitions, "bucket").groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(score, PACKED)
+    sent = rows.mapInArrow(run, f"bucket int, chunk bigint, words binary, pairs binary, context binary, times binary, doc binary, {', '.join(f'{x} binary' for x in _OWN)}")
+    back = sent.repartition(partitions, "bucket").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(score, PACKED)
     return back.repartition(partitions, "chunk").groupBy("chunk").applyInArrow(total, SUMS)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sweeps: int = 5, burn_in: int = 2, seed: int = 7) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity), one row for each row of docs."""
-    buckets = 4 * shuffle_partitions(docs.sparkSession)  # a bucket's state is one row
+    spark = docs.sparkSession
+    buckets = 2 * shuffle_partitions(spark)  # a bucket's state is one row
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).withColumn("held_out", held_out(F.col("id")))
-    state = written(count_words(rows.filter("not held_out").select("text"), buckets), "lm-counts")
-    totals = _gather(state.mapInArrow(_count_totals, TOTALS))
-    n, vocabulary = totals.get(-1, (0.0, 0.0))
-    d1, d0 = _discount(*totals.get(-2, (0, 0))), _discount(*totals.get(-3, (0, 0)))
-    model = Model(totals | {-1: (n, vocabulary)}, int(vocabulary), d1, d0)
+    counts = written(count_words(rows.select("held_out", "text"), buckets), "lm-counts")
+    names = ("n_contexts", "n", "v", "pair1", "pair2", "word1", "word2")
+    n_contexts, n, vocabulary, *seen = (x or 0 for x in counts.agg(*[F.sum(x) for x in names]).first())
+    d1, d0 = _discount(*seen[:2]), _discount(*seen[2:])
+    parts = 1 + min(n_contexts // PART, buckets)
+    model = Model({-1: (n, vocabulary)}, vocabulary, d1, d0)
+    totals = counts.select("bucket", "contexts", "customers", "kinds")
+    asked = counts.select("bucket", "moving")
+    state = counts.select("bucket", "words", "alone", "pairs", "moving", "context", "c")
+    messages = _to_contexts(totals, "contexts", ["kinds"], 0, 0, False, parts).unionByName(_to_contexts(asked, "moving", [], 0, 1, True, parts))
     samples = []
     for i in range(sweeps):
-        before, state = state, written(sweep(state, model, n, i, i >= burn_in, seed), "lm-seats")
-        discard(before)
-        model = Model(_gather(state.mapInArrow(_seat_totals, TOTALS)), int(vocabulary), d1, d0)
+        before, state = state, written(sweep(state, context_totals(messages), model, n, i, i >= burn_in, seed), "lm-seats")
+        if i:
+            discard(before)
+        model = Model({-1: tuple(x or 0 for x in state.agg(F.sum("n_tables"), F.sum("n_tables0")).first())}, vocabulary, d1, d0)
         samples += [model] if i >= burn_in else []
+        messages = _to_contexts(state, "moving", ["more"], 0, 0, True, parts)
+        release(spark)
+    k = len(samples)
+    messages = _to_contexts(totals, "contexts", ["customers", "kinds"], 0, k, True, parts).unionByName(_to_contexts(state, "moving", ["extra"], 2, 0, False, parts))
+    known = context_totals(messages).unionByName(state.select("bucket", "samples", "samples0"), allowMissingColumns=True)
+    known = written(known, "lm-known")
+    discard(counts)
+    discard(state)
+    release(spark)
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    sums = score_rows(numbered, state, samples, n, int(vocabulary), buckets)
+    sums = score_rows(numbered, known, samples, n, vocabulary, buckets)
     return sums.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
