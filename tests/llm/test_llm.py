@@ -177,6 +177,23 @@ def test_near_dedup_against_all_pairs(spark):
     assert near_dedup.near_dedup(d.limit(0)).count() == 0
 
 
+def test_near_copies_meet_by_their_fingerprints(spark, monkeypatch):
+    """Pairs without a sampled shingle in common are found by the blocks of their SimHashes."""
+    monkeypatch.setattr(near_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(near_dedup, "PREFIX", 1)
+    r, pairs = random.Random(8), []
+    while len(pairs) < 5:
+        w = [f"{r.choice(VOCAB)}{r.randint(0, 30)}" for _ in range(300)]
+        for at in range(300):
+            both = [" ".join(w), " ".join([*w[:at], "other", *w[at + 1 :]])]
+            a, b = near_dedup.elements(both)
+            if a[0] != b[0] and (near_dedup.simhash(a) ^ near_dedup.simhash(b)).bit_count() <= 4:
+                pairs.append(both)
+                break
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(t for both in pairs for t in both)], "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in near_dedup.near_dedup(d).collect()) == [0, 2, 4, 6, 8]
+
+
 def test_spanning_links_hold_every_connection():
     rng = np.random.default_rng(1)
     fp = np.concatenate([np.array([1 << int(b) for b in rng.integers(0, 64, 60)], np.uint64) ^ np.uint64(base) for base in (0, 2**40 + 999)])

@@ -1,15 +1,18 @@
-"""Near-duplicate removal at a similarity of 0.8 over bags of five-word shingles: rare shingles as keys, SimHash, exact check.
-
-At 0.8 SimHashes differ in 10 of 64 bits on average. A radius that covers this cuts 64 bits into blocks of three bits, which
-nearly all pairs of a corpus share, so pairs meet by shingle instead. The j-th copy of a shingle is an element of its own, so
-that the Jaccard similarity of element sets is sum(min) / sum(max) of the bags.
-
-1. Rows of the same words are one node. Of each node the SAMPLE elements of the smallest hash are counted over the corpus;
-   with at least `threshold` of its elements in a partner, one of its rarest PREFIX is shared. That is certain where the
-   sample is the whole text; else a partner is missed if 16 of 32 draws at 0.8 or more all fail, below 2 in 10,000 pairs.
-2. Keys of the same members are one. Inside a key, pairs that aren't connected yet and whose SimHashes are within the radius
+"""Near-duplicate removal at a similarity of 0.8 over bags of five-word shingles: SimHash, rare shingles, exact check.
+
+The j-th copy of a shingle is an element of its own, so that the Jaccard similarity of element sets is sum(min) / sum(max)
+of the bags. SimHash is the first way in which pairs meet: all fingerprints within BITS bits, by op 5's pigeonhole blocks,
+which miss none. At 0.8 fingerprints differ in 10 of 64 bits on average, and a radius that covers this cuts 64 bits into
+blocks of three bits, which nearly all pairs of a corpus share; pairs beyond BITS meet by rare shingles.
+
+1. Rows of the same words are one node. Nodes whose fingerprints hang together by steps of BITS bits or fewer have a key
+   in common.
+2. Of each node the SAMPLE elements of the smallest hash are counted over the corpus; with at least `threshold` of its
+   elements in a partner, one of its rarest PREFIX is shared, and these are keys, too. That is certain where the sample is
+   the whole text; else a partner beyond BITS is missed if 16 of 32 draws at 0.8 or more all fail, below 2 in 10,000 pairs.
+3. Keys of the same members are one. Inside a key, pairs that aren't connected yet and whose SimHashes are within the radius
    (4 standard deviations above the mean at 0.8) are compared exactly, by the 64-bit hashes of all elements.
-3. Of each connected component the row of the smallest id stays (null ids last), and just one.
+4. Of each connected component the row of the smallest id stays (null ids last), and just one.
 
 Defined cases: words are lower-cased; a text under five words has one shingle, the whole sequence; texts without words are
 copies of each other; each row is judged by its own text, whatever its id; an empty table gives an empty result.
@@ -25,10 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklane.llm import simhash_dedup
 from tracklane.llm.common import Batch, connected_components, delete, mix64, noted, numbered, of_row, shuffle_partitions, window_hashes, written
 
 WIDTH = 5
 SAMPLE, PREFIX = 32, 16
+#: Fingerprints that differ in so many bits or fewer meet by their blocks.
+BITS = 4
 
 
 def elements(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
@@ -82,27 +88,35 @@ def similar_links(texts: list[str | None], threshold: float, radius: int) -> lis
 
 
 def _sampled(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(row, need, e): the sampled elements of each node and how many of the rarest are keys."""
+    """(row, fp, need, es): the fingerprint of each node, its sampled elements and how many of the rarest are keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = elements(b.column(1).to_pylist())
             need = [PREFIX if len(e) > SAMPLE else len(e) - int(np.ceil(threshold * len(e) - 1e-9)) + 1 for e in sets]
-            kept = [e[:SAMPLE].view(np.int64) for e in sets]
-            n = [len(e) for e in kept]
-            row = np.repeat(b.column(0).to_numpy(), n)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(np.repeat(need, n), pa.int32()), pa.array(np.concatenate([*kept, np.zeros(0, np.int64)]), pa.int64())], names=["row", "need", "e"])
+            fp = np.array([simhash(e) for e in sets], dtype=np.uint64).view(np.int64)
+            kept = pa.array([e[:SAMPLE].view(np.int64) for e in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(need, pa.int32()), kept], names=["row", "fp", "need", "es"])
+
+    return nodes.select("row", "text").mapInArrow(run, "row bigint, fp bigint, need int, es array<bigint>")
+
 
-    return nodes.select("row", "text").mapInArrow(run, "row bigint, need int, e bigint")
+def simhash_keys(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """(row, key) of rows (row, fp): one key for all fingerprints that are reachable by steps of so many bits or fewer."""
+    distinct = written(prints.select(F.col("fp").alias("id"), "fp").distinct(), "bag-fingerprints")
+    groups = connected_components(simhash_dedup.links(distinct, bits)).withColumnRenamed("node", "fp")
+    return prints.join(groups, "fp", "left").select("row", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("key"))
 
 
 def near_links(nodes: DataFrame, threshold: float = 0.8, radius: int = 22) -> DataFrame:
     """(a, b): verified links between nodes (row, text) of different words that hold all of their connections."""
     sample = written(_sampled(nodes, threshold), "sampled-shingles")
+    by_print = simhash_keys(sample.select("row", "fp"))
+    sample = sample.select("row", "need", F.explode("es").alias("e"))
     count = sample.groupBy("e").agg(F.count("*").alias("n")).filter("n > 1")
     ranked = sample.join(count, "e", "left").groupBy("row").agg(F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "e"))).alias("es"))
     keyed = ranked.select("row", F.explode(F.expr("filter(slice(es, 1, need), x -> x.n > 1)")).alias("x")).select("row", F.col("x.e").alias("key"))
-    keyed = written(keyed, "shingle-keys")
+    keyed = written(keyed.unionByName(by_print), "meeting-keys")
     who = [F.sum(F.xxhash64("row", F.lit(i)).cast("decimal(38,0)")).alias(f"m{i}") for i in range(2)]
     live = keyed.groupBy("key").agg(F.count("*").alias("n"), *who).filter("n > 1").groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key")
     members = keyed.join(live, "key").join(nodes.select("row", "text"), "row").select("key", "row", "text")
