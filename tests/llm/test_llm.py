@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracklane.llm import anchor_dedup, bpe, chat_format, common, decontaminate, html_crf, line_dedup, near_dedup, pitman_yor, quality_rules, simhash_dedup, suffix_dedup
+from tracklane.llm import anchor_dedup, bpe, chat_format, common, decontaminate, exchange, html_crf, line_dedup, near_dedup, pitman_yor, quality_rules, simhash_dedup, suffix_dedup
 
 R = random.Random(5)
 VOCAB = [f"w{i}" for i in range(400)]
@@ -468,6 +468,28 @@ def test_gibbs_against_the_exact_distribution_of_tables():
         assert abs(got[k] - want) < 0.05 * want, (n, got[k], want)
 
 
+def test_customers_leave_table_by_table():
+    """Ten billion customers leave in one step: as many of each table as an even draw takes, without a row for each of them."""
+    size = np.array([6 * 10**9, 24 * 10**9, 1, 5])
+    seats = pitman_yor.Seats(pitman_yor.mix64(np.arange(3, dtype=np.uint64)), np.array([2, 0, 2]), size)
+    closed, opened = seats.change(np.array([0, 2]), np.array([10**10, 6]), np.array([0, 1]), 0.5, np.ones(2), 1)
+    assert closed.tolist() == [0, 2] and opened.tolist() == [0, 1] and seats.owner.tolist() == [0, 0, 2]
+    assert seats.size.sum() == 2 * 10**10 + 1 and abs(seats.size[0] - 4 * 10**9) <= 1
+
+
+def test_ranked_and_bucket_cuts():
+    """Places among different values, where the bits beside the places don't tell all values apart too; buckets are ranges of hashes."""
+    r = np.random.default_rng(3)
+    wide = r.integers(0, 1 << 63, 500, dtype=np.uint64)
+    for x, bits in ((wide[r.integers(0, 500, 5000)], 64), (wide[r.integers(0, 500, 5000)] & np.uint64(4095), 64), (r.integers(0, 900, 5000), 10), (wide[:1], 64), (wide[:0], 64)):
+        for got, want in zip(common.ranked(x, bits), np.unique(x, return_inverse=True)):
+            assert (got == want).all() and len(got) == len(want)
+    hashes = np.sort(np.append(wide * np.uint64(2), np.array([0, (1 << 64) - 1], dtype=np.uint64)))
+    for n in (1, 3, 64, 409):
+        at = [(int(x) >> 32) * n >> 32 for x in hashes]
+        assert [(k, b - a) for k, a, b in exchange.bucket_cuts(hashes, n)] == sorted(Counter(at).items())
+
+
 def test_pitman_yor_sums_to_one():
     """Over the vocabulary and the unknown word the predictive probability of a context is 1."""
     c = np.array([1, 4, 7, 1, 2])

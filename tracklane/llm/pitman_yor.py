@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import Batch, discard, mix64, release, shuffle_partitions, written
+from tracklane.llm.common import Batch, discard, mix64, ranked, release, shuffle_partitions, written
 from tracklane.llm.exchange import bucket_cuts, joined
 
 #: Blocks in which the customers of a large dish are seated again in a sweep.
@@ -69,19 +69,38 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = np.full(n, END, dtype=np.uint64)
     word[np.arange(len(words.start)) + words.doc] = words.word_hashes()
     doc = np.repeat(np.arange(len(texts)), words.n_words + 1)
-    known, rank = np.unique(np.append(word, BEGIN), return_inverse=True)
+    told = pa.array(np.append(word, BEGIN)).dictionary_encode()  # words repeat much, so this is faster than a sort
+    known, rank = ranked(told.dictionary.to_numpy())
+    rank = rank[told.indices.to_numpy()]
     before = np.concatenate([rank[-1:], rank[:-2]])[:n]
     before[np.concatenate([[0], np.cumsum(words.n_words + 1)[:-1]]).astype(np.int64)] = rank[-1]
-    order = np.argsort(rank[:-1] * len(known) + before)
+    order = _order((rank[:-1] << _bits(len(known))) | before, 2 * _bits(len(known)))
     return word[order], known[before[order]] & ~np.uint64(255), doc[order]
 
 
-def _pairs(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Different words and contexts, of each different pair the places of both, and of each row the place of its pair."""
-    words, w = np.unique(word, return_inverse=True)
-    contexts, x = np.unique(context, return_inverse=True)
-    keys, pair = np.unique(w * len(contexts) + x, return_inverse=True)
-    return words, contexts, *np.divmod(keys, len(contexts)), pair
+def _bits(n: int) -> int:
+    """Of the numbers 0 .. n - 1."""
+    return max(n - 1, 0).bit_length()
+
+
+def _order(key: np.ndarray, bits: int) -> np.ndarray:
+    """Stable np.argsort of integers of so many bits, by a sort of keys that end in their places, where that fits."""
+    low = _bits(len(key))
+    if bits + low > 63:
+        return np.argsort(key, kind="stable")
+    return np.sort((key << low) | np.arange(len(key))) & ((1 << low) - 1)
+
+
+def _pairs(words: np.ndarray, times: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different words and contexts, of each different pair the places of both, and of each row the place of its pair.
+
+    The rows have the contexts, and each of the words is that of so many rows.
+    """
+    words, w = ranked(words)
+    contexts, x = ranked(context)
+    low = _bits(len(contexts))
+    keys, pair = ranked((np.repeat(w, times) << low) | x, _bits(len(words)) + low)
+    return words, contexts, keys >> low, keys & ((1 << low) - 1), pair
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -148,44 +167,51 @@ class Seats:
 
         Returns the tables closed and opened for each of these dishes.
         """
-        k, rest = len(dish), None
-        owner, size = self.owner, self.size
-        if k < len(self.key):
-            active = np.zeros(len(self.key), dtype=bool)
-            active[dish] = True
-            mine = active[owner]
-            rest = owner[~mine], size[~mine]
-            owner, size = (np.cumsum(active) - 1)[owner[mine]], size[mine]
-        edge = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=k))])
-        key = self.key[dish]
-        with np.errstate(over="ignore"):
-            each = lambda of, n: key[of] + n.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+        k, every = len(dish), len(dish) == len(self.key)
+        first = np.concatenate([[0], np.cumsum(self.tables())])
+        n = first[dish + 1] - first[dish]
+        edge = np.concatenate([[0], np.cumsum(n)])
+        at = slice(None) if every else np.arange(edge[-1]) + np.repeat(first[dish] - edge[:-1], n)
+        size, key = self.size[at], self.key if every else self.key[dish]
         total = np.concatenate([[0], np.cumsum(size)])
         had = total[edge[1:]] - total[edge[:-1]]
-        of, j = np.repeat(np.arange(k), leave), _nth(leave)
-        place = np.floor((j + uniform(key, *stamp, 1)[of]) * had[of] / leave[of]).astype(np.int64)
-        gone = np.searchsorted(total, total[edge[of]] + np.minimum(place, had[of] - 1), side="right") - 1
-        size = size - np.bincount(gone, minlength=len(size))
-        weight = np.where(size > 0, size - discount, 0.0)
-        cum = np.concatenate([[0.0], np.cumsum(weight)])
-        taken = np.concatenate([[0], np.cumsum(size > 0)])
-        old = np.where(taken[edge[1:]] > taken[edge[:-1]], cum[edge[1:]] - cum[edge[:-1]], 0.0)
+        # customer (j + u) * had / leave of a dish leaves for j = 0 .. leave - 1: as many of each table as lie between its ends
+        shift, some = np.zeros(k), n > 1
+        shift[some] = uniform(key[some], *stamp, 1)
+        end = (total[1:] - np.repeat(total[edge[:-1]], n)) * np.repeat(leave / np.maximum(had, 1), n) - np.repeat(shift, n)
+        gone, some = np.ceil(end).astype(np.int64), n > 0
+        gone[edge[1:][some] - 1] = leave[some]
+        before = np.concatenate([[0], gone])[:-1]
+        before[edge[:-1][some]] = 0
+        size = size - (gone - before)
+        cum = np.concatenate([[0.0], np.cumsum(np.maximum(size - discount, 0.0))])
+        old = np.where(had > leave, cum[edge[1:]] - cum[edge[:-1]], 0.0)
         of, j = np.repeat(np.arange(k), join), _nth(join)
-        pick = uniform(each(of, j), *stamp, 2) * (old + fresh)[of]
-        new = pick >= old[of]
-        new &= (old[of] > 0) | (j == 0)  # at an empty dish the first opens a table, the others of the block sit down there
-        stay = np.flatnonzero(~new & (old[of] > 0))
-        table = np.clip(np.searchsorted(cum, cum[edge[of[stay]]] + pick[stay], side="right") - 1, edge[of[stay]], edge[of[stay] + 1] - 1)
+        with np.errstate(over="ignore"):
+            pick = uniform(key[of] + j.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), *stamp, 2) * (old + fresh)[of]
+        weight = old[of]
+        new = pick >= weight
+        stay = np.flatnonzero(~new)  # none at an empty dish, where the first opens a table and the others of the block sit down there
+        new = of[new & ((weight > 0) | (j == 0))]
+        table, last = edge[:-1][of[stay]], edge[1:][of[stay]] - 1
+        many = np.flatnonzero(last > table)  # where there is but one table, that is it
+        lowest = table[many]
+        found = np.searchsorted(cum, cum[lowest] + pick[stay[many]], side="right") - 1
+        table[many] = np.minimum(np.maximum(found, lowest), last[many])
         size = size + np.bincount(table, minlength=len(size))
-        first = np.where(old > 0, 1, np.maximum(join, 1))
-        opened = np.bincount(of[new], minlength=k)
-        closed = np.bincount(owner[size == 0], minlength=k)
-        keep = size > 0
-        owner, size = np.concatenate([owner[keep], of[new]]), np.concatenate([size[keep], first[of[new]]])
-        if rest:
-            owner, size = np.concatenate([rest[0], dish[owner]]), np.concatenate([rest[1], size])
-        order = np.argsort(owner, kind="stable")
-        self.owner, self.size = owner[order], size[order]
+        opened, empty = np.bincount(new, minlength=k), np.flatnonzero(size == 0)
+        closed = np.bincount(np.searchsorted(edge, empty, side="right") - 1, minlength=k)
+        if every:
+            self.size = size
+        else:
+            self.size[at] = size
+        if len(empty):
+            keep = self.size > 0
+            self.owner, self.size = self.owner[keep], self.size[keep]
+        if len(new):
+            place = np.searchsorted(self.owner, dish[new], side="right")
+            self.owner = np.insert(self.owner, place, dish[new])
+            self.size = np.insert(self.size, place, np.where(old > 0, 1, np.maximum(join, 1))[new])
         return closed, opened
 
 
@@ -253,7 +279,9 @@ def _discount(n1: float, n2: float) -> float:
 def _planes(x: np.ndarray) -> bytes:
     """Integers in as few bytes as the largest needs, byte by byte: zeros of small ones lie together and compress well."""
     top = int(x.max()) if x.size else 0
-    k = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    if top < 1 << 8:
+        return b"\1" + x.astype("u1").tobytes()
+    k = 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
     return bytes([k]) + np.ascontiguousarray(x.astype(f"<u{k}")).view("u1").reshape(-1, k).T.tobytes()
 
 
@@ -261,17 +289,25 @@ def _ints(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.int64)
     k = data[0]
+    if k == 1:
+        return np.frombuffer(data, "u1", offset=1).astype(np.int64)
     return np.ascontiguousarray(np.frombuffer(data, "u1", offset=1).reshape(k, -1).T).view(f"<u{k}").ravel().astype(np.int64)
 
 
+#: The bytes of a context.
+_TAIL = np.dtype([("zero", "u1"), ("tail", "V7")])
+
+
 def _contexts(x: np.ndarray) -> bytes:
     """Contexts without their last byte, which is zero."""
-    return x.astype("<u8").view("u1").reshape(-1, 8)[:, 1:].tobytes()
+    return x.astype("<u8").view(_TAIL)["tail"].tobytes()
 
 
 def _of_contexts(data: list[bytes]) -> np.ndarray:
-    x = joined(data, "u1").reshape(-1, 7)
-    return np.concatenate([np.zeros((len(x), 1), np.uint8), x], axis=1).view("<u8").ravel()
+    tail = joined(data, "V7")
+    out = np.zeros(len(tail), dtype="<u8")
+    out.view(_TAIL)["tail"] = tail
+    return out
 
 
 class Model:
@@ -314,7 +350,7 @@ def count_words(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks(batch):
-                word, context, doc = tokens(part.column("text").to_pylist())
+                word, context, doc = tokens(part.column("text").cast(pa.binary()).to_pylist())
                 trains = ~np.array(part.column("held_out").to_pylist(), dtype=bool)
                 at = _runs(word, context)
                 n = np.add.reduceat(trains[doc].astype(np.int64), at)
@@ -322,15 +358,15 @@ def count_words(rows: DataFrame, buckets: int) -> DataFrame:
                 out = []
                 for k, a, b in bucket_cuts(word, buckets):
                     first = _runs(word[a:b])
-                    out.append((k, word[a:b][first].tobytes(), np.diff([*first, b - a]).astype("<u4").tobytes(), _contexts(context[a:b]), _planes(n[a:b])))
+                    out.append((k, word[a:b][first].tobytes(), np.diff(first, append=b - a).astype("<u4").tobytes(), _contexts(context[a:b]), _planes(n[a:b])))
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "words", "pairs", "context", "n"])
 
     def merge(key, table):
         if not table.num_rows:
             return pa.table({})
         words, pairs = joined(table["words"].to_pylist(), "<u8"), joined(table["pairs"].to_pylist(), "<u4")
-        word, context, n = np.repeat(words, pairs), _of_contexts(table["context"].to_pylist()), np.concatenate([_ints(x) for x in table["n"].to_pylist()])
-        words, contexts, of, place, pair = _pairs(word, context)
+        context, n = _of_contexts(table["context"].to_pylist()), np.concatenate([_ints(x) for x in table["n"].to_pylist()])
+        words, contexts, of, place, pair = _pairs(words, pairs, context)
         c = np.bincount(pair, n, len(of)).astype(np.int64)
         customers, kinds = np.bincount(place, c, len(contexts)), np.bincount(place, c > 0, len(contexts))
         cw = np.bincount(of, c, len(words))
@@ -451,7 +487,7 @@ def score_rows(rows: DataFrame, known: DataFrame, samples: list[Model], n: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks(batch):
-                word, context, doc = tokens(part.column("text").to_pylist())
+                word, context, doc = tokens(part.column("text").cast(pa.binary()).to_pylist())
                 row, ids = part.column("row").to_numpy(), part.column("id")
                 null = np.array(ids.is_null())
                 ids, held = np.where(null, 0, ids.fill_null(0).to_numpy()), np.array(part.column("held_out").to_pylist(), dtype=np.uint8)
@@ -461,7 +497,7 @@ def score_rows(rows: DataFrame, known: DataFrame, samples: list[Model], n: float
                 for k, a, b in bucket_cuts(word, buckets):
                     at = _runs(word[a:b], context[a:b])
                     first = _runs(word[a:b][at])
-                    out.append((k, chunk, word[a:b][at][first].tobytes(), np.diff([*first, len(at)]).astype("<u4").tobytes(), _contexts(context[a:b][at]), _planes(np.diff([*at, b - a])), marked[a:b].tobytes(), None, None, None, None))
+                    out.append((k, chunk, word[a:b][at][first].tobytes(), np.diff(first, append=len(at)).astype("<u4").tobytes(), _contexts(context[a:b][at]), _planes(np.diff(at, append=b - a)), marked[a:b].tobytes(), None, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 9))], names=["bucket", "chunk", "words", "pairs", "context", "times", "doc", *_OWN])
 
     def score(key, left, right):
@@ -470,11 +506,10 @@ def score_rows(rows: DataFrame, known: DataFrame, samples: list[Model], n: float
             none = pa.nulls(left.num_rows, pa.binary())
             return pa.table({"chunk": left["chunk"], **dict.fromkeys(sums, none), **{k: left[k] for k in _OWN}}) if left.num_rows else pa.table({})
         joint = lambda name, kind: joined(left[name].to_pylist(), kind)
-        word, context = np.repeat(joint("words", "<u8"), joint("pairs", "<u4")), _of_contexts(left["context"].to_pylist())
         times = np.concatenate([_ints(x) for x in left["times"].to_pylist()])
         marked = joint("doc", "<u2")
         trains = np.add.reduceat((marked & 1 == 0).astype(np.int64), np.cumsum(times) - times)
-        words, contexts, of, place, pair = _pairs(word, context)
+        words, contexts, of, place, pair = _pairs(joint("words", "<u8"), joint("pairs", "<u4"), _of_contexts(left["context"].to_pylist()))
         c = np.bincount(pair, trains, len(of)).astype(np.int64)
         cw = np.bincount(of, c, len(words))
         seats = right.filter(pc.is_valid(right["samples"])).to_pylist()[0]
@@ -487,8 +522,7 @@ def score_rows(rows: DataFrame, known: DataFrame, samples: list[Model], n: float
             t[c > 1], t0[cw > 0] = seated, seated0
             parent = m.word(np.bincount(of, t, len(cw)), t0)
             p += m.of_contexts(customers, kinds + x).pair(place, c, t, parent[of]) / len(samples)
-        of_entry = np.repeat(pair, times)
-        logs, base, unknown = np.log10(p)[of_entry], np.log10((cw + 1) / (n + vocabulary + 1))[of][of_entry], (cw == 0)[of][of_entry]
+        logs, base, unknown = (np.repeat(x[pair], times) for x in (np.log10(p), np.log10((cw + 1) / (n + vocabulary + 1))[of], (cw == 0)[of]))
         out, a = [], 0
         for chunk, doc in zip(left["chunk"].to_pylist(), left["doc"].to_pylist()):
             doc = (np.frombuffer(doc, "<u2") >> 1).astype(np.int64)
