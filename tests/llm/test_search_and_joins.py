@@ -110,6 +110,21 @@ def test_spelling_variants_equal_all_pairs(spark):
     assert spelling_variants.spelling_variants(df.filter("false")).count() == 0
 
 
+def test_spelling_variants_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    write = spelling_variants.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(spelling_variants, "written", written)
+    df = spark.createDataFrame([(i, "grammar grammar grammer spelling speling") for i in range(30)], "doc_id long, text string")
+    out = spelling_variants.spelling_variants(df)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def joined_by_force(rows, width=3, percent=90):
     sets = []
     for _, t in rows:

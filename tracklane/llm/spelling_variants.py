@@ -11,6 +11,8 @@
    inserts. Counts and best neighbours come from that bounded group; pairs of words are never listed.
 5. Forms are followed to their ends by doubling. A form is `factor` times as frequent, so chains are short.
 
+All joins merge: compressed tables of words and nodes look small enough to broadcast and are many times as large in memory.
+
 Defined cases: null, empty and letterless texts have no words; a null id is an empty string in the hash that drops letters;
 repeated rows count again; very long texts are read whole; an empty table gives an empty result; other columns are ignored.
 """
@@ -71,13 +73,13 @@ def _nodes(words: DataFrame, part: str, name: str) -> DataFrame:
     """(word, nodes): the trie nodes on the way to each word, from the root (0); part is an expression of word and i > 0."""
     parts = words.select("word", F.explode(F.expr("sequence(1, length(word))")).alias("i")).withColumn("part", F.expr(part))
     numbers = written(parts.select("part").distinct().select("part", (F.monotonically_increasing_id() + 1).alias("node")), name)
-    ways = parts.join(numbers, "part").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", "node"))).alias("way"))
+    ways = parts.join(numbers.hint("merge"), "part").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", "node"))).alias("way"))
     return ways.select("word", F.expr("concat(array(0L), transform(way, x -> x.node))").alias(name))
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n_near, best): for each word with a word at one edit, their number and the most frequent (n, word)."""
-    both = words.join(_nodes(words, "left(word, i)", "prefix_nodes"), "word").join(_nodes(words, "right(word, i)", "suffix_nodes"), "word")
+    both = words.join(_nodes(words, "left(word, i)", "prefix_nodes").hint("merge"), "word").join(_nodes(words, "right(word, i)", "suffix_nodes").hint("merge"), "word")
     size = "length(word)"
     skips = f"transform(sequence(1, {size}), i -> struct(prefix_nodes[i - 1] as p, suffix_nodes[{size} - i] as s, true as skips, i = 1 or substr(word, i, 1) <> substr(word, i - 1, 1) as counts))"
     gaps = f"transform(sequence(0, {size}), i -> struct(prefix_nodes[i] as p, suffix_nodes[{size} - i] as s, false as skips, true as counts))"
@@ -100,7 +102,7 @@ def followed(forms: DataFrame) -> DataFrame:
     at = written(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         on = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        stepped = at.join(on, "root", "left")
+        stepped = at.join(on.hint("merge"), "root", "left")
         if stepped.filter("next is not null").isEmpty():
             return at
         before, at = at, written(stepped.select("word", F.coalesce("next", "root").alias("root")), "spelling-roots")
@@ -114,8 +116,8 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     drop_every plants misspellings: a letter goes from each run of a document whose hash that number divides.
     """
     words = written(counted_words(docs, id_col, text, least_length, least_count, drop_every), "spelling-words")
-    rows = words.join(near_words(words), "word", "left")
+    rows = words.join(near_words(words).hint("merge"), "word", "left")
     is_form = F.col("best.n") >= factor * F.col("n")
     rows = written(rows.select("word", "n", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), F.when(is_form, F.col("best.word")).alias("form"), F.when(is_form, F.col("best.n")).alias("form_n")), "spelling-forms")
     roots = followed(rows.filter("form is not null"))
-    return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
