@@ -59,6 +59,17 @@ def kendall_of_pairs(df: DataFrame, keys, x, y) -> DataFrame:
     return g.select(*keys, "n", F.when((F.col("_t.p") > 0) & (F.col("_t.q") > 0), F.col("_t.s") / F.sqrt(F.col("_t.p") * F.col("_t.q"))).alias("tau"))
 
 
+def combined_tail(h, n, most: int) -> Column:
+    """Upper tail exp(-h) sum(h^k / k!) over k < n of chi squared 2 h with 2 n degrees of freedom, n at most `most`."""
+    logs, total = [], 0.0
+    for k in range(most):
+        logs.append(total)
+        total += log(k + 1)
+    given = F.array(F.struct(F.col(h).alias("_h"), F.col(n).alias("n")))
+    terms = F.transform(given, lambda v: F.aggregate(F.sequence(F.lit(0), v["n"].cast("int") - 1), F.lit(0.0), lambda a, k: a + F.exp(k * F.ln(F.greatest(v["_h"], F.lit(1e-300))) - v["_h"] - F.get(F.array(*[F.lit(x) for x in logs]), k))))
+    return F.least(F.lit(1.0), terms[0])
+
+
 def combined_p(df: DataFrame, keys, p, most: int) -> DataFrame:
     """(keys, n, chi2, p): Fisher's combination of the p-values of a group, of which there are at most `most`.
 
@@ -66,12 +77,7 @@ def combined_p(df: DataFrame, keys, p, most: int) -> DataFrame:
     in logarithms. p-values of 0 count as 1e-300.
     """
     g = df.filter(F.col(p).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(-F.ln(F.greatest(F.col(p), F.lit(1e-300)))).alias("_h"))
-    logs, total = [], 0.0
-    for k in range(most):
-        logs.append(total)
-        total += log(k + 1)
-    terms = F.transform(F.array(F.struct("_h", "n")), lambda v: F.aggregate(F.sequence(F.lit(0), v["n"].cast("int") - 1), F.lit(0.0), lambda a, k: a + F.exp(k * F.ln(F.greatest(v["_h"], F.lit(1e-300))) - v["_h"] - F.get(F.array(*[F.lit(x) for x in logs]), k))))
-    return g.select(*keys, "n", (2 * F.col("_h")).alias("chi2"), F.least(F.lit(1.0), terms[0]).alias("p"))
+    return g.select(*keys, "n", (2 * F.col("_h")).alias("chi2"), combined_tail("_h", "n", most).alias("p"))
 
 
 def mann_whitney(df: DataFrame, keys, value, first: Column) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from math import e as EULER
 from math import pi
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklane.functions import scalar as S
 from tracklane.operators import aggregate as A
 from tracklane.operators import maps as M
+from tracklane.operators import replicates as V
 from tracklane.operators import resample as B
 from tracklane.operators import sequence as Q
 from tracklane.plans.event_plans import TRIALS, _trials
@@ -253,13 +255,17 @@ def i9(spark, d):
 
 @query("i10_subsampled_correlation", f"""WITH {TZ}, o AS (SELECT DISTINCT u, tr, st FROM act WHERE st IN ('F','O')), pk AS (SELECT u, rep, tr, st, ROW_NUMBER() OVER (PARTITION BY u, st, rep ORDER BY MD5(CONCAT_WS('|','19',u,rep,tr)), tr) AS i FROM o, UNNEST(range(0,{BOOTS})) AS q(rep)), m AS (SELECT pk.u, rep, st, z, AVG(s/n) AS m FROM pk JOIN tz ON tz.u=pk.u AND tz.tr=pk.tr WHERE i<=40 GROUP BY 1,2,3,4), c AS (SELECT a.u, a.rep, CORR(a.m,b.m) AS r FROM m a JOIN m b ON a.u=b.u AND a.rep=b.rep AND a.z=b.z AND a.st='F' AND b.st='O' GROUP BY 1,2) SELECT u, COUNT(*) AS reps, ROUND(AVG(CASE WHEN NOT ISNAN(r) THEN r END),4) AS r FROM c GROUP BY u""")
 def i10(spark, d):
-    tz = _trial_zones(spark, d)
-    o = activity(spark, d).filter("st in ('F', 'O')").select("u", "tr", "st").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(BOOTS - 1))))
-    order = Window.partitionBy("u", "st", "rep").orderBy(F.md5(F.concat_ws("|", F.lit("19"), "u", "rep", "tr")), "tr")
-    pick = o.withColumn("i", F.row_number().over(order)).filter("i <= 40")  # trials of one replicate: the size of a subsample
-    m = pick.join(tz, ["u", "tr"]).groupBy("u", "rep", "st", "z").agg(F.avg(F.col("s") / F.col("n")).alias("m"))
-    c = M.map_similarity(m, ["u", "rep"], ["z"], "m", F.col("st") == "F", F.col("st") == "O")
-    return c.groupBy("u").agg(F.count("*").alias("reps"), F.round(F.avg(F.when(~F.isnan("r"), F.col("r"))), 4).alias("r"))
+    def told(n, r):
+        r = r[n > 0]
+        return {"reps": len(r), "r": V.mean(r[~np.isnan(r)])} if len(r) else None
+
+    g = V.of_maps(activity(spark, d), _subsamples, V.paired_correlations, told, reps="bigint", r="double")
+    return g.select("u", "reps", F.round("r", 4).alias("r"))
+
+
+def _subsamples(unit, trials):
+    """Maps of 40 trials of each outcome."""
+    return V.subsampled_maps(unit, trials, 19, BOOTS, 40)
 
 
 UB = """ub0 AS (SELECT DISTINCT u, st, tr FROM act WHERE st IN ('F','O')), ub1 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY u, st ORDER BY tr)-1 AS i, COUNT(*) OVER (PARTITION BY u, st) AS n FROM ub0), ub2 AS (SELECT *, MIN(n) OVER (PARTITION BY u) AS size FROM ub1),
@@ -268,6 +274,16 @@ uc AS (SELECT a.u, a.rep, COUNT(*) AS k, CORR(a.m,b.m) AS r FROM ur a JOIN ur b
 UP, UB = UB.replace("REPLICATES", str(PAIRED)), UB.replace("REPLICATES", str(BOOTS))
 
 
+def _boots(unit, trials):
+    return V.boot_maps(unit, trials, 23, BOOTS)
+
+
+def _paired(unit, trials):
+    """All replicates of a unit, which are compared all with all."""
+    both = V.joined(V.boot_maps(unit, trials, 23, PAIRED))
+    return [both] if both else []
+
+
 def _unit_boot_maps(spark, d, reps=BOOTS):
     t = activity(spark, d).filter("st in ('F', 'O')").select("u", "st", "tr").distinct()
     draws = B.balanced_draws(t, ["u"], ["st"], "tr", reps, 23)
@@ -278,6 +294,10 @@ def _unit_boot_corr(spark, d):
     return M.map_similarity(_unit_boot_maps(spark, d), ["u", "rep"], ["z"], "m", F.col("st") == "F", F.col("st") == "O")
 
 
+def _segment_rows(spark, d):
+    return activity(spark, d).select("u", "tr", "st", F.substring("z", 1, 7).alias("seg"), "fr")
+
+
 @query("i11_bootstrap_map_correlation", f"WITH {TZ}, {UB} SELECT u, COUNT(*) AS reps, ROUND(AVG(r),4) AS r FROM uc WHERE k>=5 GROUP BY u")
 def i11(spark, d):
     return _unit_boot_corr(spark, d).filter("n >= 5").groupBy("u").agg(F.count("*").alias("reps"), F.round(F.avg("r"), 4).alias("r"))

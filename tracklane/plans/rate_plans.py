@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklane.functions import scalar as S
 from tracklane.operators import aggregate as A
+from tracklane.operators import replicates as V
 from tracklane.plans.registry import query
 from tracklane.sources.tables import ACT, activity, read
 

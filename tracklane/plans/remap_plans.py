@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Window
@@ -13,9 +14,10 @@ from tracklane.functions import scalar as S
 from tracklane.operators import aggregate as A
 from tracklane.operators import maps as M
 from tracklane.operators import models as P
+from tracklane.operators import replicates as V
 from tracklane.operators import resample as B
 from tracklane.operators import storage
-from tracklane.plans.contrast_plans import BOOTS, PAIRED, PICK, UB, UP, _unit_boot_maps
+from tracklane.plans.contrast_plans import BOOTS, PAIRED, PICK, UB, UP, _boots, _paired, _segment_rows, _subsamples, _unit_boot_maps
 from tracklane.plans.event_plans import TRIALS, _trials
 from tracklane.plans.rate_plans import TT, TZ, _trial_zones
 from tracklane.plans.registry import query

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracklane.functions import scalar as S
 from tracklane.operators import aggregate as A
 from tracklane.operators import maps as M
+from tracklane.operators import replicates as V
 from tracklane.operators import resample as B
 from tracklane.operators import sequence as Q
 from tracklane.plans.contrast_plans import ANG, PERM, REPS, _angles, _zone_means
