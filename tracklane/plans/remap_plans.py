@@ -43,12 +43,21 @@ def _sides(maps, keys, zone, first, second):
 @query("i10_kendall", f"""WITH {TZ}, o AS (SELECT DISTINCT u, tr, st FROM act WHERE st IN ('F','O')), pk AS (SELECT u, rep, tr, st, ROW_NUMBER() OVER (PARTITION BY u, st, rep ORDER BY MD5(CONCAT_WS('|','19',u,rep,tr)), tr) AS i FROM o, UNNEST(range(0,{BOOTS})) AS q(rep)), m AS (SELECT pk.u, rep, st, z, ROUND(AVG(s/n),9) AS m FROM pk JOIN tz ON tz.u=pk.u AND tz.tr=pk.tr WHERE i<=40 GROUP BY 1,2,3,4), b AS (SELECT a.u, a.rep, a.z, a.m AS x, b.m AS y FROM m a JOIN m b ON a.u=b.u AND a.rep=b.rep AND a.z=b.z AND a.st='F' AND b.st='O'), {_tau("c", "b", "u", "rep")} SELECT u, COUNT(*) AS reps, ROUND(AVG(r),5) AS tau FROM c GROUP BY u""")
 def i10(spark, d):
     """Tau of the maps of two outcomes over subsamples of 40 trials, averaged over 100 replicates."""
-    o = activity(spark, d).filter("st in ('F', 'O')").select("u", "tr", "st").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(BOOTS - 1))))
-    order = Window.partitionBy("u", "st", "rep").orderBy(F.md5(F.concat_ws("|", F.lit("19"), "u", "rep", "tr")), "tr")
-    pick = o.withColumn("i", F.row_number().over(order)).filter("i <= 40")  # trials of one replicate: the size of a subsample
-    m = pick.join(_trial_zones(spark, d), ["u", "tr"]).groupBy("u", "rep", "st", "z").agg(F.avg(F.col("s") / F.col("n")).alias("m"))
-    c = A.kendall_of_pairs(_sides(m, ["u", "rep"], "z", F.col("st") == "F", F.col("st") == "O"), ["u", "rep"], "x", "y")
-    return c.groupBy("u").agg(F.count("*").alias("reps"), R5(F.avg("tau")).alias("tau"))
+    g = V.of_maps(activity(spark, d), _subsamples, _taus(V.paired_taus), _mean_tau("reps", 1), reps="bigint", tau="double")
+    return g.select("u", "reps", R5("tau").alias("tau"))
+
+
+def _taus(f):
+    """Rates are rounded so that equal ones are ties."""
+    return lambda x, y: f(V.rounded(x, 9), V.rounded(y, 9))
+
+
+def _mean_tau(name: str, least: int):
+    def told(n, tau):
+        tau = tau[n >= least]
+        return {name: len(tau), "tau": V.mean(tau[~np.isnan(tau)])} if len(tau) else None
+
+    return told
 
 
 _PAIRS = "ub AS (SELECT a.u, a.rep, a.z, ROUND(a.m,9) AS x, ROUND(b.m,9) AS y FROM ur a JOIN ur b ON a.u=b.u AND a.rep=b.rep AND a.z=b.z AND a.st='F' AND b.st='O')"
