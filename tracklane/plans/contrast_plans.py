@@ -175,8 +175,8 @@ def _zone_means(spark, d):
 @query("i1_permutation_test", f"""WITH {PERM}, m AS (SELECT u, z, rep, i, a, b, ROW_NUMBER() OVER (PARTITION BY u, rep ORDER BY CASE WHEN rep=0 THEN LPAD(i::VARCHAR,12,'0') ELSE MD5(CONCAT_WS('|','11',u,rep,i)) END, i) AS j FROM o, UNNEST(range(0,{REPS}+1)) AS q(rep)),
 c AS (SELECT x.u, x.rep, CORR(x.a,y.b) AS r FROM m x JOIN m y ON x.u=y.u AND x.rep=y.rep AND x.i=y.j GROUP BY 1,2) SELECT k.u, ROUND(ANY_VALUE(k.r),5) AS real, ROUND(AVG(CASE WHEN c.r>=k.r THEN 1.0 ELSE 0 END),5) AS p FROM c JOIN c k ON c.u=k.u AND k.rep=0 WHERE c.rep>0 GROUP BY k.u""")
 def i1(spark, d):
-    mixed = B.permuted(_zone_means(spark, d), ["u"], ["z"], "b", REPS, 11, "other")
-    return B.achieved_level(mixed.groupBy("u", "rep").agg(F.corr("a", "other").alias("r")), ["u"], "r").select("u", F.round("real", 5).alias("real"), F.round("p", 5).alias("p"))
+    g = V.replicated_levels(_zone_means(spark, d), "u", "z", "a", "b", "permuted", 11, REPS, {"r": V.correlation()})
+    return g.select("u", F.round("real", 5).alias("real"), F.round("p", 5).alias("p"))
 
 
 @query("i2_shift_permutation", f"""WITH {PERM}, m AS (SELECT u, rep, i-1 AS i, n, a, b, CASE WHEN rep=0 THEN 0 ELSE {PICK.format(key="'13',u,rep", n="n")} END AS sh FROM o, UNNEST(range(0,{REPS}+1)) AS q(rep)),
