@@ -146,8 +146,7 @@ def h5(spark, d):
 @query("i1_two_sided", f"""WITH {PERM}, m AS (SELECT u, z, rep, i, a, b, ROW_NUMBER() OVER (PARTITION BY u, rep ORDER BY CASE WHEN rep=0 THEN LPAD(i::VARCHAR,12,'0') ELSE MD5(CONCAT_WS('|','17',u,rep,i)) END, i) AS j FROM o, UNNEST(range(0,{REPS}+1)) AS q(rep)),
 c AS (SELECT x.u, x.rep, ROUND(CORR(x.a,y.b),9) AS r FROM m x JOIN m y ON x.u=y.u AND x.rep=y.rep AND x.i=y.j GROUP BY 1,2), p AS (SELECT k.u, AVG(CASE WHEN c.r>=k.r THEN 1.0 ELSE 0 END) AS p FROM c JOIN c k ON c.u=k.u AND k.rep=0 WHERE c.rep>0 GROUP BY k.u) SELECT u, ROUND(p,5) AS p, p<=0.01 OR p>=0.99 AS outside FROM p""")
 def i1(spark, d):
-    mixed = B.permuted(_zone_means(spark, d), ["u"], ["z"], "b", REPS, 17, "other")
-    level = B.achieved_level(mixed.groupBy("u", "rep").agg(F.round(F.corr("a", "other"), 9).alias("r")), ["u"], "r")
+    level = V.replicated_levels(_zone_means(spark, d), "u", "z", "a", "b", "permuted", 17, REPS, {"r": V.correlation(9)})
     return B.two_sided(level, "p", 0.02, "outside").select("u", F.round("p", 5).alias("p"), "outside")
 
 
