@@ -331,12 +331,8 @@ def i18(spark, d):
 @query("i3_bootstrap_correlation", f"""WITH {ACT}, g AS (SELECT u, ROW_NUMBER() OVER (PARTITION BY u ORDER BY tr, ln, x, fr)-1 AS i, COUNT(*) OVER (PARTITION BY u) AS n, x, fr FROM act),
 r AS (SELECT u, n, rep, i AS draw, ('0x'||SUBSTR(MD5(CONCAT_WS('|','7',u,rep,i)),1,8))::BIGINT % n AS pick FROM g, UNNEST(range(0,100)) AS q(rep)), b AS (SELECT r.u, rep, CORR(g.x,g.fr) AS c FROM r JOIN g ON r.u=g.u AND r.pick=g.i GROUP BY 1,2) SELECT u, ROUND(AVG(c),6) AS m, COUNT(*) AS reps FROM b GROUP BY u""")
 def i3(spark, d):
-    w = Window.partitionBy("u")
-    g = activity(spark, d).withColumns({"i": F.row_number().over(w.orderBy("tr", "ln", "x", "fr")) - 1, "n": F.count("*").over(w)}).select("u", "i", "n", "x", "fr")
-    draws = g.select("u", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("rep"))
-    draws = draws.select("u", "rep", S.hash_pick(F.concat_ws("|", F.lit("7"), "u", "rep", "i"), F.col("n")).alias("i"))
-    # the draws stay unsorted: each task looks them up among its share of the rows
-    return draws.join(g.hint("shuffle_hash"), ["u", "i"]).groupBy("u", "rep").agg(F.corr("x", "fr").alias("c")).groupBy("u").agg(R(F.avg("c")).alias("m"), F.count("*").alias("reps"))
+    g = V.mean_bootstrap(activity(spark, d), "u", ["tr", "ln", "x", "fr"], "x", "fr", 7, 100)
+    return g.select("u", R("m").alias("m"), "reps")
 
 
 @query("i20_stratified_folds", f"WITH {ACT}, t AS (SELECT DISTINCT tr, st FROM act), f AS (SELECT tr, st, NTILE(5) OVER (PARTITION BY st ORDER BY MD5(CONCAT_WS('|','3',tr)), tr)-1 AS fold FROM t) SELECT st, CAST(fold AS BIGINT) AS fold, COUNT(*) AS n, CAST(SUM(tr) AS BIGINT) AS ids FROM f GROUP BY 1,2")
