@@ -171,9 +171,8 @@ def m5(spark, d):
 def u1(spark, d):
     """Largest and median difference of activity under hashed relabelling; the statistic is chosen by its name."""
     w = activity(spark, d).groupBy("u", "z").agg(F.avg("x").alias("a"), F.avg("fr").alias("b"))
-    mixed = B.permuted(w, ["u"], ["z"], "b", REPS, 5, "other").withColumn("gap", F.abs(F.col("a") / 1000 - F.col("other")))
-    stats = [B.achieved_level(mixed.groupBy("u", "rep").agg(P.STATISTICS[n]("gap").alias("v")), ["u"], "v").select("u", F.lit(n).alias("statistic"), R("real").alias("real"), R("p").alias("p")) for n in ("max", "median")]
-    return stats[0].unionByName(stats[1])
+    g = V.replicated_levels(w, "u", "z", "a", "b", "permuted", 5, REPS, {n: V.gap(n, 1000) for n in ("max", "median")})
+    return g.select("u", "statistic", R("real").alias("real"), R("p").alias("p"))
 
 
 @query("u2_named_metrics", f"WITH {ACT}, p AS (SELECT u, fr AS y, AVG(fr) OVER (PARTITION BY u, ln) AS q FROM act) SELECT u, ROUND(AVG((y-q)*(y-q)),6) AS mse, ROUND(AVG(ABS(y-q)),6) AS mae FROM p GROUP BY u")
