@@ -305,10 +305,12 @@ def i11(spark, d):
 
 @query("i12_all_pairs_replicates", f"WITH {TZ}, {UP}, p AS (SELECT a.u, a.rep AS x, b.rep AS y, CORR(a.m,b.m) AS r, COUNT(*) AS k FROM ur a JOIN ur b ON a.u=b.u AND a.z=b.z AND a.st='F' AND b.st='O' GROUP BY 1,2,3) SELECT u, COUNT(*) AS pairs, ROUND(AVG(r),4) AS r FROM p WHERE k>=5 GROUP BY u")
 def i12(spark, d):
-    m = _unit_boot_maps(spark, d, PAIRED)
-    b = m.filter("st = 'O'").select("u", "z", F.col("rep").alias("y"), F.col("m").alias("m2"))
-    p = m.filter("st = 'F'").join(b, ["u", "z"]).groupBy("u", "rep", "y").agg(F.corr("m", "m2").alias("r"), F.count("*").alias("k")).filter("k >= 5")
-    return p.groupBy("u").agg(F.count("*").alias("pairs"), F.round(F.avg("r"), 4).alias("r"))
+    def told(n, r):
+        r = r[n >= 5]
+        return {"pairs": len(r), "r": V.mean(r)} if len(r) else None
+
+    g = V.of_maps(activity(spark, d), _paired, V.crossed_correlations, told, pairs="bigint", r="double")
+    return g.select("u", "pairs", F.round("r", 4).alias("r"))
 
 
 @query("i13_remapping_table", f"WITH {TZ}, {UB}, g AS (SELECT u, AVG(r) AS r, AVG(ATANH(r)) AS z, COUNT(*) AS reps, AVG(k) AS k FROM uc WHERE k>=5 AND ABS(r)<0.999999 GROUP BY u) SELECT u, reps, ROUND(r,4) AS r, ROUND(z,4) AS z, ROUND(z*SQRT(k-3),4) AS score FROM g")
