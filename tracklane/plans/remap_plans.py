@@ -73,10 +73,8 @@ def i11(spark, d):
 @query("i12_kendall", f"WITH {TZ}, {UP}, ap AS (SELECT a.u, a.rep AS x_rep, b.rep AS y_rep, a.z, ROUND(a.m,9) AS x, ROUND(b.m,9) AS y FROM ur a JOIN ur b ON a.u=b.u AND a.z=b.z AND a.st='F' AND b.st='O'), {_tau('kt', 'ap', 'u', 'x_rep', 'y_rep')} SELECT u, COUNT(*) AS pairs, ROUND(AVG(r),5) AS tau FROM kt WHERE k>=5 GROUP BY u")
 def i12(spark, d):
     """Tau of every replicate of one outcome with every one of the other, 25 by 25."""
-    m = _unit_boot_maps(spark, d, PAIRED).withColumn("m", F.round("m", 9))
-    b = m.filter("st = 'O'").select("u", "z", F.col("rep").alias("other"), F.col("m").alias("y"))
-    p = A.kendall_of_pairs(m.filter("st = 'F'").withColumnRenamed("m", "x").join(b, ["u", "z"]), ["u", "rep", "other"], "x", "y")
-    return p.filter("n >= 5").groupBy("u").agg(F.count("*").alias("pairs"), R5(F.avg("tau")).alias("tau"))
+    g = V.of_maps(activity(spark, d), _paired, _taus(V.crossed_taus), _mean_tau("pairs", 5), pairs="bigint", tau="double")
+    return g.select("u", "pairs", R5("tau").alias("tau"))
 
 
 #: Two comparisons of a unit's trials: outcomes (test), even and odd trials (null).
