@@ -300,7 +300,12 @@ def _segment_rows(spark, d):
 
 @query("i11_bootstrap_map_correlation", f"WITH {TZ}, {UB} SELECT u, COUNT(*) AS reps, ROUND(AVG(r),4) AS r FROM uc WHERE k>=5 GROUP BY u")
 def i11(spark, d):
-    return _unit_boot_corr(spark, d).filter("n >= 5").groupBy("u").agg(F.count("*").alias("reps"), F.round(F.avg("r"), 4).alias("r"))
+    def told(n, r):
+        r = r[n >= 5]
+        return {"reps": len(r), "r": V.mean(r)} if len(r) else None
+
+    g = V.of_maps(activity(spark, d), _boots, V.paired_correlations, told, reps="bigint", r="double")
+    return g.select("u", "reps", F.round("r", 4).alias("r"))
 
 
 @query("i12_all_pairs_replicates", f"WITH {TZ}, {UP}, p AS (SELECT a.u, a.rep AS x, b.rep AS y, CORR(a.m,b.m) AS r, COUNT(*) AS k FROM ur a JOIN ur b ON a.u=b.u AND a.z=b.z AND a.st='F' AND b.st='O' GROUP BY 1,2,3) SELECT u, COUNT(*) AS pairs, ROUND(AVG(r),4) AS r FROM p WHERE k>=5 GROUP BY u")
