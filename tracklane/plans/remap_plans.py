@@ -66,8 +66,8 @@ _PAIRS = "ub AS (SELECT a.u, a.rep, a.z, ROUND(a.m,9) AS x, ROUND(b.m,9) AS y FR
 @query("i11_kendall", f"WITH {TZ}, {UB}, {_PAIRS}, {_tau('kt', 'ub', 'u', 'rep')} SELECT u, COUNT(*) AS reps, ROUND(AVG(r),5) AS tau FROM kt WHERE k>=5 GROUP BY u")
 def i11(spark, d):
     """Tau of balanced bootstrap maps."""
-    both = _sides(_unit_boot_maps(spark, d), ["u", "rep"], "z", F.col("st") == "F", F.col("st") == "O")
-    return A.kendall_of_pairs(both, ["u", "rep"], "x", "y").filter("n >= 5").groupBy("u").agg(F.count("*").alias("reps"), R5(F.avg("tau")).alias("tau"))
+    g = V.of_maps(activity(spark, d), _boots, _taus(V.paired_taus), _mean_tau("reps", 5), reps="bigint", tau="double")
+    return g.select("u", "reps", R5("tau").alias("tau"))
 
 
 @query("i12_kendall", f"WITH {TZ}, {UP}, ap AS (SELECT a.u, a.rep AS x_rep, b.rep AS y_rep, a.z, ROUND(a.m,9) AS x, ROUND(b.m,9) AS y FROM ur a JOIN ur b ON a.u=b.u AND a.z=b.z AND a.st='F' AND b.st='O'), {_tau('kt', 'ap', 'u', 'x_rep', 'y_rep')} SELECT u, COUNT(*) AS pairs, ROUND(AVG(r),5) AS tau FROM kt WHERE k>=5 GROUP BY u")
