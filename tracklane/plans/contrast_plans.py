@@ -320,7 +320,11 @@ def i12(spark, d):
 
 @query("i13_remapping_table", f"WITH {TZ}, {UB}, g AS (SELECT u, AVG(r) AS r, AVG(ATANH(r)) AS z, COUNT(*) AS reps, AVG(k) AS k FROM uc WHERE k>=5 AND ABS(r)<0.999999 GROUP BY u) SELECT u, reps, ROUND(r,4) AS r, ROUND(z,4) AS z, ROUND(z*SQRT(k-3),4) AS score FROM g")
 def i13(spark, d):
-    g = _unit_boot_corr(spark, d).filter("n >= 5 and abs(r) < 0.999999").groupBy("u").agg(F.avg("r").alias("r"), F.avg(S.fisher_z("r")).alias("z"), F.count("*").alias("reps"), F.avg("n").alias("k"))
+    def told(n, r):
+        at = (n >= 5) & (np.abs(r) < 0.999999)
+        return {"reps": int(at.sum()), "r": V.mean(r[at]), "z": V.mean(np.arctanh(r[at])), "k": V.mean(n[at])} if at.any() else None
+
+    g = V.of_maps(activity(spark, d), _boots, V.paired_correlations, told, reps="bigint", r="double", z="double", k="double")
     return g.select("u", "reps", F.round("r", 4).alias("r"), F.round("z", 4).alias("z"), F.round(F.col("z") * F.sqrt(F.col("k") - 3), 4).alias("score"))
 
 
