@@ -77,8 +77,7 @@ def i12(spark, d):
     return g.select("u", "pairs", R5("tau").alias("tau"))
 
 
-#: Two comparisons of a unit's trials: outcomes (test), even and odd trials (null).
-SIDES = {"test": "st = 'F'", "null": "tr % 2 = 0"}
+# Two comparisons of a unit's trials: outcomes (test), even and odd trials (null).
 NULLS = f"""{TZ}, b0 AS (SELECT DISTINCT u, tr, st FROM act WHERE st IN ('F','O')), b1 AS (SELECT u, tr, 'test' AS cmp, CASE WHEN st='F' THEN 'a' ELSE 'b' END AS side FROM b0 UNION ALL SELECT u, tr, 'null', CASE WHEN tr%2=0 THEN 'a' ELSE 'b' END FROM b0), b2 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY u, cmp, side ORDER BY tr)-1 AS i, COUNT(*) OVER (PARTITION BY u, cmp, side) AS n FROM b1), b3 AS (SELECT *, (MIN(n) OVER (PARTITION BY u, cmp)+MAX(n) OVER (PARTITION BY u, cmp))//2 AS size FROM b2),
 b4 AS (SELECT DISTINCT u, cmp, side, n, size FROM b3), b5 AS (SELECT u, cmp, side, rep, {PICK.format(key="'31',u,cmp,side,rep,i", n="n")} AS i FROM b4, UNNEST(range(0,{BOOTS})) AS q(rep), LATERAL (SELECT UNNEST(range(0,size)) AS i)), mp AS (SELECT d.u, d.cmp, d.side, d.rep, tz.z, ROUND(AVG(tz.s/tz.n),9) AS m FROM b5 d JOIN b2 t ON d.u=t.u AND d.cmp=t.cmp AND d.side=t.side AND d.i=t.i JOIN tz ON tz.u=t.u AND tz.tr=t.tr GROUP BY 1,2,3,4,5),
 pr AS (SELECT a.u, a.cmp, a.rep, a.z, a.m AS x, b.m AS y FROM mp a JOIN mp b ON a.u=b.u AND a.cmp=b.cmp AND a.rep=b.rep AND a.z=b.z AND a.side='a' AND b.side='b'), {_tau("kt", "pr", "u", "cmp", "rep")}, rs AS (SELECT u, cmp, rep, k, SIN(r*PI()/2) AS r FROM kt WHERE k>=5)"""
@@ -90,17 +89,8 @@ CHI_TAIL = "LEAST(1.0,LIST_SUM(LIST_TRANSFORM(RANGE(0,n), lambda k: EXP(k*LN(GRE
 def i13(spark, d):
     """z of the outcomes' correlation against that of even and odd trials on 100 balanced bootstraps: its mean, the
     replicates' p-values combined, and a t test of the replicates' z; strata draw the mean of their sizes."""
-    o = activity(spark, d).filter("st in ('F', 'O')").select("u", "tr", "st").distinct()
-    each = F.inline(F.array(*[F.struct(F.lit(c).alias("cmp"), F.when(F.expr(first), F.lit("a")).otherwise(F.lit("b")).alias("side")) for c, first in SIDES.items()]))
-    draws = B.balanced_draws(o.select("u", "tr", each), ["u", "cmp"], ["side"], "tr", BOOTS, 31, "mean")
-    m = draws.join(_trial_zones(spark, d), ["u", "tr"]).groupBy("u", "cmp", "side", "rep", "z").agg(F.avg(F.col("s") / F.col("n")).alias("m"))
-    both = _sides(m, ["u", "cmp", "rep"], "z", F.col("side") == "a", F.col("side") == "b")
-    tau = A.kendall_of_pairs(both, ["u", "cmp", "rep"], "x", "y").filter("n >= 5").select("u", "rep", "cmp", "n", S.kendall_to_pearson("tau").alias("r"))
-    side = lambda c, *of: tau.filter(F.col("cmp") == c).select("u", "rep", *[F.col(x).alias(f"{x}_{c}") for x in of])
-    z = side("test", "n", "r").join(side("null", "n", "r"), ["u", "rep"]).withColumn("z", S.compare_correlations("r_test", "r_null", "n_test", "n_null")).filter("z is not null")
-    p = A.combined_p(z.withColumn("p", S.normal_tail("z")), ["u"], "p", BOOTS).select("u", F.col("p").alias("zp"))
-    t = A.one_sample_t(z, ["u"], "z", 0).join(z.groupBy("u").agg(F.avg("z").alias("zm")), "u").filter("n > 1").withColumn("tp", S.student_tail("t", F.col("n") - 1))
-    return t.join(p, "u").select("u", F.col("n").alias("reps"), R5("zm").alias("z"), F.round("zp", 6).alias("zp"), F.round("t", 4).alias("t"), F.round("tp", 6).alias("tp"))
+    g = V.tests_against_null(activity(spark, d), 31, BOOTS).filter("n > 1").withColumn("t", F.when(F.col("sd") > 0, F.col("z") / (F.col("sd") / F.sqrt("n"))))
+    return g.select("u", F.col("n").alias("reps"), R5("z").alias("z"), F.round(A.combined_tail("h", "n", BOOTS), 6).alias("zp"), F.round("t", 4).alias("t"), F.round(S.student_tail("t", F.col("n") - 1), 6).alias("tp"))
 
 
 @query("i14_segment_tests", f"WITH {TZ}, {UB}, sg AS (SELECT u, tr, SUBSTR(z,1,7) AS seg, SUM(s)/SUM(n) AS fr FROM tz GROUP BY 1,2,3), x AS (SELECT t.u, t.st, d.rep, sg.seg, sg.fr FROM ud d JOIN ub1 t ON d.u=t.u AND d.st=t.st AND d.i=t.i JOIN sg ON sg.u=t.u AND sg.tr=t.tr), y AS (SELECT u, rep, seg, {TT} FROM x GROUP BY 1,2,3), g AS (SELECT u, rep, seg, m1, m2, n1+n2-2 AS df, (m1-m2)/NULLIF(SQRT(((n1-1)*v1+(n2-1)*v2)/(n1+n2-2)*(1.0/n1+1.0/n2)),0) AS t FROM y WHERE n1>1 AND n2>1 AND v1+v2>1e-9), {STUDENT}, w AS (SELECT u, seg, COUNT(*) AS n, AVG(m1) AS m1, AVG(m2) AS m2, AVG(t) AS t, SUM(-LN(GREATEST(1-inner_p,1e-300))) AS h FROM a GROUP BY 1,2) SELECT u, seg, n AS reps, ROUND(m1,5) AS m1, ROUND(m2,5) AS m2, ROUND(t,5) AS t, ROUND({CHI_TAIL},5) AS p FROM w")
