@@ -294,10 +294,6 @@ def _unit_boot_corr(spark, d):
     return M.map_similarity(_unit_boot_maps(spark, d), ["u", "rep"], ["z"], "m", F.col("st") == "F", F.col("st") == "O")
 
 
-def _segment_rows(spark, d):
-    return activity(spark, d).select("u", "tr", "st", F.substring("z", 1, 7).alias("seg"), "fr")
-
-
 @query("i11_bootstrap_map_correlation", f"WITH {TZ}, {UB} SELECT u, COUNT(*) AS reps, ROUND(AVG(r),4) AS r FROM uc WHERE k>=5 GROUP BY u")
 def i11(spark, d):
     def told(n, r):
@@ -330,13 +326,12 @@ def i13(spark, d):
 
 @query("i14_segment_rate_bootstrap", f"WITH {TZ}, {UB}, sg AS (SELECT u, tr, SUBSTR(z,1,7) AS seg, SUM(s)/SUM(n) AS fr FROM tz GROUP BY 1,2,3), x AS (SELECT t.u, t.st, d.rep, sg.seg, sg.fr FROM ud d JOIN ub1 t ON d.u=t.u AND d.st=t.st AND d.i=t.i JOIN sg ON sg.u=t.u AND sg.tr=t.tr), g AS (SELECT u, rep, seg, {TT} FROM x GROUP BY 1,2,3), q AS (SELECT u, seg, (m1-m2)/NULLIF(SQRT(((n1-1)*v1+(n2-1)*v2)/(n1+n2-2)*(1.0/n1+1.0/n2)),0) AS t FROM g WHERE n1>1 AND n2>1 AND v1+v2>1e-9) SELECT u, seg, COUNT(*) AS reps, ROUND(AVG(t),4) AS t FROM q GROUP BY 1,2")
 def i14(spark, d):
-    a = activity(spark, d)
-    draws = B.balanced_draws(a.filter("st in ('F', 'O')").select("u", "st", "tr").distinct(), ["u"], ["st"], "tr", BOOTS, 23)
-    x = draws.join(a.groupBy("u", "tr", F.substring("z", 1, 7).alias("seg")).agg(F.avg("fr").alias("fr")), ["u", "tr"])
-    v = F.var_samp(F.when(F.col("st") == "F", F.col("fr"))) + F.var_samp(F.when(F.col("st") != "F", F.col("fr")))
-    spread = x.groupBy("u", "rep", "seg").agg(v.alias("v")).filter("v > 1e-9")
-    t = A.t_test(x, ["u", "rep", "seg"], "fr", F.col("st") == "F").filter("n1 > 1 and n2 > 1").join(spread, ["u", "rep", "seg"])
-    return t.groupBy("u", "seg").agg(F.count("*").alias("reps"), F.round(F.avg("t"), 4).alias("t"))
+    g = V.segment_tests(_segment_rows(spark, d), 23, BOOTS)
+    return g.select("u", "seg", "reps", F.round("t", 4).alias("t"))
+
+
+def _segment_rows(spark, d):
+    return activity(spark, d).select("u", "tr", "st", F.substring("z", 1, 7).alias("seg"), "fr")
 
 
 @query("i15_population_remapping", f"WITH {MAP} SELECT s_nationkey AS pop, COUNT(*) AS n, ROUND(CORR(a.m,b.m),5) AS r FROM bo a JOIN bo b ON a.u=b.u AND a.z=b.z AND a.st='F' AND b.st='O' JOIN supplier ON a.u=s_suppkey GROUP BY 1")
