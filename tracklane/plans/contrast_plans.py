@@ -372,14 +372,19 @@ def i22(spark, d):
 
 @query("i23_subject_bootstrap", f"""WITH {PERM}, r AS (SELECT u, rep, {PICK.format(key="'29',u,rep,i-1", n="n")} AS j FROM o, UNNEST(range(0,{REPS})) AS q(rep)), b AS (SELECT r.u, rep, CORR(a,b) AS c FROM r JOIN o ON r.u=o.u AND o.i-1=r.j GROUP BY 1,2) SELECT s_nationkey AS subject, COUNT(*) AS n, ROUND(AVG(c),4) AS m, ROUND(QUANTILE_CONT(c,0.025),4) AS lo, ROUND(QUANTILE_CONT(c,0.975),4) AS hi FROM b JOIN supplier ON u=s_suppkey GROUP BY 1""")
 def i23(spark, d):
-    w = Window.partitionBy("u")
-    o = _zone_means(spark, d).withColumns({"i": F.row_number().over(w.orderBy("z")) - 1, "n": F.count("*").over(w)})
-    draws = o.select("u", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1))).alias("rep"))
-    draws = draws.select("u", "rep", S.hash_pick(F.concat_ws("|", F.lit("29"), "u", "rep", "i"), F.col("n")).cast("int").alias("i"))
-    c = draws.join(o, ["u", "i"]).groupBy("u", "rep").agg(F.corr("a", "b").alias("c"))
+    c = V.bootstrapped_correlations(_zone_means(spark, d), "u", "z", "a", "b", 29, REPS)
     units = read(spark, d, "supplier").select(F.col("s_suppkey").alias("u"), F.col("s_nationkey").alias("subject"))
-    q = lambda p: F.round(F.percentile("c", F.lit(p)), 4)
-    return c.join(units, "u").groupBy("subject").agg(F.count("*").alias("n"), F.round(F.avg("c"), 4).alias("m"), q(0.025).alias("lo"), q(0.975).alias("hi"))
+    c = c.join(units.hint("merge"), "u").select("subject", "r")
+    w = Window.partitionBy("subject").orderBy(F.col("r").asc_nulls_last())  # a sort that spills, no task holds a subject's values
+    ranked = c.withColumns({"k": F.row_number().over(w) - 1, "n": F.count("r").over(Window.partitionBy("subject"))})
+    at = lambda p: p * (F.col("n") - 1)
+
+    def q(p, name):
+        low, high = (F.max(F.when(F.col("k") == f(at(p)), F.col("r"))) for f in (F.floor, F.ceil))
+        share = F.first(at(p) - F.floor(at(p)))
+        return F.round(F.when(share > 0, low + (high - low) * share).otherwise(low), 4).alias(name)
+
+    return ranked.groupBy("subject").agg(F.count("*").alias("n"), F.round(F.avg("r"), 4).alias("m"), q(0.025, "lo"), q(0.975, "hi"))
 
 
 BINS = "g AS (SELECT CAST(FLOOR(x/10000) AS BIGINT) AS xb, ln AS yb, COUNT(*) AS n, AVG(fr) AS m FROM act GROUP BY 1,2)"
