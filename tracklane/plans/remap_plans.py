@@ -96,15 +96,8 @@ def i13(spark, d):
 @query("i14_segment_tests", f"WITH {TZ}, {UB}, sg AS (SELECT u, tr, SUBSTR(z,1,7) AS seg, SUM(s)/SUM(n) AS fr FROM tz GROUP BY 1,2,3), x AS (SELECT t.u, t.st, d.rep, sg.seg, sg.fr FROM ud d JOIN ub1 t ON d.u=t.u AND d.st=t.st AND d.i=t.i JOIN sg ON sg.u=t.u AND sg.tr=t.tr), y AS (SELECT u, rep, seg, {TT} FROM x GROUP BY 1,2,3), g AS (SELECT u, rep, seg, m1, m2, n1+n2-2 AS df, (m1-m2)/NULLIF(SQRT(((n1-1)*v1+(n2-1)*v2)/(n1+n2-2)*(1.0/n1+1.0/n2)),0) AS t FROM y WHERE n1>1 AND n2>1 AND v1+v2>1e-9), {STUDENT}, w AS (SELECT u, seg, COUNT(*) AS n, AVG(m1) AS m1, AVG(m2) AS m2, AVG(t) AS t, SUM(-LN(GREATEST(1-inner_p,1e-300))) AS h FROM a GROUP BY 1,2) SELECT u, seg, n AS reps, ROUND(m1,5) AS m1, ROUND(m2,5) AS m2, ROUND(t,5) AS t, ROUND({CHI_TAIL},5) AS p FROM w")
 def i14(spark, d):
     """Segment rates of two outcomes on balanced bootstraps: means, mean t and the replicates' p-values combined."""
-    a = activity(spark, d)
-    draws = B.balanced_draws(a.filter("st in ('F', 'O')").select("u", "st", "tr").distinct(), ["u"], ["st"], "tr", BOOTS, 23)
-    x = draws.join(a.groupBy("u", "tr", F.substring("z", 1, 7).alias("seg")).agg(F.avg("fr").alias("fr")), ["u", "tr"])
-    on = lambda f, s: f(F.when(F.col("st") == s, F.col("fr")))
-    more = x.groupBy("u", "rep", "seg").agg((on(F.var_samp, "F") + on(F.var_samp, "O")).alias("v"), on(F.avg, "F").alias("m1"), on(F.avg, "O").alias("m2")).filter("v > 1e-9")
-    t = A.t_test(x, ["u", "rep", "seg"], "fr", F.col("st") == "F").filter("n1 > 1 and n2 > 1").join(more, ["u", "rep", "seg"])
-    t = t.withColumn("p", S.student_tail("t", F.col("n1") + F.col("n2") - 2))
-    g = t.groupBy("u", "seg").agg(F.count("*").alias("reps"), R5(F.avg("m1")).alias("m1"), R5(F.avg("m2")).alias("m2"), R5(F.avg("t")).alias("t"))
-    return g.join(A.combined_p(t, ["u", "seg"], "p", BOOTS).select("u", "seg", R5("p").alias("p")), ["u", "seg"])
+    g = V.segment_tests(_segment_rows(spark, d), 23, BOOTS)
+    return g.select("u", "seg", "reps", R5("m1").alias("m1"), R5("m2").alias("m2"), R5("t").alias("t"), R5(A.combined_tail("h", "reps", BOOTS)).alias("p"))
 
 
 SIZES = {"min": "lo", "max": "hi", "mean": "(lo+hi)//2", "7": "7"}
