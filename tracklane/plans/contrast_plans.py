@@ -190,14 +190,8 @@ def i2(spark, d):
 @query("i4_bootstrap_difference", f"""WITH {PERM}, h AS (SELECT *, i*2<=n AS one FROM o), m AS (SELECT h.u, rep, h.one, CASE WHEN rep=0 THEN h.b ELSE y.b END AS b FROM h CROSS JOIN UNNEST(range(0,{REPS}+1)) AS q(rep) JOIN o y ON y.u=h.u AND y.i-1=CASE WHEN rep=0 THEN h.i-1 ELSE {PICK.format(key="'17',h.u,rep,h.i-1", n="h.n")} END),
 c AS (SELECT u, rep, ROUND(ABS(AVG(CASE WHEN one THEN b END)-AVG(CASE WHEN NOT one THEN b END)),9) AS dd FROM m GROUP BY 1,2) SELECT k.u, ROUND(ANY_VALUE(k.dd),5) AS real, ROUND(AVG(CASE WHEN c.dd>=k.dd THEN 1.0 ELSE 0 END),5) AS p FROM c JOIN c k ON c.u=k.u AND k.rep=0 WHERE c.rep>0 GROUP BY k.u""")
 def i4(spark, d):
-    w = Window.partitionBy("u")
-    o = _zone_means(spark, d).withColumns({"i": F.row_number().over(w.orderBy("z")) - 1, "n": F.count("*").over(w)})
-    many = o.select("u", "i", "n", ((F.col("i") + 1) * 2 <= F.col("n")).alias("one"), F.explode(F.sequence(F.lit(0), F.lit(REPS))).alias("rep"))
-    pick = S.hash_pick(F.concat_ws("|", F.lit("17"), "u", "rep", "i"), F.col("n"))
-    many = many.select("u", "rep", "one", F.when(F.col("rep") == 0, F.col("i")).otherwise(pick).cast("int").alias("i"))
-    side = lambda c: F.avg(F.when(c, F.col("b")))
-    stats = many.join(o.select("u", "i", "b"), ["u", "i"]).groupBy("u", "rep").agg(F.round(F.abs(side(F.col("one")) - side(~F.col("one"))), 9).alias("dd"))
-    return B.achieved_level(stats, ["u"], "dd").select("u", F.round("real", 5).alias("real"), F.round("p", 5).alias("p"))
+    g = V.replicated_levels(_zone_means(spark, d), "u", "z", "a", "b", "drawn", 17, REPS, {"dd": V.half_difference(9)})
+    return g.select("u", F.round("real", 5).alias("real"), F.round("p", 5).alias("p"))
 
 
 # balanced bootstrap: strata are outcome x parity of trials inside a condition
