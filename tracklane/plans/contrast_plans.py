@@ -182,9 +182,8 @@ def i1(spark, d):
 @query("i2_shift_permutation", f"""WITH {PERM}, m AS (SELECT u, rep, i-1 AS i, n, a, b, CASE WHEN rep=0 THEN 0 ELSE {PICK.format(key="'13',u,rep", n="n")} END AS sh FROM o, UNNEST(range(0,{REPS}+1)) AS q(rep)),
 c AS (SELECT x.u, x.rep, CORR(x.a,y.b) AS r FROM m x JOIN m y ON x.u=y.u AND x.rep=y.rep AND x.i=(y.i+y.sh)%y.n GROUP BY 1,2) SELECT k.u, ROUND(ANY_VALUE(k.r),5) AS real, ROUND(AVG(CASE WHEN ROUND(c.r,9)>=ROUND(k.r,9) THEN 1.0 ELSE 0 END),5) AS p FROM c JOIN c k ON c.u=k.u AND k.rep=0 WHERE c.rep>0 GROUP BY k.u""")
 def i2(spark, d):
-    mixed = B.shifted(_zone_means(spark, d), ["u"], ["z"], "b", REPS, 13, "other")
-    stats = mixed.groupBy("u", "rep").agg(F.round(F.corr("a", "other"), 9).alias("r"))
-    return B.achieved_level(stats, ["u"], "r").select("u", F.round("real", 5).alias("real"), F.round("p", 5).alias("p"))
+    g = V.replicated_levels(_zone_means(spark, d), "u", "z", "a", "b", "shifted", 13, REPS, {"r": V.correlation(9)})
+    return g.select("u", F.round("real", 5).alias("real"), F.round("p", 5).alias("p"))
 
 
 @query("i4_bootstrap_difference", f"""WITH {PERM}, h AS (SELECT *, i*2<=n AS one FROM o), m AS (SELECT h.u, rep, h.one, CASE WHEN rep=0 THEN h.b ELSE y.b END AS b FROM h CROSS JOIN UNNEST(range(0,{REPS}+1)) AS q(rep) JOIN o y ON y.u=h.u AND y.i-1=CASE WHEN rep=0 THEN h.i-1 ELSE {PICK.format(key="'17',h.u,rep,h.i-1", n="h.n")} END),
@@ -278,16 +277,6 @@ def _paired(unit, trials):
     return [both] if both else []
 
 
-def _unit_boot_maps(spark, d, reps=BOOTS):
-    t = activity(spark, d).filter("st in ('F', 'O')").select("u", "st", "tr").distinct()
-    draws = B.balanced_draws(t, ["u"], ["st"], "tr", reps, 23)
-    return draws.join(_trial_zones(spark, d), ["u", "tr"]).groupBy("u", "st", "rep", "z").agg(F.avg(F.col("s") / F.col("n")).alias("m"))
-
-
-def _unit_boot_corr(spark, d):
-    return M.map_similarity(_unit_boot_maps(spark, d), ["u", "rep"], ["z"], "m", F.col("st") == "F", F.col("st") == "O")
-
-
 @query("i11_bootstrap_map_correlation", f"WITH {TZ}, {UB} SELECT u, COUNT(*) AS reps, ROUND(AVG(r),4) AS r FROM uc WHERE k>=5 GROUP BY u")
 def i11(spark, d):
     def told(n, r):

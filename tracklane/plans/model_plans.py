@@ -13,7 +13,6 @@ from tracklane.operators import aggregate as A
 from tracklane.operators import maps as M
 from tracklane.operators import models as P
 from tracklane.operators import replicates as V
-from tracklane.operators import resample as B
 from tracklane.operators import storage
 from tracklane.plans.contrast_plans import BINS, REPS, _bins
 from tracklane.plans.event_plans import TRIALS, _trials

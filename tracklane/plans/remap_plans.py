@@ -17,9 +17,9 @@ from tracklane.operators import models as P
 from tracklane.operators import replicates as V
 from tracklane.operators import resample as B
 from tracklane.operators import storage
-from tracklane.plans.contrast_plans import BOOTS, PAIRED, PICK, UB, UP, _boots, _paired, _segment_rows, _subsamples, _unit_boot_maps
+from tracklane.plans.contrast_plans import BOOTS, PAIRED, PICK, UB, UP, _boots, _paired, _segment_rows, _subsamples
 from tracklane.plans.event_plans import TRIALS, _trials
-from tracklane.plans.rate_plans import TT, TZ, _trial_zones
+from tracklane.plans.rate_plans import TT, TZ
 from tracklane.plans.registry import query
 from tracklane.plans.score_plans import STUDENT
 from tracklane.sources.tables import ACT, TRK, activity, events, read, tracking
@@ -34,12 +34,6 @@ def _tau(name: str, pairs: str, *keys: str) -> str:
 {name} AS (SELECT {", ".join(f"n.{k}" for k in keys)}, k, CASE WHEN p>0 AND q>0 THEN s/SQRT(p*q) END AS r FROM {name}n n LEFT JOIN {name}s s ON {" AND ".join(f"n.{k}=s.{k}" for k in keys)})"""
 
 
-def _sides(maps, keys, zone, first, second):
-    """(keys, x, y): the two sides of each zone that has both; rates are rounded so that equal ones are ties."""
-    m = F.round("m", 9)
-    return maps.groupBy(*keys, zone).agg(F.max(F.when(first, m)).alias("x"), F.max(F.when(second, m)).alias("y")).dropna(subset=["x", "y"])
-
-
 @query("i10_kendall", f"""WITH {TZ}, o AS (SELECT DISTINCT u, tr, st FROM act WHERE st IN ('F','O')), pk AS (SELECT u, rep, tr, st, ROW_NUMBER() OVER (PARTITION BY u, st, rep ORDER BY MD5(CONCAT_WS('|','19',u,rep,tr)), tr) AS i FROM o, UNNEST(range(0,{BOOTS})) AS q(rep)), m AS (SELECT pk.u, rep, st, z, ROUND(AVG(s/n),9) AS m FROM pk JOIN tz ON tz.u=pk.u AND tz.tr=pk.tr WHERE i<=40 GROUP BY 1,2,3,4), b AS (SELECT a.u, a.rep, a.z, a.m AS x, b.m AS y FROM m a JOIN m b ON a.u=b.u AND a.rep=b.rep AND a.z=b.z AND a.st='F' AND b.st='O'), {_tau("c", "b", "u", "rep")} SELECT u, COUNT(*) AS reps, ROUND(AVG(r),5) AS tau FROM c GROUP BY u""")
 def i10(spark, d):
     """Tau of the maps of two outcomes over subsamples of 40 trials, averaged over 100 replicates."""
