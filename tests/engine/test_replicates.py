@@ -85,3 +85,27 @@ MOVED = (
 @pytest.mark.parametrize("name", MOVED)
 def test_no_plan_makes_rows_of_replicates(spark, name):
     assert "Generate" not in catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("members", [4, 1000])
+def test_totals_of_draws_equal_their_rows(spark, members):
+    """Strata in ranges of few members and whole ones: what draws add up to without a row for each."""
+    rng = random.Random(7)
+    t = spark.createDataFrame([(rng.choice("ab"), rng.choice("FOP"), 1000 + i) for i in range(60)], "cond string, st string, tr long")
+    rows = {s: B.balanced_draws(t, ["cond"], ["st"], "tr", 7, 5, s).collect() for s in ("min", "max", "mean", 3)}
+    want: dict = {}
+    for r in rows["min"]:
+        n, ids = want.get((r.cond, r.st, r.rep), (0, 0))
+        want[r.cond, r.st, r.rep] = n + 1, ids + r.tr
+    assert {(r.cond, r.st, r.rep): (r.n, r.ids) for r in V.draw_totals(t, ["cond"], ["st"], "tr", 7, 5, members, 3).collect()} == want
+    got = {(r.cond, r.st, r["size"]): (r.draws, r["items"], r.ids) for r in V.draws_of_sizes(t, ["cond"], ["st"], "tr", 7, 5, {str(s): s for s in rows}, members).collect()}
+    for s, drawn in rows.items():
+        for c, o in {(r.cond, r.st) for r in drawn}:
+            trs = [r.tr for r in drawn if (r.cond, r.st) == (c, o)]
+            assert got[c, o, str(s)] == (len(trs), len(set(trs)), sum(trs))
+    counts = {}
+    for r in V.draw_counts(t, ["cond"], ["st"], "tr", 7, 5, members, 3).collect():
+        for k, n in enumerate(np.frombuffer(bytes(r.counts), np.uint8)):
+            counts[r.cond, r.tr, r.block * 3 + k] = int(n)
+    for (c, tr, rep), n in counts.items():
+        assert n == sum((r.cond, r.tr, r.rep) == (c, tr, rep) for r in rows["min"])

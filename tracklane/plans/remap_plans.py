@@ -15,7 +15,6 @@ from tracklane.operators import aggregate as A
 from tracklane.operators import maps as M
 from tracklane.operators import models as P
 from tracklane.operators import replicates as V
-from tracklane.operators import resample as B
 from tracklane.operators import storage
 from tracklane.plans.contrast_plans import BOOTS, PAIRED, PICK, UB, UP, _boots, _paired, _segment_rows, _subsamples
 from tracklane.plans.event_plans import TRIALS, _trials
@@ -101,11 +100,8 @@ SIZES = {"min": "lo", "max": "hi", "mean": "(lo+hi)//2", "7": "7"}
 def i5(spark, d):
     """Balanced draws of the smallest, largest, mean and of a fixed size."""
     t = activity(spark, d).select("cond", "st", "tr").distinct()
-    out = None
-    for s in SIZES:
-        g = B.balanced_draws(t, ["cond"], ["st"], "tr", PAIRED, 41, int(s) if s.isdigit() else s).groupBy("cond", "st").agg(F.count("*").alias("draws"), F.countDistinct("tr").alias("trials"), F.sum("tr").alias("ids")).withColumn("size", F.lit(s))
-        out = g if out is None else out.unionByName(g)
-    return out
+    g = V.draws_of_sizes(t, ["cond"], ["st"], "tr", PAIRED, 41, {s: int(s) if s.isdigit() else s for s in SIZES})
+    return g.withColumnRenamed("items", "trials")
 
 
 LENGTH, TAIL = 8000, 60
