@@ -198,6 +198,10 @@ BAL = f"""{TZ}, t0 AS (SELECT DISTINCT cond, st, tr FROM act WHERE st<>'P'), t1
 dr AS (SELECT cond, st, rep, {PICK.format(key="'5',cond,st,rep,i", n="n")} AS i FROM t2, UNNEST(range(0,{BOOTS})) AS q(rep) WHERE i<size), boot AS (SELECT d.cond, d.st, d.rep, t.tr FROM dr d JOIN t1 t ON d.cond=t.cond AND d.st=t.st AND d.i=t.i)"""
 
 
+def _boot_trials(spark, d):
+    return activity(spark, d).filter("st <> 'P'").select("cond", "st", "tr").distinct()
+
+
 def _boot(spark, d):
     t = activity(spark, d).filter("st <> 'P'").select("cond", "st", "tr").distinct()
     return B.balanced_draws(t, ["cond"], ["st"], "tr", BOOTS, 5)
@@ -205,7 +209,7 @@ def _boot(spark, d):
 
 @query("i5_balanced_bootstrap", f"WITH {BAL} SELECT cond, st, rep, COUNT(*) AS n, CAST(SUM(tr) AS BIGINT) AS ids FROM boot GROUP BY 1,2,3")
 def i5(spark, d):
-    return _boot(spark, d).groupBy("cond", "st", F.col("rep").cast("long").alias("rep")).agg(F.count("*").alias("n"), F.sum("tr").alias("ids"))
+    return V.draw_totals(_boot_trials(spark, d), ["cond"], ["st"], "tr", BOOTS, 5)
 
 
 @query("i6_bootstrap_zone_rates", f"WITH {BAL} SELECT cond, rep, u, z, ROUND(AVG(s/n),5) AS m, COUNT(*) AS n FROM boot JOIN tz USING (tr) GROUP BY 1,2,3,4")
