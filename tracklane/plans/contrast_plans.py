@@ -13,7 +13,6 @@ from tracklane.functions import scalar as S
 from tracklane.operators import aggregate as A
 from tracklane.operators import maps as M
 from tracklane.operators import replicates as V
-from tracklane.operators import resample as B
 from tracklane.operators import sequence as Q
 from tracklane.plans.event_plans import TRIALS, _trials
 from tracklane.plans.rate_plans import TT, TZ, _trial_zones
@@ -202,11 +201,6 @@ def _boot_trials(spark, d):
     return activity(spark, d).filter("st <> 'P'").select("cond", "st", "tr").distinct()
 
 
-def _boot(spark, d):
-    t = activity(spark, d).filter("st <> 'P'").select("cond", "st", "tr").distinct()
-    return B.balanced_draws(t, ["cond"], ["st"], "tr", BOOTS, 5)
-
-
 @query("i5_balanced_bootstrap", f"WITH {BAL} SELECT cond, st, rep, COUNT(*) AS n, CAST(SUM(tr) AS BIGINT) AS ids FROM boot GROUP BY 1,2,3")
 def i5(spark, d):
     return V.draw_totals(_boot_trials(spark, d), ["cond"], ["st"], "tr", BOOTS, 5)
@@ -214,8 +208,9 @@ def i5(spark, d):
 
 @query("i6_bootstrap_zone_rates", f"WITH {BAL} SELECT cond, rep, u, z, ROUND(AVG(s/n),5) AS m, COUNT(*) AS n FROM boot JOIN tz USING (tr) GROUP BY 1,2,3,4")
 def i6(spark, d):
-    g = _boot(spark, d).join(_trial_zones(spark, d), "tr").groupBy("cond", F.col("rep").cast("long").alias("rep"), "u", "z")
-    return g.agg(F.round(F.avg(F.col("s") / F.col("n")), 5).alias("m"), F.count("*").alias("n"))
+    rates = _trial_zones(spark, d).select("u", "tr", "z", (F.col("s") / F.col("n")).alias("rate"))
+    g = V.drawn_zone_rates(V.draw_counts(_boot_trials(spark, d), ["cond"], ["st"], "tr", BOOTS, 5), rates, "cond", BOOTS)
+    return g.select("cond", "rep", "u", "z", F.round("m", 5).alias("m"), "n")
 
 
 MAP = f"{TZ}, o AS (SELECT DISTINCT tr, cond, st FROM act), mp AS (SELECT u, z, cond, st, AVG(s/n) AS m, COUNT(*) AS k FROM tz JOIN o USING (tr) GROUP BY 1,2,3,4), bo AS (SELECT u, z, st, AVG(s/n) AS m, COUNT(*) AS k FROM tz JOIN o USING (tr) GROUP BY 1,2,3)"
