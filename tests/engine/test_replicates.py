@@ -7,9 +7,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracklane import catalog
 from tracklane.functions import digest as D
+from tracklane.operators import map_scores as MS
+from tracklane.operators import maps as M
 from tracklane.operators import replicates as V
 from tracklane.operators import resample as B
 
@@ -77,7 +80,7 @@ def test_draws_of_trials_equal_those_of_rows(spark):
 
 MOVED = (
     "i10_kendall", "i10_subsampled_correlation", "i1_permutation_test", "i1_two_sided", "i3_bootstrap_correlation", "u1_named_statistic", "i12_all_pairs_replicates", "i12_kendall", "i11_bootstrap_map_correlation",
-    "i11_kendall", "i13_remapping_table", "i13_test_vs_null", "i14_segment_rate_bootstrap", "i23_subject_bootstrap", "i14_segment_tests", "i4_bootstrap_difference", "i2_shift_permutation",
+    "i11_kendall", "i13_remapping_table", "i13_test_vs_null", "i14_segment_rate_bootstrap", "i23_subject_bootstrap", "i14_segment_tests", "i4_bootstrap_difference", "i2_shift_permutation", "i2_map_shift",
 )
 
 
@@ -109,3 +112,18 @@ def test_totals_of_draws_equal_their_rows(spark, members):
             counts[r.cond, r.tr, r.block * 3 + k] = int(n)
     for (c, tr, rep), n in counts.items():
         assert n == sum((r.cond, r.tr, r.rep) == (c, tr, rep) for r in rows["min"])
+
+
+def test_shifted_maps_in_a_task_equal_those_of_rows(spark):
+    rng = random.Random(9)
+    rows = [(u, i, rng.choice([0.0, 1.0, 2.0, 5.0]), rng.randrange(4), rng.randrange(1, 4)) for u in (1, 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "u long, i long, fr double, xb long, yb long")
+    moved = MS.shifted_maps(df, ["u"], ["i"], "fr", 12, 37, 2, 5)
+    g = M.map_similarity(moved, ["u", "rep"], ["xb", "yb"], "m", F.col("part") == 0, F.col("part") == 1).filter("n >= 3").select("u", "rep", F.round("r", 9).alias("score"))
+    stable = {r.u: (r.real, r.p, r.significant) for r in MS.significance(g, ["u"], "score").collect()}
+    assert {r.u: (r.real, r.p, r.significant) for r in MS.stability_tests(df, "u", ["i"], "fr", 12, 37, 2, 5).collect()} == stable
+    dense = MS.dense_maps(MS.shifted_maps(df, ["u"], ["i"], "fr", 12, 37, 2), ["u", "rep"], "m", (0, 3), (1, 3))
+    border = MS.scored_maps(dense, ["u", "rep"], (0, 3), (1, 3), 0.75, 2, 1).select("u", "rep", F.round("border", 9).alias("score"))
+    want = {("border", r.u): (r.real, r.p, r.significant) for r in MS.significance(border, ["u"], "score").collect()} | {("stability", u): v for u, v in stable.items()}
+    got = {(r.analysis, r.u): (r.real, r.p, r.significant) for r in MS.map_tests(df, "u", ["i"], "fr", 12, 37, 2, 5, (0, 3), (1, 3), 0.75, 2, 1).collect() if r.analysis != "grid"}
+    assert got == want and want

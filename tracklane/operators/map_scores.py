@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import cos, pi, sin
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklane.functions.digest import picks
 from tracklane.functions.scalar import hash_pick
+from tracklane.operators import replicates as V
 from tracklane.operators.maps import dilated, field_mask, labelled_bins
 from tracklane.operators.storage import cut
 
@@ -209,6 +213,92 @@ def significance(stats: DataFrame, keys, value, alpha: float = 0.02) -> DataFram
     return p.withColumn("significant", (F.col("p") <= alpha / 2) | (F.col("p") >= 1 - alpha / 2))
 
 
+def _shifts(unit, table: pa.Table, order: list[str], value: str, reps: int, seed: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """The unit's rows in order, its values and whether they are known, and (k, rows) the place that each row's value comes
+    from, for the series as it is and then shifted around, some replicates at a time."""
+    table = table.sort_by([(c, "ascending") for c in order])
+    v, known = V.column(table, value)
+    n = len(v)
+    for part in V.some(range(reps + 1), n):
+        by = np.zeros((len(part), 1), np.int64)
+        later = range(max(part.start, 1), part.stop)
+        by[len(part) - len(later) :] = picks(V.prefix(seed, unit), later, None, n)
+        yield table, v, known, (np.arange(n) - by) % n
+
+
+def _mean_maps(v: np.ndarray, known: np.ndarray, index: np.ndarray, cell: np.ndarray, cells: int, least: int) -> np.ndarray:
+    """(k, cells): means of the values that each replicate has in a cell of `least` rows or more, else NaN; rows outside have cell -1."""
+    at = np.flatnonzero(cell >= 0)
+    flat = (np.arange(len(index))[:, None] * cells + cell[at]).ravel()
+    total = lambda x: np.bincount(flat, x[index[:, at]].ravel(), minlength=len(index) * cells).reshape(len(index), cells)
+    rows = np.bincount(cell[at], minlength=cells)
+    count = np.broadcast_to(rows, (len(index), cells)) if known.all() else total(known.astype(float))
+    with np.errstate(all="ignore"):
+        return np.where((rows >= least) & (count > 0), total(v * known) / count, np.nan)
+
+
+def _bins_of(table: pa.Table, x: str, y: str) -> tuple[np.ndarray, int]:
+    (a, in_x), (b, in_y) = V.column(table, x), V.column(table, y)
+    _, at = np.unique(np.stack([a, b]), axis=1, return_inverse=True)
+    return np.where(in_x & in_y, at.ravel(), -1), int(at.max()) + 1
+
+
+def _stabilities(v, known, index, cell, cells, least: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, r): bins of both and correlation of the maps of alternate blocks of each replicate."""
+    part = np.arange(len(v)) // block % 2
+    return V.paired_correlations(*(_mean_maps(v, known, index, np.where(part == k, cell, -1), cells, least) for k in (0, 1)))
+
+
+def stability_tests(samples: DataFrame, key: str, order: list[str], value: str, reps: int, seed: int, least: int, block: int, alpha: float = 0.02, x: str = "xb", y: str = "yb") -> DataFrame:
+    """(key, real, p, significant): correlation of the maps of alternate blocks against that of series shifted around.
+
+    The maps of shifted_maps() and their comparison, all in the task of a unit. Replicates with three bins or more count; NaN
+    is equal to itself and above all numbers.
+    """
+
+    def kernel(unit, table: pa.Table) -> list[dict]:
+        n, r = V.joined(_stabilities(v, known, index, *_bins_of(t, x, y), least, block) for t, v, known, index in _shifts(unit, table, order, value, reps, seed))
+        r = V.rounded(r, 9)
+        others = r[1:][n[1:] >= 3]
+        return [{"real": float(r[0]), "p": V.mean(V.at_least(others, r[0]))}] if n[0] >= 3 and len(others) else []
+
+    out = V.per_unit(samples.select(key, *dict.fromkeys([*order, value, x, y])), key, kernel, real="double", p="double")
+    return out.withColumn("significant", (F.col("p") <= alpha / 2) | (F.col("p") >= 1 - alpha / 2))
+
+
+def map_tests(samples: DataFrame, key: str, order: list[str], value: str, reps: int, seed: int, least: int, block: int, across: tuple[int, int], along: tuple[int, int], share: float, field: int, width: int, alpha: float = 0.02, x: str = "xb", y: str = "yb") -> DataFrame:
+    """(key, analysis, real, p, significant): border score, grid score and stability of a unit against series shifted around.
+
+    As significance() of scored_maps() and of compared shifted_maps(), all in the task of a unit: scores that are unknown
+    don't count, and an analysis whose real score is unknown has no row.
+    """
+    wide, high = across[1] - across[0] + 1, along[1] - along[0] + 1
+
+    def scores(t, v, known, index) -> tuple:
+        (a, in_x), (b, in_y) = V.column(t, x), V.column(t, y)
+        inside = in_x & in_y & (a >= across[0]) & (a <= across[1]) & (b >= along[0]) & (b <= along[1])
+        cell = np.where(inside, (b - along[0]) * wide + a - across[0], -1).astype(np.int64)
+        maps = _mean_maps(v, known, index, cell, wide * high, least).reshape(-1, high, wide)
+        empty = np.isnan(maps).all(axis=(1, 2))  # no map, no score
+        border, grid = np.full(len(maps), np.nan), np.full(len(maps), np.nan)
+        if not empty.all():
+            border[~empty], grid[~empty] = border_scores(maps[~empty], share, field, width), grid_scores(maps[~empty])
+        n, r = _stabilities(v, known, index, *_bins_of(t, x, y), least, block)
+        return border, grid, np.where(n >= 3, r, np.nan)
+
+    def kernel(unit, table: pa.Table) -> list[dict]:
+        out = []
+        for name, s in zip(("border", "grid", "stability"), V.joined(scores(*x) for x in _shifts(unit, table, order, value, reps, seed))):
+            s = V.rounded(s, 9)
+            others = s[1:][~np.isnan(s[1:])]
+            if not np.isnan(s[0]) and len(others):
+                out.append({"analysis": name, "real": float(s[0]), "p": V.mean(others >= s[0])})
+        return out
+
+    out = V.per_unit(samples.select(key, *dict.fromkeys([*order, value, x, y])), key, kernel, analysis="string", real="double", p="double")
+    return out.withColumn("significant", (F.col("p") <= alpha / 2) | (F.col("p") >= 1 - alpha / 2))
+
+
 # ---- best hexagonal pattern ----
 
 

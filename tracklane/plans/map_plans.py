@@ -27,6 +27,9 @@ def _samples(spark, d):
     return activity(spark, d).select("u", "tr", "ln", "fr", "x", S.uniform_bin("x", 0, 10000).alias("xb"), F.col("ln").alias("yb"))
 
 
+ORDER = ["tr", "ln", "fr", "x"]
+
+
 def _shifted(spark, d, block=None):
     return MS.shifted_maps(_samples(spark, d), ["u"], ["tr", "ln", "fr", "x"], "fr", SHIFTS, 37, LEAST, block)
 
@@ -43,7 +46,7 @@ c AS (SELECT a.u, a.rep, ROUND(CORR(a.m,b.m),9) AS s FROM m a JOIN m b ON a.u=b.
 SELECT k.u, ROUND(ANY_VALUE(k.s),5) AS real, ROUND(AVG(CASE WHEN c.s>=k.s THEN 1.0 ELSE 0 END),5) AS p, AVG(CASE WHEN c.s>=k.s THEN 1.0 ELSE 0 END)<=0.01 OR AVG(CASE WHEN c.s>=k.s THEN 1.0 ELSE 0 END)>=0.99 AS significant FROM c JOIN c k ON c.u=k.u AND k.rep=0 WHERE c.rep>0 GROUP BY k.u""")
 def i2(spark, d):
     """Stability of each unit's map (correlation of the maps of alternate blocks) against maps of its series shifted around."""
-    return MS.significance(_stability(spark, d), ["u"], "score").select("u", F.round("real", 5).alias("real"), F.round("p", 5).alias("p"), "significant")
+    return MS.stability_tests(_samples(spark, d), "u", ORDER, "fr", SHIFTS, 37, LEAST, BLOCK).select("u", F.round("real", 5).alias("real"), F.round("p", 5).alias("p"), "significant")
 
 
 @query("j14_map_significance")
