@@ -80,7 +80,7 @@ def test_draws_of_trials_equal_those_of_rows(spark):
 
 MOVED = (
     "i10_kendall", "i10_subsampled_correlation", "i1_permutation_test", "i1_two_sided", "i3_bootstrap_correlation", "u1_named_statistic", "i12_all_pairs_replicates", "i12_kendall", "i11_bootstrap_map_correlation",
-    "i11_kendall", "i13_remapping_table", "i13_test_vs_null", "i14_segment_rate_bootstrap", "i23_subject_bootstrap", "i14_segment_tests", "i4_bootstrap_difference", "i2_shift_permutation", "i2_map_shift",
+    "i11_kendall", "i13_remapping_table", "i13_test_vs_null", "i14_segment_rate_bootstrap", "i23_subject_bootstrap", "i14_segment_tests", "i4_bootstrap_difference", "i2_shift_permutation", "i2_map_shift", "j14_map_significance",
 )
 
 

@@ -30,15 +30,6 @@ def _samples(spark, d):
 ORDER = ["tr", "ln", "fr", "x"]
 
 
-def _shifted(spark, d, block=None):
-    return MS.shifted_maps(_samples(spark, d), ["u"], ["tr", "ln", "fr", "x"], "fr", SHIFTS, 37, LEAST, block)
-
-
-def _stability(spark, d):
-    g = M.map_similarity(_shifted(spark, d, BLOCK), ["u", "rep"], ["xb", "yb"], "m", F.col("part") == 0, F.col("part") == 1)
-    return g.filter("n >= 3").select("u", "rep", F.round(F.nanvl("r", F.lit(None).cast("double")), 9).alias("score"))
-
-
 @query("i2_map_shift", f"""WITH {ACT}, o AS (SELECT u, fr, CAST(FLOOR(x/10000) AS BIGINT) AS xb, ln AS yb, ROW_NUMBER() OVER (PARTITION BY u ORDER BY tr, ln, fr, x)-1 AS i, COUNT(*) OVER (PARTITION BY u) AS n FROM act), d AS (SELECT *, (i//{BLOCK})%2 AS part FROM o),
 r AS (SELECT u, n, rep, CASE WHEN rep=0 THEN 0 ELSE {PICK.format(key="'37',u,rep", n="n")} END AS sh FROM (SELECT DISTINCT u, n FROM o), UNNEST(range(0,{SHIFTS}+1)) AS q(rep)),
 m AS (SELECT p.u, r.rep, p.part, p.xb, p.yb, AVG(a.fr) AS m FROM d p JOIN r ON p.u=r.u JOIN d a ON a.u=p.u AND a.i=(p.i+r.n-r.sh)%r.n GROUP BY 1,2,3,4,5 HAVING COUNT(*)>={LEAST}),
@@ -52,10 +43,8 @@ def i2(spark, d):
 @query("j14_map_significance")
 def j14(spark, d):
     """Border score, grid score and stability of each unit with their places among 200 shifted series."""
-    scored = MS.scored_maps(MS.dense_maps(_shifted(spark, d), ["u", "rep"], "m", ACROSS, ALONG), ["u", "rep"], ACROSS, ALONG, SHARE, FIELD, WALL)
-    scored = scored.select("u", "rep", F.inline(F.array(*[F.struct(F.lit(n).alias("analysis"), F.round(n, 9).alias("score")) for n in ("border", "grid")])))
-    all_ = scored.unionByName(_stability(spark, d).select("u", "rep", F.lit("stability").alias("analysis"), "score"))
-    return MS.significance(all_, ["u", "analysis"], "score").select("u", "analysis", F.round("real", 5).alias("real"), F.round("p", 5).alias("p"), "significant")
+    g = MS.map_tests(_samples(spark, d), "u", ORDER, "fr", SHIFTS, 37, LEAST, BLOCK, ACROSS, ALONG, SHARE, FIELD, WALL)
+    return g.select("u", "analysis", F.round("real", 5).alias("real"), F.round("p", 5).alias("p"), "significant")
 
 
 UNIT_MAPS = "g AS (SELECT u, CAST(FLOOR(x/10000) AS BIGINT) AS xb, ln AS yb, AVG(fr) AS v FROM act GROUP BY 1,2,3)"
