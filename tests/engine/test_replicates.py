@@ -84,6 +84,13 @@ MOVED = (
 )
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["j7_encoder_scores"])
+def test_encoders_shuffle_rows_and_not_features(spark, name):
+    plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashAggregate" not in plan
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 @pytest.mark.parametrize("name", MOVED)
 def test_no_plan_makes_rows_of_replicates(spark, name):

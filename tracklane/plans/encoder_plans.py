@@ -8,7 +8,7 @@ from tracklane.functions import scalar as S
 from tracklane.operators import encoding as E
 from tracklane.operators import storage
 from tracklane.plans.contrast_plans import BINS, _bins
-from tracklane.plans.model_plans import LAGGED, _lagged
+from tracklane.plans.model_plans import LAGGED, LAGS, _beside, _lagged
 from tracklane.plans.registry import query
 from tracklane.sources.tables import ACT, activity
 
@@ -19,6 +19,10 @@ FOLDS = 5
 GRID = LAGGED.replace("SELECT u, fr, st,", "SELECT tr, u, fr, st,") + f", e AS (SELECT u, lag, tr%{FOLDS} AS fold, fr, UNNEST(['zone','zone x outcome']) AS variant, UNNEST([zone, zone || ':' || st]) AS f FROM v WHERE zone IS NOT NULL), k AS (SELECT UNNEST(range(0,{FOLDS})) AS fold), c AS (SELECT e.u, lag, variant, f, k.fold, AVG(fr) AS coef FROM e JOIN k ON e.fold<>k.fold GROUP BY 1,2,3,4,5)"
 
 
+def _folded(spark, d):
+    return _beside(spark, d).withColumn("fold", F.col("tr") % FOLDS)
+
+
 def _grid(spark, d):
     two = F.inline(F.array(F.struct(F.lit("zone").alias("variant"), F.col("zone").alias("f")), F.struct(F.lit("zone x outcome").alias("variant"), F.concat_ws(":", "zone", "st").alias("f"))))
     return _lagged(spark, d).select("u", "lag", (F.col("tr") % FOLDS).alias("fold"), "fr", two)
@@ -34,7 +38,7 @@ _SCORE = "COUNT(*) AS n, ROUND(CASE WHEN VAR_POP(fr)>1e-9*AVG(fr*fr) THEN 1-SUM(
 @query("j7_encoder_scores", f"WITH {ACT}, {GRID} SELECT e.u, e.lag, e.variant, c.fold, CASE WHEN e.fold=c.fold THEN 'test' ELSE 'train' END AS split, {_SCORE} FROM e JOIN c ON e.u=c.u AND e.lag=c.lag AND e.variant=c.variant AND e.f=c.f GROUP BY 1,2,3,4,5")
 def j7_scores(spark, d):
     """Training and held-out scores of every unit, lag, feature set and fold; all from sums by feature and fold."""
-    g = E.fold_scores(_coefficients(spark, d), ["u", "lag", "variant"], "fold")
+    g = E.unit_encoder_scores(_folded(spark, d), "u", "fold", "fr", LAGS, "st", FOLDS)
     return g.select("u", "lag", "variant", "fold", "split", "n", R5("r2").alias("r2"), R5("rmse").alias("rmse"))
 
 

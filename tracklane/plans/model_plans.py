@@ -87,11 +87,17 @@ def j8(spark, d):
 LAGGED = "l AS (SELECT *, LAG(z) OVER (PARTITION BY tr ORDER BY ln, u, z, fr, x) AS before, LEAD(z) OVER (PARTITION BY tr ORDER BY ln, u, z, fr, x) AS after FROM act), v AS (SELECT u, fr, st, UNNEST(['-1','0','1']) AS lag, UNNEST([before, z, after]) AS zone FROM l)"
 
 
-def _lagged(spark, d):
+def _beside(spark, d):
     w = Window.partitionBy("tr").orderBy("ln", "u", "z", "fr", "x")  # no ties left, or only equal rows
-    a = activity(spark, d).withColumn("before", F.lag("z").over(w)).withColumn("after", F.lead("z").over(w))
-    each = F.inline(F.array(*[F.struct(F.lit(n).alias("lag"), F.col(c).alias("zone")) for n, c in (("-1", "before"), ("0", "z"), ("1", "after"))]))
-    return a.select("tr", "ln", "u", "fr", "st", each).filter("zone is not null")
+    return activity(spark, d).withColumn("before", F.lag("z").over(w)).withColumn("after", F.lead("z").over(w))
+
+
+LAGS = {"-1": "before", "0": "z", "1": "after"}
+
+
+def _lagged(spark, d):
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("lag"), F.col(c).alias("zone")) for n, c in LAGS.items()]))
+    return _beside(spark, d).select("tr", "ln", "u", "fr", "st", each).filter("zone is not null")
 
 
 @query("j6_zone_features", f"WITH {ACT}, {LAGGED} SELECT st || ':' || lag || ':' || zone AS name, COUNT(*) AS n, ROUND(AVG(fr),6) AS m FROM v WHERE zone IS NOT NULL GROUP BY 1")
