@@ -85,7 +85,7 @@ MOVED = (
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["j7_encoder_scores"])
+@pytest.mark.parametrize("name", ["j7_encoder_scores", "j7_encoder_coefs"])
 def test_encoders_shuffle_rows_and_not_features(spark, name):
     plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "HashAggregate" not in plan

@@ -8,7 +8,7 @@ from tracklane.functions import scalar as S
 from tracklane.operators import encoding as E
 from tracklane.operators import storage
 from tracklane.plans.contrast_plans import BINS, _bins
-from tracklane.plans.model_plans import LAGGED, LAGS, _beside, _lagged
+from tracklane.plans.model_plans import LAGGED, LAGS, _beside
 from tracklane.plans.registry import query
 from tracklane.sources.tables import ACT, activity
 
@@ -23,15 +23,6 @@ def _folded(spark, d):
     return _beside(spark, d).withColumn("fold", F.col("tr") % FOLDS)
 
 
-def _grid(spark, d):
-    two = F.inline(F.array(F.struct(F.lit("zone").alias("variant"), F.col("zone").alias("f")), F.struct(F.lit("zone x outcome").alias("variant"), F.concat_ws(":", "zone", "st").alias("f"))))
-    return _lagged(spark, d).select("u", "lag", (F.col("tr") % FOLDS).alias("fold"), "fr", two)
-
-
-def _coefficients(spark, d):
-    return E.fold_coefficients(_grid(spark, d), ["u", "lag", "variant"], "fold", "f", "fr", FOLDS)
-
-
 _SCORE = "COUNT(*) AS n, ROUND(CASE WHEN VAR_POP(fr)>1e-9*AVG(fr*fr) THEN 1-SUM((fr-coef)*(fr-coef))/(COUNT(*)*VAR_POP(fr)) END,5) AS r2, ROUND(SQRT(AVG((fr-coef)*(fr-coef))),5) AS rmse"
 
 
@@ -45,8 +36,8 @@ def j7_scores(spark, d):
 @query("j7_encoder_coefs", f"WITH {ACT}, {GRID} SELECT u, lag, variant, f, COUNT(*) AS folds, ROUND(AVG(coef),6) AS coef, ROUND(STDDEV_POP(coef),6) AS sd FROM c GROUP BY 1,2,3,4")
 def j7_coefs(spark, d):
     """Coefficients averaged over the folds that have one, and their spread."""
-    g = _coefficients(spark, d).filter("coef is not null").groupBy("u", "lag", "variant", "f")
-    return g.agg(F.count("*").alias("folds"), R(F.avg("coef")).alias("coef"), R(F.stddev_pop("coef")).alias("sd"))
+    g = E.unit_encoder_coefficients(_folded(spark, d), "u", "fold", "fr", LAGS, "st", FOLDS)
+    return g.select("u", "lag", "variant", "f", "folds", R("coef").alias("coef"), R("sd").alias("sd"))
 
 
 @query("j4_feature_covariance", f"WITH {ACT}, {BINS}, b AS (SELECT a.xb, a.yb, a.n, c.xb AS cx, c.yb AS cy, EXP(-((a.xb-c.xb)*(a.xb-c.xb)+(a.yb-c.yb)*(a.yb-c.yb))/2.0) AS w FROM g a JOIN g c ON ABS(a.xb-c.xb)<=2 AND ABS(a.yb-c.yb)<=2) SELECT p.cx AS ax, p.cy AS ay, q.cx AS bx, q.cy AS by, ROUND(SUM(p.n*p.w*q.w)/(SELECT SUM(n) FROM g),9) AS m FROM b p JOIN b q ON p.xb=q.xb AND p.yb=q.yb GROUP BY 1,2,3,4")
