@@ -107,12 +107,8 @@ def j5_targets(spark, d):
 
     zone: first digit of the zone; cue, goal: of the condition; decision: way out or back; reward: the outcome.
     """
-    rows = storage.cut(_stacked(spark, d).filter("pred is not null"))
     targets = {"zone": (F.col("zone").cast("int") - 1, 5), "cue": ((F.col("cond") >= "3").cast("int"), 2), "decision": ((F.col("ln") > 3).cast("int"), 2), "reward": ((F.col("st") == "F").cast("int"), 2), "goal": (F.substring("cond", 1, 1).cast("int") - 1, 5)}
-    features = {"activity": F.col("fr"), "encoder": F.col("pred"), "residual": F.col("resid")}
-    each = [F.struct(F.lit(t).alias("target"), F.lit(f).alias("features"), y.alias("y"), F.lit(k).alias("k"), x.alias("f0")) for t, (y, k) in targets.items() for f, x in features.items()]
-    out = E.decoded(rows.select("outer", "fold", "u", "tr", "ln", F.inline(F.array(*each))), ["target", "features"], "outer", "fold", "y", "k", ["f0"], 5)
-    loss = -F.ln(F.least(F.greatest("p", F.lit(1e-10)), F.lit(1 - 1e-10)))
-    by = out.groupBy("target", "features", "fold", "y").agg(F.count("*").alias("n"), F.sum((F.col("prediction") == F.col("y")).cast("long")).alias("ok"), F.sum(loss).alias("loss"))
+    rows = _stacked(spark, d).filter("pred is not null").select("outer", "fold", "fr", "pred", "resid", *[y.alias(f"y_{t}") for t, (y, _) in targets.items()])
+    by = E.decoded_scores(storage.cut(rows), "outer", "fold", {t: (f"y_{t}", k) for t, (_, k) in targets.items()}, {"activity": "fr", "encoder": "pred", "residual": "resid"})
     g = by.groupBy("target", "features", "fold").agg(F.sum("n").alias("n"), (F.sum("ok") / F.sum("n")).alias("acc"), F.avg(F.col("ok") / F.col("n")).alias("bacc"), (F.sum("loss") / F.sum("n")).alias("loss"))
     return g.select("target", "features", "fold", "n", *[F.round(c, 4).alias(c) for c in ("acc", "bacc", "loss")])
